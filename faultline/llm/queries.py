@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import merkle, mixing, pii
+from . import bpe, langid, merkle, mixing, pii, quality
 from .common import tune
 
 
@@ -18,6 +19,28 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(docs, counted="n_replaced")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_tokens and the digests of ids and decoded bytes, for every document."""
+    tune(spark)
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a ranker learnt from the labels that are not held out."""
+    tune(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranker = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, ranker).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op7_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -26,5 +49,5 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op9_water_filling_mix, op10_merkle_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_byte_bpe, op3_bradley_terry_quality, op7_viterbi_language, op9_water_filling_mix, op10_merkle_fingerprints)}
 ORACLES = {"op9_water_filling_mix": mixing.ORACLE}
