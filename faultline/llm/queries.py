@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, merkle, mixing, pii, quality
+from . import bpe, embeddings, langid, merkle, mixing, pii, quality, substring, suffix
 from .common import tune
 
 
@@ -36,11 +36,25 @@ def op3_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, ranker).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_cell_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_doubling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -49,5 +63,16 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_byte_bpe, op3_bradley_terry_quality, op7_viterbi_language, op9_water_filling_mix, op10_merkle_fingerprints)}
+_ALL = (
+    op1_feistel_pseudonyms,
+    op2_byte_bpe,
+    op3_bradley_terry_quality,
+    op4_cell_near_dedup,
+    op6_difference_cover_dedup,
+    op7_viterbi_language,
+    op8_doubling_windows,
+    op9_water_filling_mix,
+    op10_merkle_fingerprints,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op9_water_filling_mix": mixing.ORACLE}
