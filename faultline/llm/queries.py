@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, merkle, mixing, pii, quality, substring, suffix
+from . import bpe, embeddings, langid, merkle, mixing, ngram_join, pii, quality, substring, suffix
 from .common import tune
 
 
@@ -40,6 +40,10 @@ def op4_cell_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(_table(spark, sf_dir, "documents"))
+
+
 def op6_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -68,6 +72,7 @@ _ALL = (
     op2_byte_bpe,
     op3_bradley_terry_quality,
     op4_cell_near_dedup,
+    op5_prefix_tree_join,
     op6_difference_cover_dedup,
     op7_viterbi_language,
     op8_doubling_windows,
