@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -38,6 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind the written table
     return spark.read.schema(df.schema).parquet(path)
 

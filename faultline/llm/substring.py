@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, tune, written
+from .common import Rolling, drop_written, mix64, tune, written
 from .windows import candidates, firsts, keyed, repeated, segments
 
 #: Words of a window that must not occur twice.
@@ -58,7 +58,7 @@ def _half_grams(window: int):
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Windows of the full length in candidate texts whose sampled half is repeated: (h1, h2, doc, pos)."""
+    """Windows of the full length in candidate texts whose sampled half is repeated: (h1, h2, doc, pos, again); again: also earlier in this text."""
     half = (window + 1) // 2
     for b in batches:
         out = []
@@ -69,10 +69,12 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             if not mine.any():
                 continue
             at = np.concatenate([np.arange(s, e) for s, e in zip(start[mine], stop[mine])])
-            h = [r.ranges(r.prefix(values), at, at + window).view(np.int64) for r in _WORDS.rolling]
-            out.append((*h, np.full(len(at), doc, np.int64), at.astype(np.int32)))
+            h = [r.ranges(r.prefix(values), at, at + window) for r in _WORDS.rolling]
+            again = np.ones(len(at), bool)
+            again[np.unique(h[0] ^ mix64(h[1]), return_index=True)[1]] = False
+            out.append((h[0].view(np.int64), h[1].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32), again))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h1", "h2", "doc", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h1", "h2", "doc", "pos", "again"])
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,10 +94,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: s
     d = keyed(docs, doc_id, text)
     first = written(firsts(d), "firsts")
     minima = repeated(d, _half_grams(window), window - (window + 1) // 2 + 1)
-    found = candidates(d, first, minima).mapInArrow(lambda it: _windows(it, window), "h1 long, h2 long, doc long, pos int")
+    found = candidates(d, first, minima).mapInArrow(lambda it: _windows(it, window), "h1 long, h2 long, doc long, pos int, again boolean")
     found = written(found, "windows")
-    earliest = found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    later = found.join(earliest, ["h1", "h2"]).where(F.struct("doc", "pos") > F.col("first")).groupBy("doc").agg(F.collect_list("pos").alias("later"))
+    # First places in each text alone are compared across texts, by the least document.
+    places = found.where("NOT again")
+    earliest = places.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("h1", "h2", "least")
+    later = places.join(earliest, ["h1", "h2"]).where("doc > least").select("doc", "pos").unionByName(found.where("again").select("doc", "pos"))
+    later = written(later.groupBy("doc").agg(F.collect_list("pos").alias("later")), "later")
+    drop_written(found)
     marks = first.select("doc", F.lit(True).alias("first")).join(later, "doc", "left")
     rows = d.join(marks, "doc", "left").select("doc_id", "times", "text", F.coalesce("first", F.lit(False)).alias("first"), "later")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, tune, written
+from .common import Rolling, drop_written, tune, written
 from .windows import candidates, firsts, keyed, repeated, segments
 
 #: Bytes of a string that must not occur twice; bytes of the grams that strings are sampled by.
@@ -191,6 +191,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
 
     covered = usual.unionByName(places).where(F.size("covered") > 0)
     ranges = parts.select("a", "key", "doc", "lo").join(covered, ["a", "key"]).groupBy("doc").agg(F.flatten(F.collect_list(F.transform("covered", lambda x: x + F.col("lo")))).alias("covered"))
+    ranges = written(ranges, "ranges")
+    drop_written(distinct, parts)
     whole = each.join(first.select("sha", "copies"), "sha").select("doc", (F.col("copies") > 1).alias("copied"))
     marks = whole.join(ranges, "doc", "left").where("copied OR covered IS NOT NULL")
     rows = d.join(marks, "doc", "left").select("doc_id", "times", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "covered")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliding_min, written
+from .common import drop_written, sliding_min, written
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -71,7 +71,9 @@ def repeated(docs: DataFrame, grams: Callable[[bytes], np.ndarray], width: int)
 
     sampled = written(rows.mapInArrow(run, "a long, tk long, twice boolean"), "sampled")
     again = sampled.groupBy("a").agg(F.min("tk").alias("least"), F.max("tk").alias("most"), F.max("twice").alias("twice")).where("least <> most OR twice").select("a")
-    return sampled.select("a", "tk").join(again, "a").groupBy("tk").agg(F.collect_set("a").alias("minima"))
+    minima = written(sampled.select("a", "tk").join(again, "a").groupBy("tk").agg(F.collect_set("a").alias("minima")), "minima")
+    drop_written(sampled)
+    return minima
 
 
 def candidates(docs: DataFrame, first: DataFrame, minima: DataFrame) -> DataFrame:
