@@ -1,4 +1,656 @@
-"""Registry of the engine's queries and of their DuckDB twins."""
+"""The engine's queries over the test tables, and their twins in DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import classify
+from .functions import text as T
+from .operators import eightd, graph, ingest, quality, texteval, vectors
+from .plans.fixtures import fmea_rows, kb_cause, kb_vec, query_vector, sent, table, with_views
+from .sources.files import route
+from .streaming.incremental import windowed_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, views: str = "") -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = with_views(views, sql) if views else sql.strip()
+        return f
+
+    return register
+
+
+# --- SQL pieces -------------------------------------------------------------------------------------------------
+
+
+def _d(a: str, b: str) -> str:
+    return f"list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip({a}, {b}), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))), lambda s, v: s + v)"
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), lambda s, v: s + v)"
+
+
+def _cos(a: str, b: str) -> str:
+    return f"{_dot(a, b)} / (sqrt({_dot(a, a)}) * sqrt({_dot(b, b)}))"
+
+
+def _key(x: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '^\\s+|\\s+$', '', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')"
+
+
+def _plain(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _spaces(x: str) -> str:
+    return f"regexp_replace(lower(regexp_replace({x}, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g')"
+
+
+def _tokens(x: str) -> str:
+    return f"list_filter(string_split({_plain(x)}, ' '), lambda t: t <> '')"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _any(x: str, parts) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{p}')" for p in parts) + ")" if parts else "false"
+
+
+def _discipline(x: str) -> str:
+    cases = " ".join(f"WHEN list_has_any(regexp_extract_all({_key(x)}, '[a-z0-9]+'), {_list(words)}) THEN '{name}'" for name, words in classify.DISCIPLINES.items())
+    return f"CASE {cases} END"
+
+
+def _number(x: str) -> str:
+    t = f"trim({x})"
+    return f"CASE WHEN lower({t}) IN ('', 'n/a', 'na', 'null', 'none', '-') THEN NULL WHEN regexp_full_match({t}, '[+-]?\\d+') OR (regexp_full_match({t}, '[+-]?\\d*\\.\\d*([eE][+-]?\\d+)?') AND regexp_matches({t}, '\\d\\.|\\.\\d')) THEN CAST({t} AS DOUBLE) END"
+
+
+def _content(x: str) -> str:
+    return f"list_filter(regexp_extract_all({_spaces(x)}, '[\\p{{L}}\\p{{N}}]+'), lambda t: regexp_full_match(t, '\\p{{L}}{{3,}}') AND NOT list_contains({_list(T.STOP_WORDS)}, t))"
+
+
+def _set_coverage(a: str, b: str) -> str:
+    return f"CASE WHEN len(list_distinct({a})) > 0 THEN len(list_intersect(list_distinct({a}), {b})) / CAST(len(list_distinct({a})) AS DOUBLE) ELSE 0.0 END"
+
+
+# --- Vector search -----------------------------------------------------------------------------------------------
+
+
+def _role_queries(spark: SparkSession, sf_dir: str, first: int) -> dict[str, list[float]]:
+    return {r: query_vector(spark, sf_dir, first + i) for i, r in enumerate(("failure_mode", "failure_element", "failure_effect"))}
+
+
+def _search_sql(first: int, k: int) -> str:
+    return f"""q AS (SELECT role AS q_role, embedding AS q FROM kb_vec WHERE vec_id BETWEEN {first} AND {first + 2}),
+h AS (SELECT failure_id, role, vec_id, {_d("embedding", "q")} AS dist FROM kb_vec JOIN q ON role = q_role),
+t AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY dist, vec_id) AS place FROM h),
+m AS (SELECT failure_id, sum(CASE role WHEN 'failure_mode' THEN 0.5::DOUBLE WHEN 'failure_element' THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END * (1 - dist)) AS score, count(DISTINCT role) AS n_roles FROM t WHERE place <= {k} GROUP BY failure_id),
+top AS (SELECT * FROM m ORDER BY round(score, 9) DESC, n_roles DESC, failure_id LIMIT {k})"""
+
+
+@query("WITH " + _search_sql(0, 5) + " SELECT failure_id, round(score, 6) AS score, n_roles FROM top", "kb_vec")
+def failure_search_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vectors.search_failures(kb_vec(spark, sf_dir), _role_queries(spark, sf_dir, 0), 5)
+    return hits.select("failure_id", F.round("score", 6).alias("score"), "n_roles")
+
+
+@query(f"WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7) SELECT failure_id, cause_id, round({_d('embedding', 'q')}, 6) AS dist FROM kb_cause, q WHERE failure_id = 3 ORDER BY {_d('embedding', 'q')}, cause_id LIMIT 5", "kb_cause")
+def cause_search_under_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vectors.search_causes(kb_cause(spark, sf_dir), query_vector(spark, sf_dir, 7), 5, failure_id=3)
+    return hits.select("failure_id", "cause_id", F.round("dist", 6).alias("dist"))
+
+
+@query(f"WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7) SELECT failure_id, cause_id, round({_d('embedding', 'q')}, 6) AS dist FROM kb_cause, q ORDER BY {_d('embedding', 'q')}, cause_id LIMIT 5", "kb_cause")
+def cause_search_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vectors.search_causes(kb_cause(spark, sf_dir), query_vector(spark, sf_dir, 7), 5)
+    return hits.select("failure_id", "cause_id", F.round("dist", 6).alias("dist"))
+
+
+def _sentence_ids(cause: str):
+    return F.array(F.col(cause) * 2 + 1, F.col(cause) * 2, F.col(cause) + 1_000_000)
+
+
+@query("WITH " + _search_sql(12, 3) + f""",
+c AS (SELECT c.failure_id, score, cause_id, {_d("c.embedding", "e.embedding")} AS dist FROM kb_cause c JOIN top USING (failure_id), embeddings e WHERE e.vec_id = 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY failure_id ORDER BY dist, cause_id) AS place FROM c),
+x AS (SELECT failure_id, score, cause_id, dist, unnest([cause_id * 2 + 1, cause_id * 2, cause_id + 1000000]) AS sid, unnest([0, 1, 2]) AS ord FROM r WHERE place <= 5)
+SELECT failure_id, round(score, 6) AS score, cause_id, round(dist, 6) AS dist, coalesce(string_agg(CAST(s.sentence_id AS VARCHAR), ',' ORDER BY ord) FILTER (s.sentence_id IS NOT NULL), '') AS evidence
+FROM x LEFT JOIN sent s ON sid = s.sentence_id GROUP BY failure_id, score, cause_id, dist""", "kb_vec kb_cause sent")
+def failure_cause_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, c, s = kb_vec(spark, sf_dir), kb_cause(spark, sf_dir), sent(spark, sf_dir)
+    out = vectors.evidence_chain(v, v, c.withColumn("sentence_ids", _sentence_ids("cause_id")), s, _role_queries(spark, sf_dir, 12), query_vector(spark, sf_dir, 5), 3, 5)
+    return out.select("failure_id", F.round("score", 6).alias("score"), "cause_id", F.round("dist", 6).alias("dist"), F.array_join(F.col("sentence_ids").cast("array<string>"), ",").alias("evidence"))
+
+
+@query(f"""WITH v AS (SELECT s.sentence_id, source_section, assertion_level AS role, CAST(label AS BIGINT) AS failure_id, e.embedding FROM sent s JOIN embeddings e ON s.sentence_id = e.vec_id),
+q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 11)
+SELECT sentence_id, role, failure_id, round({_d("embedding", "q")}, 6) AS dist FROM v, q WHERE failure_id = 2 AND role IN ('observed', 'suspected') ORDER BY {_d("embedding", "q")}, sentence_id LIMIT 10""", "sent")
+def sentence_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sentence_id"), F.col("label").cast("long").alias("failure_id"), "embedding")
+    v = sent(spark, sf_dir).select("sentence_id", F.col("assertion_level").alias("role")).join(e, "sentence_id")
+    hits = vectors.search_sentences(v, query_vector(spark, sf_dir, 11), 10, failure_id=2, roles=("observed", "suspected"))
+    return hits.select("sentence_id", "role", "failure_id", F.round("dist", 6).alias("dist"))
+
+
+_PAIRS = f"p AS (SELECT a.vec_id, a.role AS own, b.role AS other, b.vec_id AS neighbour, {_d('a.embedding', 'b.embedding')} AS dist FROM kb_vec a, kb_vec b)"
+_COHESION = _PAIRS + """, n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour) AS place FROM p WHERE own = other),
+s AS (SELECT vec_id, own AS role, avg(dist) AS avg_dist FROM n WHERE place <= 6 AND dist > 1e-6 GROUP BY vec_id, own)"""
+
+
+@query("WITH " + _COHESION + " SELECT vec_id, role, round(avg_dist, 6) AS avg_dist FROM s", "kb_vec")
+def knn_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.cohesion(kb_vec(spark, sf_dir)).select("vec_id", "role", F.round("avg_dist", 6).alias("avg_dist"))
+
+
+@query("WITH " + _COHESION + ", l AS (SELECT role, avg(avg_dist) + 2.0 * stddev_pop(avg_dist) AS lim FROM s GROUP BY role) SELECT vec_id, s.role, round(avg_dist, 6) AS avg_dist FROM s JOIN l USING (role) WHERE avg_dist > lim", "kb_vec")
+def cohesion_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.cohesion_outliers(vectors.cohesion(kb_vec(spark, sf_dir))).select("vec_id", "role", F.round("avg_dist", 6).alias("avg_dist"))
+
+
+@query("WITH " + _COHESION + " SELECT vec_id, role, round(avg_dist, 6) AS avg_dist FROM s WHERE avg_dist > 0.85", "kb_vec")
+def extreme_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.isolated(vectors.cohesion(kb_vec(spark, sf_dir))).select("vec_id", "role", F.round("avg_dist", 6).alias("avg_dist"))
+
+
+@query(f"""WITH p AS (SELECT a.cause_id, b.cause_id AS neighbour, {_d('a.embedding', 'b.embedding')} AS dist FROM kb_cause a, kb_cause b),
+n AS (SELECT *, row_number() OVER (PARTITION BY cause_id ORDER BY dist, neighbour) AS place FROM p)
+SELECT cause_id, round(avg(dist), 6) AS avg_dist FROM n WHERE place <= 6 AND dist > 1e-6 GROUP BY cause_id""", "kb_cause")
+def cause_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = kb_cause(spark, sf_dir).withColumnRenamed("cause_id", "vec_id")
+    return vectors.cohesion(items, group=None).select(F.col("vec_id").alias("cause_id"), F.round("avg_dist", 6).alias("avg_dist"))
+
+
+def _confusion_sql(where: str, agg: str, test: str) -> str:
+    return f"""WITH {_PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY vec_id, other ORDER BY dist, neighbour) AS place FROM p {where}),
+g AS (SELECT vec_id, own AS role, other, {agg}(dist) AS d FROM n WHERE place <= 3 GROUP BY vec_id, own, other),
+c AS (SELECT vec_id, role, max(CASE WHEN role = other THEN d END) AS cur, arg_min(other, (d, CASE other WHEN 'failure_element' THEN 0 WHEN 'failure_mode' THEN 1 ELSE 2 END)) AS best_role, min(d) AS best FROM g GROUP BY vec_id, role)
+SELECT vec_id, role, best_role, round(cur, 6) AS current, round(best, 6) AS best FROM c WHERE best_role <> role AND {test}"""
+
+
+@query(_confusion_sql("WHERE vec_id <> neighbour", "avg", "cur > 0 AND (cur - best) / cur > 0.1"), "kb_vec")
+def role_confusion_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.role_confusion(kb_vec(spark, sf_dir)).select("vec_id", "role", "best_role", F.round("current", 6).alias("current"), F.round("best", 6).alias("best"))
+
+
+@query(_confusion_sql("", "min", "cur - best > 0.05"), "kb_vec")
+def role_confusion_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.role_confusion(kb_vec(spark, sf_dir), margin=0.05, relative=False).select("vec_id", "role", "best_role", F.round("current", 6).alias("current"), F.round("best", 6).alias("best"))
+
+
+@query(f"""WITH p AS (SELECT a.failure_id AS failure_a, b.failure_id AS failure_b, a.role, {_cos('a.embedding', 'b.embedding')} AS c FROM kb_vec a JOIN kb_vec b ON a.role = b.role AND a.failure_id < b.failure_id),
+g AS (SELECT failure_a, failure_b, sum(CASE role WHEN 'failure_mode' THEN 0.5::DOUBLE WHEN 'failure_element' THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END * c) AS score, string_agg(role, ',' ORDER BY role) AS roles FROM p GROUP BY ALL)
+SELECT failure_a, failure_b, round(score, 4) AS score, roles FROM g WHERE score >= 0.3""", "kb_vec")
+def near_dup_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a threshold of 0.3 (default 0.92), so that the test vectors have such pairs."""
+    return vectors.near_duplicate_failures(kb_vec(spark, sf_dir), threshold=0.3)
+
+
+@query(f"""WITH f AS (SELECT DISTINCT failure_id FROM kb_cause)
+SELECT a.failure_id AS failure_a, b.failure_id AS failure_b, a.cause_id AS cause_a, b.cause_id AS cause_b, round({_cos('a.embedding', 'b.embedding')}, 4) AS similarity
+FROM kb_cause a JOIN kb_cause b ON a.failure_id < b.failure_id WHERE {_cos('a.embedding', 'b.embedding')} >= 0.4""", "kb_cause")
+def near_dup_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all failure pairs, with a threshold of 0.4 (default 0.90), so that the test vectors have such pairs."""
+    causes = kb_cause(spark, sf_dir)
+    ids = causes.select("failure_id").distinct()  # ten labels
+    pairs = ids.select(F.col("failure_id").alias("failure_a")).join(ids.select(F.col("failure_id").alias("failure_b")), F.col("failure_a") < F.col("failure_b"))
+    return vectors.near_duplicate_causes(pairs, causes, 0.4)
+
+
+@query("SELECT vec_id, failure_id, role FROM kb_vec WHERE vec_id IN (3, 4, 5)", "kb_vec")
+def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.by_ids(kb_vec(spark, sf_dir), [3, 4, 5]).select("vec_id", "failure_id", "role")
+
+
+@query()
+def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs of components are free, so no SQL twin."""
+    return vectors.project(kb_vec(spark, sf_dir), 2)
+
+
+def _upsert_sql(order: str) -> str:
+    return f"SELECT conv_id, turn, role, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn {order}) AS p FROM conversations) WHERE p = 1"
+
+
+@query(_upsert_sql("DESC"))
+def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.upsert(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query(_upsert_sql("ASC"))
+def add_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.upsert(table(spark, sf_dir, "conversations"), "conv_id", "turn", first_wins=True).select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query(f"""WITH s AS (SELECT vec_id AS i, vec_id + 1 AS j FROM embeddings WHERE vec_id % 3 = 0),
+o AS (SELECT i, cause_id, row_number() OVER (PARTITION BY i ORDER BY {_d('c.embedding', 'e.embedding')}, cause_id) AS p FROM s JOIN embeddings e ON e.vec_id = i, kb_cause c),
+r AS (SELECT i, cause_id, row_number() OVER (PARTITION BY i ORDER BY {_d('c.embedding', 'e.embedding')}, cause_id) AS p FROM s JOIN embeddings e ON e.vec_id = j, kb_cause c),
+x AS (SELECT i, bool_or(cause_id = i AND p = 1) AS o1, bool_or(cause_id = i AND p <= 3) AS ok FROM o GROUP BY i), y AS (SELECT i, bool_or(cause_id = i AND p = 1) AS r1, bool_or(cause_id = i AND p <= 3) AS rk FROM r GROUP BY i)
+SELECT count(*) AS n, round(avg(CAST(o1 AS INT)), 6) AS original_top1, round(avg(CAST(ok AS INT)), 6) AS original_recall, round(avg(CAST(r1 AS INT)), 6) AS rephrased_top1, round(avg(CAST(rk AS INT)), 6) AS rephrased_recall, round(avg(CAST(o1 AND NOT r1 AS INT)), 6) AS regression_rate FROM x JOIN y USING (i)""", "kb_cause")
+def retrieval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each third vector as an original query, its neighbour by number as the rephrased one."""
+    near = vectors.nearest(kb_cause(spark, sf_dir).withColumnRenamed("cause_id", "vec_id"), 3, None)
+    ids = near.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dist", "neighbour"))), lambda s: s["neighbour"]).alias("ids"))
+    found = ids.where("vec_id % 3 = 0").select(F.col("vec_id").alias("truth"), F.col("ids").alias("original_ids"))
+    found = found.join(ids.select((F.col("vec_id") - 1).alias("truth"), F.col("ids").alias("rephrased_ids")), "truth")
+    return quality.retrieval_accuracy(found)
+
+
+# --- Text functions -----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, md5({_key('text')}) AS key_md5, md5({_plain('text')}) AS plain_md5, md5({_spaces('text')}) AS spaces_md5 FROM documents")
+def normalize_text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_key(t)).alias("key_md5"), F.md5(T.normalize_plain(t)).alias("plain_md5"), F.md5(T.normalize_spaces(t)).alias("spaces_md5"))
+
+
+_SENTENCES = "list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
+
+
+@query(f"WITH s AS (SELECT doc_id, {_SENTENCES} AS s FROM documents) SELECT doc_id, unnest(range(len(s))) AS ord, unnest(s) AS sentence FROM s")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("ord", "sentence")).withColumn("ord", F.col("ord").cast("long"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with one benchmark item, by number; items are a few hundred short texts at most."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("sentence"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source")).withColumn("item_id", F.col("doc_id") % 40)
+    return docs.join(items, "item_id")
+
+
+_PAIR_SQL = "x AS (SELECT doc_id, d.text AS source, b.text AS sentence FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"
+
+
+@query(f"WITH {_PAIR_SQL}, t AS (SELECT doc_id, {_tokens('sentence')} AS a, {_tokens('source')} AS b FROM x) SELECT doc_id, round({_set_coverage('a', 'b')}, 6) AS set_coverage, round(CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda t: list_contains(b, t))) / CAST(len(a) AS DOUBLE) ELSE 0.0 END, 6) AS bag_coverage, round(len(list_intersect(list_distinct(a), b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS jaccard FROM t")
+def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pairs(spark, sf_dir).select("doc_id", T.tokens(F.col("sentence")).alias("a"), T.tokens(F.col("source")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return p.select("doc_id", F.round(T.set_coverage(a, b), 6).alias("set_coverage"), F.round(T.bag_coverage(a, b), 6).alias("bag_coverage"), F.round(T.jaccard(a, b), 6).alias("jaccard"))
+
+
+@query(f"WITH {_PAIR_SQL}, t AS (SELECT doc_id, contains({_spaces('source')}, {_spaces('sentence')}) AS is_exact, {_content('sentence')} AS a, {_content('source')} AS b FROM x) SELECT doc_id, is_exact, round({_set_coverage('a', 'b')}, 6) AS coverage FROM t")
+def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texteval.exact_or_covered(_pairs(spark, sf_dir)).select("doc_id", "is_exact", "coverage")
+
+
+@query()
+def faithfulness_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the token-set ratio, which SQL has not; tests hold it against a plain version."""
+    return texteval.faithfulness(_pairs(spark, sf_dir)).select("doc_id", "faithful_type", "faithful_score", "faithful")
+
+
+@query(f"WITH s AS (SELECT doc_id, text, array_to_string({_SENTENCES}[1:3], ' ') AS summary FROM documents), t AS (SELECT doc_id, len({_tokens('text')}) AS a, len({_tokens('summary')}) AS b FROM s) SELECT doc_id, CAST(a AS INT) AS source_tokens, CAST(b AS INT) AS summary_tokens, round(b / CAST(greatest(a, 1) AS DOUBLE), 6) AS compression_ratio FROM t")
+def compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source"), F.array_join(F.slice(T.sentences(F.col("text")), 1, 3), " ").alias("summary"))
+    return texteval.compression(docs).select("doc_id", "source_tokens", "summary_tokens", "compression_ratio")
+
+
+@query()
+def compression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the token-set ratio; the first two sentences are the summary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source"), F.slice(T.sentences(F.col("text")), 1, 2).alias("summary_sentences"))
+    return texteval.compression_report(docs)
+
+
+_VALUABLE = "trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\b\\d{1,2}-\\d{1,2}-\\d{4}\\b', '', 'g'), 'motor\\s*\\d+', 'motor', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH n AS (SELECT doc_id, {_VALUABLE} AS text FROM documents), l AS (SELECT doc_id, {_SENTENCES} AS s FROM n),
+r AS (SELECT doc_id, unnest(range(len(s))) AS ord, unnest(s) AS sentence FROM l),
+w AS (SELECT *, list_distinct(regexp_extract_all(sentence, '[a-z0-9]+(?:-[a-z0-9]+)*')) AS words FROM r WHERE len(string_split(sentence, ' ')) > 6),
+v AS (SELECT doc_id, ord, sentence, round(len(list_intersect(words, {_list(T.FAIL_WORDS)})) * 2 + len(list_intersect(words, {_list(T.CAUSE_WORDS)})) + least(len(words) / 20.0::DOUBLE, 1.0::DOUBLE), 6) AS value FROM w),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, ord) AS place FROM v) SELECT doc_id, place, sentence, value FROM p WHERE place <= 10""")
+def sentence_value_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texteval.valuable_sentences(table(spark, sf_dir, "documents"))
+
+
+_NUMBERS = ("7", " 7 ", "7.5", "1e3", "1.e3", ".5", "nan", "N/A", "-", "tbd", "", "-3", "+4.0", "abc", "inf", ".")
+
+
+@query(f"WITH e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN {_list(_NUMBERS)}[1 + (event_id // 2) % {len(_NUMBERS)}] ELSE CAST(round(value, 2) AS VARCHAR) END AS raw FROM events) SELECT event_id, {_number('raw')} AS number FROM e")
+def parse_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.element_at(F.array(*map(F.lit, _NUMBERS)), (F.pmod(F.floor(F.col("event_id") / 2), F.lit(len(_NUMBERS))) + 1).cast("int"))
+    raw = F.when(F.col("event_id") % 2 == 0, odd).otherwise(F.round("value", 2).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", T.parse_number(raw).alias("number"))
+
+
+_PREFIXED = ("[S01F01] X", "[S01 - HW] Encoder noise", "[A][B] y", "no prefix", "[S02 - esw]", "", "[x] ", "[broken text", "[a-MCH]  two  spaces ")
+
+
+@query(f"WITH p AS (SELECT p_partkey, concat({_list(_PREFIXED)}[1 + p_partkey % {len(_PREFIXED)}], p_name) AS raw FROM part) SELECT p_partkey, trim(regexp_replace(raw, '^\\[[^\\]]+\\]\\s*', '')) AS stripped, regexp_extract(raw, '^\\[[^\\]-]*-\\s*([A-Za-z]+)\\]\\s*(.*)', 1) AS discipline, CASE WHEN regexp_matches(raw, '^\\[[^\\]-]*-\\s*([A-Za-z]+)\\]\\s*(.*)') THEN trim(regexp_extract(raw, '^\\[[^\\]-]*-\\s*([A-Za-z]+)\\]\\s*(.*)', 2)) ELSE trim(regexp_replace(raw, '^\\[[^\\]]+\\]\\s*', '')) END AS cause FROM p")
+def strip_prefix_discipline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.element_at(F.array(*map(F.lit, _PREFIXED)), (F.col("p_partkey") % len(_PREFIXED) + 1).cast("int")), "p_name")
+    both = T.discipline_and_cause(raw)
+    return table(spark, sf_dir, "part").select("p_partkey", T.strip_prefix(raw).alias("stripped"), both["discipline"].alias("discipline"), both["cause"].alias("cause"))
+
+
+@query("SELECT event_id, regexp_extract(concat('Answer: ', props, ' end.'), '(?s)\\{.*\\}', 0) AS json FROM events")
+def json_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", T.json_slice(F.concat(F.lit("Answer: "), "props", F.lit(" end."))).alias("json"))
+
+
+_TYPES = ("Electronics / General", "Motor/ Connectors", "Mechanics", "Pump / Power board", "Software / Timing", "Pump / Impeller", "Assembly / Specification", "Filter/ Switch", "a/b/c", "Design / Approval", "General", "Firmware")
+
+
+@query(f"WITH t AS (SELECT p_partkey, concat({_list(_TYPES)}[1 + p_partkey % {len(_TYPES)}], CASE WHEN p_partkey % 5 = 0 THEN concat(' ', p_type) ELSE '' END) AS ft FROM part) SELECT p_partkey, {_discipline('ft')} AS discipline FROM t")
+def discipline_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _failure_types(spark, sf_dir).select("p_partkey", classify.discipline(F.col("ft")).alias("discipline"))
+
+
+def _failure_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ft = F.concat(F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("p_partkey") % len(_TYPES) + 1).cast("int")), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit(" "), "p_type")).otherwise(F.lit("")))
+    return table(spark, sf_dir, "part").select("p_partkey", ft.alias("ft"))
+
+
+def _parts_sql(ft: str) -> tuple[str, str]:
+    """Discipline and element of a failure type."""
+    left, right = _key(f"split_part({ft}, '/', 1)"), _key(f"substr({ft}, strpos({ft}, '/') + 1)")
+    generic = f"{right} IN ({', '.join(repr(x) for x in classify.GENERIC_RIGHT)})"
+    element = f"(list_has_any(regexp_extract_all({right}, '[a-z0-9]+'), {_list(classify.ELEMENT_RIGHT)}) OR {_any(right, classify.ELEMENT_PARTS)})"
+    of_left = _discipline(f"split_part({ft}, '/', 1)")
+    d = f"CASE WHEN NOT contains({ft}, '/') THEN {_discipline(ft)} WHEN {generic} THEN {of_left} WHEN {element} THEN NULL ELSE {of_left} END"
+    e = f"CASE WHEN NOT contains({ft}, '/') OR {generic} THEN NULL WHEN {element} OR {of_left} IS NULL THEN concat({left}, ' / ', {right}) END"
+    return d, e
+
+
+@query("WITH t AS (SELECT p_partkey, concat(" + _list(_TYPES) + f"[1 + p_partkey % {len(_TYPES)}], CASE WHEN p_partkey % 5 = 0 THEN concat(' ', p_type) ELSE '' END) AS ft FROM part) SELECT p_partkey, {_parts_sql('ft')[0]} AS discipline, {_parts_sql('ft')[1]} AS element FROM t")
+def failure_type_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _failure_types(spark, sf_dir).select("p_partkey", classify.failure_type_parts(F.col("ft")).alias("p")).select("p_partkey", "p.discipline", "p.element")
+
+
+_HITS = f"list_filter({_list(classify.PROCESS_PARTS)}, lambda w: contains(lower(cause), w))"
+
+
+@query(f"WITH c AS (SELECT p_partkey, concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' Operator packing torque' WHEN 1 THEN ' solder Joint' ELSE '' END) AS cause FROM part) SELECT p_partkey, array_to_string({_HITS}, ',') AS hits, CASE WHEN len({_HITS}) >= 1 THEN 'process' ELSE 'non-process' END AS level FROM c")
+def process_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = F.when(F.col("p_partkey") % 4 == 0, " Operator packing torque").when(F.col("p_partkey") % 4 == 1, " solder Joint").otherwise("")
+    cause = F.concat("p_name", extra)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(classify.process_hits(cause), ",").alias("hits"), classify.fmea_level(cause).alias("level"))
+
+
+_ENTITY = tuple(classify.DENIED)
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sent(spark, sf_dir)
+    kind = F.element_at(F.array(*map(F.lit, (*_ENTITY, "unknown"))), (F.col("sentence_id") % 6 + 1).cast("int"))
+    return s.withColumns({"entity_type": kind, "faithful_type": F.when(F.col("faithful_score") > 90, F.lit("fuzzy")).when(F.col("sentence_id") % 3 == 0, F.lit("partial")).otherwise(F.lit("hallucinated"))})
+
+
+def _rule_sql(table_: dict, column: str, text: str, deny: bool) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {'NOT ' if deny else ''}{_any(text, v)}" for k, v in table_.items())
+    return f"CASE {column} {cases} {'' if deny else chr(87) + 'HEN ' + chr(39) + 'observed' + chr(39) + ' THEN true'} ELSE false END"
+
+
+_RATED = f"""r AS (SELECT *, {_list((*_ENTITY, 'unknown'))}[1 + sentence_id % 6] AS entity_type, CASE WHEN faithful_score > 90 THEN 'fuzzy' WHEN sentence_id % 3 = 0 THEN 'partial' ELSE 'hallucinated' END AS faithful_type, {_spaces('text')} AS t FROM sent),
+c AS (SELECT *, NOT {_any('t', classify.CONJUNCTIONS)} OR length(t) - length(replace(t, ',', '')) <= 1 AS atomic, {_rule_sql(classify.DENIED, 'entity_type', 't', True)} AS entity_ok, {_rule_sql(classify.ASSERTION_MARKS, 'assertion_level', 't', False)} AS assertion_ok FROM r)"""
+
+
+@query(f"WITH {_RATED} SELECT sentence_id, atomic, entity_ok, assertion_ok FROM c", "sent")
+def sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _rated(spark, sf_dir).select("sentence_id", classify.is_atomic(t).alias("atomic"), classify.entity_rule(F.col("entity_type"), t).alias("entity_ok"), classify.assertion_rule(F.col("assertion_level"), t).alias("assertion_ok"))
+
+
+def _rate(c: str) -> str:
+    return f"round(count(*) FILTER ({c}) / CAST(greatest(1, count(*)) AS DOUBLE), 6)"
+
+
+@query(f"""WITH {_RATED} SELECT count(*) AS total, {_rate("faithful_type IN ('exact', 'fuzzy')")} AS strong_faithfulness_rate, {_rate("faithful_type = 'partial'")} AS weak_faithfulness_rate, {_rate("faithful_type = 'hallucinated'")} AS hallucination_rate,
+{_rate('atomic')} AS atomicity_rate, {_rate('entity_ok')} AS entity_rule_pass_rate, {_rate('assertion_ok')} AS assertion_rule_pass_rate, {_rate("assertion_level = 'confirmed'")} AS confirmed_ratio, {_rate("faithful_type = 'exact'")} AS exact_ratio, {_rate("faithful_type = 'fuzzy'")} AS fuzzy_ratio, {_rate("faithful_type = 'partial'")} AS partial_ratio FROM c""", "sent")
+def iteration_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texteval.iteration_rates(_rated(spark, sf_dir))
+
+
+@query(f"WITH {_RATED}, n AS (SELECT source_section, entity_type, count(*) AS n FROM c GROUP BY ALL) SELECT source_section, bool_or(entity_type = 'symptom') AS has_symptom, bool_or(entity_type IN ('root_cause_evidence', 'investigation')) AS has_root_or_investigation, CAST(sum(n) AS BIGINT) AS sentence_count, string_agg(concat(entity_type, ':', CAST(n AS VARCHAR)), ',' ORDER BY concat(entity_type, ':', CAST(n AS VARCHAR))) AS type_counts FROM n GROUP BY source_section", "sent")
+def type_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texteval.type_coverage(_rated(spark, sf_dir), "source_section")
+
+
+# --- Ingest -------------------------------------------------------------------------------------------------------
+
+_INGEST = f"""n AS (SELECT *, CASE WHEN source_type = 'new_fmea' THEN concat_ws('|', 'n', {_key('system_name')}, {_key('system_element')}, {_key('function_name')}, {_key('failure_mode')}, {_key('failure_effect')}) ELSE concat_ws('|', 'o', {_key('failure_type')}, {_key('failure_mode')}, {_key('failure_effect')}) END AS sig, {_number('severity')} AS sev FROM fmea_rows),
+g AS (SELECT file_ord, sig, min(row_ord) AS group_ord, max(sev) AS severity FROM n GROUP BY ALL),
+g1 AS (SELECT g.*, n.file_name, n.source_type, n.failure_mode, n.failure_effect, n.function_name, CASE WHEN n.source_type = 'new_fmea' THEN n.system_name END AS sys, CASE WHEN n.source_type = 'new_fmea' THEN n.system_element ELSE {_parts_sql('n.failure_type')[1]} END AS element, CASE WHEN n.source_type <> 'new_fmea' THEN {_parts_sql('n.failure_type')[0]} END AS discipline FROM g JOIN n ON n.file_ord = g.file_ord AND n.row_ord = g.group_ord),
+g2 AS (SELECT *, concat_ws('|', {_key('failure_mode')}, {_key('failure_effect')}, {_key('element')}, {_key('sys')}) AS k FROM g1),
+g3 AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY file_ord, group_ord) = 1 AS wins FROM g2),
+g4 AS (SELECT *, CASE WHEN wins THEN concat(file_name, '__F', CAST(CAST(sum(CAST(wins AS INT)) OVER (PARTITION BY file_ord ORDER BY group_ord) AS BIGINT) AS VARCHAR)) END AS own FROM g3),
+g5 AS (SELECT *, max(own) OVER (PARTITION BY k) AS failure_id FROM g4),
+c AS (SELECT g5.failure_id, n.file_ord, g5.group_ord, n.row_ord, n.failure_cause, g5.failure_mode, g5.element, g5.failure_effect, g5.discipline, row_number() OVER (PARTITION BY g5.failure_id, {_key('n.failure_cause')} ORDER BY n.file_ord, g5.group_ord, n.row_ord) AS p FROM n JOIN g5 ON n.file_ord = g5.file_ord AND n.sig = g5.sig WHERE coalesce(n.failure_cause, '') <> ''),
+causes AS (SELECT *, row_number() OVER (PARTITION BY failure_id ORDER BY file_ord, group_ord, row_ord) AS n, concat(failure_id, '_C', CAST(row_number() OVER (PARTITION BY failure_id ORDER BY file_ord, group_ord, row_ord) AS VARCHAR)) AS cause_id FROM c WHERE p = 1)"""
+
+
+@query(f"WITH {_INGEST}, i AS (SELECT failure_id, string_agg(cause_id, ',' ORDER BY n) AS cause_ids FROM causes GROUP BY failure_id) SELECT g5.failure_id, failure_mode, element AS failure_element, failure_effect, sys AS system, function_name, severity, source_type, coalesce(cause_ids, '') AS cause_ids FROM g5 LEFT JOIN i ON i.failure_id = g5.failure_id WHERE wins", "fmea_rows")
+def fmea_ingest_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failures, _ = ingest.ingest(fmea_rows(spark, sf_dir))
+    return failures.select("failure_id", "failure_mode", "failure_element", "failure_effect", "system", "function_name", "severity", "source_type", F.array_join("cause_ids", ",").alias("cause_ids"))
+
+
+@query(f"WITH {_INGEST} SELECT cause_id, failure_id, failure_mode, element AS failure_element, failure_effect, failure_cause, discipline FROM causes", "fmea_rows")
+def fmea_ingest_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, causes = ingest.ingest(fmea_rows(spark, sf_dir))
+    return causes.select("cause_id", "failure_id", "failure_mode", "failure_element", "failure_effect", "failure_cause", "discipline")
+
+
+@query("""WITH r AS (SELECT file_name, row_ord, source_type, failure_mode, failure_cause, failure_effect, function_name FROM fmea_rows)
+SELECT concat_ws('_', file_name, CAST(row_ord AS VARCHAR), 'failure') AS sentence_id, 'failure' AS role, CASE WHEN source_type = 'new_fmea' THEN concat(failure_mode, ' in ', coalesce(function_name, 'system'), '.') ELSE concat('Failure mode ', failure_mode, '.') END AS text FROM r WHERE failure_mode <> ''
+UNION ALL SELECT concat_ws('_', file_name, CAST(row_ord AS VARCHAR), 'cause'), 'cause', concat(failure_cause, ' causes ', failure_mode, '.') FROM r WHERE failure_cause <> ''
+UNION ALL SELECT concat_ws('_', file_name, CAST(row_ord AS VARCHAR), 'effect'), 'effect', concat(failure_mode, ' leads to ', failure_effect, '.') FROM r WHERE failure_effect <> ''""", "fmea_rows")
+def record_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.sentences_of(fmea_rows(spark, sf_dir)).select("sentence_id", "role", "text")
+
+
+@query("SELECT file_name, row_ord, concat('Failure mode ', failure_mode, '. Cause ', failure_cause, ' leads to effect ', failure_effect, '. Severity ', severity, ', Occurrence , Detection , RPN . Action .') AS text FROM fmea_rows WHERE source_type = 'old_fmea'", "fmea_rows")
+def record_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fmea_rows(spark, sf_dir).where("source_type = 'old_fmea'")
+    return rows.select("file_name", "row_ord", ingest.record_text(rows).alias("text"))
+
+
+@query(f"WITH {_INGEST}, f AS (SELECT failure_id, failure_mode, element AS failure_element, failure_effect FROM g5 WHERE wins), u AS (SELECT failure_id, 'failure_mode' AS role, failure_mode AS text FROM f UNION ALL SELECT failure_id, 'failure_element', failure_element FROM f UNION ALL SELECT failure_id, 'failure_effect', failure_effect FROM f) SELECT failure_id, role, text FROM u WHERE text IS NOT NULL AND lower(trim(text)) NOT IN ('', '-', 'n/a', 'na', 'null', 'none', 'tbd', 'to be defined')", "fmea_rows")
+def role_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failures, _ = ingest.ingest(fmea_rows(spark, sf_dir))
+    return vectors.role_rows(failures)
+
+
+@query("""WITH m AS (SELECT failure_effect, severity, failure_mode, list_sort(list(DISTINCT failure_cause)) AS causes FROM fmea_rows WHERE failure_effect IS NOT NULL AND severity IS NOT NULL AND failure_mode IS NOT NULL GROUP BY ALL)
+SELECT failure_effect, severity, failure_mode, array_to_string(causes, '|') AS causes FROM m""", "fmea_rows")
+def effect_centered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = ingest.effect_centred(fmea_rows(spark, sf_dir))
+    return nested.select("failure_effect", "severity", F.inline("failure_modes")).select("failure_effect", "severity", "failure_mode", F.array_join("causes", "|").alias("causes"))
+
+
+@query("""WITH m AS (SELECT user_id, event_id, ts, value FROM events WHERE event_type = (SELECT min(event_type) FROM events))
+SELECT e.event_id, (SELECT arg_max(m.event_id, (m.ts, m.event_id)) FROM m WHERE m.user_id = e.user_id AND (m.ts < e.ts OR (m.ts = e.ts AND m.event_id < e.event_id))) AS marker_id FROM events e""")
+def context_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of the first kind that a user had strictly before each event."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    kind = e.agg(F.min("event_type")).first()[0]
+    return e.select("event_id", ingest.last_before(e, F.col("event_type") == kind, F.col("event_id"), ["user_id"], ["ts", "event_id"]).alias("marker_id"))
+
+
+@query("WITH e AS (SELECT event_id, ts, user_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS kind, CASE WHEN event_id % 4 = 0 THEN value END AS value FROM events) SELECT event_id, last_value(kind IGNORE NULLS) OVER w AS kind, last_value(value IGNORE NULLS) OVER w AS value FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("kind"), F.when(F.col("event_id") % 4 == 0, F.col("value")).alias("value"))
+    return ingest.forward_fill(e, ["kind", "value"], ["user_id"], "event_id").select("event_id", "kind", "value")
+
+
+@query("WITH r AS (SELECT event_id AS n, CAST(user_id AS VARCHAR) AS number, concat(event_type, CASE WHEN event_id % 7 = 0 THEN ' pfmea' ELSE '' END) AS name, CASE event_id % 3 WHEN 0 THEN '8d report' WHEN 1 THEN 'Design FMEA' ELSE 'memo' END AS category, CASE WHEN event_id % 5 = 0 THEN 'C:\\x' ELSE 'n:\\y' END AS path FROM events ORDER BY event_id DESC LIMIT 100) SELECT n, number, name, CASE WHEN contains(upper(category), '8D') THEN '8D' ELSE 'FMEA' END AS kind FROM r WHERE NOT contains(upper(name), 'PFMEA') AND NOT contains(upper(name), 'PROCESS') AND starts_with(upper(path), 'N:') AND category <> 'memo'")
+def inventory_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(i.alias("n"), F.col("user_id").cast("string").alias("number"), F.concat("event_type", F.when(i % 7 == 0, " pfmea").otherwise("")).alias("name"), F.when(i % 3 == 0, "8d report").when(i % 3 == 1, "Design FMEA").otherwise("memo").alias("category"), F.when(i % 5 == 0, "C:\\x").otherwise("n:\\y").alias("path"))
+    return route(rows).select("n", "number", "name", "kind")
+
+
+# --- Integrity ----------------------------------------------------------------------------------------------------
+
+
+def _failure_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as failures with planted gaps."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    return o.select(k.cast("string").alias("failure_id"), F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("o_orderstatus")).alias("failure_element"), F.when(k % 11 == 0, F.lit(" ")).otherwise(F.col("o_orderpriority")).alias("failure_mode"), F.when(k % 5 == 0, F.lit("")).otherwise(F.lit("late")).alias("failure_effect"), F.when(k % 13 == 0, F.lit(None)).otherwise(F.array(F.concat(k.cast("string"), F.lit("_1")), F.concat(k.cast("string"), F.lit("_9")))).alias("cause_ids"), F.when(k % 17 == 0, k + 1).otherwise(k).cast("string").alias("inner_id"))
+
+
+def _cause_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as causes; some point nowhere."""
+    l = table(spark, sf_dir, "lineitem")
+    key = F.col("l_orderkey")
+    return l.select(F.concat_ws("_", key.cast("string"), F.col("l_linenumber").cast("string")).alias("cause_id"), F.when(F.col("l_partkey") % 19 == 0, F.lit(None)).when(F.col("l_partkey") % 23 == 0, F.concat(F.lit("x"), key.cast("string"))).otherwise(key.cast("string")).alias("failure_id"), F.when(F.col("l_suppkey") % 9 == 0, F.lit("")).otherwise(F.col("l_returnflag")).alias("failure_cause"))
+
+
+_STORES = """f AS (SELECT CAST(o_orderkey AS VARCHAR) AS failure_id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS failure_element, CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE o_orderpriority END AS failure_mode, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'late' END AS failure_effect, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE [concat(o_orderkey, '_1'), concat(o_orderkey, '_9')] END AS cause_ids, CAST(CASE WHEN o_orderkey % 17 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS VARCHAR) AS inner_id FROM orders),
+c AS (SELECT concat_ws('_', l_orderkey, l_linenumber) AS cause_id, CASE WHEN l_partkey % 19 = 0 THEN NULL WHEN l_partkey % 23 = 0 THEN concat('x', l_orderkey) ELSE CAST(l_orderkey AS VARCHAR) END AS failure_id, CASE WHEN l_suppkey % 9 = 0 THEN '' ELSE l_returnflag END AS failure_cause FROM lineitem)"""
+
+
+@query(f"""WITH {_STORES} SELECT failure_id AS id, 'missing failure_element' AS message FROM f WHERE failure_element IS NULL OR trim(failure_element) = '' UNION ALL SELECT failure_id, 'missing failure_mode' FROM f WHERE trim(failure_mode) = '' UNION ALL SELECT failure_id, 'missing failure_effect' FROM f WHERE trim(failure_effect) = ''
+UNION ALL SELECT cause_id, 'missing failure_id (in cause)' FROM c WHERE failure_id IS NULL UNION ALL SELECT cause_id, 'missing root_cause' FROM c WHERE failure_cause = ''""")
+def k1_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.failure_schema(_failure_store(spark, sf_dir)).unionByName(quality.cause_schema(_cause_store(spark, sf_dir)))
+
+
+@query(f"""WITH {_STORES} SELECT failure_id AS id, 'failure_effect is "" (prefer null)' AS message FROM f WHERE trim(failure_effect) = '' UNION ALL SELECT failure_id, 'cause_ids is null (prefer [])' FROM f WHERE cause_ids IS NULL UNION ALL SELECT cause_id, 'failure_cause is "" (must be non-empty)' FROM c WHERE failure_cause = ''""")
+def k2_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.failure_nulls(_failure_store(spark, sf_dir)).unionByName(quality.cause_nulls(_cause_store(spark, sf_dir), "failure_cause"))
+
+
+@query(f"WITH {_STORES} SELECT failure_id AS id, inner_id FROM f WHERE inner_id <> failure_id")
+def k3_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.id_mismatch(_failure_store(spark, sf_dir), "failure_id", "inner_id")
+
+
+@query(f"WITH {_STORES}, x AS (SELECT failure_id, unnest(cause_ids) AS cause_id FROM f) SELECT 'cause' AS missing, failure_id, cause_id FROM x WHERE cause_id NOT IN (SELECT cause_id FROM c) UNION ALL SELECT 'failure', c.failure_id, c.cause_id FROM c LEFT JOIN f ON f.failure_id = c.failure_id WHERE f.failure_id IS NULL")
+def k4_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, c = _failure_store(spark, sf_dir), _cause_store(spark, sf_dir)
+    a = quality.orphan_causes(f, c).select(F.lit("cause").alias("missing"), "failure_id", "cause_id")
+    return a.unionByName(quality.orphan_failures(f, c).select(F.lit("failure").alias("missing"), "failure_id", "cause_id"))
+
+
+@query(f"""WITH {_STORES}, m AS (SELECT 'ids' AS "check", concat_ws(': ', failure_id, inner_id) AS message FROM f WHERE inner_id <> failure_id UNION ALL SELECT 'orphan failures', concat_ws(': ', c.cause_id, coalesce(c.failure_id, 'null')) FROM c LEFT JOIN f ON f.failure_id = c.failure_id WHERE f.failure_id IS NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY message) AS p FROM m) SELECT "check", count(*) AS n, string_agg(message, ';' ORDER BY message) FILTER (p <= 5) AS samples FROM r GROUP BY "check" """)
+def integrity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, c = _failure_store(spark, sf_dir), _cause_store(spark, sf_dir)
+    return quality.summary({"ids": quality.id_mismatch(f, "failure_id", "inner_id"), "orphan failures": quality.orphan_failures(f, c)}).withColumn("samples", F.array_join("samples", ";"))
+
+
+# --- Graph --------------------------------------------------------------------------------------------------------
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    """Both tables of a graph come from the causes, and traversals read both: the causes are kept, not made again."""
+    return graph.Graph.from_causes(ingest.ingest(fmea_rows(spark, sf_dir))[1].persist())
+
+
+_GRAPH = _INGEST + """,
+b AS (SELECT concat('Failure::failure_id::', failure_id) AS f, concat('FailureElement::name::', coalesce(element, 'None')) AS e, concat('FailureMode::text::', coalesce(failure_mode, 'None')) AS m, concat('FailureEffect::text::', coalesce(failure_effect, 'None')) AS x, concat('FailureCause::cause_id::', cause_id) AS cc, * FROM causes),
+nodes AS (SELECT DISTINCT f AS id, 'Failure' AS label, failure_id AS name FROM b UNION SELECT e, 'FailureElement', coalesce(nullif(element, ''), e) FROM b UNION SELECT m, 'FailureMode', coalesce(nullif(failure_mode, ''), m) FROM b UNION SELECT x, 'FailureEffect', coalesce(nullif(failure_effect, ''), x) FROM b UNION SELECT cc, 'FailureCause', failure_cause FROM b),
+edges AS (SELECT f AS src, 'HAS_ELEMENT' AS rel, e AS dst FROM b UNION SELECT f, 'HAS_MODE', m FROM b UNION SELECT e, 'HAS_MODE', m FROM b UNION SELECT f, 'HAS_EFFECT', x FROM b UNION SELECT m, 'LEADS_TO', x FROM b UNION SELECT cc, 'CAUSES', m FROM b)"""
+
+
+@query(f"WITH {_GRAPH} SELECT id, label, name FROM nodes", "fmea_rows")
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).nodes.select("id", "label", graph.node_text(F.col("props"), F.col("id")).alias("name"))
+
+
+@query(f"WITH {_GRAPH} SELECT src, rel, dst FROM edges", "fmea_rows")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).edges
+
+
+@query(f"""WITH {_GRAPH}, s AS (SELECT 'Failure::failure_id::FMEA_3__F2' AS id), md AS (SELECT dst AS id FROM edges JOIN s ON src = s.id WHERE rel = 'HAS_MODE'),
+h AS (SELECT 'failure_element' AS kind, dst AS id FROM edges JOIN s ON src = s.id WHERE rel = 'HAS_ELEMENT' UNION SELECT 'failure_mode', id FROM md UNION SELECT 'failure_effect', dst FROM edges JOIN s ON src = s.id WHERE rel = 'HAS_EFFECT' UNION SELECT 'failure_cause', src FROM edges JOIN md ON dst = md.id WHERE rel = 'CAUSES')
+SELECT kind, name AS value FROM h JOIN nodes ON h.id = nodes.id""", "fmea_rows")
+def graph_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).chain("FMEA_3__F2")
+
+
+@query(f"WITH {_GRAPH} SELECT DISTINCT 'failure_mode' AS kind, name AS value FROM edges JOIN nodes ON dst = id WHERE src = 'FailureElement::name::pump / impeller' AND rel = 'HAS_MODE'", "fmea_rows")
+def modes_under_element(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir)
+    return graph.modes_under_element(g.nodes, g.edges, "pump / impeller")
+
+
+@query(f"WITH {_GRAPH}, t AS (SELECT min(failure_mode) AS mode FROM causes) SELECT 'failure_cause' AS kind, name AS value FROM t, edges JOIN nodes ON src = id WHERE dst = concat('FailureMode::text::', mode) AND rel = 'CAUSES'", "fmea_rows")
+def causes_for_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir)
+    mode = fmea_rows(spark, sf_dir).where("failure_cause <> ''").agg(F.min("failure_mode")).first()[0]
+    return graph.causes_for_mode(g.nodes, g.edges, mode)
+
+
+@query(f"WITH {_GRAPH}, l AS (SELECT cause_id, failure_mode AS mode FROM causes WHERE n = 1 UNION ALL SELECT cause_id, 'no such mode' FROM causes WHERE n = 2) SELECT cause_id, mode, EXISTS (SELECT 1 FROM edges WHERE rel = 'CAUSES' AND src = concat('FailureCause::cause_id::', cause_id) AND dst = concat('FailureMode::text::', mode)) AS valid FROM l", "fmea_rows")
+def validate_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, causes = ingest.ingest(fmea_rows(spark, sf_dir))
+    g = graph.Graph.from_causes(causes)
+    first, second = (causes.where(F.col("cause_id").endswith(f"_C{n}")) for n in (1, 2))
+    links = first.select("cause_id", F.col("failure_mode").alias("mode")).unionByName(second.select("cause_id", F.lit("no such mode").alias("mode")))
+    return graph.valid_links(g.nodes, g.edges, links)
+
+
+@query(f"WITH {_GRAPH} SELECT 'node' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT 'edge', rel, count(*) FROM edges GROUP BY rel", "fmea_rows")
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir)
+    return graph.counts(g.nodes, g.edges)
+
+
+# --- 8D -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, concat(conv_id, '_', 'D', CAST(2 + length(role) % 3 AS VARCHAR), '_S', lpad(CAST(row_number() OVER (PARTITION BY conv_id, length(role) % 3 ORDER BY turn) AS VARCHAR), 3, '0')) AS sentence_id FROM conversations")
+def sentence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").withColumn("source_section", F.concat(F.lit("D"), (2 + F.length("role") % 3).cast("string")))
+    return eightd.sentence_ids(c, "conv_id", "source_section", "turn").select("conv_id", "turn", "sentence_id")
+
+
+@query("SELECT sentence_id, source_section FROM sent WHERE sentence_id NOT IN (SELECT doc_id FROM labels)", "sent")
+def unused_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sentence_id"))
+    return eightd.unused(sent(spark, sf_dir), used).select("sentence_id", "source_section")
+
+
+@query("SELECT sentence_id % 100 AS failure_id, CASE WHEN bool_or(source_section = 'D2' AND assertion_level IN ('observed', 'confirmed') AND faithful_score >= 95) THEN 'supported' ELSE 'hypothesis' END AS status FROM sent GROUP BY sentence_id % 100", "sent")
+def supported_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sent(spark, sf_dir).withColumn("failure_id", F.col("sentence_id") % 100)
+    return eightd.support_status(s, s)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pending' ELSE lang END AS review_status, CASE WHEN doc_id % 4 = 0 THEN 'V0' ELSE source END AS version, '' AS last_updated FROM documents")
+def maintenance_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    null = F.lit(None).cast("string")
+    tag = F.struct(F.when(i % 3 != 0, F.col("lang")).alias("review_status"), F.when(i % 4 != 0, F.col("source")).alias("Version"), null.alias("last_updated"), null.alias("supersedes"))
+    return table(spark, sf_dir, "documents").select("doc_id", eightd.maintenance(tag).alias("m")).select("doc_id", "m.review_status", "m.version", "m.last_updated")
+
+
+@query("SELECT conv_id, array_to_string(list(concat('- ', text) ORDER BY turn) FILTER (trim(text) <> ''), chr(10)) AS block FROM conversations GROUP BY conv_id")
+def signal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), "text", F.lit("D2").alias("source_section"), F.lit(None).cast("string").alias("subject"))
+    return eightd.signals(c, ["conv_id"])
+
+
+@query("WITH p AS (SELECT conv_id AS file, turn, role = 'user' AS head, text FROM conversations), s AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY file ORDER BY turn) AS section FROM p) SELECT file, CAST(section AS BIGINT) AS section, max(CASE WHEN head THEN trim(text) END) AS title, coalesce(string_agg(trim(text), chr(10) ORDER BY turn) FILTER (NOT head AND trim(text) <> ''), '') AS content FROM s WHERE section > 0 GROUP BY file, section")
+def section_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("ord"), F.when(F.col("role") == "user", "Heading 2").otherwise("Normal").alias("style"), "text")
+    return eightd.sections(c).select("file", "section", "title", "content")
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5(concat('42:', CAST(doc_id AS VARCHAR))), doc_id LIMIT 40")
+def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.sample_by_hash(table(spark, sf_dir, "documents").select("doc_id"), 40, "doc_id")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowed_counts(table(spark, sf_dir, "events"))
