@@ -228,7 +228,7 @@ def test_workbooks(spark, tmp_path):
     assert (a.system_name, a.system_element, a.function_name, a.failure_mode, a.cause_discipline, a.severity, a.rpn, a.project_description, a.fmea_date) == ("Drive", "Rotor", "spin", "stuck", "HW", "7", "42", "Pump 5", "Unknown")
     assert (s.function_name, s.occurrence, s.failure_effect) == ("hold", "1.5", "")
     assert (b.failure_type, b.failure_mode, b.failure_effect, b.severity, b.occurrence, b.project_description, b.fmea_date) == ("Motor/ Connectors", "open", "silent", "", "4", "Fan", "2020")
-    assert b.text == "Failure mode open. Cause vibration leads to effect silent. Severity , Occurrence 4, Detection , RPN . Action ."
+    assert b.text == "Failure mode open. Cause vibration leads to effect silent. Severity , Occurrence 4, Detection , RPN . Action n/a."  # no header for actions: the fixed column, L
     assert workbook.cell_address("aa10") == (9, 26)
     with pytest.raises(ValueError):
         workbook.cell_address("10A")
