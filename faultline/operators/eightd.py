@@ -80,11 +80,32 @@ def resolve(ids: DataFrame, index: DataFrame, key: str = "case_id") -> DataFrame
     return listed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "sentence_id", "text"))), lambda s: F.struct(s["sentence_id"].alias("sentence_id"), s["text"].alias("text"))).alias("sentences"))
 
 
-def signals(sentences: DataFrame, by: list[str], with_subject: str = "D4") -> DataFrame:
-    """(by, block): bullet lines of sentences in order; a section without any reads `- (none)`; subjects only for one section."""
-    subject = F.when((F.col("source_section") == with_subject) & F.col("subject").isNotNull(), F.concat(F.lit(" [subject: "), F.col("subject"), F.lit("]"))).otherwise(F.lit(""))
-    line = F.when(F.trim("text") != "", F.struct("ord", F.concat(F.lit("- "), F.col("text"), subject).alias("line")))
-    return sentences.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda s: s["line"]), "\n").alias("block")).withColumn("block", F.when(F.col("block") == "", F.lit("- (none)")).otherwise(F.col("block")))
+def second_input(sentences: DataFrame) -> DataFrame:
+    """The signals that a second extraction sees: id, text and annotations of selected sentences; blank subjects are null."""
+    return sentences.select("case_id", "ord", "sentence_id", "text", "source_section", F.col("annotations.status").alias("status"), F.col("annotations.faithful_score").alias("faithful_score"), F.col("annotations.faithful_type").alias("faithful_type"), F.nullif(F.col("annotations.subject"), F.lit("")).alias("subject"))
+
+
+def signals(signals_: DataFrame, by: str = "case_id", sections_: tuple[str, ...] = ("D2", "D3", "D4"), subject_in: str = "D4") -> DataFrame:
+    """(by, D2, D3, D4): the lines of each section's signals in order, `- (none)` where there are none; subjects in one section only."""
+    known = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other))
+    subject = F.when((F.col("source_section") == subject_in) & (F.coalesce("subject", F.lit("")) != ""), F.concat(F.lit("[subject:"), "subject", F.lit("]")))
+    line = F.concat_ws(" ", F.concat(F.lit("- [id:"), known("sentence_id", ""), F.lit("]")), subject, known("text", ""), F.concat(F.lit("(status="), known("status", "?"), F.lit(", faithful_score="), known("faithful_score", "?"), F.lit(", type="), known("faithful_type", "?"), F.lit(")")))
+    rows = signals_.select(by, "ord", "source_section", line.alias("line"))
+    block = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("source_section") == name, F.struct("ord", "line")))), lambda x: x["line"]), "\n")
+    return rows.groupBy(by).agg(*[F.coalesce(F.nullif(block(n), F.lit("")), F.lit("- (none)")).alias(n) for n in sections_])
+
+
+def context_block(system_name: Column, symptoms: Column, failures: Column) -> Column:
+    """What a later step is told of D2: system, symptoms and the failures (array of structs) one after the other."""
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    one = lambda f: F.concat(F.lit("\n  - Element: "), said(f["system_element"]), F.lit("\n  - Mode: "), said(f["failure_mode"]), F.lit("\n  - Effect: "), said(f["failure_effect"]), F.lit("\n"))
+    return F.concat(F.lit("\nSystem Name: "), said(system_name), F.lit("\nProblem Symptoms: "), said(symptoms), F.lit("\n\nFailures:\n"), F.array_join(F.transform(failures, one), "\n"), F.lit("\n"))
+
+
+def invalid_cases(cases: DataFrame) -> DataFrame:
+    """(file_ord, message) of cases that miss what a case must have."""
+    rules = ((F.coalesce(F.size("documents"), F.lit(0)) < 1, "missing documents"), (F.col("failure").isNull(), "missing failure"), (F.col("failure").isNotNull() & F.col("failure.failure_ID").isNull(), "missing failure_ID"), (F.exists(F.coalesce(F.col("failure.root_causes.cause_ID"), F.array().cast("array<string>")), lambda c: c.isNull()), "missing cause_ID"), (F.exists(F.coalesce(F.col("selected_sentences.text"), F.array().cast("array<string>")), lambda t: t.isNull()), "missing sentence text"))
+    return cases.select("file_ord", F.explode(F.array_compact(F.array(*[F.when(broken, F.lit(m)) for broken, m in rules]))).alias("message"))
 
 
 def ingest(cases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

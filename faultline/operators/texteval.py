@@ -56,6 +56,13 @@ def iteration_rates(rated: DataFrame) -> DataFrame:
         rate(F.coalesce(F.col("assertion_level") == "confirmed", F.lit(False))).alias("confirmed_ratio"), rate(kind("exact")).alias("exact_ratio"), rate(kind("fuzzy")).alias("fuzzy_ratio"), rate(kind("partial")).alias("partial_ratio"))
 
 
+def rates_text(rates: DataFrame) -> DataFrame:
+    """(summary): iteration_rates() in a few lines to read."""
+    part = lambda label, c: F.concat(F.lit(f"{label}: "), F.round(F.col(c) * F.col("total")).cast("long").cast("string"))
+    lines = [F.concat(F.lit("Total: "), F.col("total").cast("string")), part("Faithful", "strong_faithfulness_rate"), part("Hallucinated", "hallucination_rate"), part("Atomic", "atomicity_rate"), part("Entity rule pass", "entity_rule_pass_rate"), part("Assertion rule pass", "assertion_rule_pass_rate"), part("Confirmed", "confirmed_ratio")]
+    return rates.select(F.concat_ws("\n", *lines).alias("summary"))
+
+
 def type_coverage(sentences: DataFrame, by: str) -> DataFrame:
     """By case: has_symptom, has_root_or_investigation, sentence_count, type_counts (as `type:n`, sorted)."""
     counts = sentences.groupBy(by, "entity_type").agg(F.count("*").alias("n"))

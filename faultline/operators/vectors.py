@@ -217,6 +217,12 @@ def upsert(rows: DataFrame, key: str, order: str, first_wins: bool = False) -> D
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(o))).where("_place = 1").drop("_place")
 
 
+def role_index(sentences: DataFrame, key: str = "file_name") -> DataFrame:
+    """(key, failure_ids, cause_ids, effect_ids): the sentence ids of each role, sorted."""
+    of = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("sentence_id"))))
+    return sentences.groupBy(key).agg(*[of(r).alias(f"{r}_ids") for r in ("failure", "cause", "effect")])
+
+
 def role_rows(failures: DataFrame) -> DataFrame:
     """(failure_id, role, text) of each failure's mode, element and effect that is worth embedding."""
     from ..functions.text import is_embeddable

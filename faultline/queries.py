@@ -634,10 +634,16 @@ def maintenance_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", eightd.maintenance(tag).alias("m")).select("doc_id", "m.review_status", "m.version", "m.last_updated")
 
 
-@query("SELECT conv_id, array_to_string(list(concat('- ', text) ORDER BY turn) FILTER (trim(text) <> ''), chr(10)) AS block FROM conversations GROUP BY conv_id")
+_LINE = "concat_ws(' ', concat('- [id:', conv_id, '_', turn, ']'), CASE WHEN turn % 3 = 2 AND turn % 2 = 0 THEN concat('[subject:', role, ']') END, text, concat('(status=', CASE WHEN turn % 4 = 0 THEN '?' ELSE role END, ', faithful_score=', turn, ', type=?)'))"
+
+
+@query("SELECT conv_id, " + ", ".join(f"coalesce(string_agg({_LINE}, chr(10) ORDER BY turn) FILTER (turn % 3 = {i}), '- (none)') AS D{i + 2}" for i in range(3)) + " FROM conversations GROUP BY conv_id")
 def signal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), "text", F.lit("D2").alias("source_section"), F.lit(None).cast("string").alias("subject"))
-    return eightd.signals(c, ["conv_id"])
+    turn = F.col("turn")
+    c = table(spark, sf_dir, "conversations").select(
+        "conv_id", turn.alias("ord"), F.concat_ws("_", F.col("conv_id").cast("string"), turn.cast("string")).alias("sentence_id"), "text", F.concat(F.lit("D"), (2 + turn % 3).cast("string")).alias("source_section"),
+        F.when(turn % 4 != 0, F.col("role")).alias("status"), turn.alias("faithful_score"), F.lit(None).cast("string").alias("faithful_type"), F.when(turn % 2 == 0, F.col("role")).alias("subject"))
+    return eightd.signals(c, "conv_id")
 
 
 @query("WITH p AS (SELECT conv_id AS file, turn, role = 'user' AS head, text FROM conversations), s AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY file ORDER BY turn) AS section FROM p) SELECT file, CAST(section AS BIGINT) AS section, max(CASE WHEN head THEN trim(text) END) AS title, coalesce(string_agg(trim(text), chr(10) ORDER BY turn) FILTER (NOT head AND trim(text) <> ''), '') AS content FROM s WHERE section > 0 GROUP BY file, section")

@@ -76,6 +76,11 @@ def match_8d(wanted: DataFrame, listing: DataFrame) -> DataFrame:
     return best.crossJoin(F.broadcast(any_file)).select("number", F.coalesce("file", "other").alias("file"))
 
 
+def fmea_files(listing: DataFrame) -> DataFrame:
+    """File names (column file) that begin with FMEA, in any case, and end in .xlsm."""
+    return listing.where(F.upper("file").startswith("FMEA") & F.lower("file").endswith(".xlsm"))
+
+
 def write_records(records: DataFrame, path: str) -> None:
     """One folder of JSON a source file."""
     records.withColumn("file", F.col("file_name")).write.mode("overwrite").partitionBy("file").json(path)

@@ -144,6 +144,13 @@ def metadata(cells_: DataFrame, project: str, date: str, date_fallback: str | No
     return out.select("file_name", F.coalesce(given("p"), F.lit("Unknown")).alias("project_description"), F.coalesce(given("d"), given("d2"), F.lit("Unknown")).alias("fmea_date"))
 
 
+def header_values(cells_: DataFrame, rows: dict[str, int] = {"system_name": 5, "system_element": 7, "function_name": 8}) -> DataFrame:  # noqa: B006
+    """(file_name, system_name, system_element, function_name): what stands behind the colon in the first cells of fixed rows, else blank."""
+    behind = F.when(F.contains("value", F.lit(":")), T.strip(F.get(F.split("value", ":", 2), F.lit(1)))).otherwise(F.lit(""))
+    first = cells_.where("sheet_index = 1 AND col = 0")
+    return first.groupBy("file_name").agg(*[F.coalesce(F.max(F.when(F.col("row") == n, behind)), F.lit("")).alias(c) for c, n in rows.items()])
+
+
 def _wide(cells_: DataFrame, columns: dict[int, str]) -> list[Column]:
     return [F.max(F.when(F.col("col") == i, F.col("value"))).alias(name) for i, name in columns.items()]
 

@@ -183,6 +183,27 @@ def test_case_ingest(spark, tmp_path):
     assert {(r.sentence_id, r.sentence_role) for r in sentences.collect()} == {(f"s{k}_{n}", role) for n in (1, 2) for k, role in ((1, "failure_sentence"), (2, "cause_sentence"), (3, "other"))}
 
 
+def test_blocks_and_invalid_cases(spark, tmp_path):
+    df = spark.sql("SELECT 'Drive' AS s, CAST(NULL AS STRING) AS p, array(named_struct('system_element', 'rotor', 'failure_mode', 'stuck', 'failure_effect', CAST(NULL AS STRING))) AS f")
+    assert df.select(eightd.context_block(F.col("s"), F.col("p"), F.col("f"))).first()[0] == "\nSystem Name: Drive\nProblem Symptoms: None\n\nFailures:\n\n  - Element: rotor\n  - Mode: stuck\n  - Effect: None\n\n"
+    (tmp_path / "a.json").write_text('{"documents": [], "failure": {"failure_mode": "x", "root_causes": [{"failure_cause": "y"}]}, "selected_sentences": [{"sentence_id": "s"}]}')
+    (tmp_path / "b.json").write_text(CASE % (1, 1, 1, 96, 1, 1, 1, 1))
+    found = eightd.invalid_cases(files.read_cases(spark, str(tmp_path))).collect()
+    assert {(r.file_ord, r.message) for r in found} == {(0, m) for m in ("missing documents", "missing failure_ID", "missing cause_ID", "missing sentence text")}
+    sentences = spark.createDataFrame([("k", 1, "s1", "seen", "D4", ("support", "pump", 96, "exact"))], "case_id string, ord int, sentence_id string, text string, source_section string, annotations struct<status:string,subject:string,faithful_score:int,faithful_type:string>")
+    r = eightd.signals(eightd.second_input(sentences)).first()
+    assert (r.D2, r.D4) == ("- (none)", "- [id:s1] [subject:pump] seen (status=support, faithful_score=96, type=exact)")
+
+
+def test_small_reports(spark):
+    s = spark.createDataFrame([("f", "a", "failure"), ("f", "c", "cause"), ("f", "b", "failure")], "file_name string, sentence_id string, role string")
+    assert tuple(vectors.role_index(s).first()) == ("f", ["a", "b"], ["c"], [])
+    listing = spark.createDataFrame([("fmea_x.XLSM",), ("x_FMEA.xlsm",), ("FMEA.xlsx",)], "file string")
+    assert [r.file for r in files.fmea_files(listing).collect()] == ["fmea_x.XLSM"]
+    rated = spark.createDataFrame([("a and b", "symptom", "observed", "exact")], "text string, entity_type string, assertion_level string, faithful_type string")
+    assert texteval.rates_text(texteval.iteration_rates(rated)).first()[0].startswith("Total: 1\nFaithful: 1\nHallucinated: 0")
+
+
 def test_root_cause_defaults_and_resolve(spark):
     df = spark.sql("SELECT 'D' AS d, array(named_struct('failure_cause', ' ', 'cause_level', CAST(NULL AS STRING), 'discipline_type', 'XX', 'confidence', CAST(NULL AS STRING))) AS c, CAST(NULL AS array<struct<failure_cause:string,cause_level:string,discipline_type:string,confidence:string>>) AS n")
     r = df.select(eightd.root_cause_defaults(F.col("d"), F.col("c")).alias("c"), eightd.root_cause_defaults(F.col("d"), F.col("n")).alias("n")).first()
