@@ -110,21 +110,20 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     e = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        kept = large.join(least, "u")
-        small = kept.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        nxt = written(small, "edges")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
+        small = large.join(least, "u").where("v <> m").select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
+        nxt = written(small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").distinct(), "edges")
         drop_written(e)
         e = nxt
-        if tuple(now)[:2] == before and now[0] == now[2]:
+        # Done when all are stars: no node has two parents, no parent has one.
+        edges, children = e.agg(F.count("*"), F.countDistinct("u")).first()
+        if edges == children and not e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi").limit(1).count():
             break
-        before = tuple(now)[:2]
+    else:
+        raise RuntimeError(f"components need more than {rounds} rounds")
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

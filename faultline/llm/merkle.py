@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SECTION = 8
 #: Digits of a section's or paragraph's digest in the printed tree; the root has all 64.
 DIGITS = 16
+#: Rows of a range of ids, about, that one task orders; parts of a range at most, which bounds what is broadcast.
+ROWS, PARTS = 4_000, 1_024
 #: Marks at which a paragraph falls into pieces, the leaves: sentences, clauses and table cells.
 PIECE = r"[.!?,;:|]"
 
@@ -76,25 +78,32 @@ def with_next(docs: DataFrame, doc_id: str, text: str, buckets: int, more: dict[
 
     `more`: columns made of `text` behind the shuffle; each comes with its next_ twin, made once a row.
 
-    One shuffle of the texts: rows go to ranges of doc_id (approximate quantiles, `buckets` of them), and the
-    first row of each range is sent once more, to the end of the range above. Rows of equal doc_id are
+    One shuffle of the texts: rows go to ranges of doc_id (approximate quantiles, `buckets` of them, each cut
+    evenly into parts of about ROWS rows), and the first row of each is sent once more, to the end of the range
+    above. What is broadcast is a few numbers a range, of buckets * PARTS ranges at most. Rows of equal doc_id are
     ordered by text; rows without doc_id come last.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket))
-    heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    present = [r["bucket"] for r in heads.select("bucket").orderBy("bucket").collect()]  # at most buckets + 1 numbers
     more = more or {}
-    if not present:
-        return rows.withColumns({"next_text": F.col("text"), **more, **{f"next_{k}": c for k, c in more.items()}}).drop("bucket")
-    above = F.create_map(*[F.lit(x) for pair in zip(present, [*present[1:], present[0]]) for x in pair])
+    got = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)] or [0.5], 10_000).alias("cuts"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
+    cuts = sorted(set(got["cuts"] or [])) if buckets > 1 else []
+    # Ranges between quantiles are cut evenly into as many parts as keep a part near ROWS rows, at any size of the table.
+    parts = min(PARTS, max(1, -(-got["n"] // (buckets * ROWS))))
+    low, high = (F.array(*[F.lit(int(x)).cast("long") for x in xs]) for xs in ([got["low"] or 0, *cuts], [*cuts, (got["high"] or 0) + 1]))
+    at = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    rows = rows.withColumn("range", F.coalesce(F.when(F.col("doc_id").isNotNull(), at), F.lit(-1)))
+    start, stop = F.get(low, F.col("range")), F.get(high, F.col("range"))
+    part = F.least(F.lit(parts - 1), F.floor((F.col("doc_id") - start) / F.greatest(stop - start, F.lit(1)) * F.lit(parts))).cast("int")
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("range") * parts + F.greatest(F.lit(0), part))).drop("range")
+    # One row a bucket: its first document, and the bucket above (above the highest comes the lowest, as after the last document comes the first).
+    heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("head"))
+    every = Window.orderBy("bucket")
+    around = F.first("bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select("bucket", "head", F.coalesce(F.lead("bucket").over(every), around).alias("above"))
     first = rows.alias("r").join(F.broadcast(heads).alias("h"), (F.col("r.bucket") == F.col("h.bucket")) & F.col("r.doc_id").eqNullSafe(F.col("h.head")))
     # A tie on the head's doc_id: the greatest text is its first row.
-    first = first.groupBy(F.col("r.bucket").alias("own"), F.col("r.doc_id").alias("doc_id")).agg(F.max("r.text").alias("text"))
-    first = first.select("doc_id", "text", F.element_at(above, F.col("own")).alias("bucket"), F.lit(True).alias("sent"))
+    first = first.groupBy(F.col("h.above").alias("bucket"), F.col("r.doc_id").alias("doc_id")).agg(F.max("r.text").alias("text"))
+    first = first.select("doc_id", "text", "bucket", F.lit(True).alias("sent"))
     order = Window.partitionBy("bucket").orderBy(F.col("sent").asc(), F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     both = rows.withColumn("sent", F.lit(False)).unionByName(first).repartition("bucket").withColumns(more)
     both = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", *more)})

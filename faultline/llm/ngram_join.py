@@ -19,8 +19,8 @@ SHINGLE, SIMILARITY = 5, 80
 FREQUENT, FREQUENT_FROM = 100_000, 16
 #: Shingles a task gathers before it reports the repeated ones among them.
 GATHER = 2_000_000
-#: Rounds of links to one partner a set before the rest is enumerated, at most.
-STAR_ROUNDS = 6
+#: Rounds of links to one partner a set before the rest is enumerated, at most; earlier if there are few pairs a set and token.
+STAR_ROUNDS, PAIRS = 4, 16
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS = Words()
@@ -46,9 +46,16 @@ def in_order(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.n
     return tokens[np.lexsort((tokens, np.where(frequent[at] == tokens, rank[at], 0)))]
 
 
+#: A set's prefix is longer by one in so many of its tokens, and as many more shared ones are asked for.
+PER_VOTE = 20
+
+
 def prefix_length(n: int, similarity: int) -> int:
-    """Of n tokens in global order, the first ones of which any set this similar shares at least one."""
-    return n - -(-similarity * n // 100) + 1
+    """Of n tokens in global order, the first ones of which any set this similar shares 1 + n // PER_VOTE at least.
+
+    Similar sets share similarity * n / 100 tokens at least; the v-th of these, in order, has all others behind it.
+    """
+    return min(n, n - -(-similarity * n // 100) + 1 + n // PER_VOTE)
 
 
 def trie_overlaps(center: np.ndarray, sets: list[np.ndarray], need: list[int]) -> list[int]:
@@ -113,7 +120,7 @@ def _scan(d: DataFrame, size: int) -> DataFrame:
 
 
 def _prefixes(d: DataFrame, size: int, similarity: int, order) -> DataFrame:
-    """(t, s, n, pos): the prefix tokens of each set, s the first of its two sums."""
+    """(t, s, n, pos): the prefix tokens of each set, s the first of its two sums, pos the token's place in the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,10 +167,41 @@ def _verified(edges: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _may_link(x: str, y: str, similarity: int) -> Column:
-    """Sizes and places in the global order allow the overlap that the similarity needs: 100 |both| >= similarity |either|."""
-    need = F.ceil(F.lit(similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) / F.lit(100 + similarity))
-    return (F.col(f"{x}.n") - F.col(f"{x}.pos") >= need) & (F.col(f"{y}.n") - F.col(f"{y}.pos") >= need)
+def _sizes_allow(m: str, n: str, similarity: int) -> Column:
+    return 100 * F.least(m, n) >= similarity * F.greatest(m, n)
+
+
+def _places_allow(m: str, at_m: str, n: str, at_n: str, similarity: int) -> Column:
+    """Can a shared token be among the first ones that are asked for: behind it, either set still has the overlap that is then open."""
+    need = F.ceil(F.lit(similarity) * (F.col(m) + F.col(n)) / F.lit(100 + similarity)) - F.floor(F.least(m, n) / PER_VOTE)
+    return (F.col(m) - F.col(at_m) >= need) & (F.col(n) - F.col(at_n) >= need)
+
+
+def _votes_allow(m: str, n: str, votes: str) -> Column:
+    """As many shared prefix tokens as the smaller demand of two similar sets."""
+    return F.col(votes) >= F.floor(F.least(m, n) / PER_VOTE) + 1
+
+
+def _found(d: DataFrame, edges: DataFrame, size: int, similarity: int, order) -> DataFrame:
+    """The edges (a, b) that hold, written; the texts of their ends are read for whole sets."""
+    edges = written(edges, "edges")
+    ends = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).distinct()
+    sets = written(_sets(d, ends, size, order), "sets")
+    out = written(_verified(edges, sets, similarity), "links")
+    drop_written(edges, sets)
+    return out
+
+
+def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after more links: components of components, so that old links are not walked again."""
+    if comps is None:
+        return written(components(links), "groups")
+    of = lambda end: comps.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    new = components(between).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    old = comps.join(new, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    added = new.select(F.col("component").alias("id"), F.col("root").alias("component")).join(comps.select("id"), "id", "left_anti")
+    return written(old.unionByName(added), "groups")
 
 
 def labelled(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -174,7 +212,8 @@ def labelled(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE,
     2. Sets send their prefix tokens; tokens of one set only end there. Similar sets share a prefix token.
     3. Each set is tested against the set that most of its tokens name as their center; what links joins a group. A
        token whose sets are all in one group has nothing more to tell. This repeats, with other centers, while
-       pairs are many; then all remaining pairs of a token, across groups, that sizes and places allow are tested.
+       pairs are many; then all remaining pairs across groups that share as many prefix tokens as similar sets
+       must, and whose sizes allow it, are tested.
     4. Tests walk prefix trees of whole sets (`trie_overlaps`). Groups are the connected components of the links.
     So every link between different groups is found, and pairs inside a group are not enumerated.
     """
@@ -194,30 +233,32 @@ def labelled(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE,
     posts = prefixes.join(shared, "t").distinct().join(reps.select("n", "s", "rep"), ["n", "s"]).select("t", "rep", "n", "pos")
     posts = written(posts, "posts")
     drop_written(prefixes)
-    sets = written(_sets(d, posts.select("rep").distinct(), size, order), "sets")
 
-    links: list[DataFrame] = []
     comps: DataFrame | None = None
     for turn in range(STAR_ROUNDS + 1):
         state = posts.withColumn("comp", F.col("rep")) if comps is None else posts.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("t", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
         # Tokens of one group have nothing more to tell; for the others, how many pairs there are at most.
         mixed = state.groupBy("t").agg(F.count("*").alias("sets"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
-        state = written(state.join(mixed.select("t"), "t"), "state")
         pairs, left = mixed.agg(F.sum(F.col("sets") * (F.col("sets") - 1) / 2), F.sum("sets")).first()
         if not left:
             break
-        if pairs <= 4 * left or turn == STAR_ROUNDS:
-            x, y = state.alias("x"), state.alias("y")
-            rest = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", similarity))
-            links.append(written(_verified(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), sets, similarity), "links"))
+        last = turn == STAR_ROUNDS or (turn > 0 and pairs <= PAIRS * left)
+        if last:
+            x, y = (state.select("t", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "pos", "comp")]) for k in "ab")
+            votes = x.join(y, "t").where((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & _sizes_allow("n_a", "n_b", similarity) & _places_allow("n_a", "pos_a", "n_b", "pos_b", similarity)).groupBy("rep_a", "rep_b", "n_a", "n_b").count()
+            edges = votes.where(_votes_allow("n_a", "n_b", "count")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        else:
+            pick = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "pos", "comp")
+            centers = state.groupBy("t").agg(F.min(pick).alias("c")).select("t", F.col("c.rep").alias("center"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos"), F.col("c.comp").alias("cc"))
+            votes = state.join(centers, "t").where(F.col("comp") != F.col("cc")).where(_sizes_allow("n", "cn", similarity) & _places_allow("n", "pos", "cn", "cpos", similarity)).groupBy("rep", "center", "n", "cn").count().where(_votes_allow("n", "cn", "count"))
+            edges = votes.groupBy("rep").agg(F.max_by("center", F.struct("count", F.xxhash64("center"))).alias("b")).select(F.col("rep").alias("a"), "b")
+        links = _found(d, edges, size, similarity, order)
+        comps = _joined(comps, links)
+        drop_written(links)
+        if last:
             break
-        pick = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "comp")
-        centers = state.groupBy("t").agg(F.min(pick).alias("c")).select("t", F.col("c.rep").alias("center"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc"))
-        votes = state.join(centers, "t").where(F.col("comp") != F.col("cc")).where(100 * F.least("n", "cn") >= similarity * F.greatest("n", "cn")).groupBy("rep", "center").count()
-        best = votes.groupBy("rep").agg(F.max_by("center", F.struct("count", F.xxhash64("center"))).alias("b")).select(F.col("rep").alias("a"), "b")
-        links.append(written(_verified(best, sets, similarity), "links"))
-        comps = written(components(_union(links)), "groups")
-    groups_ = components(_union(links)) if links else spark.createDataFrame([], "id long, component long")
+    drop_written(posts)
+    groups_ = comps if comps is not None else spark.createDataFrame([], "id long, component long")
     named = known.join(reps, ["n", "s", "s2"], "left").join(groups_, F.col("rep") == F.col("id"), "left").select("doc", "n", F.coalesce("component", "rep", "doc").alias("component"))
     return d, named
 
@@ -244,18 +285,14 @@ def keep_one(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE,
     """The rows of docs, all columns, of one document of each group: the first by id (and text)."""
     d, named = labelled(docs, similarity, size, doc_id, text)
     kept = named.where(F.col("doc") == F.col("component")).select("doc")
+    rows = docs.alias("row")
     if not _numbered(d):
-        return docs.join(kept.withColumnRenamed("doc", "_kept"), F.col(doc_id) == F.col("_kept"), "left_semi")
-    kept = d.join(kept, "doc", "left_semi").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    return docs.dropDuplicates([doc_id, text]).join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.coalesce(F.col(text), F.lit("")) == F.col("_text")), "left_semi")
+        return rows.join(kept.alias("kept"), F.col(f"row.{doc_id}") == F.col("kept.doc"), "left_semi")
+    kept = d.join(kept, "doc", "left_semi").select("doc_id", "text").alias("kept")
+    rows = docs.dropDuplicates([doc_id, text]).alias("row")
+    same = F.col(f"row.{doc_id}").eqNullSafe(F.col("kept.doc_id")) & (F.coalesce(F.col(f"row.{text}"), F.lit("")) == F.col("kept.text"))
+    return rows.join(kept, same, "left_semi")
 
 
 def _numbered(d: DataFrame) -> bool:
     return d.where("doc_id IS NULL OR doc <> doc_id").limit(1).count() > 0
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, embeddings, langid, merkle, mixing, ngram_join, pii, quality, substring, suffix
 from .common import tune
+from .oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,4 +81,5 @@ _ALL = (
     op10_merkle_fingerprints,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op9_water_filling_mix": mixing.ORACLE}
+
+__all__ = ["ORACLES", "QUERIES"]

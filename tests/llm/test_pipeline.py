@@ -37,6 +37,8 @@ def test_keep_one_with_odd_ids(spark):
     df = spark.createDataFrame([(None, "a b c", "x"), (4, "a b c", "y"), (4, "q r", "z"), (4, "q r", "z"), (5, None, "w")], "doc_id long, text string, _kept string")
     got = sorted((r.doc_id or 0, r.text or "") for r in ngram_join.keep_one(df).collect())
     assert got == [(0, "a b c"), (4, "q r"), (5, "")]
+    df = spark.createDataFrame([(1, "a b c", 7), (2, "a b c", 8), (3, "q r", 9)], "doc_id long, text string, doc int")
+    assert sorted(tuple(r) for r in ngram_join.keep_one(df).collect()) == [(1, "a b c", 7), (3, "q r", 9)]
 
 
 def test_pii_is_a_permutation_that_validates(spark):
