@@ -19,8 +19,9 @@ SHINGLE, SIMILARITY = 5, 80
 FREQUENT, FREQUENT_FROM = 100_000, 16
 #: Shingles a task gathers before it reports the repeated ones among them.
 GATHER = 2_000_000
-#: Rounds of links to one partner a set before the rest is enumerated, at most; earlier if there are few pairs a set and token.
-STAR_ROUNDS, PAIRS = 4, 16
+#: Rounds of links to one partner a set before the rest is enumerated, at most; earlier if there are few pairs a set and token,
+#: or if fewer than one in so many tests found a link.
+STAR_ROUNDS, PAIRS, YIELD = 4, 16, 50
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS = Words()
@@ -182,14 +183,15 @@ def _votes_allow(m: str, n: str, votes: str) -> Column:
     return F.col(votes) >= F.floor(F.least(m, n) / PER_VOTE) + 1
 
 
-def _found(d: DataFrame, edges: DataFrame, size: int, similarity: int, order) -> DataFrame:
-    """The edges (a, b) that hold, written; the texts of their ends are read for whole sets."""
+def _found(d: DataFrame, edges: DataFrame, size: int, similarity: int, order) -> tuple[DataFrame, bool]:
+    """The edges (a, b) that hold, written, and whether they are few; the texts of their ends are read for whole sets."""
     edges = written(edges, "edges")
     ends = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).distinct()
     sets = written(_sets(d, ends, size, order), "sets")
     out = written(_verified(edges, sets, similarity), "links")
+    few = YIELD * out.count() < edges.count()
     drop_written(edges, sets)
-    return out
+    return out, few
 
 
 def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -210,10 +212,11 @@ def labelled(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE,
     1. Equal sets are taken together. Tokens that tasks meet again and again get a place at the end of the
        global order (a bounded, broadcast list); all others are ordered by hash.
     2. Sets send their prefix tokens; tokens of one set only end there. Similar sets share a prefix token.
-    3. Each set is tested against the set that most of its tokens name as their center; what links joins a group. A
-       token whose sets are all in one group has nothing more to tell. This repeats, with other centers, while
-       pairs are many; then all remaining pairs across groups that share as many prefix tokens as similar sets
-       must, and whose sizes allow it, are tested.
+    3. Each token names as its center the set whose tokens are shared the most; each set is tested against the
+       center that most of its tokens name; what links joins a group. A token whose sets are all in one group has
+       nothing more to tell. This repeats, with other centers, while pairs are many and rounds find links; then all
+       remaining pairs across groups that share as many prefix tokens as similar sets must, and whose sizes allow
+       it, are tested.
     4. Tests walk prefix trees of whole sets (`trie_overlaps`). Groups are the connected components of the links.
     So every link between different groups is found, and pairs inside a group are not enumerated.
     """
@@ -229,12 +232,15 @@ def labelled(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE,
     order = spark.sparkContext.broadcast((token[by_token], (len(token) - np.arange(len(token)))[by_token]))
 
     prefixes = written(_prefixes(d, size, similarity, order), "prefixes")
-    shared = prefixes.groupBy("t").agg(F.min("s").alias("least"), F.max("s").alias("most")).where("least <> most").select("t")
-    posts = prefixes.join(shared, "t").distinct().join(reps.select("n", "s", "rep"), ["n", "s"]).select("t", "rep", "n", "pos")
+    shared = prefixes.groupBy("t").agg(F.min("s").alias("least"), F.max("s").alias("most"), F.count("*").alias("among")).where("least <> most").select("t", "among")
+    posts = prefixes.join(shared, "t").distinct().join(reps.select("n", "s", "rep"), ["n", "s"]).select("t", "rep", "n", "pos", "among")
     posts = written(posts, "posts")
     drop_written(prefixes)
+    # A set whose tokens many sets share is in the middle of its group; unlike ones lie around it.
+    middle = written(posts.groupBy("rep").agg((F.sum("among") / F.first("n")).alias("middle")), "middle")
 
     comps: DataFrame | None = None
+    few = False
     for turn in range(STAR_ROUNDS + 1):
         state = posts.withColumn("comp", F.col("rep")) if comps is None else posts.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("t", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
         # Tokens of one group have nothing more to tell; for the others, how many pairs there are at most.
@@ -242,22 +248,24 @@ def labelled(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE,
         pairs, left = mixed.agg(F.sum(F.col("sets") * (F.col("sets") - 1) / 2), F.sum("sets")).first()
         if not left:
             break
-        last = turn == STAR_ROUNDS or (turn > 0 and pairs <= PAIRS * left)
+        last = turn == STAR_ROUNDS or few or (turn > 0 and pairs <= PAIRS * left)
         if last:
             x, y = (state.select("t", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "pos", "comp")]) for k in "ab")
             votes = x.join(y, "t").where((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & _sizes_allow("n_a", "n_b", similarity) & _places_allow("n_a", "pos_a", "n_b", "pos_b", similarity)).groupBy("rep_a", "rep_b", "n_a", "n_b").count()
             edges = votes.where(_votes_allow("n_a", "n_b", "count")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
         else:
-            pick = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "pos", "comp")
-            centers = state.groupBy("t").agg(F.min(pick).alias("c")).select("t", F.col("c.rep").alias("center"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos"), F.col("c.comp").alias("cc"))
+            # The first round asks the sets in the middle, later ones others in turn, those near it more often.
+            place = F.col("middle") if turn == 0 else F.col("middle") * F.pmod(F.xxhash64(F.lit(turn), "rep"), F.lit(1000))
+            pick = F.struct(place.alias("p"), F.col("rep").alias("rep"), "n", "pos", "comp")
+            centers = state.join(middle, "rep").groupBy("t").agg(F.max(pick).alias("c")).select("t", F.col("c.rep").alias("center"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos"), F.col("c.comp").alias("cc"))
             votes = state.join(centers, "t").where(F.col("comp") != F.col("cc")).where(_sizes_allow("n", "cn", similarity) & _places_allow("n", "pos", "cn", "cpos", similarity)).groupBy("rep", "center", "n", "cn").count().where(_votes_allow("n", "cn", "count"))
             edges = votes.groupBy("rep").agg(F.max_by("center", F.struct("count", F.xxhash64("center"))).alias("b")).select(F.col("rep").alias("a"), "b")
-        links = _found(d, edges, size, similarity, order)
+        links, few = _found(d, edges, size, similarity, order)
         comps = _joined(comps, links)
         drop_written(links)
         if last:
             break
-    drop_written(posts)
+    drop_written(posts, middle)
     groups_ = comps if comps is not None else spark.createDataFrame([], "id long, component long")
     named = known.join(reps, ["n", "s", "s2"], "left").join(groups_, F.col("rep") == F.col("id"), "left").select("doc", "n", F.coalesce("component", "rep", "doc").alias("component"))
     return d, named
