@@ -84,3 +84,19 @@ def test_odd_ids_and_empty_table(spark):
     got = sorted(((x.doc_id or 0), x.n_shingles, x.component_id, x.kept) for x in ngram_join.groups(df).collect())
     assert got == [(0, 1, None, True), (4, 1, None, False), (4, 1, None, False), (4, 1, None, False), (5, 0, 5, True)]
     assert ngram_join.groups(df.limit(0)).count() == 0
+
+
+def test_copies_around_an_absent_original(spark):
+    r = random.Random(5)
+    rows = []
+    for group in range(3):
+        original = [f"g{group}w{r.randrange(10**6)}" for _ in range(150)]
+        for _ in range(40):
+            copy = list(original)
+            for _ in range(r.choice((1, 2, 3, 4, 5))):
+                copy[r.randrange(150)] = f"new{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.groups(df).collect())
+    assert got == brute(rows)
+    assert len({c for _, _, c in got}) > 3  # some of the copies are near, but not similar, to all others
