@@ -177,12 +177,12 @@ def _sizes_allow(m: str, n: str, similarity: int) -> Column:
 def _places_allow(a: dict[str, str], b: dict[str, str], similarity: int) -> Column:
     """Can a token shared by two sets be among the first ones that are asked for: either has the overlap that is open behind it.
 
-    a and b name the columns n, pos and own of the sets: size, the token's place, and how many tokens no other
-    set has. The latter are in no overlap at all.
+    a and b name the columns n and pos of the sets: size, and the token's place. Tokens that no other prefix holds
+    say nothing here: they may lie behind the prefix of the other set and still be in the overlap.
     """
     need = F.ceil(F.lit(similarity) * (F.col(a["n"]) + F.col(b["n"])) / F.lit(100 + similarity))
     behind = need - F.floor(F.least(a["n"], b["n"]) / PER_VOTE)
-    return reduce(and_, ((F.col(x["n"]) - F.col(x["pos"]) >= behind) & (F.col(x["n"]) - F.col(x["own"]) >= need) for x in (a, b)))
+    return reduce(and_, (F.col(x["n"]) - F.col(x["pos"]) >= behind for x in (a, b)))
 
 
 def _votes_allow(m: str, n: str, votes: str) -> Column:
@@ -244,10 +244,8 @@ def labelled(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE,
     posts = written(posts, "posts")
     drop_written(prefixes)
     # A set whose tokens many sets share is in the middle of its group; unlike ones lie around it.
-    # Tokens of its prefix that did not come here are its own; with too many of them a set is like no other.
-    length = F.least(F.col("n"), F.col("n") - F.ceil(F.lit(similarity) * F.col("n") / 100) + 1 + F.floor(F.col("n") / PER_VOTE))
-    middle = posts.groupBy("rep", "n").agg(F.sum("among").alias("sum"), F.count("*").alias("posted")).select("rep", (F.col("sum") / F.col("n")).alias("middle"), (length - F.col("posted")).cast("int").alias("own"))
-    bare, posts = posts, written(posts.drop("among").join(middle, "rep").where(F.col("n") - F.col("own") >= F.ceil(F.lit(similarity) * F.col("n") / 100)), "posts")
+    middle = posts.groupBy("rep", "n").agg(F.sum("among").alias("sum")).select("rep", (F.col("sum") / F.col("n")).alias("middle"))
+    bare, posts = posts, written(posts.drop("among").join(middle, "rep"), "posts")
     drop_written(bare)
 
     comps: DataFrame | None = None
@@ -261,16 +259,16 @@ def labelled(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE,
             break
         last = turn == STAR_ROUNDS or few or (turn > 0 and pairs <= PAIRS * left)
         if last:
-            x, y = (state.select("t", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "pos", "own", "comp")]) for k in "ab")
-            sides = [{c: f"{c}_{k}" for c in ("n", "pos", "own")} for k in "ab"]
+            x, y = (state.select("t", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "pos", "comp")]) for k in "ab")
+            sides = [{c: f"{c}_{k}" for c in ("n", "pos")} for k in "ab"]
             votes = x.join(y, "t").where((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & _sizes_allow("n_a", "n_b", similarity) & _places_allow(*sides, similarity)).groupBy("rep_a", "rep_b", "n_a", "n_b").count()
             edges = votes.where(_votes_allow("n_a", "n_b", "count")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
         else:
             # The first round asks the sets in the middle, later ones others in turn, those near it more often.
             place = F.col("middle") if turn == 0 else F.col("middle") * F.pmod(F.xxhash64(F.lit(turn), "rep"), F.lit(1000))
-            pick = F.struct(place.alias("p"), "rep", "n", "pos", "own", "comp")
-            centers = state.groupBy("t").agg(F.max(pick).alias("c")).select("t", F.col("c.rep").alias("center"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos"), F.col("c.own").alias("cown"), F.col("c.comp").alias("cc"))
-            votes = state.join(centers, "t").where(F.col("comp") != F.col("cc")).where(_sizes_allow("n", "cn", similarity) & _places_allow({c: c for c in ("n", "pos", "own")}, {c: f"c{c}" for c in ("n", "pos", "own")}, similarity)).groupBy("rep", "center", "n", "cn").count().where(_votes_allow("n", "cn", "count"))
+            pick = F.struct(place.alias("p"), "rep", "n", "pos", "comp")
+            centers = state.groupBy("t").agg(F.max(pick).alias("c")).select("t", F.col("c.rep").alias("center"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos"), F.col("c.comp").alias("cc"))
+            votes = state.join(centers, "t").where(F.col("comp") != F.col("cc")).where(_sizes_allow("n", "cn", similarity) & _places_allow({c: c for c in ("n", "pos")}, {c: f"c{c}" for c in ("n", "pos")}, similarity)).groupBy("rep", "center", "n", "cn").count().where(_votes_allow("n", "cn", "count"))
             edges = votes.groupBy("rep").agg(F.max_by("center", F.struct("count", F.xxhash64("center"))).alias("b")).select(F.col("rep").alias("a"), "b")
         links, few = _found(d, edges, size, similarity, order)
         comps = _joined(comps, links)

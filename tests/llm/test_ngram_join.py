@@ -100,3 +100,20 @@ def test_copies_around_an_absent_original(spark):
     got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.groups(df).collect())
     assert got == brute(rows)
     assert len({c for _, _, c in got}) > 3  # some of the copies are near, but not similar, to all others
+
+
+def test_truncated_and_extended_copies(spark, monkeypatch):
+    # All tokens of a shorter copy are in the longer one, some of its prefix tokens behind the longer one's prefix.
+    r = random.Random(6)
+    rows = []
+    for group in range(40):
+        words = [f"g{group}w{r.randrange(10**6)}" for _ in range(104)]
+        kept = r.choice((80, 80, 81, 83, 85)) + 4  # of 100 shingles
+        at = r.choice((0, 104 - kept, r.randrange(104 - kept)))
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[at : at + kept]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert len({c for _, _, c in want}) == 40
+    for rounds in (4, 0):
+        monkeypatch.setattr(ngram_join, "STAR_ROUNDS", rounds)
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.groups(df).collect()) == want
