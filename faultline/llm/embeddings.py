@@ -13,8 +13,8 @@ from .common import components, tune, written
 
 #: Cosine from which two vectors link; vectors that the cells are fitted on, at most (about); vectors a cell, about.
 COSINE, SAMPLE, CELL = 0.95, 10_000, 1_000
-#: A vector also visits each cell whose border with its own is nearer than this (as a dot product).
-MARGIN = 0.10
+#: What rounding may take from a distance to a border.
+ROUNDING = 1e-6
 #: Vectors of a block, and cells at most.
 BLOCK, CELLS = 4_000, 4_096
 
@@ -36,24 +36,29 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 9) ->
     return c
 
 
+def sure_margin(cosine: float) -> float:
+    """Half the distance of unit vectors of this cosine: two that a border parts are not both further than this from it."""
+    return float(np.sqrt(max(0.0, (1 - cosine) / 2))) + ROUNDING
+
+
 def visits(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, list[np.ndarray]]:
     """The cell of each unit row of x, and the cells it visits (its own among them)."""
     near = x @ c.T
     home = near.argmax(1)
     gap = near[np.arange(len(x)), home][:, None] - near
     apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[home]  # |h - c|: gap / apart is the distance to the border
-    inside = gap <= margin * apart
+    inside = gap <= margin * apart + ROUNDING
     inside[np.arange(len(x)), home] = True
     return home, [np.flatnonzero(row) for row in inside]
 
 
-def links_of(x: np.ndarray, y: np.ndarray, same: np.ndarray, weight: np.ndarray, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """For each row of x, the weight of the rows of y with this cosine at least, itself left out; and edges that connect the linked.
+def links_of(x: np.ndarray, y: np.ndarray, same: np.ndarray, weight: np.ndarray, cosine: float, back: np.ndarray, which: np.ndarray, unmet: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """For each row of x, the weight of the rows of y with this cosine at least, itself left out; for each row of y, that of the rows of x it does not visit; and edges that connect the linked.
 
-    `same[i]` is the row of y that is x's row i, or -1. Products are made for 512 rows at a time, and an edge
+    back[i] is the weight of row i of x, unmet[which[i], j] whether row j of y does not visit its home. `same[i]` is the row of y that is x's row i, or -1. Products are made for 512 rows at a time, and an edge
     (row of x, row of y) is kept only if it joins parts that were apart: at most rows - 1 of them.
     """
-    count, edges = np.zeros(len(x), np.int64), []
+    count, returned, edges = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), []
     label = np.arange(len(y) + len(x))
     own = np.where(same >= 0, same, len(y) + np.arange(len(x)))
     for at in range(0, len(x), 512):
@@ -61,6 +66,9 @@ def links_of(x: np.ndarray, y: np.ndarray, same: np.ndarray, weight: np.ndarray,
         rows = np.flatnonzero(same[at : at + 512] >= 0)
         hit[rows, same[at : at + 512][rows]] = False
         count[at : at + 512] = hit @ weight
+        i, j = np.nonzero(hit)
+        lone = unmet[which[at + i], j]
+        np.add.at(returned, j[lone], back[at + i[lone]])
         for i in np.flatnonzero(hit.any(1)):
             others = np.flatnonzero(hit[i])
             labels, first = np.unique(label[others], return_index=True)
@@ -69,21 +77,21 @@ def links_of(x: np.ndarray, y: np.ndarray, same: np.ndarray, weight: np.ndarray,
                 if l != mine:
                     edges.append((at + i, int(others[f])))
                     label[label == l] = mine
-    return count, edges
+    return count, returned, edges
 
 
-def near_dedup(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, cell: int = CELL, margin: float = MARGIN, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def near_dedup(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, cell: int = CELL, margin: float | None = None, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Links of cosine >= `cosine` between vectors, and one representative (the smallest id) of each linked group.
 
     Equal vectors are taken together first. Cells come from a spherical k-means fitted on about `sample` vectors
     (all, if fewer), one cell for about `cell` vectors; every vector goes to its own cell and visits those
     whose border it is within `margin` of, so that neighbours across a border meet. In each cell, visitors and
     members are compared with the members in blocks of `block` vectors by products in double precision. Blocks
-    return sums of links and edges enough to connect, never all pairs.
-    A pair is missed only if both are further than `margin` inside cells whose border parts them: at a cosine of
-    0.95 the border is at most 0.313 away, but in many dimensions hardly ever more than a third of that: the
-    part of a step of that length that points to the border is 0.313 / sqrt(dimensions) by its deviation.
-    With a margin of 0.313 no pair is missed, at the price of visits to most cells. Measured recall: README.
+    return sums of links and edges enough to connect, never all pairs. A hit counts for both vectors: for the
+    member in this block if it does not visit the visitor's home, else in the block where it is the visitor.
+    A pair is missed only if both are further than `margin` from the border between their cells, and those two
+    distances sum up to the vectors' own distance at most. The margin of `sure_margin` (0.158 at a cosine of 0.95),
+    taken if none is given, is half of that, so that no pair is missed.
     Returns vec_id, n_links, component_id, kept.
     Defined cases: vectors that are null, zero, or hold null or non-finite components, or differ in length from
     the first vector's by id, link with nothing; each row counts as a vector of its own, also if rows or ids
@@ -92,6 +100,7 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE,
     """
     spark = vectors.sparkSession
     tune(spark)
+    margin = sure_margin(cosine) if margin is None else margin
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"))
     width = rows.where("x IS NOT NULL").agg(F.min_by(F.size("x"), F.coalesce("vec_id", F.lit(-(1 << 62))))).first()[0] or 0
     size = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
@@ -119,13 +128,13 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE,
     assigned = written(named.select("v", "c", "m", "x").mapInPandas(assign, "v long, c long, m long, x binary, home int, cells array<int>"), "cells")
     members = {r["home"]: r["count"] for r in assigned.groupBy("home").count().collect()}  # a number a cell
     parts = F.element_at(F.create_map(*[F.lit(int(n)) for cell_, count in members.items() for n in (cell_, -(-count // block))]), F.col("cell"))
-    spread = assigned.select("v", "c", "m", "x", "home", F.explode("cells").alias("cell")).withColumn("parts", F.coalesce(parts, F.lit(0))).where("parts > 0")
+    spread = assigned.select("v", "c", "m", "x", "home", "cells", F.explode("cells").alias("cell")).withColumn("parts", F.coalesce(parts, F.lit(0))).where("parts > 0")
     spread = spread.withColumn("part", F.pmod(F.xxhash64(F.lit(2), "c"), F.col("parts")).cast("int")).withColumn("is_home", F.col("home") == F.col("cell"))
     # Block (i, j) of a cell compares part i of all with part j of the members.
     places = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.lit(True).alias("left"), (F.col("is_home") & (j == F.col("part"))).alias("right")))
     across = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))
     across = F.filter(across, lambda p: F.col("is_home") & (p["i"] != F.col("part")))
-    spread = spread.select("v", "c", "m", "x", "cell", F.explode(F.concat(places, across)).alias("p")).select("v", "c", "m", "x", "cell", "p.*")
+    spread = spread.select("v", "c", "m", "x", "home", "cells", "cell", F.explode(F.concat(places, across)).alias("p")).select("v", "c", "m", "x", "home", "cells", "cell", "p.*")
 
     def compare(one: pd.DataFrame) -> pd.DataFrame:
         left, right = one[one["left"]], one[one["right"]]
@@ -134,11 +143,13 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE,
         x, y = (np.frombuffer(b"".join(s["x"]), np.float64).reshape(len(s), -1) for s in (left, right))
         at = {c: i for i, c in enumerate(right["c"])}
         same = np.array([at.get(c, -1) for c in left["c"]])
-        count, edges = links_of(x, y, same, right["m"].to_numpy(), cosine)
-        some = np.flatnonzero(count)
-        lv, rv, lc = left["v"].to_numpy(), right["v"].to_numpy(), left["c"].to_numpy()
+        homes, which = np.unique(left["home"], return_inverse=True)
+        unmet = np.array([~np.isin(homes, c) for c in right["cells"]]).T
+        count, returned, edges = links_of(x, y, same, right["m"].to_numpy(), cosine, left["m"].to_numpy(), which, unmet)
+        some, more = np.flatnonzero(count), np.flatnonzero(returned)
+        lv, rv, lc, rc = left["v"].to_numpy(), right["v"].to_numpy(), left["c"].to_numpy(), right["c"].to_numpy()
         e = np.array(edges, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": np.concatenate([lc[some], lv[e[:, 0]]]), "b": np.concatenate([np.zeros(len(some), np.int64), rv[e[:, 1]]]), "n": np.concatenate([count[some], np.zeros(len(e), np.int64)])})
+        return pd.DataFrame({"a": np.concatenate([lc[some], rc[more], lv[e[:, 0]]]), "b": np.concatenate([np.zeros(len(some) + len(more), np.int64), rv[e[:, 1]]]), "n": np.concatenate([count[some], returned[more], np.zeros(len(e), np.int64)])})
 
     found = written(spread.groupBy("cell", "i", "j").applyInPandas(compare, "a long, b long, n long"), "links")
     counts = found.where("n > 0").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("n"))

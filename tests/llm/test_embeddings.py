@@ -37,3 +37,19 @@ def test_odd_vectors(spark):
     alone = [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 9, 10)]
     assert got == sorted([(0, 2, None, True), (1, 1, 1, True), (2, 1, 1, False), (8, 2, None, False), (8, 2, None, False), *alone], key=lambda t: t[:2])
     assert embeddings.near_dedup(df.limit(0)).count() == 0
+
+
+def test_links_near_the_bound_across_borders(spark):
+    # Pairs of cosine just over 0.95 among many cells: both ends count, whichever of them visits the other's cell.
+    r = np.random.default_rng(3)
+    a = r.normal(size=(600, 6))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = r.normal(size=a.shape)
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.vstack([a, 0.951 * a + np.sqrt(1 - 0.951**2) * side])
+    n, label = brute(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {y.vec_id: y for y in embeddings.near_dedup(df, cell=12).collect()}
+    assert [got[i].n_links for i in range(len(x))] == n.tolist()
+    assert [got[i].component_id for i in range(len(x))] == label.tolist()
