@@ -13,15 +13,28 @@ DIGITS = 16
 ROWS, PARTS = 4_000, 1_024
 #: Marks at which a paragraph falls into pieces, the leaves: sentences, clauses and table cells.
 PIECE = r"[.!?,;:|]"
+#: Characters from which a piece is cut further; of a cut piece about, and at most.
+LONG, MEAN, MOST = 80, 16, 64
 
 
 def _digest(x: Column) -> Column:
     return F.substring(F.sha2(x, 256), 1, DIGITS)
 
 
+def pieces(p: Column) -> Column:
+    """The pieces of a paragraph; a long one is cut where three characters hash to 0, and after MOST characters without such a place."""
+    def cut(chars: Column) -> Column:
+        ends = lambda c, i: F.pmod(F.xxhash64(F.get(chars, i - 2), F.get(chars, i - 1), c), F.lit(MEAN)) == 0
+        marked = F.array_join(F.transform(chars, lambda c, i: F.when(ends(c, i), F.concat(c, F.lit("\n"))).otherwise(c)), "")
+        return F.regexp_extract_all(marked, F.lit(rf"[^\n]{{1,{MOST}}}"), F.lit(0))
+
+    one = lambda x: F.when(F.char_length(x) <= LONG, F.array(x)).otherwise(F.flatten(F.transform(F.array(F.split(x, "")), cut)))
+    return F.flatten(F.transform(F.split(p, PIECE, -1), one))
+
+
 def leaves(text: Column) -> Column:
     """Of each paragraph (line), the 64-bit hashes of its pieces, in order; marks between pieces belong to no piece."""
-    return F.transform(F.split(text, "\n", -1), lambda p: F.transform(F.split(p, PIECE, -1), lambda x: F.xxhash64(x)))
+    return F.transform(F.split(text, "\n", -1), lambda p: F.transform(pieces(p), lambda x: F.xxhash64(x)))
 
 
 def fingerprint(text: Column, section: int = SECTION) -> Column:
@@ -32,7 +45,7 @@ def fingerprint(text: Column, section: int = SECTION) -> Column:
     one section with one empty paragraph; null gives null.
     """
     lines = F.split(text, "\n", -1)
-    nodes = F.transform(lines, lambda p: F.concat_ws(".", _digest(p), F.transform(F.split(p, PIECE, -1), lambda x: F.hex(F.xxhash64(x)))))
+    nodes = F.transform(lines, lambda p: F.concat_ws(".", _digest(p), F.transform(pieces(p), lambda x: F.hex(F.xxhash64(x)))))
     starts = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / F.lit(section)).cast("int"))
 
     def printed(nodes: Column) -> Column:

@@ -92,3 +92,13 @@ def test_quality_cases(spark):
     got = quality.score(df, quality.fit(df, labels)).collect()
     assert all(0 <= r.score <= 1 for r in got) and got[1].score == got[2].score
     assert quality.score(df.limit(0), quality.fit(df, labels)).count() == 0
+
+
+def test_merkle_without_marks(spark):
+    import random
+
+    r = random.Random(4)
+    texts = ["same " * 60, "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(400)), " ".join(f"w{r.randrange(10**5)}" for _ in range(90)), "x" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in merkle.fingerprint_edits(df, buckets=1).collect():
+        assert row.near_edited > 0 and row.near_edited > row.near_next
