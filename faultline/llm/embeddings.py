@@ -17,12 +17,21 @@ COSINE, SAMPLE, CELL = 0.95, 10_000, 1_000
 ROUNDING = 1e-6
 #: Vectors of a block, and cells at most.
 BLOCK, CELLS = 4_000, 4_096
+#: Cells of vectors of other lengths than the most frequent one.
+ODD_CELLS = 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _odd_cell(width: int) -> int:
+    """The cell of vectors that are not as long as most: by length, without k-means; always negative."""
+    return -1 - width % ODD_CELLS
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 9) -> np.ndarray:
     """k unit centroids of the unit rows of x; a cell that empties keeps its centroid."""
     rng = np.random.default_rng(seed)
@@ -93,8 +102,11 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE,
     distances sum up to the vectors' own distance at most. The margin of `sure_margin` (0.158 at a cosine of 0.95),
     taken if none is given, is half of that, so that no pair is missed.
     Returns vec_id, n_links, component_id, kept.
-    Defined cases: vectors that are null, zero, or hold null or non-finite components, or differ in length from
-    the first vector's by id, link with nothing; each row counts as a vector of its own, also if rows or ids
+    Cells are fitted for the most frequent length; vectors of other lengths are compared with those of their own,
+    in blocks, without cells. Beyond CELLS * cell vectors (some 4 million) cells grow with the table: still exact,
+    still in blocks of bounded size, but their number then grows with the square of a cell.
+    Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and
+    vectors of different length not with each other; each row counts as a vector of its own, also if rows or ids
     repeat (then ids share what their rows link with); null ids are kept, as ids before all others; an empty
     table gives no rows; other columns are ignored.
     """
@@ -102,31 +114,34 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE,
     tune(spark)
     margin = sure_margin(cosine) if margin is None else margin
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"))
-    width = rows.where("x IS NOT NULL").agg(F.min_by(F.size("x"), F.coalesce("vec_id", F.lit(-(1 << 62))))).first()[0] or 0
-    size = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
-    usable = F.col("x").isNotNull() & (F.size("x") == width) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (size > 0)
+    usable = F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("own", F.coalesce("vec_id", F.lit(-(1 << 62))))
     classes = written(rows.where("usable").groupBy("x").agg(F.min("own").alias("v"), F.count("*").alias("m")), "classes")
-    total = classes.count()
-    if not total:
+    usual = classes.groupBy(F.size("x").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    if usual is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    width, total = usual
     share = min(1.0, sample / total)
-    picked = classes.where(F.pmod(F.xxhash64(F.lit(1), "x"), F.lit(1_000_000)) < max(1, int(1_000_000 * share))).select("x") if share < 1 else classes.select("x")
-    fitted = np.array(picked.toPandas()["x"].tolist())
+    picked = classes.where((F.size("x") == width) & (F.pmod(F.xxhash64(F.lit(1), "x"), F.lit(1_000_000)) < max(1, int(1_000_000 * share))))
+    # In an order of their own, so that the cells do not depend on the partitioning.
+    fitted = np.array(picked.select(F.xxhash64("x").alias("h"), "x").orderBy("h", "x").toPandas()["x"].tolist())
     fitted = _unit(fitted) if len(fitted) else np.eye(1, width)
     k = int(min(CELLS, len(fitted), max(1, total // cell)))
     centroids = spark.sparkContext.broadcast(spherical_kmeans(fitted, k))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = _unit(np.array(b["x"].tolist(), np.float64))
-            home, cells = visits(x, centroids.value, margin)
-            yield pd.DataFrame({"v": b["v"], "c": b["c"], "m": b["m"], "x": [r.tobytes() for r in x], "home": home, "cells": cells})
+            widths = b["x"].map(len).to_numpy()
+            for w in np.unique(widths):
+                some = b[widths == w]
+                x = _unit(np.array(some["x"].tolist(), np.float64))
+                home, cells = visits(x, centroids.value, margin) if w == width else (np.full(len(x), _odd_cell(w)), [[_odd_cell(w)]] * len(x))
+                yield pd.DataFrame({"v": some["v"], "c": some["c"], "m": some["m"], "x": [r.tobytes() for r in x], "home": home, "cells": cells})
 
     # Rows of `c`: the class by a hash of its vector, for the products' bookkeeping.
     named = classes.withColumn("c", F.xxhash64("x"))
     assigned = written(named.select("v", "c", "m", "x").mapInPandas(assign, "v long, c long, m long, x binary, home int, cells array<int>"), "cells")
-    members = {r["home"]: r["count"] for r in assigned.groupBy("home").count().collect()}  # a number a cell
+    members = {r["home"]: r["count"] for r in assigned.groupBy("home").count().collect()}  # a number a cell: CELLS + ODD_CELLS at most
     parts = F.element_at(F.create_map(*[F.lit(int(n)) for cell_, count in members.items() for n in (cell_, -(-count // block))]), F.col("cell"))
     spread = assigned.select("v", "c", "m", "x", "home", "cells", F.explode("cells").alias("cell")).withColumn("parts", F.coalesce(parts, F.lit(0))).where("parts > 0")
     spread = spread.withColumn("part", F.pmod(F.xxhash64(F.lit(2), "c"), F.col("parts")).cast("int")).withColumn("is_home", F.col("home") == F.col("cell"))
@@ -137,6 +152,9 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE,
     spread = spread.select("v", "c", "m", "x", "home", "cells", "cell", F.explode(F.concat(places, across)).alias("p")).select("v", "c", "m", "x", "home", "cells", "cell", "p.*")
 
     def compare(one: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([compared(some) for _, some in one.groupby(one["x"].map(len))])
+
+    def compared(one: pd.DataFrame) -> pd.DataFrame:
         left, right = one[one["left"]], one[one["right"]]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")

@@ -53,3 +53,23 @@ def test_links_near_the_bound_across_borders(spark):
     got = {y.vec_id: y for y in embeddings.near_dedup(df, cell=12).collect()}
     assert [got[i].n_links for i in range(len(x))] == n.tolist()
     assert [got[i].component_id for i in range(len(x))] == label.tolist()
+
+
+def test_many_cells_in_several_dimensions(spark):
+    for width in (4, 8, 64):
+        r = np.random.default_rng(width)
+        base = r.normal(size=(300, width))
+        x = np.vstack([base, base + 0.3 / np.sqrt(width) * np.linalg.norm(base, axis=1, keepdims=True) * r.normal(size=base.shape)])
+        n, label = brute(x)
+        assert 0 < (n > 0).sum() < len(x) or width == 4
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {y.vec_id: y for y in embeddings.near_dedup(df, cell=18).collect()}
+        assert [got[i].n_links for i in range(len(x))] == n.tolist()
+        assert [got[i].component_id for i in range(len(x))] == label.tolist()
+
+
+def test_other_lengths_and_extreme_sizes(spark):
+    rows = [(0, [1.0]), (1, [2.0, 0.0]), (2, [1e200, 1e190]), (3, [1e-200, 0.0]), (4, [0.0, 1.0]), (5, [5.0]), (6, [1.0, 0.0, 0.0]), (7, [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(y.n_links, y.component_id) for y in sorted(embeddings.near_dedup(df).collect(), key=lambda y: y.vec_id)]
+    assert got == [(1, 0), (2, 1), (2, 1), (2, 1), (0, 4), (1, 0), (0, 6), (0, 7)]
