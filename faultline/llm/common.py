@@ -101,23 +101,45 @@ class Rolling:
         return mix64((prefix[stop] - prefix[start]) * self.down[start])
 
 
+#: A key is hot if it has more than one in so many rows; so at most as many keys are. Fewer rows than this are never hot.
+HOT, HOT_ROWS = 256, 200
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """left joined ("inner" or "left") to right, which has one row a key; hot keys do not meet in one task.
+
+    `rows` names the column of right with the key's number of rows in left (a bound will do); it is dropped. The at most HOT keys with more than
+    one in HOT of them are joined by a broadcast of their rows of right, the others as usual. right is read up
+    to four times, so it should be a written table.
+    """
+    total, most = right.agg(F.sum(rows), F.max(rows)).first()
+    bound = max(HOT_ROWS, (total or 0) // HOT)
+    if (most or 0) <= bound:
+        return left.join(right.drop(rows), on, how)
+    hot, rest = right.where(F.col(rows) > bound).drop(rows), right.where(F.col(rows) <= bound).drop(rows)
+    usual = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how)
+    return left.join(F.broadcast(hot), on).select(*usual.columns).unionByName(usual)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components of edges (a, b): rows (id, component), component the least id reachable.
+    """Connected components of edges (a, b): rows (id, component), a written table, component the least id reachable.
 
     Alternates large-star and small-star steps, each a plain join and a pre-aggregated minimum, and writes the
-    edges after each pair of steps. No component is gathered in one task. Null ends are ignored; ids without
+    edges after each pair of steps. No component is gathered in one task, and nodes with very many neighbours
+    are joined apart (`split_join`). Null ends are ignored; ids without
     an edge have no row.
     """
     e = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
-        nxt = written(small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").distinct(), "edges")
-        drop_written(e)
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("rows")), "least")
+        large = split_join(both.where("v > u"), least, ["u"], "rows").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "large")
+        small = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")), "small")
+        nxt = split_join(large, small, ["u"], "rows").where("v <> m").select("v", "m").unionByName(small.select(F.col("u").alias("v"), "m"))
+        nxt = written(nxt.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").distinct(), "edges")
+        drop_written(e, least, large, small)
         e = nxt
         # Done when all are stars: no node has two parents, no parent has one.
         edges, children = e.agg(F.count("*"), F.countDistinct("u")).first()
@@ -126,4 +148,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError(f"components need more than {rounds} rounds")
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    out = written(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), "groups")
+    drop_written(e)
+    return out

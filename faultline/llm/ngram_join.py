@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop_written, mix64, tune, written
+from .common import components, drop_written, mix64, split_join, tune, written
+from .prefix_tree import walk
 from .substring import Words
 from .windows import keyed
 
@@ -61,33 +62,6 @@ def prefix_length(n: int, similarity: int) -> int:
     return min(n, n - -(-similarity * n // 100) + 1 + n // PER_VOTE)
 
 
-def trie_overlaps(center: np.ndarray, sets: list[np.ndarray], need: list[int]) -> list[int]:
-    """Overlap of each set with the center, both in global order; less than `need` where pruned.
-
-    The sets are walked as the paths of a prefix tree, in the order of its branches: the overlaps counted along
-    a shared path are kept and not counted again. A subtree is left where the overlap so far and all that
-    remains of the set cannot reach what it needs.
-    """
-    inside = np.sort(center)
-    out = [0] * len(sets)
-    path, along = np.zeros(0, np.uint64), np.zeros(1, np.int64)  # along[d]: overlap of the path's first d tokens
-    for i in sorted(range(len(sets)), key=lambda i: sets[i].tobytes()):
-        own = sets[i]
-        k = min(len(path), len(own))
-        differ = np.flatnonzero(path[:k] != own[:k])
-        shared = int(differ[0]) if len(differ) else k
-        if along[shared] + min(len(own) - shared, len(center) - along[shared]) < need[i]:
-            out[i] = int(along[shared])
-            continue
-        rest = own[shared:]
-        at = np.minimum(np.searchsorted(inside, rest), max(0, len(inside) - 1))
-        hits = inside[at] == rest if len(inside) else np.zeros(len(rest), bool)
-        along = np.concatenate([along[: shared + 1], along[shared] + np.cumsum(hits)])
-        path = own
-        out[i] = int(along[-1])
-    return out
-
-
 def _scan(d: DataFrame, size: int) -> DataFrame:
     """Rows (kind, a, b, c, e): kind 0 a document (doc, n, two sums that name its set); kind 1 a token repeated in a task (token, times)."""
 
@@ -150,26 +124,6 @@ def _sets(d: DataFrame, reps: DataFrame, size: int, order) -> DataFrame:
     return d.join(reps.select(F.col("rep").alias("doc")), "doc").select("doc", "text").mapInArrow(run, "rep long, n int, set binary")
 
 
-def _verified(edges: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The edges (a, b) whose sets are similar; those of one b are tested on one prefix tree for each batch."""
-    pairs = edges.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
-            sa, sb = batch.column("sa"), batch.column("sb")
-            good = np.zeros(len(a), bool)
-            for center in np.unique(b):
-                rows = np.flatnonzero(b == center)
-                sets_of = [np.frombuffer(sa[int(i)].as_py(), np.uint64) for i in rows]
-                need = [int(-(-similarity * (int(na[i]) + int(nb[i])) // (100 + similarity))) for i in rows]
-                found = trie_overlaps(np.frombuffer(sb[int(rows[0])].as_py(), np.uint64), sets_of, need)
-                good[rows] = [f >= n for f, n in zip(found, need)]
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
-
-    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
 def _sizes_allow(m: str, n: str, similarity: int) -> Column:
     return 100 * F.least(m, n) >= similarity * F.greatest(m, n)
 
@@ -190,59 +144,114 @@ def _votes_allow(m: str, n: str, votes: str) -> Column:
     return F.col(votes) >= F.floor(F.least(m, n) / PER_VOTE) + 1
 
 
-def _found(d: DataFrame, edges: DataFrame, size: int, similarity: int, order) -> tuple[DataFrame, bool]:
-    """The edges (a, b) that hold, written, and whether they are few; the texts of their ends are read for whole sets."""
-    edges = written(edges, "edges")
-    ends = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).distinct()
-    sets = written(_sets(d, ends, size, order), "sets")
-    out = written(_verified(edges, sets, similarity), "links")
-    few = YIELD * out.count() < edges.count()
-    drop_written(edges, sets)
-    return out, few
+def _found(d: DataFrame, rows: DataFrame, size: int, similarity: int, order) -> DataFrame:
+    """Links (a, b) found by walking the trees of rows (host, probe, rep, n, comp), written; texts of their sets are read again."""
+    sets = written(_sets(d, rows.select("rep").distinct(), size, order), "sets")
+    out = written(walk(rows, sets, similarity), "links")
+    drop_written(sets)
+    return out
 
 
 def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     """(id, component) after more links: components of components, so that old links are not walked again."""
     if comps is None:
-        return written(components(links), "groups")
+        return components(links)
     of = lambda end: comps.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     new = components(between).select(F.col("id").alias("component"), F.col("component").alias("root"))
-    old = comps.join(new, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    sizes = comps.groupBy("component").agg(F.count("*").alias("rows"))
+    new = written(new.join(sizes, "component", "left").select("component", "root", F.coalesce("rows", F.lit(0)).alias("rows")), "roots")
+    old = split_join(comps, new, ["component"], "rows", "left").select("id", F.coalesce("root", "component").alias("component"))
     added = new.select(F.col("component").alias("id"), F.col("root").alias("component")).join(comps.select("id"), "id", "left_anti")
     return written(old.unionByName(added), "groups")
 
 
+def _star_rows(live: DataFrame, similarity: int) -> DataFrame:
+    """Walks of one round: each set is in the tree of the center that most of its tokens name, and the center walks it."""
+    sides = {c: c for c in ("n", "pos")}, {c: f"c.{c}" for c in ("n", "pos")}
+    asked = live.where("comp <> c.comp").where(_sizes_allow("n", "c.n", similarity) & _places_allow(*sides, similarity))
+    votes = asked.groupBy("rep", "n", "comp", F.col("c.rep").alias("host"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc")).count().where(_votes_allow("n", "cn", "count"))
+    best = votes.groupBy("rep", "n", "comp").agg(F.max_by(F.struct("host", "cn", "cc"), F.struct("count", F.xxhash64("host"))).alias("b"))
+    tree = best.select(F.col("b.host").alias("host"), F.lit(False).alias("probe"), "rep", "n", "comp")
+    walker = best.select(F.col("b.host").alias("host"), F.lit(True).alias("probe"), F.col("b.host").alias("rep"), F.col("b.cn").alias("n"), F.col("b.cc").alias("comp")).distinct()
+    return tree.unionByName(walker)
+
+
+def _rest_rows(live: DataFrame, similarity: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Walks that test all pairs across groups that can still link, and the written tables they come from.
+
+    Groups around one hub (the group of the center that most of a group's tokens name, if they are as many as similar sets share) are a
+    system. In a system the trees hold all sets, and the sets of all groups but its largest walk them; so
+    groups that are alike, but not similar, make no rows for their pairs. Pairs of groups of different systems
+    are found by the tokens they share, each group with one row a token, and bounds that no pair of their sets
+    can miss; the smaller group of a pair then walks the trees of the larger one.
+    """
+    members = written(live.groupBy("rep", "n", "comp").agg(F.lit(1).alias("one")).drop("one"), "members")
+    by_group = live.groupBy("t", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("behind"), F.first("c.comp").alias("hub"))
+    by_group = written(by_group, "tokens")
+    size = members.groupBy("comp").agg(F.count("*").alias("rows"))
+    named = by_group.where("hub <> comp").groupBy("comp", "hub").agg(F.count("*").alias("votes"), F.min("lo").alias("lo")).where(_votes_allow("lo", "lo", "votes"))
+    named = written(named.groupBy("comp").agg(F.max_by("hub", F.struct("votes", F.xxhash64("hub"))).alias("hub")), "named")
+    hubs = named.select(F.col("hub").alias("comp")).distinct()
+    # A group that others name is the hub of its own system.
+    system = size.join(named.join(hubs, "comp", "left_anti"), "comp", "left").select("comp", "rows", F.coalesce("hub", "comp").alias("system"))
+    system = written(system, "systems")
+    core = system.groupBy("system").agg(F.count("*").alias("groups"), F.sum("rows").alias("rows"), F.max_by("comp", F.struct("rows", "comp")).alias("core")).where("groups > 1").drop("groups")
+    core = written(core, "cores")
+
+    placed = split_join(members, system.select("comp", "system", "rows"), ["comp"], "rows")
+    inside = split_join(placed, core, ["system"], "rows").withColumn("host", F.struct(F.lit("system").alias("kind"), F.col("system").alias("id")))
+    inside = inside.withColumn("probe", F.explode(F.when(F.col("comp") == F.col("core"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+
+    tokens = by_group.join(system.select("comp", "system"), "comp").select("t", "comp", "system", "lo", "hi", "behind")
+    x, y = (tokens.select("t", *[F.col(c).alias(f"{c}_{k}") for c in ("comp", "system", "lo", "hi", "behind")]) for k in "ab")
+    able = (F.col("comp_a") < F.col("comp_b")) & (F.col("system_a") != F.col("system_b")) & (100 * F.col("hi_a") >= similarity * F.col("lo_b")) & (100 * F.col("hi_b") >= similarity * F.col("lo_a"))
+    open_ = F.ceil(F.lit(similarity) * (F.col("lo_a") + F.col("lo_b")) / F.lit(100 + similarity)) - F.floor(F.least("hi_a", "hi_b") / PER_VOTE)
+    able = able & (F.col("behind_a") >= open_) & (F.col("behind_b") >= open_)
+    pairs = x.join(y, "t").where(able).groupBy("comp_a", "comp_b").agg(F.count("*").alias("votes"), F.min("lo_a").alias("lo_a"), F.min("lo_b").alias("lo_b")).where(_votes_allow("lo_a", "lo_b", "votes"))
+    sized = lambda k: system.select(F.col("comp").alias(f"comp_{k}"), F.col("rows").alias(f"rows_{k}"))
+    pairs = pairs.select("comp_a", "comp_b").join(sized("a"), "comp_a").join(sized("b"), "comp_b")
+    first = F.col("rows_a") >= F.col("rows_b")
+    pairs = written(pairs.select(F.when(first, F.col("comp_a")).otherwise(F.col("comp_b")).alias("larger"), F.when(first, F.col("comp_b")).otherwise(F.col("comp_a")).alias("comp")), "pairs")
+    host = F.struct(F.lit("group").alias("kind"), F.col("larger").alias("id"))
+    hosts = written(pairs.select(F.col("larger").alias("comp")).distinct().join(size, "comp"), "hosts")
+    trees = split_join(members, hosts, ["comp"], "rows").select(F.struct(F.lit("group").alias("kind"), F.col("comp").alias("id")).alias("host"), F.lit(False).alias("probe"), "rep", "n", "comp")
+    probes = pairs.join(members, "comp").select(host.alias("host"), F.lit(True).alias("probe"), "rep", "n", "comp")
+    rows = inside.select("host", "probe", "rep", "n", "comp").unionByName(trees).unionByName(probes)
+    return rows, [members, by_group, named, system, core, pairs, hosts]
+
+
 def labelled(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The numbered documents (see keyed), and (doc, n, component) of each: documents link when 100 |A and B| >= similarity |A or B|.
 
     1. Equal sets are taken together. Tokens that tasks meet again and again get a place at the end of the
        global order (a bounded, broadcast list); all others are ordered by hash.
     2. Sets send their prefix tokens; tokens of one set only end there. Similar sets share a prefix token.
-    3. Each token names as its center the set whose tokens are shared the most; each set is tested against the
-       center that most of its tokens name; what links joins a group. A token whose sets are all in one group has
-       nothing more to tell. This repeats, with other centers, while pairs are many and rounds find links; then all
-       remaining pairs across groups that share as many prefix tokens as similar sets must, and whose sizes allow
-       it, are tested.
-    4. Tests walk prefix trees of whole sets (`trie_overlaps`). Groups are the connected components of the links.
-    So every link between different groups is found, and pairs inside a group are not enumerated.
+    3. Each token names as its center the set whose tokens are shared the most; each set joins the tree of the
+       center that most of its tokens name, and the center walks that tree; what links joins a group. A token
+       whose sets are all in one group has nothing more to tell. This repeats, with other centers, while pairs
+       are many and rounds find links.
+    4. All pairs across groups that can still link are tested on trees, too (`_rest_rows`).
+    Trees are prefix trees of whole sets in blocks of bounded size (`prefix_tree.walk`). Groups are the connected
+    components of the links. So every link between different groups is found; pairs are never rows, but for
+    groups of different systems that share as many prefix tokens as similar sets must.
     """
     spark: SparkSession = docs.sparkSession
     tune(spark)
     d = keyed(docs, doc_id, text)
     scanned = written(_scan(d, size), "scan")
     known = scanned.where("k = 0").select(F.col("a").alias("doc"), F.col("b").cast("int").alias("n"), F.col("c").alias("s"), F.col("e").alias("s2"))
-    reps = written(known.where("n > 0").groupBy("n", "s", "s2").agg(F.min("doc").alias("rep")), "reps")
+    reps = written(known.where("n > 0").groupBy("n", "s", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "reps")
     often = scanned.where("k = 1").groupBy("a").agg(F.sum("b").alias("times")).where(F.col("times") >= FREQUENT_FROM).orderBy(F.desc("times"), "a").limit(FREQUENT).toPandas()
     token = often["a"].to_numpy(np.int64).view(np.uint64)
     by_token = np.argsort(token)
     order = spark.sparkContext.broadcast((token[by_token], (len(token) - np.arange(len(token)))[by_token]))
 
     prefixes = written(_prefixes(d, size, similarity, order), "prefixes")
-    shared = prefixes.groupBy("t").agg(F.min("s").alias("least"), F.max("s").alias("most"), F.count("*").alias("among")).where("least <> most").select("t", "among")
-    posts = prefixes.join(shared, "t").distinct().join(reps.select("n", "s", "rep"), ["n", "s"]).select("t", "rep", "n", "pos", "among")
+    shared = written(prefixes.groupBy("t").agg(F.min("s").alias("least"), F.max("s").alias("most"), F.count("*").alias("among")).where("least <> most").select("t", "among", F.col("among").alias("rows")), "shared")
+    posts = split_join(prefixes, shared, ["t"], "rows").distinct().join(reps.select("n", "s", "rep"), ["n", "s"]).select("t", "rep", "n", "pos", "among")
     posts = written(posts, "posts")
-    drop_written(prefixes)
+    drop_written(prefixes, shared)
     # A set whose tokens many sets share is in the middle of its group; unlike ones lie around it.
     middle = posts.groupBy("rep", "n").agg(F.sum("among").alias("sum")).select("rep", (F.col("sum") / F.col("n")).alias("middle"))
     bare, posts = posts, written(posts.drop("among").join(middle, "rep"), "posts")
@@ -252,33 +261,34 @@ def labelled(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE,
     few = False
     for turn in range(STAR_ROUNDS + 1):
         state = posts.withColumn("comp", F.col("rep")) if comps is None else posts.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*posts.columns, F.coalesce("component", "rep").alias("comp"))
+        # The first round asks the sets in the middle, later ones others in turn, those near it more often.
+        place = F.col("middle") if turn == 0 else F.col("middle") * F.pmod(F.xxhash64(F.lit(turn), "rep"), F.lit(1000))
+        center = F.max(F.struct(place.alias("p"), "rep", "n", "pos", "comp")).alias("c")
         # Tokens of one group have nothing more to tell; for the others, how many pairs there are at most.
-        mixed = state.groupBy("t").agg(F.count("*").alias("sets"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
-        pairs, left = mixed.agg(F.sum(F.col("sets") * (F.col("sets") - 1) / 2), F.sum("sets")).first()
+        mixed = written(state.groupBy("t").agg(F.count("*").alias("rows"), F.min("comp").alias("least"), F.max("comp").alias("most"), center).where("least <> most").select("t", "c", "rows"), "mixed")
+        pairs, left = mixed.agg(F.sum(F.col("rows") * (F.col("rows") - 1) / 2), F.sum("rows")).first()
         if not left:
+            drop_written(mixed)
             break
         last = turn == STAR_ROUNDS or few or (turn > 0 and pairs <= PAIRS * left)
-        if last:
-            x, y = (state.select("t", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "pos", "comp")]) for k in "ab")
-            sides = [{c: f"{c}_{k}" for c in ("n", "pos")} for k in "ab"]
-            votes = x.join(y, "t").where((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & _sizes_allow("n_a", "n_b", similarity) & _places_allow(*sides, similarity)).groupBy("rep_a", "rep_b", "n_a", "n_b").count()
-            edges = votes.where(_votes_allow("n_a", "n_b", "count")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        else:
-            # The first round asks the sets in the middle, later ones others in turn, those near it more often.
-            place = F.col("middle") if turn == 0 else F.col("middle") * F.pmod(F.xxhash64(F.lit(turn), "rep"), F.lit(1000))
-            pick = F.struct(place.alias("p"), "rep", "n", "pos", "comp")
-            centers = state.groupBy("t").agg(F.max(pick).alias("c")).select("t", F.col("c.rep").alias("center"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos"), F.col("c.comp").alias("cc"))
-            votes = state.join(centers, "t").where(F.col("comp") != F.col("cc")).where(_sizes_allow("n", "cn", similarity) & _places_allow({c: c for c in ("n", "pos")}, {c: f"c{c}" for c in ("n", "pos")}, similarity)).groupBy("rep", "center", "n", "cn").count().where(_votes_allow("n", "cn", "count"))
-            edges = votes.groupBy("rep").agg(F.max_by("center", F.struct("count", F.xxhash64("center"))).alias("b")).select(F.col("rep").alias("a"), "b")
-        links, few = _found(d, edges, size, similarity, order)
-        comps = _joined(comps, links)
-        drop_written(links)
+        live = split_join(state, mixed, ["t"], "rows")
+        rows, tables = _rest_rows(live, similarity) if last else (_star_rows(live, similarity), [])
+        rows = written(rows, "walks")
+        links = _found(d, rows, size, similarity, order)
+        few = YIELD * links.count() < rows.count()
+        before, comps = comps, _joined(comps, links)
+        drop_written(links, rows, mixed, *tables, *[c for c in [before] if c is not None])
         if last:
             break
     drop_written(posts)
-    groups_ = comps if comps is not None else spark.createDataFrame([], "id long, component long")
-    named = known.join(reps, ["n", "s", "s2"], "left").join(groups_, F.col("rep") == F.col("id"), "left").select("doc", "n", F.coalesce("component", "rep", "doc").alias("component"))
-    return d, named
+    label = reps
+    if comps is not None:
+        label = label.join(comps, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep"))
+    else:
+        label = label.withColumn("component", F.col("rep"))
+    label = written(label.select("n", "s", "s2", "component", "copies"), "labels")
+    named = split_join(known, label, ["n", "s", "s2"], "copies", "left")
+    return d, named.select("doc", "n", F.coalesce("component", "doc").alias("component"))
 
 
 def groups(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,7 +302,8 @@ def groups(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE, d
     rows = d.select("doc", "doc_id", "times").join(named, "doc")
     # Where documents were numbered, the component's number goes back to its document's id.
     if _numbered(d):
-        rows = rows.join(d.select(F.col("doc").alias("component"), F.col("doc_id").alias("component_id")), "component")
+        ids = named.groupBy("component").agg(F.count("*").alias("rows")).join(d.select(F.col("doc").alias("component"), F.col("doc_id").alias("component_id")), "component")
+        rows = split_join(rows, written(ids, "ids"), ["component"], "rows")
     else:
         rows = rows.withColumn("component_id", F.col("component"))
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("doc") == F.col("component")).alias("kept"), F.explode(F.sequence(F.lit(1), "times")).alias("copy"))

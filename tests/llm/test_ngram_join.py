@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from faultline.llm import ngram_join
+from faultline.llm import common, ngram_join, prefix_tree
 
 
 def brute_set(text):
@@ -34,13 +34,19 @@ def brute(rows):
     return sorted((i, len(sets[i]), root(i)) for i in sets)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=1, max_size=12), st.sets(st.integers(0, 30), min_size=1))
-def test_trie(sets, center):
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=1, max_size=12), st.sets(st.integers(0, 30), min_size=1), st.integers(1, 4), st.sampled_from((50, 80, 100)))
+def test_tree(sets, probe, node, similarity):
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
-    need = [len(s) // 2 for s in sets]
-    for s, n, got in zip(sets, need, ngram_join.trie_overlaps(np.array(sorted(center), np.uint64), arrays, need)):
-        assert got == len(s & center) or (got < n and len(s & center) < n)
+    before, prefix_tree.NODE_TOKENS = prefix_tree.NODE_TOKENS, node
+    try:
+        tree = prefix_tree.PrefixTree(arrays, [i % 2 for i in range(len(sets))])
+    finally:
+        prefix_tree.NODE_TOKENS = before
+    alike = [i for i, s in enumerate(sets) if 100 * len(s & probe) >= similarity * len(s | probe)]
+    assert sorted(tree.similar(np.array(sorted(probe), np.uint64), -1, similarity)) == alike
+    others = tree.similar(np.array(sorted(probe), np.uint64), 1, similarity)
+    assert [i for i in alike if i % 2 == 0] == sorted(i for i in others if i % 2 == 0)
 
 
 def corpus(seed, n):
@@ -102,6 +108,28 @@ def test_copies_around_an_absent_original(spark):
     assert len({c for _, _, c in got}) > 3  # some of the copies are near, but not similar, to all others
 
 
+def test_hot_groups_small_trees_and_satellites(spark, monkeypatch):
+    # Copies and texts that are alike, but not similar, around two originals; trees and blocks of few sets, hot keys joined apart.
+    monkeypatch.setattr(prefix_tree, "TREE_TOKENS", 700)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    r = random.Random(8)
+    rows = []
+    for group in range(2):
+        original = [f"g{group}w{r.randrange(10**6)}" for _ in range(120)]
+        for changes in [1] * 30 + [2] * 20 + [4] * 20 + [6] * 30 + [9] * 10:
+            copy = list(original)
+            for i in r.sample(range(0, 120, 5), changes):
+                copy[i] = f"new{r.randrange(10**6)}"
+            rows += [(len(rows), " ".join(copy))] * 1
+        rows += [(len(rows) + i, " ".join(original)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert 4 < len({c for _, _, c in want}) < len(rows) / 2
+    for rounds in (4, 0):
+        monkeypatch.setattr(ngram_join, "STAR_ROUNDS", rounds)
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.groups(df).collect()) == want
+
+
 def test_truncated_and_extended_copies(spark, monkeypatch):
     # All tokens of a shorter copy are in the longer one, some of its prefix tokens behind the longer one's prefix.
     r = random.Random(6)
