@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 #: White space of a word split: U+0020 and U+0009 to U+000D. bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 _SCRATCH: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tune(spark: SparkSession) -> None:
@@ -24,10 +24,12 @@ def tune(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of ours where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of ours where that is unset and all runs in this process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         _SCRATCH[app] = "file://" + os.path.join(tempfile.gettempdir(), f"faultline-{app}")
@@ -35,22 +37,28 @@ def scratch(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: cuts lineage and survives lost executors."""
+    """df written once to the shared folder and read again: cuts lineage and survives lost executors.
+
+    The shuffle files behind the table go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind the written table
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def drop_written(*frames: DataFrame) -> None:
-    """Delete tables that written() made, once nothing reads them any more."""
+    """Delete tables that written() made (the frames it returned), once nothing reads them any more."""
     for df in frames:
-        spark = df.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix64(z: np.ndarray) -> np.ndarray:

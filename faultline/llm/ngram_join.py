@@ -158,10 +158,12 @@ def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
         return components(links)
     of = lambda end: comps.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    new = components(between).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    merged = components(between)
+    new = merged.select(F.col("id").alias("component"), F.col("component").alias("root"))
     sizes = comps.groupBy("component").agg(F.count("*").alias("rows"))
     new = written(new.join(sizes, "component", "left").select("component", "root", F.coalesce("rows", F.lit(0)).alias("rows")), "roots")
     old = split_join(comps, new, ["component"], "rows", "left").select("id", F.coalesce("root", "component").alias("component"))
+    drop_written(merged)
     added = new.select(F.col("component").alias("id"), F.col("root").alias("component")).join(comps.select("id"), "id", "left_anti")
     return written(old.unionByName(added), "groups")
 
