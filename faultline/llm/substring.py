@@ -1,4 +1,4 @@
-"""Substring dedup: level-wise doubling of word windows, from half the length to the whole."""
+"""Substring dedup: level-wise doubling of word windows, from at most five words to the whole length."""
 
 from __future__ import annotations
 
@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, drop_written, mix64, tune, written
-from .windows import candidates, firsts, keyed, repeated, segments
+from .common import Rolling, drop_written, mix64, split_join, tune, written
+from .windows import candidates, firsts, keyed, repeated, segments, twice_found
 
-#: Words of a window that must not occur twice.
-WINDOW = 20
+#: Words of a window that must not occur twice; words of the windows of the first level, at most.
+WINDOW, FIRST = 20, 5
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -52,23 +52,52 @@ class Words:
 _WORDS = Words()
 
 
-def _half_grams(window: int):
-    half = (window + 1) // 2
-    return lambda text: _WORDS.grams(_WORDS.hashes(text.split()), half)
+def levels(window: int, first: int = FIRST) -> list[int]:
+    """Lengths in words: `window` halved, rounded up, until at most `first`; each is at most twice the one before."""
+    out = [window]
+    while out[-1] > first:
+        out.append((out[-1] + 1) // 2)
+    return out[::-1]
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Windows of the full length in candidate texts whose sampled half is repeated: (h1, h2, doc, pos, again); again: also earlier in this text."""
-    half = (window + 1) // 2
+def _surviving(values: np.ndarray, size: int, window: int, repeated_minima: list[int]) -> np.ndarray:
+    """Of each window of a text, whether the least of its runs of `size` words is among the repeated ones."""
+    alive = np.zeros(max(0, len(values) - window + 1), bool)
+    low, start, stop = segments(_WORDS.grams(values, size), window - size + 1)
+    for s, e in zip(*(x[np.isin(low, np.array(repeated_minima, np.int64).view(np.uint64))] for x in (start, stop))):
+        alive[s:e] = True
+    return alive
+
+
+def _extended(batches: Iterator[pa.RecordBatch], size: int, longer: int, window: int) -> Iterator[pa.RecordBatch]:
+    """(a, tk, twice): of the windows that survived runs of `size` words, the least of their runs of `longer` words; as in `windows.repeated`."""
+    for b in batches:
+        found, keys, twice = [], [], []
+        for tk, text, minima in zip(b.column("tk").to_pylist(), b.column("text").to_pylist(), b.column("minima").to_pylist()):
+            values = _WORDS.hashes(text.encode().split())
+            alive = _surviving(values, size, window, minima)
+            grams = _WORDS.grams(values, longer)
+            low, start, stop = segments(grams, window - longer + 1)
+            counts = np.concatenate([[0], np.cumsum(alive)])
+            low = np.unique(low[counts[stop] > counts[start]])
+            if len(low):
+                order = np.sort(grams)
+                found.append(low)
+                keys.append(np.full(len(low), tk, np.int64))
+                twice.append(np.isin(low, order[1:][order[1:] == order[:-1]]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(twice))], names=["a", "tk", "twice"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], size: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Windows of the full length that survived runs of `size` words: (h1, h2, doc, pos, again); again: also earlier in this text."""
     for b in batches:
         out = []
         for doc, text, minima in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("minima").to_pylist()):
             values = _WORDS.hashes(text.encode().split())
-            low, start, stop = segments(_WORDS.grams(values, half), window - half + 1)
-            mine = np.isin(low, np.array(minima, np.int64).view(np.uint64))
-            if not mine.any():
+            at = np.flatnonzero(_surviving(values, size, window, minima))
+            if not len(at):
                 continue
-            at = np.concatenate([np.arange(s, e) for s, e in zip(start[mine], stop[mine])])
             h = [r.ranges(r.prefix(values), at, at + window) for r in _WORDS.rolling]
             again = np.ones(len(at), bool)
             again[np.unique(h[0] ^ mix64(h[1]), return_index=True)[1]] = False
@@ -80,9 +109,10 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 def dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Remove each word covered by a window of `window` words that also starts earlier (smaller id, or earlier in the text).
 
-    Levels: of all windows of half the length, those least by hash among the halves of a full window are
-    sampled, which each full window has in common with its repeats; samples that occur in one place only end
-    there. Windows around repeated ones alone are extended to twice that length and compared by two 64-bit
+    Levels: of all runs of at most five words, those least by hash among the runs of a full window are sampled,
+    which each full window has in common with its repeats. Runs that occur in one place only end there, and
+    with them the windows they stand for. Windows that are left send their least run of twice that length, and
+    so on, until the run is the window itself or no window is left: full windows are compared by two 64-bit
     hashes; those that occur again, later than their first place, are the result.
     Returns doc_id, n_words, n_removed, kept (text: kept words joined by a space), kept_sha256.
     Defined cases: null and empty texts have no words, and texts under `window` words lose none; later copies
@@ -93,15 +123,26 @@ def dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: s
     tune(docs.sparkSession)
     d = keyed(docs, doc_id, text)
     first = written(firsts(d), "firsts")
-    minima = repeated(d, _half_grams(window), window - (window + 1) // 2 + 1)
-    found = candidates(d, first, minima).mapInArrow(lambda it: _windows(it, window), "h1 long, h2 long, doc long, pos int, again boolean")
+    size, *longer = levels(window)
+    minima = repeated(d, lambda t: _WORDS.grams(_WORDS.hashes(t.split()), size), window - size + 1)
+    for n in longer[:-1]:
+        if minima.isEmpty():
+            break
+        before = minima
+        texts = candidates(d, first, minima, "tk")
+        minima = twice_found(texts.mapInArrow(lambda it, size=size, n=n: _extended(it, size, n, window), "a long, tk long, twice boolean"))
+        drop_written(before)
+        size = n
+    found = candidates(d, first, minima).mapInArrow(lambda it: _windows(it, size, window), "h1 long, h2 long, doc long, pos int, again boolean")
     found = written(found, "windows")
+    drop_written(minima)
     # First places in each text alone are compared across texts, by the least document.
     places = found.where("NOT again")
-    earliest = places.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("h1", "h2", "least")
-    later = places.join(earliest, ["h1", "h2"]).where("doc > least").select("doc", "pos").unionByName(found.where("again").select("doc", "pos"))
+    earliest = places.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("rows")).where("least <> most").select("h1", "h2", "least", "rows")
+    earliest = written(earliest, "earliest")
+    later = split_join(places, earliest, ["h1", "h2"], "rows").where("doc > least").select("doc", "pos").unionByName(found.where("again").select("doc", "pos"))
     later = written(later.groupBy("doc").agg(F.collect_list("pos").alias("later")), "later")
-    drop_written(found)
+    drop_written(found, earliest)
     marks = first.select("doc", F.lit(True).alias("first")).join(later, "doc", "left")
     rows = d.join(marks, "doc", "left").select("doc_id", "times", "text", F.coalesce("first", F.lit(False)).alias("first"), "later")
 

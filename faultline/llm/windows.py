@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, sliding_min, written
+from .common import drop_written, sliding_min, split_join, written
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -69,13 +69,19 @@ def repeated(docs: DataFrame, grams: Callable[[bytes], np.ndarray], width: int)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(twice))], names=["a", "tk", "twice"])
 
-    sampled = written(rows.mapInArrow(run, "a long, tk long, twice boolean"), "sampled")
-    again = sampled.groupBy("a").agg(F.min("tk").alias("least"), F.max("tk").alias("most"), F.max("twice").alias("twice")).where("least <> most OR twice").select("a")
-    minima = written(sampled.select("a", "tk").join(again, "a").groupBy("tk").agg(F.collect_set("a").alias("minima")), "minima")
-    drop_written(sampled)
+    return twice_found(rows.mapInArrow(run, "a long, tk long, twice boolean"))
+
+
+def twice_found(rows: DataFrame) -> DataFrame:
+    """(tk, minima), written: of rows (a, tk, twice), the minima of each text that another text has too or that are twice in it."""
+    sampled = written(rows, "sampled")
+    again = sampled.groupBy("a").agg(F.min("tk").alias("least"), F.max("tk").alias("most"), F.max("twice").alias("twice"), F.count("*").alias("rows")).where("least <> most OR twice").select("a", "rows")
+    again = written(again, "again")
+    minima = written(split_join(sampled.select("a", "tk"), again, ["a"], "rows").groupBy("tk").agg(F.collect_set("a").alias("minima")), "minima")
+    drop_written(sampled, again)
     return minima
 
 
-def candidates(docs: DataFrame, first: DataFrame, minima: DataFrame) -> DataFrame:
-    """(doc, text, minima) of the first document of each text that has any repeated minimum."""
-    return docs.select("doc", "text").join(first.join(minima, "tk").select("doc", "minima"), "doc")
+def candidates(docs: DataFrame, first: DataFrame, minima: DataFrame, *more: str) -> DataFrame:
+    """(doc, text, minima, and more columns of first) of the first document of each text that has any repeated minimum."""
+    return docs.select("doc", "text").join(first.join(minima, "tk").select("doc", "minima", *more), "doc")
