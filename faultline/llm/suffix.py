@@ -11,60 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, drop_written, tune, written
+from .common import Rolling, drop_written, split_join, tune, written
+from .difference_cover import LOCAL, suffix_array, suffix_ranks
 from .windows import candidates, firsts, keyed, repeated, segments
 
 #: Bytes of a string that must not occur twice; bytes of the grams that strings are sampled by.
 LENGTH, GRAM = 400, 64
-#: Bytes of one suffix array, about; a minimum with more bytes than this takes the way by windows.
-BLOCK = 1 << 20
-
-
-def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted order of keys, the rank of each (equal keys, equal rank, from 1), and the number of ranks."""
-    order = np.argsort(keys, kind="stable")
-    new = np.concatenate([[1], keys[order][1:] != keys[order][:-1]]).astype(np.int64)
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.cumsum(new)
-    return order, rank, int(new.sum())
-
-
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix array of a sequence of positive integers, under 2**21 of them and in number: difference cover modulo 3.
-
-    The triples at places 1 and 2 modulo 3 are sorted and named; if names repeat, the sequence of names is
-    sorted by recursion. The places 0 modulo 3 are sorted by (symbol, rank of the next place), and merged: the
-    place of a suffix is its own place among its kind and the number of suffixes of the other kinds before it.
-    """
-    n = len(s)
-    if n < 8:
-        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    t = np.concatenate([s, np.zeros(3, np.int64)]).astype(np.int64)
-    one = np.arange(1, n + (n % 3 == 1), 3)  # if the last place is 0 modulo 3, one empty triple ends the first half
-    two = np.arange(2, n, 3)
-    sample = np.concatenate([one, two])
-    order, names, count = _ranks((t[sample] << 42) | (t[sample + 1] << 21) | t[sample + 2])
-    if count < len(sample):
-        order = suffix_array(names)
-    rank = np.zeros(n + 3, np.int64)
-    rank[sample[order]] = np.arange(1, len(sample) + 1)
-    sample = sample[order]
-    sample = sample[sample < n]
-    rank[n:] = 0
-
-    zero = np.arange(0, n, 3)
-    zero = zero[np.argsort((t[zero] << 42) | rank[zero + 1], kind="stable")]
-    first, second = sample[sample % 3 == 1], sample[sample % 3 == 2]
-    before = np.searchsorted((t[first] << 42) | rank[first + 1], (t[zero] << 42) | rank[zero + 1])
-    pairs = lambda x: (t[x] << 42) | (t[x + 1] << 21) | rank[x + 2]
-    before += np.searchsorted(pairs(second), pairs(zero))
-    out = np.empty(n, np.int64)
-    place = np.arange(len(zero)) + before
-    out[place] = zero
-    free = np.ones(n, bool)
-    free[place] = False
-    out[free] = sample
-    return out
+#: Bytes of one task's suffix array, about; a minimum with more bytes than this is sorted by all tasks together.
+BLOCK = LOCAL
+#: Neighbours in the order of suffixes that one group of rows holds.
+NEIGHBOURS = 1 << 16
 
 
 _ROLL = Rolling(0xD6E8FEB86659FD93)
@@ -103,9 +59,13 @@ def repeats(parts: list[bytes], length: int) -> list[np.ndarray]:
     if len(sa) > 1:
         prefix = _ROLL.prefix(_BYTES[raw])
         key = _ROLL.ranges(prefix, sa, sa + length)
-        same = key[1:] == key[:-1]
-        hit[sa[1:][same]] = True
-        hit[sa[:-1][same]] = True
+        alike = np.flatnonzero(key[1:] == key[:-1])
+        strings = np.lib.stride_tricks.sliding_window_view(raw, length)
+        for at in range(0, len(alike), 2048):  # equal hashes are compared byte by byte
+            some = alike[at : at + 2048]
+            same = some[(strings[sa[some]] == strings[sa[some + 1]]).all(1)]
+            hit[sa[same]] = True
+            hit[sa[same + 1]] = True
     return [np.flatnonzero(hit[a : a + n]) for a, n in zip(start, size)]
 
 
@@ -117,6 +77,58 @@ def _ranges(starts: np.ndarray, length: int) -> list[int]:
     return np.stack([starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)] + length], 1).ravel().tolist()
 
 
+def _as_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, symbols): bytes from 1 on, and behind them a symbol that no other part has."""
+    for b in batches:
+        ids = b.column("id").to_pylist()
+        symbols = [np.append(np.frombuffer(raw.as_py(), np.uint8).astype(np.int64) + 1, 257 + i) for i, raw in zip(ids, b.column("part"))]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(symbols, pa.list_(pa.int64()))], names=["part", "symbols"])
+
+
+def _in_order(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, rank, id, at, string): each string of `length` bytes by its suffix's rank, as a 128-bit digest; the first of a bucket also goes to the one before."""
+    for b in batches:
+        rows = []
+        for i, raw, ranks in zip(b.column("id").to_pylist(), b.column("part").to_pylist(), b.column("ranks")):
+            for at, rank in enumerate(ranks.values.to_numpy()[: len(raw) - length + 1].tolist()):
+                row = (rank, i, at, hashlib.blake2b(raw[at : at + length], digest_size=16).digest())
+                rows.append((rank // NEIGHBOURS, *row))
+                if rank % NEIGHBOURS == 0:
+                    rows.append((rank // NEIGHBOURS - 1, *row))
+        types = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["bucket", "rank", "id", "at", "string"])
+
+
+def _equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, at) of strings that equal the one before or behind them; rows are sorted by bucket and rank."""
+    last = None
+    for b in batches:
+        rows = list(zip(*(b.column(c).to_pylist() for c in ("bucket", "rank", "string", "id", "at"))))
+        rows = rows if last is None else [last, *rows]
+        found = [place for x, y in zip(rows, rows[1:]) if x[2] == y[2] and x[0] == y[0] and x[1] + 1 == y[1] for place in (x[3:], y[3:])]
+        last = rows[-1] if rows else last
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32())], names=["id", "at"])
+
+
+def _by_all(hot: DataFrame, length: int, local: int) -> DataFrame:
+    """(a, key, covered) of stretches (a, key, part, n) that all tasks sort together; suffixes that begin with one string are neighbours."""
+    hot = written(hot.select("a", "key", "n", "part", F.monotonically_increasing_id().alias("id")), "hot")
+    ranks = suffix_ranks(hot.select("id", "part").mapInArrow(_as_symbols, "part long, symbols array<long>"), local)
+    strings = hot.select("id", "part").join(ranks.withColumnRenamed("part", "id"), "id").mapInArrow(lambda it: _in_order(it, length), "bucket long, rank long, id long, at int, string binary")
+    places = strings.repartition("bucket").sortWithinPartitions("bucket", "rank").mapInArrow(_equal_neighbours, "id long, at int")
+    places = written(places.groupBy("id").agg(F.collect_set("at").alias("at")), "places")
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts = [range(size - length + 1) if n > 1 else sorted(at or []) for size, n, at in zip(*(b.column(c).to_pylist() for c in ("size", "n", "at")))]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("key"), pa.array([_ranges(np.array(s, np.int64), length) for s in starts], pa.list_(pa.int32()))], names=["a", "key", "covered"])
+
+    out = hot.select("a", "key", "n", "id", F.length("part").alias("size")).join(places, "id", "left").mapInArrow(cover, "a long, key string, covered array<int>")
+    out = written(out, "covered")
+    drop_written(hot, ranks, places)
+    return out
+
+
 def _cut_parts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """The stretch of text under each run of windows whose minimum is repeated: (a, doc, lo, part)."""
     for b in batches:
@@ -139,14 +151,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
     2. What remains is a small part of the texts. Its stretches go, by minimum, to blocks of about `block`
        bytes, distinct stretches once (how often each occurs is kept): repeats always share a block.
     3. In each block a suffix array is built by the difference-cover algorithm, and neighbours are compared.
-       A minimum with more than `block` bytes of distinct stretches is not gathered: its strings are compared
-       by their 128-bit digests in a distributed aggregation instead.
+       Minima with more than `block` bytes of distinct stretches are not gathered: their stretches are sorted by
+       the same algorithm over all tasks (`difference_cover.suffix_ranks`), and neighbours in that order compared.
     4. The covered ranges return to their documents.
     Returns doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256, spans (start, stop after each other).
     Defined cases: null and empty texts have no bytes; texts under `length` bytes lose none; texts that occur
     twice and are that long lose all; rows of equal id and text count once each as another place, like any
     rows; null ids are kept; an empty table gives no rows; other columns are ignored.
     """
+    if block >= 1 << 21 or gram > length:
+        raise ValueError("a block must be under 2**21 bytes, and a gram no longer than a string")
     tune(docs.sparkSession)
     d = keyed(docs, doc_id, text)
     # Rows of equal id and text are one document here, `times` of them: copies all the same.
@@ -181,19 +195,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
     usual = sized.where(F.col("bytes") <= block).withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)))
     usual = usual.select("block", "a", "key", "part", "n").groupBy("block").applyInPandas(by_array, "a long, key string, covered array<int>")
 
+    covered = usual
     hot = sized.where(F.col("bytes") > block)
-    at = F.explode(F.sequence(F.lit(0), F.length("part") - length))
-    strings = hot.select("a", "key", "n", "part", at.alias("at")).select("a", "key", "n", "at", F.md5(F.substring(F.col("part"), F.col("at") + 1, F.lit(length))).alias("string"))
-    often = strings.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string")
-    places = strings.join(often, "string").groupBy("a", "key").agg(F.collect_list("at").alias("covered"))
-    covered_by = F.udf(lambda starts: _ranges(np.unique(starts), length), "array<int>")
-    places = places.select("a", "key", covered_by("covered").alias("covered"))
-
-    covered = usual.unionByName(places).where(F.size("covered") > 0)
-    ranges = parts.select("a", "key", "doc", "lo").join(covered, ["a", "key"]).groupBy("doc").agg(F.flatten(F.collect_list(F.transform("covered", lambda x: x + F.col("lo")))).alias("covered"))
+    if not hot.isEmpty():
+        covered = usual.unionByName(_by_all(hot, length, block))
+    covered = written(covered.where(F.size("covered") > 0).join(distinct.select("a", "key", F.col("n").alias("rows")), ["a", "key"]), "ranges")
+    parts_at = parts.select("a", "key", "doc", "lo")
+    ranges = split_join(parts_at, covered, ["a", "key"], "rows").groupBy("doc").agg(F.flatten(F.collect_list(F.transform("covered", lambda x: x + F.col("lo")))).alias("covered"))
     ranges = written(ranges, "ranges")
-    drop_written(distinct, parts)
-    whole = each.join(first.select("sha", "copies"), "sha").select("doc", (F.col("copies") > 1).alias("copied"))
+    drop_written(distinct, parts, covered)
+    whole = split_join(each, first.select("sha", "copies", F.col("copies").alias("rows")), ["sha"], "rows").select("doc", (F.col("copies") > 1).alias("copied"))
     marks = whole.join(ranges, "doc", "left").where("copied OR covered IS NOT NULL")
     rows = d.join(marks, "doc", "left").select("doc_id", "times", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "covered")
 

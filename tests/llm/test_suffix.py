@@ -6,13 +6,24 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from faultline.llm import suffix
+from faultline.llm import difference_cover, suffix
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 3), min_size=0, max_size=80))
 def test_suffix_array(s):
-    assert suffix.suffix_array(np.array(s, np.int64)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+    assert difference_cover.suffix_array(np.array(s, np.int64)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_distributed_suffix_ranks(spark):
+    r = random.Random(1)
+    parts = [[r.randint(1, 2) for _ in range(r.randint(1, 60))] + [100 + i] for i in range(12)] + [[1] * 50 + [200], [1, 2, 3] * 20 + [201], [202]]
+    df = spark.createDataFrame(list(enumerate(parts)), "part long, symbols array<long>")
+    order = sorted(((i, k) for i, p in enumerate(parts) for k in range(len(p))), key=lambda x: parts[x[0]][x[1] :])
+    want = {place: rank for rank, place in enumerate(order, 1)}
+    for local in (10**6, 150):
+        got = {x.part: x.ranks for x in difference_cover.suffix_ranks(df, local).collect()}
+        assert all(got[i] == [want[i, k] for k in range(len(p))] for i, p in enumerate(parts))
 
 
 def brute(rows, length):
@@ -30,7 +41,7 @@ def brute(rows, length):
     return out
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     r = random.Random(5)
     make = lambda n: "".join(r.choice("abcdeé \n漢") for _ in range(n))
     common = make(300)
@@ -41,8 +52,9 @@ def test_against_brute_force(spark):
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, copied int")
     want = brute(rows, 40)
-    for block in (1 << 20, 3000, 0):  # one block, blocks and hot minima, hot minima only
-        got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix.dedup(df, 40, 8, block or 1).collect())
+    monkeypatch.setattr(suffix, "NEIGHBOURS", 1000)
+    for block in (1 << 20, 3000, 500):  # one block, blocks and hot minima, mostly hot minima
+        got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix.dedup(df, 40, 8, block).collect())
         assert got == want
 
 
