@@ -73,11 +73,14 @@ def summary(checks: dict[str, DataFrame], samples: int = 5) -> DataFrame:
 
 
 def retrieval_pairs(original: DataFrame, rephrased: DataFrame, keys: tuple[str, ...] = ("failure_id", "cause_id"), order: str | None = None) -> DataFrame:
-    """Both kinds of query by key; of repeated keys the last one counts."""
+    """Both kinds of query by key; of repeated keys the last one counts. No common key is an error."""
     def last(d: DataFrame) -> DataFrame:
         return d if order is None else d.withColumn("_p", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_p = 1").drop("_p")
 
-    return last(original).alias("o").join(last(rephrased).alias("r"), list(keys))
+    pairs = last(original).alias("o").join(last(rephrased).alias("r"), list(keys))
+    if pairs.isEmpty():
+        raise ValueError("original and rephrased queries have no key in common")
+    return pairs
 
 
 def retrieval_accuracy(found: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Weight of a hit by the role it was found in.
 ROLE_WEIGHTS = {"failure_mode": 0.5, "failure_element": 0.4, "failure_effect": 0.3}
-#: Vectors of a block in scans that compare all with all.
-BLOCK = 2_000
+#: Vectors of a block in scans that compare all with all; rows of a block that are multiplied at once.
+BLOCK, STRIP = 4_000, 512
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -61,6 +61,22 @@ def search_failures(vectors: DataFrame, queries: Mapping[str, Sequence[float] |
     return merge_hits(search_roles(vectors, queries, k)).orderBy(F.desc(F.round("score", 9)), F.desc("n_roles"), "failure_id").limit(k)
 
 
+def search_failures_batch(vectors: DataFrame, k: int = 5) -> DataFrame:
+    """search_failures() with every failure's own vectors as the query: (query_id, failure_id, score, n_roles, place), k rows a query.
+
+    One scan of all with all in blocks instead of a search for each query.
+    """
+    near = nearest(vectors, k).where("own = other")
+    of = vectors.select("vec_id", "failure_id")
+    hits = near.join(of.withColumnRenamed("failure_id", "query_id"), "vec_id").select("query_id", F.col("own").alias("role"), F.col("neighbour").alias("vec_id"), "dist").join(of, "vec_id")
+    w = F.lit(0.0)
+    for role, weight in ROLE_WEIGHTS.items():
+        w = F.when(F.col("role") == role, F.lit(weight)).otherwise(w)
+    merged = hits.groupBy("query_id", "failure_id").agg(F.sum(w * (1 - F.col("dist"))).alias("score"), F.countDistinct("role").alias("n_roles"))
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.desc("n_roles"), "failure_id")
+    return merged.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+
 def search_causes(causes: DataFrame, query: Sequence[float], k: int = 5, failure_id: int | str | None = None) -> DataFrame:
     """The k nearest causes, of one failure if asked for: (failure_id, cause_id, dist)."""
     if failure_id is not None:
@@ -95,11 +111,36 @@ def evidence_chain(vectors: DataFrame, failures: DataFrame, causes: DataFrame, e
     return known.groupBy("failure_id", "score", "cause_id", "dist").agg(F.transform(ordered, lambda s: s["sentence_id"]).alias("sentence_ids"))
 
 
+def _near(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, squared distance) of the k nearest rows of y for each row of x, of equal ones the first.
+
+    Products tell which rows can be among them, to within rounding; the distances of those are then summed up
+    from differences.
+    """
+    rows, cols, dists = [], [], []
+    y2, k = (y * y).sum(1), min(k, len(y))
+    for at in range(0, len(x), STRIP):
+        some = x[at : at + STRIP]
+        x2 = (some * some).sum(1)[:, None]
+        rough = x2 + y2 - 2 * (some @ y.T)
+        bound = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + 1e-9 * (x2 + y2.max())
+        row, col = np.nonzero(rough <= bound)
+        d = ((some[row] - y[col]) ** 2).sum(1)
+        order = np.lexsort((col, d, row))
+        row, col, d = row[order], col[order], d[order]
+        first = np.searchsorted(row, np.arange(len(some)))
+        keep = np.arange(len(row)) - first[row] < k
+        rows.append(row[keep] + at)
+        cols.append(col[keep])
+        dists.append(d[keep])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
+
+
 def nearest(items: DataFrame, k: int, group: str | None = "role", block: int = BLOCK) -> DataFrame:
     """For each vector its k nearest of each value of `group` (of all, if None): (vec_id, own, other, neighbour, dist).
 
     Exact, so all are compared with all, in blocks: blocks hold `block` vectors, each pair of blocks is one
-    group of bounded size that returns k rows a vector, and the k best of those are picked. `own` and `other`
+    group of bounded size, one matrix product and k rows a vector, and the k best of those are picked. `own` and `other`
     are the groups of both; the vector itself counts among its neighbours.
     """
     rows = items.select("vec_id", F.col(group).cast("string").alias("g") if group else F.lit("").alias("g"), F.col("embedding").cast("array<double>").alias("x"))
@@ -111,18 +152,14 @@ def nearest(items: DataFrame, k: int, group: str | None = "role", block: int = B
 
     def compare(one: pd.DataFrame) -> pd.DataFrame:
         left, right = one[one["left"]], one[~one["left"]]
-        out = []
+        out = [pd.DataFrame({"vec_id": [], "own": [], "other": [], "neighbour": [], "dist": []})]
         if len(left) and len(right):
-            x = np.array(left["x"].tolist())
+            x, names, own = np.array(left["x"].tolist()), left["vec_id"].to_numpy(), left["g"].to_numpy()
             for g, mine in right.groupby("g", sort=True):
                 mine = mine.sort_values("vec_id")
-                y, ids = np.array(mine["x"].tolist()), mine["vec_id"].to_numpy()
-                for at in range(0, len(x), 64):
-                    d = ((x[at : at + 64, None, :] - y[None, :, :]) ** 2).sum(2)
-                    pick = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    rows = np.repeat(np.arange(at, at + len(d)), pick.shape[1])
-                    out.append(pd.DataFrame({"vec_id": left["vec_id"].to_numpy()[rows], "own": left["g"].to_numpy()[rows], "other": g, "neighbour": ids[pick.ravel()], "dist": np.take_along_axis(d, pick, 1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"vec_id": [], "own": [], "other": [], "neighbour": [], "dist": []})
+                row, col, d = _near(x, np.array(mine["x"].tolist()), k)
+                out.append(pd.DataFrame({"vec_id": names[row], "own": own[row], "other": g, "neighbour": mine["vec_id"].to_numpy()[col], "dist": d}))
+        return pd.concat(out[1:] or out)
 
     found = pairs.groupBy("i", "j").applyInPandas(compare, "vec_id long, own string, other string, neighbour long, dist double")
     best = Window.partitionBy("vec_id", "other").orderBy("dist", "neighbour")
@@ -165,46 +202,87 @@ def role_confusion(items: DataFrame, k: int = 3, margin: float = 0.1, relative:
     return per.where((F.col("best_role") != F.col("role")) & ((F.col("current") > 0) & (gap / F.col("current") > margin) if relative else gap > margin))
 
 
-def _pairs_in_role(items: DataFrame, weights: Mapping[str, float], block: int) -> DataFrame:
-    """(failure_a, failure_b, role, cos) of all pairs of one role, in blocks as in nearest()."""
-    rows = items.select("failure_id", "role", F.col("embedding").cast("array<double>").alias("x")).where(F.col("role").isin(*weights))
-    n = max(1, -(-rows.count() // block))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("failure_id"), F.lit(n)).cast("int"))
-    # Part p meets the parts from p on: each unordered pair of parts once.
+def _in_blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """rows twice, as `left` and not, with (i, j): group (i, j) meets part i with part j, i <= j, so each pair of parts once."""
+    n = max(1, -(-rows.select(key).distinct().count() // block))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
     left = rows.withColumn("left", F.lit(True)).withColumn("i", F.col("part")).withColumn("j", F.explode(F.sequence(F.col("part"), F.lit(n - 1))))
     right = rows.withColumn("left", F.lit(False)).withColumn("j", F.col("part")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("part"))))
+    return left.unionByName(right)
 
-    def compare(one: pd.DataFrame) -> pd.DataFrame:
-        left, right = one[one["left"]], one[~one["left"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"failure_a": [], "failure_b": [], "role": [], "cos": []})
-        x, y = (np.array(s["x"].tolist()) for s in (left, right))
-        x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
-        a, b = left["failure_id"].to_numpy(), right["failure_id"].to_numpy()
-        # Blocks of the diagonal hold both orders of a pair.
-        want = a[:, None] < b[None, :] if one["i"].iloc[0] == one["j"].iloc[0] else a[:, None] != b[None, :]
-        rows, cols = np.nonzero(want)
-        cos = (x[rows] * y[cols]).sum(1)
-        return pd.DataFrame({"failure_a": np.minimum(a[rows], b[cols]), "failure_b": np.maximum(a[rows], b[cols]), "role": left["role"].iloc[0], "cos": cos})
 
-    return left.unionByName(right).groupBy("role", "i", "j").applyInPandas(compare, "failure_a long, failure_b long, role string, cos double")
+def _unit(x: pd.Series) -> np.ndarray:
+    v = np.array(x.tolist(), np.float64)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def near_duplicate_failures(items: DataFrame, threshold: float = 0.92, weights: Mapping[str, float] = ROLE_WEIGHTS, block: int = BLOCK) -> DataFrame:
-    """Failure pairs whose weighted cosines over common roles sum to the threshold: (failure_a, failure_b, score, roles)."""
-    w = F.lit(0.0)
-    for role, weight in weights.items():
-        w = F.when(F.col("role") == role, F.lit(weight)).otherwise(w)
-    pairs = _pairs_in_role(items, weights, block).groupBy("failure_a", "failure_b").agg(F.sum(w * F.col("cos")).alias("score"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"))
-    return pairs.where(F.col("score") >= threshold).select("failure_a", "failure_b", F.round("score", 4).alias("score"), "roles")
+    """Failure pairs whose weighted cosines over common roles sum to the threshold: (failure_a, failure_b, score, roles).
 
+    All with all, exact: a pair of blocks holds all roles of its failures, so pairs are summed up inside, and
+    only those from the threshold on leave it.
+    """
+    rows = items.select("failure_id", "role", F.col("embedding").cast("array<double>").alias("x")).where(F.col("role").isin(*weights))
 
-def near_duplicate_causes(failure_pairs: DataFrame, causes: DataFrame, threshold: float = 0.90) -> DataFrame:
-    """Causes of paired failures with a cosine of the threshold: (failure_a, failure_b, cause_a, cause_b, similarity)."""
-    a = causes.select(F.col("failure_id").alias("failure_a"), F.col("cause_id").alias("cause_a"), F.col("embedding").alias("ea"))
-    b = causes.select(F.col("failure_id").alias("failure_b"), F.col("cause_id").alias("cause_b"), F.col("embedding").alias("eb"))
-    pairs = failure_pairs.select("failure_a", "failure_b").join(a, "failure_a").join(b, "failure_b").withColumn("similarity", cosine(F.col("ea"), F.col("eb")))
-    return pairs.where(F.col("similarity") >= threshold).select("failure_a", "failure_b", "cause_a", "cause_b", F.round("similarity", 4).alias("similarity"))
+    def compare(one: pd.DataFrame) -> pd.DataFrame:
+        same = one["i"].iloc[0] == one["j"].iloc[0]
+        sides = [one[one["left"]], one[~one["left"]]]
+        ids = [np.unique(s["failure_id"]) for s in sides]
+        score, shared = np.zeros([len(i) for i in ids]), np.zeros([len(i) for i in ids], np.int64)
+        roles = sorted(weights)
+        for n, role in enumerate(roles):
+            mine = [s[s["role"] == role] for s in sides]
+            if len(mine[0]) and len(mine[1]):
+                a, b = (np.searchsorted(i, m["failure_id"]) for i, m in zip(ids, mine))
+                x, y = (_unit(m["x"]) for m in mine)
+                for at in range(0, len(x), STRIP):
+                    np.add.at(score, np.ix_(a[at : at + STRIP], b), weights[role] * (x[at : at + STRIP] @ y.T))
+                shared[np.ix_(np.unique(a), np.unique(b))] |= 1 << n
+        row, col = np.nonzero((score >= threshold) & (shared > 0))
+        a, b = ids[0][row], ids[1][col]
+        keep = a < b if same else a != b
+        named = [",".join(r for n, r in enumerate(roles) if s >> n & 1) for s in shared[row, col][keep]]
+        return pd.DataFrame({"failure_a": np.minimum(a, b)[keep], "failure_b": np.maximum(a, b)[keep], "score": score[row, col][keep], "roles": named})
+
+    pairs = _in_blocks(rows, "failure_id", block).groupBy("i", "j").applyInPandas(compare, "failure_a long, failure_b long, score double, roles string")
+    return pairs.withColumn("score", F.round("score", 4))
+
+
+def similar_causes(causes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(failure_a, failure_b, cause_a, cause_b, similarity) of causes of different failures from this cosine on; failure_a is the smaller.
+
+    All with all in blocks, as above; norms once a row and block.
+    """
+    rows = causes.select("failure_id", "cause_id", F.col("embedding").cast("array<double>").alias("x"))
+
+    def compare(one: pd.DataFrame) -> pd.DataFrame:
+        left, right = one[one["left"]], one[~one["left"]]
+        f, g, c, d = (s[k].to_numpy() for k in ("failure_id", "cause_id") for s in (left, right))
+        out = []
+        if len(left) and len(right):
+            x, y = _unit(left["x"]), _unit(right["x"])
+            for at in range(0, len(x), STRIP):
+                cos = x[at : at + STRIP] @ y.T
+                row, col = np.nonzero(cos >= threshold)
+                out.append((row + at, col, cos[row, col]))
+        row, col, cos = (np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        # On the diagonal both orders of a pair are there, elsewhere one of them.
+        keep = f[row] < g[col] if one["i"].iloc[0] == one["j"].iloc[0] else f[row] != g[col]
+        row, col, cos = row[keep], col[keep], cos[keep]
+        turn = f[row] > g[col]
+        pick = lambda p, q: np.where(turn, q, p)
+        return pd.DataFrame({"failure_a": pick(f[row], g[col]), "failure_b": pick(g[col], f[row]), "cause_a": pick(c[row], d[col]), "cause_b": pick(d[col], c[row]), "similarity": cos})
+
+    return _in_blocks(rows, "cause_id", block).groupBy("i", "j").applyInPandas(compare, "failure_a long, failure_b long, cause_a long, cause_b long, similarity double")
+
+
+def near_duplicate_causes(failure_pairs: DataFrame | None, causes: DataFrame, threshold: float = 0.90) -> DataFrame:
+    """Causes of paired failures (all pairs, if None) with a cosine of the threshold: (failure_a, failure_b, cause_a, cause_b, similarity)."""
+    found = similar_causes(causes, threshold)
+    if failure_pairs is not None:
+        either = failure_pairs.select(F.least("failure_a", "failure_b").alias("failure_a"), F.greatest("failure_a", "failure_b").alias("failure_b"))
+        found = found.join(either, ["failure_a", "failure_b"], "left_semi")
+    return found.withColumn("similarity", F.round("similarity", 4))
 
 
 def by_ids(items: DataFrame, ids: Sequence[int | str], key: str = "vec_id") -> DataFrame:

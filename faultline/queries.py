@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import classify
@@ -86,6 +86,9 @@ def _set_coverage(a: str, b: str) -> str:
     return f"CASE WHEN len(list_distinct({a})) > 0 THEN len(list_intersect(list_distinct({a}), {b})) / CAST(len(list_distinct({a})) AS DOUBLE) ELSE 0.0 END"
 
 
+#: Limits that part the test vectors, where the usual ones take all or none of them.
+ISOLATED, CONFUSED = 1.2, -1.2
+
 # --- Vector search -----------------------------------------------------------------------------------------------
 
 
@@ -160,9 +163,10 @@ def cohesion_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.cohesion_outliers(vectors.cohesion(kb_vec(spark, sf_dir))).select("vec_id", "role", F.round("avg_dist", 6).alias("avg_dist"))
 
 
-@query("WITH " + _COHESION + " SELECT vec_id, role, round(avg_dist, 6) AS avg_dist FROM s WHERE avg_dist > 0.85", "kb_vec")
+@query("WITH " + _COHESION + f" SELECT vec_id, role, round(avg_dist, 6) AS avg_dist FROM s WHERE avg_dist > {ISOLATED}", "kb_vec")
 def extreme_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.isolated(vectors.cohesion(kb_vec(spark, sf_dir))).select("vec_id", "role", F.round("avg_dist", 6).alias("avg_dist"))
+    """With a limit of ISOLATED (default 0.85), which parts the test vectors."""
+    return vectors.isolated(vectors.cohesion(kb_vec(spark, sf_dir)), ISOLATED).select("vec_id", "role", F.round("avg_dist", 6).alias("avg_dist"))
 
 
 @query(f"""WITH p AS (SELECT a.cause_id, b.cause_id AS neighbour, {_d('a.embedding', 'b.embedding')} AS dist FROM kb_cause a, kb_cause b),
@@ -185,9 +189,10 @@ def role_confusion_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.role_confusion(kb_vec(spark, sf_dir)).select("vec_id", "role", "best_role", F.round("current", 6).alias("current"), F.round("best", 6).alias("best"))
 
 
-@query(_confusion_sql("", "min", "cur - best > 0.05"), "kb_vec")
+@query(_confusion_sql("", "min", f"cur - best > {CONFUSED}"), "kb_vec")
 def role_confusion_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.role_confusion(kb_vec(spark, sf_dir), margin=0.05, relative=False).select("vec_id", "role", "best_role", F.round("current", 6).alias("current"), F.round("best", 6).alias("best"))
+    """A vector's own role holds itself, at distance 0, so no positive margin (default 0.05) finds any: with one of CONFUSED, which parts them."""
+    return vectors.role_confusion(kb_vec(spark, sf_dir), margin=CONFUSED, relative=False).select("vec_id", "role", "best_role", F.round("current", 6).alias("current"), F.round("best", 6).alias("best"))
 
 
 @query(f"""WITH p AS (SELECT a.failure_id AS failure_a, b.failure_id AS failure_b, a.role, {_cos('a.embedding', 'b.embedding')} AS c FROM kb_vec a JOIN kb_vec b ON a.role = b.role AND a.failure_id < b.failure_id),
@@ -203,10 +208,17 @@ SELECT a.failure_id AS failure_a, b.failure_id AS failure_b, a.cause_id AS cause
 FROM kb_cause a JOIN kb_cause b ON a.failure_id < b.failure_id WHERE {_cos('a.embedding', 'b.embedding')} >= 0.4""", "kb_cause")
 def near_dup_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all failure pairs, with a threshold of 0.4 (default 0.90), so that the test vectors have such pairs."""
-    causes = kb_cause(spark, sf_dir)
-    ids = causes.select("failure_id").distinct()  # ten labels
-    pairs = ids.select(F.col("failure_id").alias("failure_a")).join(ids.select(F.col("failure_id").alias("failure_b")), F.col("failure_a") < F.col("failure_b"))
-    return vectors.near_duplicate_causes(pairs, causes, 0.4)
+    return vectors.near_duplicate_causes(None, kb_cause(spark, sf_dir), 0.4)
+
+
+@query(f"""WITH p AS (SELECT DISTINCT a.failure_id AS failure_a, b.failure_id AS failure_b FROM kb_vec a JOIN kb_vec b ON a.failure_id < b.failure_id AND (a.failure_id + b.failure_id) % 7 = 0 AND b.failure_id < 10)
+SELECT a.failure_id AS failure_a, b.failure_id AS failure_b, a.cause_id AS cause_a, b.cause_id AS cause_b, round({_cos('a.embedding', 'b.embedding')}, 4) AS similarity
+FROM kb_cause a JOIN kb_cause b ON a.failure_id < b.failure_id JOIN p ON p.failure_a = a.failure_id AND p.failure_b = b.failure_id WHERE {_cos('a.embedding', 'b.embedding')} >= 0.3""", "kb_vec kb_cause")
+def near_dup_causes_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of given failure pairs only, as the failure scan would give them."""
+    ids = kb_vec(spark, sf_dir).where("failure_id < 10").select("failure_id").distinct()
+    pairs = ids.select(F.col("failure_id").alias("failure_a")).join(ids.select(F.col("failure_id").alias("failure_b")), F.expr("failure_a < failure_b AND (failure_a + failure_b) % 7 = 0"))
+    return vectors.near_duplicate_causes(pairs, kb_cause(spark, sf_dir), 0.3)
 
 
 @query("SELECT vec_id, failure_id, role FROM kb_vec WHERE vec_id IN (3, 4, 5)", "kb_vec")
@@ -234,18 +246,46 @@ def add_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.upsert(table(spark, sf_dir, "conversations"), "conv_id", "turn", first_wins=True).select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
 
 
-@query(f"""WITH s AS (SELECT vec_id AS i, vec_id + 1 AS j FROM embeddings WHERE vec_id % 3 = 0),
-o AS (SELECT i, cause_id, row_number() OVER (PARTITION BY i ORDER BY {_d('c.embedding', 'e.embedding')}, cause_id) AS p FROM s JOIN embeddings e ON e.vec_id = i, kb_cause c),
-r AS (SELECT i, cause_id, row_number() OVER (PARTITION BY i ORDER BY {_d('c.embedding', 'e.embedding')}, cause_id) AS p FROM s JOIN embeddings e ON e.vec_id = j, kb_cause c),
-x AS (SELECT i, bool_or(cause_id = i AND p = 1) AS o1, bool_or(cause_id = i AND p <= 3) AS ok FROM o GROUP BY i), y AS (SELECT i, bool_or(cause_id = i AND p = 1) AS r1, bool_or(cause_id = i AND p <= 3) AS rk FROM r GROUP BY i)
-SELECT count(*) AS n, round(avg(CAST(o1 AS INT)), 6) AS original_top1, round(avg(CAST(ok AS INT)), 6) AS original_recall, round(avg(CAST(r1 AS INT)), 6) AS rephrased_top1, round(avg(CAST(rk AS INT)), 6) AS rephrased_recall, round(avg(CAST(o1 AND NOT r1 AS INT)), 6) AS regression_rate FROM x JOIN y USING (i)""", "kb_cause")
+def _top_rates(original: str, rephrased: str) -> str:
+    """Rates over x and y: bools (o1, ok) of the original and (r1, rk) of the rephrased queries by i."""
+    rate = lambda c: f"round(avg(CAST({c} AS INT)), 6)"
+    return f"SELECT count(*) AS n, {rate('o1')} AS original_top1, {rate('ok')} AS original_recall, {rate('r1')} AS rephrased_top1, {rate('rk')} AS rephrased_recall, {rate('o1 AND NOT r1')} AS regression_rate FROM {original} x JOIN {rephrased} y USING (i)"
+
+
+@query(f"""WITH n AS (SELECT e.vec_id AS q, cause_id, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_d('c.embedding', 'e.embedding')}, cause_id) AS p FROM embeddings e, kb_cause c),
+t AS (SELECT vec_id AS i, coalesce(lead(vec_id) OVER (ORDER BY vec_id), min(vec_id) OVER ()) AS j FROM embeddings),
+x AS (SELECT i, bool_or(cause_id = i AND p = 1) AS o1, bool_or(cause_id = i AND p <= 3) AS ok FROM t JOIN n ON q = i GROUP BY i), y AS (SELECT i, bool_or(cause_id = i AND p = 1) AS r1, bool_or(cause_id = i AND p <= 3) AS rk FROM t JOIN n ON q = j GROUP BY i)
+{_top_rates('x', 'y')}""", "kb_cause")
 def retrieval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each third vector as an original query, its neighbour by number as the rephrased one."""
-    near = vectors.nearest(kb_cause(spark, sf_dir).withColumnRenamed("cause_id", "vec_id"), 3, None)
+    """Causes: each vector as an original query, the next one by number as its rephrased one."""
+    causes = kb_cause(spark, sf_dir).select(F.col("cause_id").alias("vec_id"), "embedding")
+    near = vectors.nearest(causes, 3, None)
     ids = near.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dist", "neighbour"))), lambda s: s["neighbour"]).alias("ids"))
-    found = ids.where("vec_id % 3 = 0").select(F.col("vec_id").alias("truth"), F.col("ids").alias("original_ids"))
-    found = found.join(ids.select((F.col("vec_id") - 1).alias("truth"), F.col("ids").alias("rephrased_ids")), "truth")
-    return quality.retrieval_accuracy(found)
+    return quality.retrieval_accuracy(_original_and_next(ids, "vec_id"))
+
+
+def _original_and_next(ids: DataFrame, key: str) -> DataFrame:
+    """(truth, original_ids, rephrased_ids): results of each query, and of the one that follows it, the first after the last."""
+    turn = ids.select(F.col(key).alias("truth"))
+    # Numbers of queries alone go through the window.
+    turn = turn.withColumn("next", F.coalesce(F.lead("truth").over(Window.orderBy("truth")), F.min("truth").over(Window.partitionBy())))
+    original = turn.join(ids.select(F.col(key).alias("truth"), F.col("ids").alias("original_ids")), "truth").select("truth", "original_ids")
+    rephrased = turn.join(ids.select(F.col(key).alias("next"), F.col("ids").alias("rephrased_ids")), "next").select("truth", "rephrased_ids")
+    return quality.retrieval_pairs(original, rephrased, ("truth",)).select("truth", "o.original_ids", "r.rephrased_ids")
+
+
+@query(f"""WITH p AS (SELECT a.failure_id AS q, b.failure_id AS f, a.role, b.vec_id, {_d('a.embedding', 'b.embedding')} AS dist FROM kb_vec a JOIN kb_vec b ON a.role = b.role),
+h AS (SELECT *, row_number() OVER (PARTITION BY q, role ORDER BY dist, vec_id) AS place FROM p),
+m AS (SELECT q, f, sum(CASE role WHEN 'failure_mode' THEN 0.5::DOUBLE WHEN 'failure_element' THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END * (1 - dist)) AS score, count(DISTINCT role) AS roles FROM h WHERE place <= 3 GROUP BY q, f),
+n AS (SELECT q, f, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, roles DESC, f) AS p FROM m),
+k AS (SELECT DISTINCT failure_id AS i FROM kb_vec), t AS (SELECT i, coalesce(lead(i) OVER (ORDER BY i), min(i) OVER ()) AS j FROM k),
+x AS (SELECT i, bool_or(f = i AND p = 1) AS o1, bool_or(f = i AND p <= 3) AS ok FROM t JOIN n ON q = i GROUP BY i), y AS (SELECT i, bool_or(f = i AND p = 1) AS r1, bool_or(f = i AND p <= 3) AS rk FROM t JOIN n ON q = j GROUP BY i)
+{_top_rates('x', 'y')}""", "kb_vec")
+def retrieval_accuracy_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures: the three role vectors of each as an original query, those of the next failure as its rephrased one."""
+    best = vectors.search_failures_batch(kb_vec(spark, sf_dir), 3)
+    ids = best.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "failure_id"))), lambda s: s["failure_id"]).alias("ids"))
+    return quality.retrieval_accuracy(_original_and_next(ids, "query_id"))
 
 
 # --- Text functions -----------------------------------------------------------------------------------------------
@@ -266,13 +306,15 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with one benchmark item, by number; items are a few hundred short texts at most."""
+    """Each document with one benchmark item: items take turns in the order of their numbers, all of them and all documents."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("sentence"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source")).withColumn("item_id", F.col("doc_id") % 40)
-    return docs.join(items, "item_id")
+    turn = items.select("item_id").distinct()
+    turn = turn.join(turn.select(F.col("item_id").alias("before")), F.col("before") < F.col("item_id"), "left").groupBy("item_id").agg(F.count("before").alias("turn"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source")).withColumn("turn", F.pmod("doc_id", F.lit(max(1, turn.count()))))
+    return docs.repartition(F.xxhash64("doc_id")).join(items.join(turn, "item_id").drop("item_id"), "turn")
 
 
-_PAIR_SQL = "x AS (SELECT doc_id, d.text AS source, b.text AS sentence FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"
+_PAIR_SQL = "i AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS turn FROM benchmark), x AS (SELECT doc_id, d.text AS source, i.text AS sentence FROM documents d JOIN i ON i.turn = d.doc_id % (SELECT count(*) FROM benchmark))"
 
 
 @query(f"WITH {_PAIR_SQL}, t AS (SELECT doc_id, {_tokens('sentence')} AS a, {_tokens('source')} AS b FROM x) SELECT doc_id, round({_set_coverage('a', 'b')}, 6) AS set_coverage, round(CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda t: list_contains(b, t))) / CAST(len(a) AS DOUBLE) ELSE 0.0 END, 6) AS bag_coverage, round(len(list_intersect(list_distinct(a), b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS jaccard FROM t")
