@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from .common import drop_written, split_join, written
 
 #: Symbols that one task sorts by itself: where the recursion ends.
-LOCAL = 1 << 20
+LOCAL = 2_000_000
 
 
 def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Sorted order of keys, the rank of each (equal keys, equal rank, from 1), and the number of ranks."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.concatenate([[1], keys[order][1:] != keys[order][:-1]]).astype(np.int64)
     rank = np.empty(len(keys), np.int64)
     rank[order] = np.cumsum(new)
@@ -53,7 +53,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rank[n:] = 0
 
     zero = np.arange(0, n, 3)
-    zero = zero[np.argsort((t[zero] << 42) | rank[zero + 1], kind="stable")]
+    zero = zero[np.argsort((t[zero] << 42) | rank[zero + 1])]
     first, second = sample[sample % 3 == 1], sample[sample % 3 == 2]
     before = np.searchsorted((t[first] << 42) | rank[first + 1], (t[zero] << 42) | rank[zero + 1])
     pairs = lambda x: (t[x] << 42) | (t[x + 1] << 21) | rank[x + 2]

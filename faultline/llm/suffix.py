@@ -18,7 +18,7 @@ from .windows import candidates, firsts, keyed, repeated, segments
 #: Bytes of a string that must not occur twice; bytes of the grams that strings are sampled by.
 LENGTH, GRAM = 400, 64
 #: Bytes of one task's suffix array, about; a minimum with more bytes than this is sorted by all tasks together.
-BLOCK = LOCAL
+BLOCK = 1 << 20
 #: Neighbours in the order of suffixes that one group of rows holds.
 NEIGHBOURS = 1 << 16
 
@@ -198,7 +198,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
     covered = usual
     hot = sized.where(F.col("bytes") > block)
     if not hot.isEmpty():
-        covered = usual.unionByName(_by_all(hot, length, block))
+        covered = usual.unionByName(_by_all(hot, length, min(2 * block, LOCAL)))
     covered = written(covered.where(F.size("covered") > 0).join(distinct.select("a", "key", F.col("n").alias("rows")), ["a", "key"]), "ranges")
     parts_at = parts.select("a", "key", "doc", "lo")
     ranges = split_join(parts_at, covered, ["a", "key"], "rows").groupBy("doc").agg(F.flatten(F.collect_list(F.transform("covered", lambda x: x + F.col("lo")))).alias("covered"))
