@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import classify
+from . import texteval
+
 _TAG = "struct<review_status:string,Version:string,last_updated:string,supersedes:string>"
 _SENT = "struct<sentence_id:string,text:string,source_section:string,annotations:struct<status:string,subject:string,faithful_score:int,faithful_type:string,entity_type:string,assertion_level:string>>"
 #: Schema of a case file.
@@ -71,6 +74,8 @@ def root_cause_defaults(base: Column, causes: Column) -> Column:
             F.concat(base, F.lit("_F1_C"), (i + 1).cast("string")).alias("cause_ID"), F.coalesce(c["cause_level"], F.lit("unknown")).alias("cause_level"), F.coalesce(text, F.lit("Unknown cause (LLM incomplete)")).alias("failure_cause"),
             F.when(c["discipline_type"].isin(*DISCIPLINES), c["discipline_type"]).otherwise(F.lit("Other")).alias("discipline_type"), F.coalesce(c["confidence"], F.lit("medium")).alias("confidence"))
 
+    fields = ("failure_cause", "cause_level", "discipline_type", "confidence")
+    causes = F.transform(causes, lambda c: F.struct(*[c[f].cast("string").alias(f) for f in fields]))
     return F.transform(F.coalesce(causes, F.array().cast("array<struct<failure_cause:string,cause_level:string,discipline_type:string,confidence:string>>")), one)
 
 
@@ -108,6 +113,49 @@ def invalid_cases(cases: DataFrame) -> DataFrame:
     return cases.select("file_ord", F.explode(F.array_compact(F.array(*[F.when(broken, F.lit(m)) for broken, m in rules]))).alias("message"))
 
 
+def require_valid(cases: DataFrame) -> DataFrame:
+    """cases, or an error that names the first case in which something is missing."""
+    first = invalid_cases(cases).orderBy("file_ord", "message").first()
+    if first is not None:
+        raise ValueError(f"case {first['file_ord']}: {first['message']}")
+    return cases
+
+
+def source_texts(cases: DataFrame, names: tuple[str, ...] = ("D2", "D3", "D4")) -> DataFrame:
+    """(file_ord, text): the raw text of these sections, one after the other; missing ones are left out."""
+    return cases.select("file_ord", F.concat_ws("\n", *[F.col(f"sections.{n}.raw_context") for n in names]).alias("text"))
+
+
+# From sections (file, source_section, text) to cases. Selection and consolidation go by rules where no model is at hand.
+
+
+def selected(sections_: DataFrame, k: int = 10) -> DataFrame:
+    """(file, source_section, place, sentence, sentence_id): the k most valuable sentences of each section."""
+    rows = texteval.valuable_sentences(sections_.withColumn("_key", F.struct("file", "source_section")), k, "_key", "text")
+    return sentence_ids(rows.select("_key.file", "_key.source_section", "place", "sentence"), "file", "source_section", "place")
+
+
+def with_sources(sentences: DataFrame, sections_: DataFrame) -> DataFrame:
+    """sentences with `source`: all sections of their own case, in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("source_section", "text")))
+    return sentences.join(sections_.groupBy("file").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "\n").alias("source")), "file")
+
+
+def annotated(sentences: DataFrame, sections_: DataFrame) -> DataFrame:
+    """sentences with faithful_type and faithful_score against the text of their own case."""
+    return texteval.faithfulness(with_sources(sentences, sections_)).drop("source")
+
+
+def consolidated(sentences: DataFrame, sections_: DataFrame) -> DataFrame:
+    """(file, failure_mode, failure_effect, root_causes) of each case: the first sentence of D2 and of D3, and the sentences of D4 as causes, by rules."""
+    first = lambda name: F.min(F.when((F.col("source_section") == name) & (F.col("place") == 1), F.col("sentence")))
+    cause = F.struct("place", F.struct(F.col("sentence").alias("failure_cause"), classify.fmea_level(F.col("sentence")).alias("cause_level"), classify.discipline(F.col("sentence")).alias("discipline_type"), F.lit(None).cast("string").alias("confidence")).alias("c"))
+    of = sentences.groupBy("file").agg(first("D2").alias("failure_mode"), first("D3").alias("failure_effect"), F.array_sort(F.collect_list(F.when(F.col("source_section") == "D4", cause))).alias("causes"))
+    every = sections_.select("file").distinct().join(of, "file", "left")
+    made = root_cause_defaults(F.concat(F.lit("report_"), F.col("file").cast("string")), F.transform("causes", lambda c: c["c"]))
+    return every.select("file", "failure_mode", "failure_effect", made.alias("root_causes"))
+
+
 def ingest(cases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(failures, causes, sentences) of cases in CASE_SCHEMA with file_ord; cases without documents must be none.
 

@@ -72,6 +72,21 @@ def summary(checks: dict[str, DataFrame], samples: int = 5) -> DataFrame:
     return ranked.groupBy("check").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("place") <= samples, F.col("message")))).alias("samples"))
 
 
+def written_report(checks: dict[str, DataFrame], path: str, samples: int = 5) -> DataFrame:
+    """(check, message) of all findings, written with their summary and read again; a check without findings has one row without message."""
+    from ..sources.files import write_report
+
+    out = None
+    for name, found in checks.items():
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in found.columns]
+        one = found.select(F.lit(name).alias("check"), F.concat_ws(": ", *cells).alias("message"))
+        out = one if out is None else out.unionByName(one)
+    spark = out.sparkSession
+    write_report(summary(checks, samples), out, path)
+    names = spark.createDataFrame([(n,) for n in checks], "check string")
+    return names.join(spark.read.schema("check string, message string").json(f"{path}/details"), "check", "left")
+
+
 def retrieval_pairs(original: DataFrame, rephrased: DataFrame, keys: tuple[str, ...] = ("failure_id", "cause_id"), order: str | None = None) -> DataFrame:
     """Both kinds of query by key; of repeated keys the last one counts. No common key is an error."""
     def last(d: DataFrame) -> DataFrame:

@@ -45,6 +45,44 @@ def sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("sentence_id"), "text", F.concat(F.lit("D"), (2 + F.col("doc_id") % 3).cast("string")).alias("source_section"), level.alias("assertion_level"), F.when(F.col("quality") == 1, 96).otherwise(60).alias("faithful_score"))
 
 
+def case_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten sentences a case file; the last of each has an id that some other files use, too."""
+    s = sent(spark, sf_dir).withColumns({"file_ord": F.floor(F.col("sentence_id") / 10).cast("int"), "slot": (F.col("sentence_id") % 10).cast("int")})
+    own = F.concat(F.lit("c"), F.col("file_ord").cast("string"), F.lit("_S"), F.col("slot").cast("string"))
+    shared = F.concat(F.lit("shared_"), (F.col("file_ord") % 7).cast("string"))
+    return s.withColumn("sentence_id", F.when(F.col("slot") == 9, shared).otherwise(own))
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case files in eightd.CASE_SCHEMA, with file_ord: failures that later files repeat, one or two causes, gaps."""
+    none = F.lit(None).cast("string")
+    notes = F.struct(F.col("assertion_level").alias("status"), F.when(F.col("slot") % 2 == 1, "product").otherwise("").alias("subject"), "faithful_score", none.alias("faithful_type"), none.alias("entity_type"), "assertion_level")
+    lines = case_lines(spark, sf_dir).select("file_ord", F.struct("slot", F.struct("sentence_id", "text", "source_section", notes.alias("annotations")).alias("s")).alias("line"))
+    c = lines.groupBy("file_ord").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    n = F.col("file_ord")
+    at = lambda *slots: F.transform(F.filter("lines", lambda x: x["slot"].isin(*slots)), lambda x: x["s"])
+    text = lambda slot: F.struct(F.get(F.transform(at(slot), lambda s: s["text"]), F.lit(0)).alias("raw_context"))
+    tag = F.struct(none.alias("review_status"), none.alias("Version"), none.alias("last_updated"), none.alias("supersedes"))
+    fid = F.concat(F.lit("F"), (n % 80).cast("string"))
+
+    def cause(k: int, text_, level, discipline, confidence, *slots: int):
+        fields = {"cause_ID": F.concat(fid, F.lit(f"_C{k}")), "cause_level": level, "failure_cause": text_, "cause_parent": none, "discipline_type": discipline, "supporting_entities": at(*slots), "inferred_insight": none, "confidence": confidence, "maintenance_tag": tag}
+        return F.struct(*[v.alias(name) for name, v in fields.items()])
+
+    one = cause(1, F.when(n % 10 != 0, F.concat(F.lit("cause "), (n % 6).cast("string"))), F.when(n % 4 != 0, F.lit("process")), F.when(n % 3 == 0, F.lit("HW")), F.lit("high"), 3, 4)
+    two = cause(2, F.lit("second cause"), F.lit("design"), F.lit("MCH"), none, 5, 9)
+    failure = {"failure_ID": fid, "failure_level": none, "failure_element": F.concat(F.lit("element "), (n % 5).cast("string")), "failure_mode": F.when(n % 11 != 0, F.concat(F.lit("mode "), (n % 9).cast("string"))), "failure_effect": F.when(n % 3 != 0, F.lit("effect")), "supporting_entities": at(0, 1, 2), "maintenance_tag": tag, "root_causes": F.when(n % 2 == 0, F.array(one, two)).otherwise(F.array(one))}
+    doc = F.struct(F.concat(F.lit("report_"), n.cast("string")).alias("file_name"), F.concat(F.lit("P"), (n % 4).cast("string")).alias("product_name"), none.alias("date"))
+    sections = F.struct(text(0).alias("D2"), text(1).alias("D3"), text(2).alias("D4"))
+    return c.select("file_ord", F.array(doc).alias("documents"), tag.alias("maintenance_tag"), F.when(n % 2 == 0, F.lit("system")).alias("system_name"), F.struct(*[v.alias(k) for k, v in failure.items()]).alias("failure"), sections.alias("sections"), F.transform("lines", lambda x: x["s"]).alias("selected_sentences"))
+
+
+def case_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, source_section, text): three documents a case, as its sections D2, D3 and D4."""
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(F.floor(i / 3).cast("long").alias("file"), F.concat(F.lit("D"), (2 + i % 3).cast("string")).alias("source_section"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
     """One vector, 64 numbers, as the query of a search."""
     row = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
@@ -70,6 +108,11 @@ FROM (SELECT *, CAST(l_orderkey % 5 AS INT) AS file_ord FROM lineitem) l JOIN pa
     "sent": """sent AS (SELECT d.doc_id AS sentence_id, d.text, concat('D', CAST(2 + d.doc_id % 3 AS VARCHAR)) AS source_section,
  CASE d.doc_id % 4 WHEN 0 THEN 'observed' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'ruled_out' ELSE 'suspected' END AS assertion_level,
  CASE WHEN l.quality = 1 THEN 96 ELSE 60 END AS faithful_score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""",
+    "case_lines": """case_lines AS (SELECT CAST(s.sentence_id // 10 AS INT) AS file_ord, CAST(s.sentence_id % 10 AS INT) AS slot,
+ CASE WHEN s.sentence_id % 10 = 9 THEN concat('shared_', (s.sentence_id // 10) % 7) ELSE concat('c', s.sentence_id // 10, '_S', s.sentence_id % 10) END AS sentence_id, text, source_section, assertion_level, faithful_score FROM sent s)""",
+    "case_heads": """case_heads AS (SELECT DISTINCT file_ord, concat('F', file_ord % 80) AS failure_id, CASE WHEN file_ord % 11 = 0 THEN '' ELSE concat('mode ', file_ord % 9) END AS failure_mode,
+ concat('element ', file_ord % 5) AS failure_element, CASE WHEN file_ord % 3 <> 0 THEN 'effect' END AS failure_effect, concat('P', file_ord % 4) AS product FROM case_lines)""",
+    "case_sections": "case_sections AS (SELECT doc_id, doc_id // 3 AS file, concat('D', 2 + doc_id % 3) AS source_section, coalesce(text, '') AS text FROM documents)",
 }
 
 

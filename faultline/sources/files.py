@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,5 +96,20 @@ def write_report(summary: DataFrame, details: DataFrame, path: str) -> None:
     details.write.mode("overwrite").json(f"{path}/details")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where all runs in this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), f"faultline-{spark.sparkContext.applicationId}")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def stamped(rows: DataFrame, column: str = "loaded_at") -> DataFrame:
+    """rows with the time of the load, one for all of them."""
+    return rows.withColumn(column, F.current_timestamp())
+
+
 def unprocessed(files: DataFrame, done: DataFrame, key: str = "file") -> DataFrame:
     return files.join(done.select(key).distinct(), key, "left_anti")
