@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Python's str.strip and \s see it, for Java regular expressions.
-WS = r"[\s\x1c-\x1f\x85]"
+#: White space as Python's str.strip and \s see it, for Java regular expressions; spelled out, as classes by property are slow.
+_ODD_WS = "\\t-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+WS = f"[ {_ODD_WS}]"
 
 # Texts that stand for "nothing".
 NOT_EMBEDDED = ("", "-", "n/a", "na", "null", "none", "tbd", "to be defined")
@@ -29,22 +30,29 @@ CAUSE_WORDS = (
 STOP_WORDS = tuple("the and for are was were with that this from have has had not but you all any can her his its our out she they their them then there these those will would been being than too very which who whom what when where why how into over under again once only own same such more most some each few both between during before after above below off down about against through because until while does did doing just should now".split())
 
 
+def _seen(c: Column) -> Column:
+    """Is a character a printable ASCII one, so that there is nothing to strip."""
+    return c.between("!", "~")
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"(?U)^{WS}+|{WS}+$", "")
+    # Most texts begin and end with such a character: they pass without a regular expression.
+    return F.when(_seen(F.substring(x, 1, 1)) & _seen(F.substring(x, -1, 1)), x).otherwise(F.regexp_replace(x, f"^{WS}+|{WS}+$", ""))
 
 
 def collapse(x: Column) -> Column:
-    return F.regexp_replace(x, f"(?U){WS}+", " ")
+    """Runs of white space as one space; single spaces, the usual case, are not touched."""
+    return F.regexp_replace(x, f"[{_ODD_WS}]{WS}*| {WS}+", " ")
 
 
 def normalize_key(x: Column) -> Column:
     """Deduplication key: null is empty; trimmed before punctuation turns into spaces, so "fails." keeps a space at its end."""
-    return collapse(F.regexp_replace(strip(F.lower(F.coalesce(x, F.lit("")))), f"(?U)[^a-z0-9\\s\\x1c-\\x1f\\x85]", " "))
+    return F.regexp_replace(strip(F.lower(F.coalesce(x, F.lit("")))), "[^a-z0-9]+", " ")
 
 
 def normalize_plain(x: Column) -> Column:
     """Letters a-z, digits and single spaces; trimmed last."""
-    return strip(collapse(F.regexp_replace(F.lower(x), f"(?U)[^a-z0-9\\s\\x1c-\\x1f\\x85]", " ")))
+    return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
 
 
 def normalize_spaces(x: Column) -> Column:
@@ -134,6 +142,11 @@ def tokens(x: Column) -> Column:
     return F.filter(F.split(normalize_plain(x), " ", -1), lambda t: t != "")
 
 
+def repeated_size(a: Column, known: Column) -> Column:
+    """How many of a's elements, repeats counted, are known."""
+    return F.size(F.filter(a, lambda t: F.array_contains(known, t)))
+
+
 def content_tokens(x: Column) -> Column:
     """Words of letters only, longer than two, that are no stop words: what lemmas are compared by, without lemmatising."""
     found = F.regexp_extract_all(normalize_spaces(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -148,7 +161,7 @@ def set_coverage(a: Column, b: Column) -> Column:
 
 def bag_coverage(a: Column, b: Column) -> Column:
     """Share of a's tokens, repeats counted, that b has; 0 if a is empty."""
-    return F.when(F.size(a) > 0, F.size(F.filter(a, lambda t: F.array_contains(b, t))) / F.size(a)).otherwise(F.lit(0.0))
+    return F.when(F.size(a) > 0, repeated_size(a, F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(0.0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -69,15 +69,20 @@ def node_text(props: Column, id_: Column) -> Column:
     return F.coalesce(*[F.nullif(props[k], F.lit("")) for k in NAMES], id_)
 
 
+#: The label of what a traversal returns, by kind: other labels are not read.
+LABELS = {"failure_element": "FailureElement", "failure_mode": "FailureMode", "failure_effect": "FailureEffect", "failure_cause": "FailureCause"}
+
+
 def _named(nodes: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
-    return nodes.join(ids, "id", "left_semi").select(F.lit(kind).alias("kind"), node_text(F.col("props"), F.col("id")).alias("value"))
+    return nodes.where(F.col("label") == LABELS[kind]).join(ids, "id", "left_semi").select(F.lit(kind).alias("kind"), node_text(F.col("props"), F.col("id")).alias("value"))
 
 
 def chain(nodes: DataFrame, edges: DataFrame, failure_id: str) -> DataFrame:
     """(kind, value) around a failure: its elements, modes and effects, and the causes of its modes, whoever shares them."""
-    start = find(nodes, "Failure", "failure_id", failure_id)
-    modes = neighbours(edges, start, "HAS_MODE")
-    hops = {"failure_element": neighbours(edges, start, "HAS_ELEMENT"), "failure_mode": modes, "failure_effect": neighbours(edges, start, "HAS_EFFECT"), "failure_cause": neighbours(edges, modes, "CAUSES", "in")}
+    # A node's id holds its key, so the first hops are filters that reach the scan.
+    start = F.col("src") == f"Failure::failure_id::{failure_id}"
+    hop = lambda rel: edges.where((F.col("rel") == rel) & start).select(F.col("dst").alias("id")).distinct()
+    hops = {"failure_element": hop("HAS_ELEMENT"), "failure_mode": hop("HAS_MODE"), "failure_effect": hop("HAS_EFFECT"), "failure_cause": neighbours(edges, hop("HAS_MODE"), "CAUSES", "in")}
     return reduce(DataFrame.unionByName, [_named(nodes, ids, kind) for kind, ids in hops.items()])
 
 
@@ -127,9 +132,10 @@ class Graph:
         return chain(self.nodes, self.edges, failure_id)
 
     def save(self, path: str) -> None:
-        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-        self.edges.write.mode("overwrite").parquet(f"{path}/edges")
+        """A folder a label and a relation, so that traversals read those they ask for."""
+        self.nodes.write.mode("overwrite").partitionBy("label").parquet(f"{path}/nodes")
+        self.edges.write.mode("overwrite").partitionBy("rel").parquet(f"{path}/edges")
 
     @classmethod
     def load(cls, spark, path: str) -> "Graph":
-        return cls(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+        return cls(spark.read.parquet(f"{path}/nodes").select("id", "label", "props"), spark.read.parquet(f"{path}/edges").select("src", "rel", "dst"))

@@ -29,23 +29,23 @@ KEYED = ("system_name", "system_element", "function_name", "failure_type", "fail
 
 
 def keyed(rows: DataFrame) -> DataFrame:
-    """rows with k_* keys, each text normalised once a row; those of the other format's fields are empty.
+    """rows with k_* keys, each text normalised once a row, and `sig`, a digest of file and keys; those of the other format's fields are empty.
 
-    By them rows of one file are one failure: the new format goes by five fields, the old one by three.
+    By it rows of one file are one failure: the new format goes by five fields, the old one by three. Keys hold
+    letters, digits and spaces only, so the digest's separators are safe.
     """
     new = F.coalesce(F.col("source_type") == "new_fmea", F.lit(False))
     own = {"system_name": new, "system_element": new, "function_name": new, "failure_type": ~new}
-    return rows.withColumns({f"k_{c}": F.when(own[c], normalize_key(F.col(c))) if c in own else normalize_key(F.col(c)) for c in KEYED})
-
-
-SIGNATURE = ["file_ord", *(f"k_{c}" for c in KEYED)]
+    rows = rows.withColumns({f"k_{c}": F.when(own[c], normalize_key(F.col(c))) if c in own else normalize_key(F.col(c)) for c in KEYED})
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("file_ord", *(f"k_{c}" for c in KEYED))]
+    return rows.withColumn("sig", F.md5(F.concat_ws("|", *parts)))
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
-    """One row a (file, signature) of keyed(rows), from its first record; severity and rpn are the group's greatest numbers."""
-    first = F.min_by(F.struct("file_name", "source_type", "system_name", "system_element", "function_name", "failure_type", "failure_mode", "failure_effect"), "row_ord")
-    g = rows.groupBy(*SIGNATURE).agg(F.min("row_ord").alias("group_ord"), first.alias("r"), F.max(parse_number(F.col("severity"))).alias("severity"), F.max(parse_number(F.col("rpn"))).alias("rpn"))
-    g = g.select(*SIGNATURE, "group_ord", "severity", "rpn", "r.*")
+    """One row a signature of keyed(rows), from its first record; severity and rpn are the group's greatest numbers."""
+    first = F.min_by(F.struct("file_ord", *[f"k_{c}" for c in KEYED], "file_name", "source_type", "system_name", "system_element", "function_name", "failure_type", "failure_mode", "failure_effect"), "row_ord")
+    g = rows.groupBy("sig").agg(F.min("row_ord").alias("group_ord"), first.alias("r"), F.max(parse_number(F.col("severity"))).alias("severity"), F.max(parse_number(F.col("rpn"))).alias("rpn"))
+    g = g.select("sig", "group_ord", "severity", "rpn", "r.*")
     new = F.coalesce(F.col("source_type") == "new_fmea", F.lit(False))
     # Types are few and rows many: each type is parsed once.
     kinds = g.where(~new).select(F.col("failure_type").alias("kind")).distinct().withColumn("parts", failure_type_parts(F.col("kind")))
@@ -75,11 +75,8 @@ def causes(rows: DataFrame, groups: DataFrame) -> DataFrame:
     The first record gives all fields; mode, element and effect are those of its own group's first record.
     """
     named = rows.where(F.coalesce("failure_cause", F.lit("")) != "")
-    g = groups.select(*[F.col(c).alias(f"g_{c}") for c in SIGNATURE], "group_ord", "failure_id", F.col("failure_mode").alias("g_mode"), F.col("element").alias("g_element"), F.col("failure_effect").alias("g_effect"), F.col("discipline").alias("g_discipline"))
-    same = F.lit(True)
-    for c in SIGNATURE:
-        same = same & F.col(c).eqNullSafe(F.col(f"g_{c}"))
-    named = named.join(g, same).withColumn("cause_key", normalize_key(F.col("failure_cause")))
+    g = groups.select("sig", "group_ord", "failure_id", F.col("failure_mode").alias("g_mode"), F.col("element").alias("g_element"), F.col("failure_effect").alias("g_effect"), F.col("discipline").alias("g_discipline"))
+    named = named.join(g, "sig").withColumn("cause_key", normalize_key(F.col("failure_cause")))
     place = ("file_ord", "group_ord", "row_ord")
     named = named.withColumn("place", F.row_number().over(Window.partitionBy("failure_id", "cause_key").orderBy(*place))).where("place = 1")
     named = named.withColumn("n", F.row_number().over(Window.partitionBy("failure_id").orderBy(*place)))
@@ -94,7 +91,12 @@ def causes(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def ingest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(failures with cause_ids, causes) of records with file_ord, row_ord and file_name. File names must not clash."""
+    """(failures with cause_ids, causes) of records with file_ord, row_ord and file_name. File names that clash are an error.
+
+    The names of files, a row each, are counted before; the rest is one lazy plan.
+    """
+    if (clash := clashing_files(rows).first()) is not None:
+        raise ValueError(f"{clash['files']} files are named {clash['file_name']}: their failures would share ids")
     rows = keyed(complete(rows))
     groups = identified(groups_of(rows))
     cause_rows = causes(rows, groups)

@@ -11,7 +11,7 @@ from .functions import classify
 from .functions import text as T
 from .operators import eightd, graph, ingest, quality, texteval, vectors
 from .plans.fixtures import fmea_rows, kb_cause, kb_vec, query_vector, sent, table, with_views
-from .sources.files import route
+from .sources.files import route, shared_folder
 from .streaming.incremental import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -596,9 +596,18 @@ def integrity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Graph --------------------------------------------------------------------------------------------------------
 
 
+_GRAPHS: dict[tuple[str, str], str] = {}
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
-    """Both tables of a graph come from the causes, and traversals read both: the causes are kept, not made again."""
-    return graph.Graph.from_causes(ingest.ingest(fmea_rows(spark, sf_dir))[1].persist())
+    """The stored graph of these records: ingested and saved once a session and folder, then read by label and relation."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _GRAPHS:
+        path = shared_folder(spark)
+        ingest.ingest(fmea_rows(spark, sf_dir))[1].write.parquet(f"{path}/causes")
+        graph.Graph.from_causes(spark.read.parquet(f"{path}/causes")).save(path)
+        _GRAPHS[key] = path
+    return graph.Graph.load(spark, _GRAPHS[key])
 
 
 _GRAPH = _INGEST + """,
@@ -639,8 +648,8 @@ def causes_for_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_GRAPH}, l AS (SELECT cause_id, failure_mode AS mode FROM causes WHERE n = 1 UNION ALL SELECT cause_id, 'no such mode' FROM causes WHERE n = 2) SELECT cause_id, mode, EXISTS (SELECT 1 FROM edges WHERE rel = 'CAUSES' AND src = concat('FailureCause::cause_id::', cause_id) AND dst = concat('FailureMode::text::', mode)) AS valid FROM l", "fmea_rows")
 def validate_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, causes = ingest.ingest(fmea_rows(spark, sf_dir))
-    g = graph.Graph.from_causes(causes)
+    g = _graph(spark, sf_dir)
+    causes = spark.read.parquet(f"{_GRAPHS[spark.sparkContext.applicationId, sf_dir]}/causes")
     first, second = (causes.where(F.col("cause_id").endswith(f"_C{n}")) for n in (1, 2))
     links = first.select("cause_id", F.col("failure_mode").alias("mode")).unionByName(second.select("cause_id", F.lit("no such mode").alias("mode")))
     return graph.valid_links(g.nodes, g.edges, links)

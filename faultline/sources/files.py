@@ -17,10 +17,10 @@ RECORD_SCHEMA = ", ".join(f"{c} string" for c in (*(f for f in FIELDS if f not i
 
 
 def _file_order(df: DataFrame, path: Column) -> DataFrame:
-    """df with file_ord: place of its file among all by name. One row a file goes through the window."""
+    """df with file_ord: place of its file among all by name. One row a file goes through the window; files are joined, not broadcast, where they are many."""
     df = df.withColumn("_path", path)
     files = df.select("_path").distinct().withColumn("file_ord", F.row_number().over(Window.orderBy(F.substring_index("_path", "/", -1), "_path")) - 1)
-    return df.join(F.broadcast(files), "_path")
+    return df.join(files, "_path")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
