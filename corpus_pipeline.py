@@ -10,13 +10,21 @@ from faultline.llm import bpe, mixing, ngram_join, pii, quality
 from faultline.llm.common import tune, written
 
 
+#: The setting that holds the key of the pseudonyms, and the key of the synthetic tables, where it is unset.
+PII_KEY, TEST_KEY = "faultline.pii.key", "synthetic tables only"
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality ranker does not reject (score from quality.CUT on)."""
+    """Documents that the quality ranker does not reject (score from quality.CUT on); columns of docs keep their names and values.
+
+    Null texts and empty ones are scored as empty; null ids stay; an empty table gives an empty one.
+    """
     tune(spark)
     ranker = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    names = docs.columns
-    scored = quality.score(docs, ranker, score="_score", predicted="_good")
-    return scored.where("_good = 1").select(*[F.col(f"`{c}`") for c in names])
+    free = lambda name: next(n for n in (f"{name}{'_' * k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    score, good = free("_score"), free("_good")
+    scored = quality.score(docs, ranker, score=score, predicted=good)
+    return scored.where(F.col(good) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +35,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def hide_personal_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms; n_chars follows the new text."""
-    hidden = pii.pseudonymize(docs)
+    hidden = pii.pseudonymize(docs, key=spark.conf.get(PII_KEY, TEST_KEY))
     return hidden.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else hidden
 
 
@@ -37,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and digests of ids and decoded bytes of every row of the mix."""
+    """doc_id, n_tokens, ids and the digest of the decoded bytes of every row of the mix; other columns end here."""
     tune(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
