@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .chars import Batch
 
-#: Hash buckets of letter trigrams; documents that a model is fitted on, at most (about); cost of a switch in nats.
-BUCKETS, SAMPLE, SWITCH = 1 << 16, 6_000, 12.0
+#: Hash buckets of letter trigrams; documents of each language that a model is fitted on, at most (about); cost of a switch in nats.
+BUCKETS, SAMPLE, SWITCH = 1 << 16, 2_000, 12.0
 #: First code points of script ranges and the script from there on (Unicode blocks, coarse).
 SCRIPT_STARTS = np.array([0x0000, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0780, 0x0900, 0x0E00, 0x0E80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3130, 0x3190, 0x31F0, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0x20000])
 SCRIPTS = np.array("Latin Greek Cyrillic Armenian Hebrew Arabic Other Indic Thai Other Georgian Hangul Other Latin Greek Other Kana Other Hangul Other Kana Han Other Hangul Other Han Other Han".split())
@@ -43,14 +43,15 @@ def words_of(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learn from about `sample` rows with a language (all, if there are fewer), chosen by a hash of doc_id.
+    """Learn from about `sample` rows of each language (all, if there are fewer), chosen by a hash of doc_id and text.
 
     Counts of trigrams and of scripts are summed by Spark; the driver gets at most BUCKETS + scripts rows a language.
     """
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    total = rows.select("lang").count()
-    share = min(1.0, sample / max(1, total))
-    rows = rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)).select("text", "lang") if share < 1 else rows.select("text", "lang")
+    share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
+    draw = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    # One row a language, as the model has one column a language.
+    rows = rows.join(F.broadcast(share), "lang").where(draw).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

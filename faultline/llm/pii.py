@@ -9,24 +9,28 @@ from pyspark.sql import functions as F
 
 #: Rounds of each Feistel network.
 ROUNDS = 8
-#: Longest local part of an e-mail address that is looked for.
-LOCAL = 64
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Card numbers as they are usually printed: in groups, or in one.
+_PRINTED = r"(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}(?:[ \-]\d{3})?|\d{4}[ \-]\d{6}[ \-]\d{4,5}|\d{13,19})(?!\d)"
 #: What is looked for, in order of preference at one place. Each begins behind a border, and its repeats are
 #: possessive or bounded, so that no text takes more than linear time.
 PATTERNS = {
-    "email": rf"(?<![A-Za-z0-9._+\-])[A-Za-z0-9._+\-]{{1,{LOCAL}}}+@(?:[A-Za-z0-9\-]{{1,63}}+\.){{1,8}}[A-Za-z]{{2,24}}",
+    "email": rf"(?<![A-Za-z0-9._+\-])[A-Za-z0-9._+\-]++@(?:[A-Za-z0-9\-]{{1,63}}+\.){{1,8}}[A-Za-z]{{2,24}}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "grouped_iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "iso_date": r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])",
     "dmy_date": r"(?<![\d/.\-])\d{2}([/.])\d{2}\1\d{4}(?![\d/]|[.]\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)",
-    "card": r"(?<![\d])\d(?:[ \-]?\d){12,18}(?![\d])",
+    "abroad": r"(?<![\d+])(?=\+(?:[ .\-()]{0,2}\d){8,15}(?!\d))\+[1-9]\d{0,2}(?:[ .\-]\(?\d{2,8}\)?){2,5}(?!\d)",
+    "printed_card": rf"(?<!\d){_PRINTED}",
+    # Any other run of digits, unless a card as usually printed begins behind its first group.
+    "card": rf"(?<!\d)(?!\d{{1,12}}[ \-]{_PRINTED})\d(?:[ \-]?\d){{12,18}}(?!\d)",
 }
-_NUMBERS = "|".join(p for k, p in PATTERNS.items() if k not in ("email", "iban"))
-PATTERN = rf"{PATTERNS['email']}|{PATTERNS['iban']}|(?=[\d(+])(?:{_NUMBERS})"
+_NUMBERS = "|".join(p for k, p in PATTERNS.items() if k not in ("email", "iban", "grouped_iban"))
+PATTERN = rf"{PATTERNS['email']}|{PATTERNS['iban']}|{PATTERNS['grouped_iban']}|(?=[\d(+])(?:{_NUMBERS})"
 
 
 def _let(x: Column, then: Callable[[Column], Column]) -> Column:
@@ -39,23 +43,24 @@ def _keystream(key: str, tweak: Column, turn: Column, value: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), tweak, turn.cast("string"), value.cast("string"), F.lit(key)), 256)
 
 
-def permute(x: Column, a: int | Column, b: int | Column, key: str, tweak: Column) -> Column:
+def permute(x: Column, a: int | Column, b: int | Column, key: str, tweak: Column, undo: bool = False) -> Column:
     """A keyed permutation of 0 .. a*b-1: an alternating Feistel network over the pair (x div b, x mod b).
 
     Each round adds a keyed function of one half to the other, modulo that half's size, which can be undone;
-    so the whole is a permutation for any a and b, without walking cycles. a and b stay under 2**59.
+    so the whole is a permutation for any a and b, without walking cycles. a and b stay under 2**59. `undo` gives its inverse.
     """
     a, b = (F.lit(n).cast("long") if isinstance(n, int) else n.cast("long") for n in (a, b))
 
     def add(half: Column, other: Column, turn: Column, size: Column) -> Column:
-        return F.pmod(half + F.pmod(F.conv(F.substring(_keystream(key, tweak, turn, other), 1, 14), 16, 10).cast("long"), size), size)
+        return F.pmod(half + (-1 if undo else 1) * F.pmod(F.conv(F.substring(_keystream(key, tweak, turn, other), 1, 14), 16, 10).cast("long"), size), size)
 
     def turn(s: Column, i: Column) -> Column:
         even = F.pmod(i, F.lit(2)) == 0
         return F.struct(F.when(even, add(s["l"], s["r"], i, a)).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(add(s["r"], s["l"], i, b)).alias("r"))
 
     start = F.struct(F.floor(x / b).cast("long").alias("l"), F.pmod(x, b).alias("r"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s["l"] * b + s["r"])
+    rounds = F.sequence(F.lit(ROUNDS), F.lit(1), F.lit(-1)) if undo else F.sequence(F.lit(1), F.lit(ROUNDS))
+    return F.aggregate(rounds, start, turn, lambda s: s["l"] * b + s["r"])
 
 
 def _shift(s: Column, stream: Column) -> Column:
@@ -137,12 +142,21 @@ def _date(m: Column, form: str, key: str) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    def moved(d: Column) -> Column:
-        checked = lambda p: F.concat(p, F.pmod(10 - F.pmod(luhn_sum(F.concat(p, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))
-        new = _let(_permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, F.lit("card")), checked)
-        return F.when(F.pmod(luhn_sum(d), F.lit(10)) == 0, _refill(m, new)).otherwise(m)
+    """A card number that validates; else one, as usually printed, that validates inside the run."""
+    checked = lambda p: F.concat(p, F.pmod(10 - F.pmod(luhn_sum(F.concat(p, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))
+    valid = lambda d: F.pmod(luhn_sum(d), F.lit(10)) == 0
+    new = lambda shape, d: _refill(shape, _let(_permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, F.lit("card")), checked))
+
+    def inner(part: Column) -> Column:
+        at = F.instr(m, part)
+        put = F.concat(F.substring(m, F.lit(1), at - 1), new(part, _digits(part)), F.substring(m, at + F.length(part), F.length(m)))
+        return F.when((F.length(part) > 0) & (part != m) & valid(_digits(part)), put).otherwise(m)
 
-    return _let(_digits(m), moved)
+    whole = lambda d: F.when(valid(d), new(m, d)).otherwise(_let(F.regexp_extract(m, rf"(?<!\d){_PRINTED}", 0), inner))
+    # Of groups of four with three more digits behind them, the last may not belong to the number.
+    short = F.regexp_extract(m, r"^\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}(?=[ \-]\d{3}$)", 0)
+    cut = F.when(valid(_digits(m)), F.lit("")).otherwise(short)
+    return _let(cut, lambda head: F.when(F.length(head) > 0, inner(head)).otherwise(_let(_digits(m), whole)))
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -151,6 +165,22 @@ def _iban(m: Column, key: str) -> Column:
     return F.when(mod97(F.concat(bban, F.substring(m, 1, 4))) == 1, _let(permute_string(bban, key, F.concat(F.lit("iban"), country)), checked)).otherwise(m)
 
 
+def _grouped_iban(m: Column, key: str) -> Column:
+    """An IBAN in groups of four: the longest run of groups from the first on that validates; a word behind it stays."""
+
+    def put(groups: Column) -> Column:
+        plain = lambda k: F.array_join(F.slice(groups, F.lit(1), k), "")
+        valid = F.filter(F.sequence(F.size(groups), F.lit(4), F.lit(-1)), lambda k: mod97(F.concat(F.substring(plain(k), F.lit(5), F.lit(40)), F.substring(plain(k), F.lit(1), F.lit(4)))) == 1)
+
+        def printed(k: Column) -> Column:
+            spaced = lambda p: F.concat_ws(" ", F.regexp_extract_all(p, F.lit(".{1,4}"), F.lit(0)), F.slice(groups, k + 1, F.size(groups)))
+            return _let(_iban(plain(k), key), spaced)
+
+        return F.when(F.size(valid) > 0, printed(F.get(valid, F.lit(0)))).otherwise(m)
+
+    return F.when(F.size(F.split(m, " ")) >= 4, _let(F.split(m, " "), put)).otherwise(m)
+
+
 def _ip(m: Column, key: str) -> Column:
     number = F.aggregate(F.split(m, "[.]"), F.lit(0).cast("long"), lambda n, part: n * 256 + F.coalesce(part.try_cast("long"), F.lit(0)))
     octets = lambda x: F.concat_ws(".", *[F.pmod(F.floor(x / F.lit(256**k)), F.lit(256)).cast("string") for k in (3, 2, 1, 0)])
@@ -185,23 +215,25 @@ def pseudonym(m: Column, key: str) -> Column:
     shape = lambda kind: m.rlike(f"^(?:{PATTERNS[kind]})$")
     return (
         F.when(m.contains("@"), email)
+        .when(m.rlike(r"^[A-Z]{2}\d{2} "), _grouped_iban(m, key))
         .when(m.rlike(r"^[A-Z]{2}\d"), _iban(m, key))
         .when(m.rlike(r"^\d{4}-\d{2}-\d{2}$"), _date(m, "yyyy-MM-dd", key))
         .when(m.rlike(r"^\d{2}/\d{2}/\d{4}$"), _date(m, "dd/MM/yyyy", key))
         .when(m.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), _date(m, "dd.MM.yyyy", key))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), _ssn(m, key))
         .when(shape("ip"), _ip(m, key))
-        .when(shape("phone"), _phone(m, key))
+        .when(shape("phone") | shape("abroad"), _phone(m, key))
         .otherwise(_card(m, key))
     )
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: str = "round-one", counted: str | None = None) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text: str = "text", counted: str | None = None) -> DataFrame:
     """docs with each personal value in `text` replaced by its pseudonym; all other columns as they are.
 
-    Found and validated: e-mail addresses; IBANs (mod 97); dates of 1900-2099 as yyyy-MM-dd, dd/MM/yyyy or
+    `key` is the secret of the pseudonyms and has no default: who has it can undo them (`permute(..., undo=True)`).
+    Found and validated: e-mail addresses; IBANs, in one or in groups of four (mod 97); dates of 1900-2099 as yyyy-MM-dd, dd/MM/yyyy or
     dd.MM.yyyy; US social security numbers (area, group and serial ranges); IPv4 addresses; telephone numbers
-    with area code; card numbers of 13-19 digits (Luhn). Each is permuted within its format by a keyed Feistel
+    with area code, or with a country's code and 8-15 digits; card numbers of 13-19 digits (Luhn), also beside another number. Each is permuted within its format by a keyed Feistel
     network: check digits and separators stay valid, equal values get equal pseudonyms in all documents, and
     who has the key can undo it. A permutation has fixed points now and then, for very small formats mostly.
     Values that do not validate stay. `counted`: name of a column for the number of replaced values.

@@ -10,6 +10,10 @@ from .common import tune
 from .oracles import ORACLES
 
 
+#: The setting that holds the key of the pseudonyms, and the key of the synthetic tables, where it is unset.
+PII_KEY, TEST_KEY = "faultline.pii.key", "synthetic tables only"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with pseudonyms, n_replaced, for every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymize(docs, counted="n_replaced")
+    return pii.pseudonymize(docs, key=spark.conf.get(PII_KEY, TEST_KEY), counted="n_replaced")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,33 +42,40 @@ def op3_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_cell_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and representatives of all vectors."""
     return embeddings.near_dedup(_table(spark, sf_dir, "embeddings"))
 
 
 def op5_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle counts and groups of all documents."""
     return ngram_join.groups(_table(spark, sf_dir, "documents"))
 
 
 def op6_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of each document without strings of 400 bytes that are elsewhere, too."""
     out = suffix.dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op7_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every document."""
     tune(spark)
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
 def op8_doubling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of each document without windows of 20 words that were there before."""
     out = substring.dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, targets and words taken of every document."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
 def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
     return merkle.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
