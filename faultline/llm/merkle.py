@@ -13,8 +13,10 @@ DIGITS = 16
 ROWS, PARTS = 4_000, 1_024
 #: Marks at which a paragraph falls into pieces, the leaves: sentences, clauses and table cells.
 PIECE = r"[.!?,;:|]"
-#: Characters from which a piece is cut further; of a cut piece about, and at most.
-LONG, MEAN, MOST = 80, 16, 64
+#: Characters from which a piece is cut further; of a cut piece about, and at most; of words that are cut inside.
+LONG, MEAN, MOST, WORD = 80, 16, 64, 32
+#: Words of a cut piece, about.
+WORDS = 4
 
 
 def _digest(x: Column) -> Column:
@@ -22,19 +24,36 @@ def _digest(x: Column) -> Column:
 
 
 def pieces(p: Column) -> Column:
-    """The pieces of a paragraph; a long one is cut where three characters hash to 0, and after MOST characters without such a place."""
-    def cut(chars: Column) -> Column:
+    """The pieces of a paragraph. A long one is cut at places that its content names, so that an edit leaves the other cuts where they are.
+
+    That is behind words that hash to 0, or, inside long runs without blank (scripts that have none), behind
+    three characters that do; and after MOST characters without such a place.
+    """
+    parts = lambda marked: F.regexp_extract_all(marked, F.lit(rf"[^\n]{{1,{MOST}}}"), F.lit(0))
+
+    def in_word(chars: Column) -> Column:
         ends = lambda c, i: F.pmod(F.xxhash64(F.get(chars, i - 2), F.get(chars, i - 1), c), F.lit(MEAN)) == 0
-        marked = F.array_join(F.transform(chars, lambda c, i: F.when(ends(c, i), F.concat(c, F.lit("\n"))).otherwise(c)), "")
-        return F.regexp_extract_all(marked, F.lit(rf"[^\n]{{1,{MOST}}}"), F.lit(0))
+        return F.array_join(F.transform(chars, lambda c, i: F.when(ends(c, i), F.concat(c, F.lit("\n"))).otherwise(c)), "")
+
+    def word(w: Column) -> Column:
+        behind = F.when(F.pmod(F.xxhash64(w), F.lit(WORDS)) == 0, F.concat(w, F.lit("\n"))).otherwise(w)
+        return F.when(F.char_length(w) <= WORD, behind).otherwise(F.element_at(F.transform(F.array(F.split(w, "")), in_word), 1))
+
+    def one(x: Column) -> Column:
+        marked = F.array_join(F.transform(F.split(x, " ", -1), word), " ")
+        return F.when(F.char_length(x) <= LONG, F.array(x)).otherwise(F.regexp_extract_all(marked, F.lit(rf"[^\n]{{1,{MOST}}}"), F.lit(0)))
 
-    one = lambda x: F.when(F.char_length(x) <= LONG, F.array(x)).otherwise(F.flatten(F.transform(F.array(F.split(x, "")), cut)))
     return F.flatten(F.transform(F.split(p, PIECE, -1), one))
 
 
-def leaves(text: Column) -> Column:
-    """Of each paragraph (line), the 64-bit hashes of its pieces, in order; marks between pieces belong to no piece."""
-    return F.transform(F.split(text, "\n", -1), lambda p: F.transform(pieces(p), lambda x: F.xxhash64(x)))
+def hashed(text: Column) -> Column:
+    """The lowest levels of the tree: of each paragraph (line) its digest, and the 64-bit hashes of its pieces in order; marks between pieces belong to no piece."""
+    return F.transform(F.split(text, "\n", -1), lambda p: F.struct(_digest(p).alias("digest"), F.transform(pieces(p), lambda x: F.xxhash64(x)).alias("leaves")))
+
+
+def leaves(tree: Column) -> Column:
+    """The distinct leaves of hashed()."""
+    return F.array_distinct(F.flatten(tree["leaves"]))
 
 
 def fingerprint(text: Column, section: int = SECTION) -> Column:
@@ -44,17 +63,21 @@ def fingerprint(text: Column, section: int = SECTION) -> Column:
     equal roots mean equal texts, and where roots differ, `differing` walks down to the edits. Empty text has
     one section with one empty paragraph; null gives null.
     """
-    lines = F.split(text, "\n", -1)
-    nodes = F.transform(lines, lambda p: F.concat_ws(".", _digest(p), F.transform(pieces(p), lambda x: F.hex(F.xxhash64(x)))))
-    starts = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / F.lit(section)).cast("int"))
+    return printed(hashed(text), section)
+
+
+def printed(tree: Column, section: int = SECTION) -> Column:
+    """fingerprint() where hashed() is at hand."""
+    nodes = F.transform(tree, lambda p: F.concat_ws(".", p["digest"], F.transform(p["leaves"], lambda x: F.hex(x))))
+    starts = F.sequence(F.lit(0), F.floor((F.size(tree) - 1) / F.lit(section)).cast("int"))
 
-    def printed(nodes: Column) -> Column:
-        sections = F.transform(starts, lambda i: F.slice(nodes, i * F.lit(section) + 1, F.lit(section)))
-        return F.transform(sections, lambda ps: F.concat(_digest(F.array_join(F.transform(ps, lambda p: F.substring(p, 1, DIGITS)), ",")), F.lit("="), F.array_join(ps, ",")))
+    def sections(nodes: Column) -> Column:
+        parts = F.transform(starts, lambda i: F.slice(nodes, i * F.lit(section) + 1, F.lit(section)))
+        return F.transform(parts, lambda ps: F.concat(_digest(F.array_join(F.transform(ps, lambda p: F.substring(p, 1, DIGITS)), ",")), F.lit("="), F.array_join(ps, ",")))
 
-    # An aggregate over one element holds the sections, so that they are built once.
-    whole = lambda _, ss: F.concat(F.sha2(F.array_join(F.transform(ss, lambda s: F.substring(s, 1, DIGITS)), ","), 256), F.lit(":"), F.array_join(ss, ";"))
-    return F.aggregate(F.array(printed(nodes)), F.lit(""), whole)
+    # Arrays of one element hold what is used more than once, so that it is built once.
+    whole = lambda ss: F.concat(F.sha2(F.array_join(F.transform(ss, lambda s: F.substring(s, 1, DIGITS)), ","), 256), F.lit(":"), F.array_join(ss, ";"))
+    return F.when(tree.isNotNull(), F.element_at(F.transform(F.transform(F.array(nodes), sections), whole), 1))
 
 
 def leaves_of(print_: Column) -> Column:
@@ -89,7 +112,8 @@ def differing(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, doc_id: str, text: str, buckets: int, more: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, text, next_text): the text of the next row in descending doc_id; after the last comes the first.
 
-    `more`: columns made of `text` behind the shuffle; each comes with its next_ twin, made once a row.
+    `more`: columns made of `text` behind the shuffle, a later one may use those before it; each comes with its
+    next_ twin, made once a row.
 
     One shuffle of the texts: rows go to ranges of doc_id (approximate quantiles, `buckets` of them, each cut
     evenly into parts of about ROWS rows), and the first row of each is sent once more, to the end of the range
@@ -118,7 +142,9 @@ def with_next(docs: DataFrame, doc_id: str, text: str, buckets: int, more: dict[
     first = first.groupBy(F.col("h.above").alias("bucket"), F.col("r.doc_id").alias("doc_id")).agg(F.max("r.text").alias("text"))
     first = first.select("doc_id", "text", "bucket", F.lit(True).alias("sent"))
     order = Window.partitionBy("bucket").orderBy(F.col("sent").asc(), F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    both = rows.withColumn("sent", F.lit(False)).unionByName(first).repartition("bucket").withColumns(more)
+    both = rows.withColumn("sent", F.lit(False)).unionByName(first).repartition("bucket")
+    for name, column in more.items():
+        both = both.withColumn(name, column)
     both = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", *more)})
     return both.where(~F.col("sent")).drop("sent", "bucket")
 
@@ -131,11 +157,12 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     one row alone is its own next; ties of doc_id are ordered by text, descending; repeated rows are each
     fingerprinted; an empty table gives no rows; other columns are ignored.
     """
-    trees = {"fingerprint": fingerprint(F.col("text")), "leaves": F.array_distinct(F.flatten(leaves(F.col("text"))))}
+    trees = {"tree": hashed(F.col("text")), "fingerprint": printed(F.col("tree")), "leaves": leaves(F.col("tree"))}
     d = with_next(docs, doc_id, text, buckets, trees).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     d = d.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half)))
     edited = F.col("edited")
-    d = d.withColumns({"edited_sha256": F.sha2(edited, 256), "edited_fingerprint": fingerprint(edited), "edited_leaves": F.array_distinct(F.flatten(leaves(edited)))})
+    d = d.withColumns({"edited_sha256": F.sha2(edited, 256), "edited_tree": hashed(edited)})
+    d = d.withColumns({"edited_fingerprint": printed(F.col("edited_tree")), "edited_leaves": leaves(F.col("edited_tree"))})
     near = lambda other: likeness_of(F.col("fingerprint"), F.col(f"{other}_fingerprint"), F.col("leaves"), F.col(f"{other}_leaves"))
     return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited").alias("near_edited"), near("next").alias("near_next"))
