@@ -105,6 +105,8 @@ def compression_report(docs: DataFrame, key: str = "doc_id", source: str = "sour
 
 def valuable_sentences(docs: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, place, sentence, value) of the k most valuable sentences of more than six words; ties keep their order."""
+    # Dealt by key before the sentences are made: the ranking within a key then needs no shuffle of its own.
+    docs = docs.select(key, text).repartition(key)
     rows = docs.select(key, F.posexplode(T.sentences(T.normalize_valuable(F.col(text)))).alias("ord", "sentence"))
     rows = rows.where(F.size(F.split("sentence", " ")) > 6).withColumn("value", F.round(T.sentence_value(F.col("sentence")), 6))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("value"), "ord"))

@@ -158,7 +158,7 @@ def nearest(items: DataFrame, k: int, group: str | None = "role", block: int = B
             for g, mine in right.groupby("g", sort=True):
                 mine = mine.sort_values("vec_id")
                 row, col, d = _near(x, np.array(mine["x"].tolist()), k)
-                out.append(pd.DataFrame({"vec_id": names[row], "own": own[row], "other": g, "neighbour": mine["vec_id"].to_numpy()[col], "dist": d}))
+                out.append(pd.DataFrame({"vec_id": names[row], "own": own[row], "other": np.full(len(row), g, dtype=object), "neighbour": mine["vec_id"].to_numpy()[col], "dist": d}))
         return pd.concat(out[1:] or out)
 
     found = pairs.groupBy("i", "j").applyInPandas(compare, "vec_id long, own string, other string, neighbour long, dist double")
@@ -242,7 +242,7 @@ def near_duplicate_failures(items: DataFrame, threshold: float = 0.92, weights:
         a, b = ids[0][row], ids[1][col]
         keep = a < b if same else a != b
         named = [",".join(r for n, r in enumerate(roles) if s >> n & 1) for s in shared[row, col][keep]]
-        return pd.DataFrame({"failure_a": np.minimum(a, b)[keep], "failure_b": np.maximum(a, b)[keep], "score": score[row, col][keep], "roles": named})
+        return pd.DataFrame({"failure_a": np.minimum(a, b)[keep], "failure_b": np.maximum(a, b)[keep], "score": score[row, col][keep], "roles": np.array(named, dtype=object)})
 
     pairs = _in_blocks(rows, "failure_id", block).groupBy("i", "j").applyInPandas(compare, "failure_a long, failure_b long, score double, roles string")
     return pairs.withColumn("score", F.round("score", 4))
