@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,10 +109,24 @@ def context_block(system_name: Column, symptoms: Column, failures: Column) -> Co
     return F.concat(F.lit("\nSystem Name: "), said(system_name), F.lit("\nProblem Symptoms: "), said(symptoms), F.lit("\n\nFailures:\n"), F.array_join(F.transform(failures, one), "\n"), F.lit("\n"))
 
 
+def _has_null(x: Column) -> Column:
+    """Is any element null; sorted, as nulls come first then."""
+    return F.coalesce((F.size(x) > 0) & F.get(F.sort_array(x), F.lit(0)).isNull(), F.lit(False))
+
+
 def invalid_cases(cases: DataFrame) -> DataFrame:
     """(file_ord, message) of cases that miss what a case must have."""
-    rules = ((F.coalesce(F.size("documents"), F.lit(0)) < 1, "missing documents"), (F.col("failure").isNull(), "missing failure"), (F.col("failure").isNotNull() & F.col("failure.failure_ID").isNull(), "missing failure_ID"), (F.exists(F.coalesce(F.col("failure.root_causes.cause_ID"), F.array().cast("array<string>")), lambda c: c.isNull()), "missing cause_ID"), (F.exists(F.coalesce(F.col("selected_sentences.text"), F.array().cast("array<string>")), lambda t: t.isNull()), "missing sentence text"))
-    return cases.select("file_ord", F.explode(F.array_compact(F.array(*[F.when(broken, F.lit(m)) for broken, m in rules]))).alias("message"))
+    failure = F.col("failure")
+    rules = (
+        (F.coalesce(F.size("documents"), F.lit(0)) < 1, "missing documents"),
+        (failure.isNull(), "missing failure"),
+        (failure.isNotNull() & failure["failure_ID"].isNull(), "missing failure_ID"),
+        (_has_null(F.col("failure.root_causes.cause_ID")), "missing cause_ID"),
+        (_has_null(F.col("selected_sentences.text")), "missing sentence text"),
+    )
+    # A filter a rule: exploding an array of all messages loses rows where the case's arrays come from lambdas (Spark 4.1).
+    found = [cases.where(broken).select("file_ord", F.lit(message).alias("message")) for broken, message in rules]
+    return reduce(DataFrame.unionByName, found)
 
 
 def require_valid(cases: DataFrame) -> DataFrame:

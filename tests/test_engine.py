@@ -304,3 +304,48 @@ def test_streams(spark, tmp_path):
     batch = incremental.windowed_counts(spark.read.parquet(f"{SF}/events.parquet"))
     streamed, counted = (sorted((str(r.start), r.event_type, r.n, round(r.total, 3)) for r in d.collect()) for d in (spark.table("counts"), batch))
     assert streamed == counted
+
+
+def test_require_valid_names_the_case(spark):
+    from faultline.operators import eightd
+    from faultline.plans.fixtures import cases
+
+    good = cases(spark, SF)
+    assert eightd.require_valid(good) is good
+    with pytest.raises(ValueError, match="case 3: missing documents"):
+        eightd.require_valid(good.withColumn("documents", F.when(F.col("file_ord") != 3, F.col("documents"))))
+
+
+def test_broken_line_ends_the_job(spark, tmp_path):
+    from faultline.sources import files
+
+    (tmp_path / "a.json").write_text('{"a": "x"}\n\n{"a": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_lines(spark, str(tmp_path), "a string").collect()
+
+
+def test_retrieval_pairs_last_wins_and_empty_is_an_error(spark):
+    from faultline.operators import quality
+
+    a = spark.createDataFrame([(1, 1, "old", 0), (1, 1, "new", 1), (2, 1, "x", 0)], "failure_id int, cause_id int, q string, n int")
+    b = spark.createDataFrame([(1, 1, "r", 0)], "failure_id int, cause_id int, q string, n int")
+    rows = quality.retrieval_pairs(a, b, order="n").select("failure_id", F.col("o.q").alias("o"), F.col("r.q").alias("r")).collect()
+    assert [tuple(r) for r in rows] == [(1, "new", "r")]
+    with pytest.raises(ValueError):
+        quality.retrieval_pairs(a, b.limit(0))
+
+
+def test_report_with_an_empty_check(spark, tmp_path):
+    from faultline.operators import quality
+
+    found = spark.createDataFrame([(1, "bad")], "id int, message string")
+    rows = quality.written_report({"some": found, "none": found.limit(0)}, str(tmp_path / "report")).collect()
+    assert sorted((r["check"], r["message"]) for r in rows) == [("none", None), ("some", "1: bad")]
+
+
+def test_clashing_names_end_an_ingest(spark):
+    from faultline.operators import ingest
+
+    rows = spark.createDataFrame([(0, "same", 0, "new_fmea", "m"), (1, "same", 0, "new_fmea", "n")], "file_ord int, file_name string, row_ord int, source_type string, failure_mode string")
+    with pytest.raises(ValueError, match="same"):
+        ingest.ingest(rows)
