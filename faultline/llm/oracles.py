@@ -35,4 +35,16 @@ a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed, string_ag
 SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN a ON a.doc_id = w.doc_id
 """
 
-ORACLES = {"op4_cell_near_dedup": CELL_NEAR_DEDUP, "op5_prefix_tree_join": PREFIX_TREE_JOIN, "op8_doubling_windows": DOUBLING_WINDOWS, "op9_water_filling_mix": mixing.ORACLE}
+DIFFERENCE_COVER_DEDUP = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS x FROM documents),
+c AS (SELECT r, k, substr(x, 800 * k + 1, 1598) AS y FROM (SELECT r, x, unnest(range(strlen(x) // 800)) AS k FROM d)),
+p AS (SELECT r, 400 * k + j AS i, md5_number(substr(y, 2 * j + 1, 800)) AS h FROM (SELECT r, k, y, unnest(range(strlen(y) // 2 - 399)) AS j FROM c)),
+g AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM p) WHERE n > 1),
+k AS (SELECT r, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS span FROM g),
+s AS (SELECT r, min(i) AS low, max(i) + 400 AS high FROM k GROUP BY r, span),
+b AS (SELECT r, low, high, lag(high, 1, 0) OVER (PARTITION BY r ORDER BY low) AS since FROM s),
+a AS (SELECT r, sum(high - low) AS n, count(*) AS spans, string_agg(substr(x, 2 * since + 1, 2 * (low - since)), '' ORDER BY low) || substr(any_value(x), 2 * max(high) + 1) AS kept FROM b JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN a USING (r)
+"""
+
+ORACLES = {"op4_cell_near_dedup": CELL_NEAR_DEDUP, "op5_prefix_tree_join": PREFIX_TREE_JOIN, "op6_difference_cover_dedup": DIFFERENCE_COVER_DEDUP, "op8_doubling_windows": DOUBLING_WINDOWS, "op9_water_filling_mix": mixing.ORACLE}
