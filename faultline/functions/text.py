@@ -161,7 +161,9 @@ def set_coverage(a: Column, b: Column) -> Column:
 
 def bag_coverage(a: Column, b: Column) -> Column:
     """Share of a's tokens, repeats counted, that b has; 0 if a is empty."""
-    return F.when(F.size(a) > 0, repeated_size(a, F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(0.0))
+    # The lambda's variable holds the common tokens, which would else be found anew for each token of a.
+    share = F.element_at(F.transform(F.array(F.array_intersect(a, b)), lambda known: repeated_size(a, known)), 1) / F.size(a)
+    return F.when(F.size(a) > 0, share).otherwise(F.lit(0.0))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -220,5 +222,21 @@ def token_set_ratio(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(run, "double")(a, b)
 
 
+def best_likeness_of(a: str, b: str) -> float:
+    """0-1: the greater of token_set_ratio_of / 100 and the share of a's tokens, repeats counted, that b has."""
+    mine, known = [t for t in a.split(" ") if t], set(b.split(" "))
+    share = sum(t in known for t in mine) / len(mine) if mine else 0.0
+    return share if share == 1.0 else max(share, token_set_ratio_of(a, b) / 100.0)
+
+
+def best_likeness(a: Column | str, b: Column | str) -> Column:
+    """best_likeness_of as an Arrow-batched UDF."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else best_likeness_of(p, q) for p, q in zip(x, y)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(a, b)
+
+
 def node_id(label: str, key: str, value: Column) -> Column:
     return F.concat(F.lit(f"{label}::{key}::"), F.coalesce(value.cast("string"), F.lit("None")))

@@ -39,9 +39,9 @@ def exact_or_covered(pairs: DataFrame, sentence: str = "sentence", source: str =
     return pairs.withColumns({"is_exact": exact, "coverage": F.round(T.set_coverage(T.content_tokens(F.col(sentence)), T.content_tokens(F.col(source))), 6)})
 
 
-def similarity(a: Column, b: Column) -> tuple[Column, Column]:
-    """(fuzzy, coverage) of a against b, both 0 to 1."""
-    return T.token_set_ratio(T.normalize_plain(a), T.normalize_plain(b)) / 100.0, T.bag_coverage(T.tokens(a), T.tokens(b))
+def similarity(a: Column, b: Column) -> Column:
+    """0 to 1: the greater of the token-set ratio of a and b and the share of a's tokens that b has; 0 if either is null."""
+    return F.coalesce(T.best_likeness(T.normalize_plain(a), T.normalize_plain(b)), F.lit(0.0))
 
 
 def iteration_rates(rated: DataFrame) -> DataFrame:
@@ -93,12 +93,10 @@ def compression_report(docs: DataFrame, key: str = "doc_id", source: str = "sour
     joined = F.array_join(F.col(summary), " ")
     base = compression(docs.select(key, F.col(source).alias("source"), F.col(summary).alias("parts"), joined.alias("summary")))
     units = base.select(key, F.posexplode_outer(T.sentences(F.col("source"))).alias("u", "unit"), "parts").select(key, "u", "unit", F.explode_outer("parts").alias("sentence"))
-    fuzzy, share = similarity(F.col("unit"), F.col("sentence"))
-    best = _spread(units, key, "u").withColumns({"f": fuzzy, "c": share}).groupBy(key, "u").agg(F.max(F.when(F.col("sentence").isNotNull(), F.greatest("f", "c")).otherwise(F.lit(0.0))).alias("best"))
+    best = _spread(units, key, "u").withColumn("near", similarity(F.col("unit"), F.col("sentence"))).groupBy(key, "u").agg(F.max("near").alias("best"))
     covered = best.groupBy(key).agg(F.count("u").alias("unit_count"), F.coalesce(F.avg(F.when(F.col("u").isNotNull(), F.col("best"))), F.lit(0.0)).alias("mean_coverage"))
-    fuzzy, share = similarity(F.col("sentence"), F.col("source"))
-    sents = _spread(base.select(key, "source", F.explode("parts").alias("sentence")), key).withColumns({"f": fuzzy, "c": share})
-    faith = sents.groupBy(key).agg(F.count("*").alias("sentence_count"), F.avg(F.greatest("f", "c")).alias("mean_faithfulness"))
+    sents = _spread(base.select(key, "source", F.explode("parts").alias("sentence")), key).withColumn("near", similarity(F.col("sentence"), F.col("source")))
+    faith = sents.groupBy(key).agg(F.count("*").alias("sentence_count"), F.avg("near").alias("mean_faithfulness"))
     out = base.select(key, "compression_ratio").join(covered, key).join(faith, key, "left")
     return out.select(key, "unit_count", F.round("mean_coverage", 6).alias("mean_coverage"), F.coalesce("sentence_count", F.lit(0)).alias("sentence_count"), F.round(F.coalesce("mean_faithfulness", F.lit(0.0)), 6).alias("mean_faithfulness"), "compression_ratio", F.round(density(F.col("mean_coverage"), F.col("compression_ratio")), 4).alias("information_density"))
 

@@ -111,3 +111,17 @@ def slow_ratio(a, b):
 @given(*[st.text("ab c", max_size=25)] * 2)
 def test_token_set_ratio(a, b):
     assert T.token_set_ratio_of(a, b) == pytest.approx(slow_ratio(a, b))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab c", max_size=12), st.text("ab c", max_size=12))
+def test_best_likeness(a, b):
+    mine, known = a.split(), b.split()
+    share = sum(t in known for t in mine) / len(mine) if mine else 0.0
+    assert T.best_likeness_of(a, b) == max(share, T.token_set_ratio_of(a, b) / 100)
+
+
+def test_best_likeness_of_nulls(spark):
+    df = spark.createDataFrame([("a b a", "a"), (None, "a"), ("a", None), ("", "a")], "a string, b string")
+    got = [x[0] for x in df.select(T.best_likeness("a", "b")).collect()]
+    assert got == [1.0, None, None, 0.0]
