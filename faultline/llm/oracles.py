@@ -47,4 +47,16 @@ a AS (SELECT r, sum(high - low) AS n, count(*) AS spans, string_agg(substr(x, 2
 SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN a USING (r)
 """
 
-ORACLES = {"op4_cell_near_dedup": CELL_NEAR_DEDUP, "op5_prefix_tree_join": PREFIX_TREE_JOIN, "op6_difference_cover_dedup": DIFFERENCE_COVER_DEDUP, "op8_doubling_windows": DOUBLING_WINDOWS, "op9_water_filling_mix": mixing.ORACLE}
+BAND_JOIN = """
+WITH bits AS (SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) g(i)),
+l AS (SELECT sale_id, line_no, item_id, quantity::BIGINT AS q, floor(100 * amount + 0.5)::BIGINT AS a FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity <> 0 AND isfinite(amount)),
+n AS (SELECT sale_id, line_no, item_id, CASE WHEN m >= 0 OR m % d = 0 THEN m // d ELSE m // d - 1 END AS u, sale_id || ',' || coalesce(line_no::VARCHAR, '') || ',' || item_id AS s FROM (SELECT *, (2 * a + q) * sign(q) AS m, abs(2 * q) AS d FROM l)),
+c AS (SELECT n.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT)), lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) AS crc FROM n, bits),
+i AS (SELECT row_number() OVER () AS r, item_id, CASE WHEN isfinite(price) THEN floor(100 * price + 0.5)::BIGINT END AS p FROM items),
+j AS (SELECT r, abs(u - p) AS gap, u, sale_id, line_no::BIGINT AS line_no, c.item_id AS line_item_id, crc FROM i JOIN c ON c.u BETWEEN p - greatest(10, p // 500) AND p + greatest(10, p // 500) WHERE c.item_id <> i.item_id AND (abs(u - p) <= 10 OR 1000 * abs(u - p) <= 2 * p)),
+o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY gap, u, sale_id, line_no NULLS LAST, line_item_id) AS k FROM j QUALIFY k <= 5),
+t AS (SELECT r, count(*) AS n, sum(gap)::BIGINT AS g, sum(crc)::BIGINT AS x FROM j GROUP BY r)
+SELECT i.item_id, coalesce(k, 0)::INT AS rank, gap, u, sale_id, line_no, line_item_id, coalesce(n, 0) AS n_pairs, coalesce(g, 0) AS gap_sum, coalesce(x, 0) AS lines_crc FROM i LEFT JOIN t USING (r) LEFT JOIN o USING (r)
+"""
+
+ORACLES = {"op4_cell_near_dedup": CELL_NEAR_DEDUP, "op5_prefix_tree_join": PREFIX_TREE_JOIN, "op6_difference_cover_dedup": DIFFERENCE_COVER_DEDUP, "op8_doubling_windows": DOUBLING_WINDOWS, "op9_water_filling_mix": mixing.ORACLE, "op13_band_join": BAND_JOIN}

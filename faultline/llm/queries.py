@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, merkle, mixing, ngram_join, pii, quality, substring, suffix
+from . import alignment, bands, bpe, embeddings, langid, merkle, mixing, ngram_join, pieces, pii, quality, substring, suffix
 from .common import tune
 from .oracles import ORACLES
 
@@ -79,6 +79,28 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the two tokenizers' tokens in every document, and how common its links are."""
+    tune(spark)
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of pieces and the digests of ids and decoded text, for every document."""
+    tune(spark)
+    import public_tokenizers
+
+    return pieces.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First pairs and sums of all items with all lines of near unit prices."""
+    return bands.near_prices(_table(spark, sf_dir, "sale_lines"), _table(spark, sf_dir, "items"))
+
+
 _ALL = (
     op1_feistel_pseudonyms,
     op2_byte_bpe,
@@ -90,6 +112,9 @@ _ALL = (
     op8_doubling_windows,
     op9_water_filling_mix,
     op10_merkle_fingerprints,
+    op11_token_alignment,
+    op12_piece_table,
+    op13_band_join,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
