@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary
-from .chunks import MARK, ChunkTable, piece_cut, piece_model
+from .chunks import MARK, Codes, marked, piece_cut, piece_model
 from .common import written
 
 #: Code points of a block of documents, if it has more than one.
-BLOCK = 1 << 20
+BLOCK = 1 << 22
+#: Words that are encoded as one text.
+JOINED = 4_096
 #: Pairs with more than one in HOT_PAIRS of all (document, pair) rows are looked up in a broadcast table: it has fewer rows than this.
 HOT_PAIRS = 1 << 17
 #: Two numbers below 2**31 in a long; the bit that tells an end of B from one of A.
@@ -49,12 +52,13 @@ def byte_model(raw: bytes):
     made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in merges]
     first = spec.get("pre_tokenizer") or {}
     ranked = made == sorted(made) and len(made) + 256 == len(table) and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True) and not spec.get("normalizer")
+    by_id = [table.get(i, b"") for i in range(max(table) + 1)]
     if ranked:
         engine = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={b: i for i, b in table.items()}, special_tokens={})
-        return lambda chunks: [engine.encode_ordinary(" " + c) for c in chunks], table
+        return lambda chunks: [engine.encode_ordinary(" " + c) for c in chunks], by_id
     library = Tokenizer.from_str(raw.decode())
     library.encode_special_tokens = True
-    return lambda chunks: [x.ids for x in library.encode_batch([" " + c for c in chunks], add_special_tokens=False)], table
+    return lambda chunks: [x.ids for x in library.encode_batch([" " + c for c in chunks], add_special_tokens=False)], by_id
 
 
 @lru_cache(maxsize=4)
@@ -79,40 +83,80 @@ def tokenise(docs: DataFrame, byte_path: str, piece_path: str, doc_id: str = "do
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     key = rows.schema["doc_id"].dataType.simpleString()
 
-    def nested(lists: list, kind) -> pa.ListArray:
+    def nested(flat: np.ndarray, edges: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat, pa.int32()))
+
+    def spread(lists: list) -> tuple[np.ndarray, np.ndarray]:
+        """All members of the lists in a row, and where each list begins and ends."""
         edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
-        flat = np.fromiter((x for part in lists for x in part), np.int32, int(edges[-1]))
-        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat, kind))
+        return np.fromiter(chain.from_iterable(lists), np.int32, int(edges[-1])), edges
+
+    def ids_of(chunks: list[str], want: list[bytes], encode, table: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, set[int]]:
+        """The ids of all words in a row, where each word begins and ends in them, and the words whose joined bytes are not those wanted.
+
+        One text of many words is encoded at once: its borders are where the words' bytes end. Should they not be, each word is encoded by itself.
+        """
+        flat = np.array(encode([" ".join(chunks)])[0], np.int32)
+        at, stops = np.cumsum(sizes[flat]), np.cumsum(np.fromiter(map(len, want), np.int64, len(want)))
+        edges = np.searchsorted(at, stops) + 1
+        if len(at) and edges[-1] == len(at) and (at[edges - 1] == stops).all() and b"".join(map(table.__getitem__, flat.tolist())) == b"".join(want):
+            return flat, np.concatenate([[0], edges]), set()
+        each = encode(chunks)
+        wrong = {k for k, (x, w) in enumerate(zip(each, want)) if b"".join(map(table.__getitem__, x)) != w}
+        return *spread(each), wrong
+
+    def block_of(ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+        (encode_a, bytes_a), (model, bytes_b) = byte_model(raw.value), (piece_model(proto.value), piece_bytes(proto.value))
+        sides = ((encode_a, bytes_a), (lambda chunks: model.encode(chunks, num_threads=1), bytes_b))
+        cut, found = piece_cut(proto.value), Codes()
+        look = found.__getitem__
+        words = [list(map(look, cut(t))) if t else [] for t in texts]
+        # Words that end in white space, or hold a mark, or are whole texts, can't stand before others in one text.
+        chunks = list(found)
+        single = np.array([cut is not marked or c[-1].isspace() or MARK in c for c in chunks], bool)
+        groups = [g for g in np.array_split(np.flatnonzero(~single), max(1, int((~single).sum()) // JOINED)) if len(g)] + [[k] for k in np.flatnonzero(single)]
+        rank = np.empty(len(chunks), np.int32)
+        rank[[k for g in groups for k in g]] = np.arange(len(chunks))
+        out, wrong = [], set()
+        for encode, table in sides:
+            sizes = np.array([len(t) for t in table])
+            parts, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            for g in groups:
+                some = [chunks[k] for k in g]
+                flat, edges, bad = ids_of(some, [(" " + w).encode() for w in some], encode, table, sizes)
+                wrong |= {int(rank[g[k]]) for k in bad}
+                parts.append(flat)
+                lengths.append(np.diff(edges))
+            flat, n = np.concatenate(parts), np.concatenate(lengths)
+            edges = np.concatenate([[0], np.cumsum(n)])
+            total = np.concatenate([[0], np.cumsum(sizes[flat])])
+            out.append((nested(flat, edges), nested(total[1:] - np.repeat(total[edges[:-1]], n), edges), n))
+        (a, a_end, n_a), (b, b_end, n_b) = out
+        tokens = pa.StructArray.from_arrays([a, a_end, b, b_end], names=["a", "a_end", "b", "b_end"])
+        flat, edges = spread(words)
+        flat = rank[flat]
+        if wrong:
+            gone = np.add.reduceat(np.append(np.isin(flat, list(wrong)), False), edges[:-1]) * (np.diff(edges) > 0) > 0
+            flat, edges = spread([[] if g else flat[i:j].tolist() for g, i, j in zip(gone, edges[:-1], edges[1:])])
+        counts = [pa.array(np.diff(np.concatenate([[0], np.cumsum(n[flat])])[edges]), pa.int64()) for n in (n_a, n_b)]
+        each = pa.StructArray.from_arrays([ids, nested(flat, edges), *counts], names=["doc_id", "words", "n_a", "n_b"])
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.RecordBatch.from_arrays([one(each), one(tokens)], names=["docs", "chunks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (encode_a, bytes_a), (model, bytes_b) = byte_model(raw.value), (piece_model(proto.value), piece_bytes(proto.value))
-        cut = piece_cut(proto.value)
+        ids, texts, size = [], [], 0
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            start, size = 0, 0
-            for stop in range(1, len(texts) + 1):
-                size += len(texts[stop - 1] or "")
-                if stop < len(texts) and size + len(texts[stop] or "") <= block:
-                    continue
-                found: dict[str, int] = {}
-                words = [[found.setdefault(w, len(found)) for w in cut(t)] if t else [] for t in texts[start:stop]]
-                chunks = list(found)
-                a, b = encode_a(chunks), model.encode(chunks, num_threads=1)
-                wrong = set()
-                for k, (x, y, w) in enumerate(zip(a, b, chunks)):
-                    want = (" " + w).encode()
-                    if b"".join(map(bytes_a.__getitem__, x)) != want or b"".join(map(bytes_b.__getitem__, y)) != want:
-                        wrong.add(k)
-                        a[k], b[k] = [], []
-                words = [[] if wrong and not wrong.isdisjoint(row) else row for row in words]
-                ends = [nested([np.cumsum([len(table[i]) for i in x]) for x in side], pa.int32()) for side, table in ((a, bytes_a), (b, bytes_b))]
-                tokens = pa.StructArray.from_arrays([nested(a, pa.int32()), ends[0], nested(b, pa.int32()), ends[1]], names=["a", "a_end", "b", "b_end"])
-                each = pa.StructArray.from_arrays([ids.slice(start, stop - start), nested(words, pa.int32())], names=["doc_id", "words"])
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([one(each), one(tokens)], names=["docs", "chunks"])
-                start, size = stop, 0
-
-    return rows.mapInArrow(run, f"docs array<struct<doc_id: {key}, words: array<int>>>, chunks {_TOKENS}")
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                if texts and size + len(t or "") > block:
+                    yield block_of(pa.concat_arrays(ids), texts)
+                    ids, texts, size = [], [], 0
+                ids.append(batch.column("doc_id").slice(i, 1))
+                texts.append(t)
+                size += len(t or "")
+        if texts:
+            yield block_of(pa.concat_arrays(ids), texts)
+
+    return rows.mapInArrow(run, f"docs array<struct<doc_id: {key}, words: array<int>, n_a: long, n_b: long>>, chunks {_TOKENS}")
 
 
 def _pair(a: Column, b: Column) -> Column:
@@ -129,7 +173,6 @@ def align_blocks(blocks: DataFrame) -> DataFrame:
     """
     at = lambda e, i, side: e.cast("long") * F.lit(_HIGH) + (i + F.lit(side))
     merged = lambda c: F.sort_array(F.concat(F.transform(c["a_end"], lambda e, i: at(e, i, 0)), F.transform(c["b_end"], lambda e, i: at(e, i, _B))))
-    common = lambda c: F.size(F.array_intersect(c["a_end"], c["b_end"])).alias("n_groups")
     keep = lambda c, *names: [c[n].alias(n) for n in names]
 
     def step(c: Column, x: Column, j: Column) -> Column:
@@ -150,21 +193,26 @@ def align_blocks(blocks: DataFrame) -> DataFrame:
         ids = lambda side, low, high: F.array_join(F.transform(F.sequence(low, high), lambda i: F.get(c[side], i).cast("string")), ",")
         return F.concat(ids("a", first_a, last_a), F.lit("|"), ids("b", first_b, last_b))
 
-    d = blocks.withColumn("chunks", F.transform("chunks", lambda c: F.struct(*keep(c, "a", "a_end", "b"), common(c), merged(c).alias("m"))))
-    d = d.withColumn("chunks", F.transform("chunks", lambda c: F.struct(*keep(c, "a", "b", "n_groups"), F.transform(c["m"], lambda x, j: step(c, x, j)).alias("s"))))
-    d = d.withColumn("chunks", F.transform("chunks", lambda c: F.struct(*keep(c, "a", "b", "n_groups"), F.filter(c["s"], lambda x: x >= 0).alias("links"), F.filter(c["s"], lambda x: x < 0).alias("cuts"))))
-    text = lambda c: F.array_join(F.transform(c["cuts"], lambda v, g: group(c, v, g)), ";").alias("text")
-    d = d.withColumn("chunks", F.transform("chunks", lambda c: F.struct(F.size(c["a"]).alias("n_a"), F.size(c["b"]).alias("n_b"), c["n_groups"].alias("n_groups"), c["links"].alias("links"), text(c))))
+    # Where all ends are common, as in most words, tokens pair one by one; only the others are merged.
+    uneven = lambda c: F.size(F.array_intersect(c["a_end"], c["b_end"])) < F.greatest(F.size(c["a"]), F.size(c["b"]))
+    steps = lambda c: F.when(uneven(c), F.transform(merged(c), lambda x, j: step(c, x, j))).alias("s")
+    d = blocks.withColumn("chunks", F.transform("chunks", lambda c: F.struct(*keep(c, "a", "b"), steps(c))))
+    links = lambda c: F.when(c["s"].isNull(), F.zip_with(c["a"], c["b"], _pair)).otherwise(F.filter(c["s"], lambda x: x >= 0)).alias("links")
+    cuts = lambda c: F.when(c["s"].isNotNull(), F.filter(c["s"], lambda x: x < 0)).alias("cuts")
+    d = d.withColumn("chunks", F.transform("chunks", lambda c: F.struct(*keep(c, "a", "b"), links(c), cuts(c))))
+    even = lambda c: F.zip_with(c["a"], c["b"], lambda x, y: F.concat_ws("|", x.cast("string"), y.cast("string")))
+    text = lambda c: F.array_join(F.when(c["cuts"].isNull(), even(c)).otherwise(F.transform(c["cuts"], lambda v, g: group(c, v, g))), ";").alias("text")
+    d = d.withColumn("chunks", F.transform("chunks", lambda c: F.struct(*keep(c, "links"), text(c))))
     word = lambda w, name: F.get(F.col("chunks"), w)[name]
-    summed = lambda x, name: F.aggregate(x["words"], F.lit(0).cast("long"), lambda s, w: s + word(w, name)).alias(name)
     out = F.transform(
         "docs",
         lambda x: F.struct(
-            x["doc_id"].alias("doc_id"), *(summed(x, n) for n in ("n_a", "n_b", "n_groups")),
+            *keep(x, "doc_id", "n_a", "n_b"),
             F.flatten(F.transform(x["words"], lambda w: word(w, "links"))).alias("links"), F.array_join(F.transform(x["words"], lambda w: word(w, "text")), ";").alias("groups"),
         ),
     )
-    return d.select(F.inline(out))
+    # A link for each end of either side, common ones once; a group for each common one.
+    return d.select(F.inline(out)).withColumn("n_groups", F.col("n_a") + F.col("n_b") - F.size("links"))
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:

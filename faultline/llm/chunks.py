@@ -26,7 +26,9 @@ def whole(text: str) -> list[str]:
     return [text] if text else []
 
 
-class _Codes(dict):
+class Codes(dict):
+    """Numbers of chunks in the order in which they are first asked for; `fresh` are the new ones."""
+
     def __init__(self):
         super().__init__()
         self.fresh: list[str] = []
@@ -46,7 +48,7 @@ class ChunkTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.codes, self.held = _Codes(), 0
+        self.codes, self.held = Codes(), 0
         self.lengths = [np.zeros(0, np.int64) for _ in self.encoders]
         self.flat = [np.zeros(0, np.int32) for _ in self.encoders]
 

@@ -135,4 +135,4 @@ def test_byte_model_gives_the_librarys_ids_either_way():
     library = Tokenizer.from_file(BYTES)
     library.encode_special_tokens = True
     assert [list(x) for x in ranked(words)] == [library.encode(" " + w, add_special_tokens=False).ids for w in words]
-    assert len(table) == 50_256
+    assert len(table) == 50_256 and all(table)
