@@ -76,15 +76,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
     """The labels of words (rows) that maximise the sum of their scores less `switch` a change of label.
 
-    If no run of words gains more than one switch by another label than the overall best, the best is all of the
-    path: each departure from it costs a switch at least. Only mixed texts take the step-by-step recursion.
+    A path leaves the overall best label in runs of words, each of which costs a switch at least, or never has it and switches
+    among the others, or is one other label, which has a lesser sum. So if no run of words gains more than one switch by the best other label of each word,
+    the overall best is all of the path. Only other texts take the step-by-step recursion.
     """
     n, k = scores.shape
-    best = int(scores.sum(0).argmax())
+    best = int(scores.sum(0, dtype=np.float64).argmax())
     if k == 1 or n == 1:
         return np.full(n, best)
-    gain = np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)
-    low = np.minimum.accumulate(np.vstack([np.zeros((1, k)), gain[:-1]]), axis=0)
+    gain = np.cumsum(np.delete(scores, best, axis=1).max(1) - scores[:, best], dtype=np.float64)
+    low = np.minimum.accumulate(np.append(0.0, gain[:-1]))
     if (gain - low).max() <= switch:
         return np.full(n, best)
     back, at = np.empty((n, k), np.int8 if k < 128 else np.int32), scores[0].astype(np.float64)
