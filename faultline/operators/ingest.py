@@ -56,12 +56,17 @@ def groups_of(rows: DataFrame) -> DataFrame:
 
 
 def identified(groups: DataFrame) -> DataFrame:
-    """groups with failure_id and `wins`: the first group of a key names the failure, numbered within its file."""
+    """groups with failure_id and `wins`: the first group of a key names the failure, numbered within its file.
+
+    Groups whose key a store knows (`known_id`, if there is such a column) belong to that failure and win nothing.
+    """
     order = Window.partitionBy("k_failure_mode", "k_failure_effect", "k_element", "k_system").orderBy("file_ord", "group_ord")
     in_file = Window.partitionBy("file_ord").orderBy("group_ord")
-    won = groups.withColumn("wins", F.row_number().over(order) == 1)
+    first = F.row_number().over(order) == 1
+    known = F.col("known_id") if "known_id" in groups.columns else F.lit(None).cast("string")
+    won = groups.withColumn("wins", first & known.isNull())
     won = won.withColumn("own_id", F.when(F.col("wins"), F.concat("file_name", F.lit("__F"), F.sum(F.col("wins").cast("int")).over(in_file).cast("string"))))
-    return won.withColumn("failure_id", F.first("own_id", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).drop("own_id")
+    return won.withColumn("failure_id", F.coalesce(known, F.first("own_id", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).drop("own_id")
 
 
 def failures(groups: DataFrame) -> DataFrame:
@@ -69,17 +74,23 @@ def failures(groups: DataFrame) -> DataFrame:
     return groups.where("wins").select("failure_id", "failure_mode", F.col("element").alias("failure_element"), "failure_effect", "system", F.col("function").alias("function_name"), "severity", "rpn", "source_type")
 
 
-def causes(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def causes(rows: DataFrame, groups: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Causes of keyed(rows) and identified(groups): one a failure and normalised text, numbered in order of appearance.
 
-    The first record gives all fields; mode, element and effect are those of its own group's first record.
+    The first record gives all fields; mode, element and effect are those of its own group's first record. Causes that a store
+    has (`known`: failure_id, cause_key, n) are left out, and the numbers of new ones follow theirs.
     """
     named = rows.where(F.coalesce("failure_cause", F.lit("")) != "")
     g = groups.select("sig", "group_ord", "failure_id", F.col("failure_mode").alias("g_mode"), F.col("element").alias("g_element"), F.col("failure_effect").alias("g_effect"), F.col("discipline").alias("g_discipline"))
     named = named.join(g, "sig").withColumn("cause_key", normalize_key(F.col("failure_cause")))
     place = ("file_ord", "group_ord", "row_ord")
     named = named.withColumn("place", F.row_number().over(Window.partitionBy("failure_id", "cause_key").orderBy(*place))).where("place = 1")
-    named = named.withColumn("n", F.row_number().over(Window.partitionBy("failure_id").orderBy(*place)))
+    taken = F.lit(0)
+    if known is not None:
+        named = named.join(known.select("failure_id", "cause_key"), ["failure_id", "cause_key"], "left_anti")
+        named = named.join(known.groupBy("failure_id").agg(F.max("n").alias("taken")), "failure_id", "left")
+        taken = F.coalesce("taken", F.lit(0))
+    named = named.withColumn("n", F.row_number().over(Window.partitionBy("failure_id").orderBy(*place)) + taken)
     new = F.col("source_type") == "new_fmea"
     given = lambda c: F.nullif(F.col(c), F.lit(""))
     return named.select(
@@ -87,7 +98,7 @@ def causes(rows: DataFrame, groups: DataFrame) -> DataFrame:
         F.when(new, F.col("cause_discipline")).otherwise(F.col("g_discipline")).alias("discipline"),
         F.when(new, F.col("controls_prevention")).alias("prevention"),
         F.when(new, F.col("current_detection")).otherwise(F.coalesce(given("current_detection"), F.col("detection"))).alias("detection"),
-        parse_number(F.col("detection")).alias("detection_value"), parse_number(F.col("occurrence")).alias("occurrence"), "recommended_action", "n")
+        parse_number(F.col("detection")).alias("detection_value"), parse_number(F.col("occurrence")).alias("occurrence"), "recommended_action", "n", "cause_key")
 
 
 def ingest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,8 +111,13 @@ def ingest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = keyed(complete(rows))
     groups = identified(groups_of(rows))
     cause_rows = causes(rows, groups)
-    ids = cause_rows.groupBy("failure_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "cause_id"))), lambda s: s["cause_id"]).alias("cause_ids"))
-    return failures(groups).join(ids, "failure_id", "left").withColumn("cause_ids", F.coalesce("cause_ids", F.array().cast("array<string>"))), cause_rows.drop("n")
+    return with_cause_ids(failures(groups), cause_rows), cause_rows.drop("n", "cause_key")
+
+
+def with_cause_ids(failures_: DataFrame, causes_: DataFrame) -> DataFrame:
+    """failures with cause_ids, those of their causes (failure_id, cause_id, n) in order; none are an empty list."""
+    ids = causes_.groupBy("failure_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "cause_id"))), lambda s: s["cause_id"]).alias("cause_ids"))
+    return failures_.join(ids, "failure_id", "left").withColumn("cause_ids", F.coalesce("cause_ids", F.array().cast("array<string>")))
 
 
 def sentences_of(records: DataFrame) -> DataFrame:

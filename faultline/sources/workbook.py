@@ -125,8 +125,8 @@ def cells(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, CELLS)
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all .xlsx and .xlsm files under a folder (other extensions are skipped)."""
+def read_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Cells of all .xlsx and .xlsm files under a folder, or of these files (other extensions are skipped)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return cells(files.where(F.lower("path").rlike(r"\.(xlsx|xlsm)$") & ~F.col("path").rlike(r"/~\$[^/]*$")))
 
@@ -208,7 +208,7 @@ def old_layout(cells_: DataFrame) -> DataFrame:
     return out.withColumns({"source_type": F.lit("old_fmea"), "text": record_text(out)}).withColumnRenamed("row", "row_ord")
 
 
-def read_fmea(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_fmea(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(records of both layouts with file_ord and row_ord, files that could not be read) of a folder: .xlsm are new, .xlsx old."""
     every = read_cells(spark, path)
     good, bad = every.where("error IS NULL"), every.where("error IS NOT NULL").select("path", "error")
@@ -216,4 +216,4 @@ def read_fmea(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     old = old_layout(good.where(F.lower("path").endswith(".xlsx")))
     records = new.unionByName(old, allowMissingColumns=True)
     files = records.select("file_name").distinct().withColumn("file_ord", F.row_number().over(Window.orderBy("file_name")) - 1)
-    return records.join(F.broadcast(files), "file_name"), bad
+    return records.join(files, "file_name"), bad

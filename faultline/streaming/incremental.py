@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ingest import ingest
+from ..operators.knowledge import KnowledgeBase
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -19,25 +19,23 @@ def read_records_stream(spark: SparkSession, path: str, schema: str, files: int
 
 
 def ingest_stream(records: DataFrame, store: str, checkpoint: str):
-    """Keep a store of raw records and rebuild failures and causes from it in each batch: ids stay those of one ingest of all files.
+    """Merge each batch of record files into a knowledge base: its work goes by the batch's own keys, not by the size of the base.
 
-    `read_store` reads the last batch that is complete: a crash between the two stores leaves the one before. Batches are appended under their number, so a batch that is repeated after a failure replaces itself.
+    All records of a file come in one batch. A batch that is repeated after a failure changes nothing: each version names the last batch of this
+    checkpoint that it holds. Readers of a version see a batch as a whole or not at all.
     """
+    mark = f"stream {checkpoint}"
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/records/batch={number}")
-        rows = spark.read.parquet(f"{store}/records").drop("batch")
-        failures, causes = ingest(rows)
-        # Both stores are made anew under the batch's number; the marker, written last, names the ones that belong together.
-        failures.write.mode("overwrite").parquet(f"{store}/failures/batch={number}")
-        causes.write.mode("overwrite").parquet(f"{store}/causes/batch={number}")
-        spark.range(1).select(F.lit(number).alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{store}/current/batch={number}")
+        base = KnowledgeBase(batch.sparkSession, store)
+        if int(base.store.state()["notes"].get(mark, -1)) < number:
+            base.add(batch, notes={mark: number})
 
     return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_store(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
-    """(failures, causes) of the last batch whose stores were both written."""
-    last = spark.read.parquet(f"{store}/current").agg(F.max("batch")).first()[0]
-    return spark.read.parquet(f"{store}/failures/batch={last}"), spark.read.parquet(f"{store}/causes/batch={last}")
+def read_store(spark: SparkSession, store: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(failures, causes) of a version of the base, the newest if None."""
+    base = KnowledgeBase(spark, store)
+    version = base.store.version() if version is None else version
+    return base.failures(version), base.causes(version)

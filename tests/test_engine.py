@@ -296,8 +296,9 @@ def test_streams(spark, tmp_path):
     stream = incremental.read_records_stream(spark, str(tmp_path / "in/*"), schema, files=1)
     incremental.ingest_stream(stream, str(tmp_path / "kb"), str(tmp_path / "cp")).awaitTermination()
     failures, causes = ingest.ingest(spark.createDataFrame(rows, schema))
-    assert {r.failure_id for r in spark.read.parquet(str(tmp_path / "kb/failures")).collect()} == {r.failure_id for r in failures.collect()}
-    assert {r.cause_id for r in spark.read.parquet(str(tmp_path / "kb/causes")).collect()} == {r.cause_id for r in causes.collect()}
+    kept, kept_causes = incremental.read_store(spark, str(tmp_path / "kb"))
+    assert {r.failure_id for r in kept.collect()} == {r.failure_id for r in failures.collect()}
+    assert {r.cause_id for r in kept_causes.collect()} == {r.cause_id for r in causes.collect()}
     events = spark.readStream.schema(spark.read.parquet(f"{SF}/events.parquet").schema).parquet(f"{SF}/events*.parquet")
     q = incremental.windowed_counts(events).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
