@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -191,11 +193,19 @@ def lcs(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-def token_set_ratio_of(a: str, b: str) -> float:
+def _common_letters(a: str, b: str) -> int:
+    """How many characters both have, repeats counted: no common subsequence is longer."""
+    mine, other = Counter(a), Counter(b)
+    return sum(min(n, other[c]) for c, n in mine.items())
+
+
+def token_set_ratio_of(a: str, b: str, low: float = -1.0) -> float:
     """0-100: likeness of two texts as sets of tokens; a set inside the other is 100, an empty text 0.
 
     The greatest of three ratios 2 * LCS / (lengths) between the sorted common tokens, and those followed by
-    either text's own. As the common tokens stand first in all three, only the rests need an LCS.
+    either text's own. As the common tokens stand first in all three, only the rests need an LCS, and no LCS is made
+    where the shorter rest, or the letters that both rests have, can't lift the ratio over the other two or over `low`: what is
+    returned then is no more than the greater of `low` and the true ratio, and the true ratio if that is above `low`.
     """
     x, y = set(a.split()), set(b.split())
     if not x or not y:
@@ -207,26 +217,27 @@ def token_set_ratio_of(a: str, b: str) -> float:
     space = " " if both else ""
     one, two = space + " ".join(left), space + " ".join(right)
     ratio = lambda same, n: 200.0 * same / n
-    scores = [ratio(common + lcs(one, two), 2 * common + len(one) + len(two))]
-    if both:
-        scores += [ratio(common, 2 * common + len(one)), ratio(common, 2 * common + len(two))]
-    return max(scores)
+    best = max((ratio(common, 2 * common + len(t)) for t in (one, two)), default=0.0) if both else 0.0
+    total, bar = 2 * common + len(one) + len(two), max(best, low)
+    if ratio(common + min(len(one), len(two)), total) <= bar or ratio(common + _common_letters(one, two), total) <= bar:
+        return best
+    return max(best, ratio(common + lcs(one, two), total))
 
 
-def token_set_ratio(a: Column | str, b: Column | str) -> Column:
-    """token_set_ratio_of as an Arrow-batched UDF."""
+def token_set_ratio(a: Column | str, b: Column | str, low: Column | None = None) -> Column:
+    """token_set_ratio_of as an Arrow-batched UDF; exact above `low`, at or under it maybe less."""
 
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else token_set_ratio_of(p, q) for p, q in zip(x, y)], dtype="float64")
+    def run(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else token_set_ratio_of(p, q, r) for p, q, r in zip(x, y, z)], dtype="float64")
 
-    return F.pandas_udf(run, "double")(a, b)
+    return F.pandas_udf(run, "double")(a, b, F.lit(-1.0) if low is None else low)
 
 
 def best_likeness_of(a: str, b: str) -> float:
     """0-1: the greater of token_set_ratio_of / 100 and the share of a's tokens, repeats counted, that b has."""
     mine, known = [t for t in a.split(" ") if t], set(b.split(" "))
     share = sum(t in known for t in mine) / len(mine) if mine else 0.0
-    return share if share == 1.0 else max(share, token_set_ratio_of(a, b) / 100.0)
+    return share if share == 1.0 else max(share, token_set_ratio_of(a, b, 100.0 * share) / 100.0)
 
 
 def best_likeness(a: Column | str, b: Column | str) -> Column:

@@ -91,6 +91,18 @@ class KnowledgeBase:
                         tables = self._tables(batch, named, new_causes, digests)
                         return self.store.commit(tables | added, replaced, TABLES, BY, {**(notes or {}), "next_file": after})
 
+    def merge(self, rows: DataFrame, notes: Mapping[str, object] | None = None) -> int:
+        """`add`; but where files go on that the base has begun, `rebuild` from the kept records and these, as their numbers may all change."""
+        with self.store.staged(ingest.complete(rows)) as batch:
+            known = self._kept("files", batch.select("file_name").distinct())
+            begun = None if known is None else known.join(batch.select("file_name").distinct(), "file_name", "left_semi").select("file_name", F.col("file_ord").alias("old_ord"))
+            if begun is None or begun.isEmpty():
+                return self.add(batch, notes=notes)
+            low = batch.agg(F.min("file_ord")).first()[0]
+            shift = int(self.store.state()["notes"].get("next_file", 0)) - low
+            numbered = batch.join(begun, "file_name", "left").withColumn("file_ord", F.coalesce("old_ord", F.col("file_ord") + shift).cast("int")).drop("old_ord")
+            return self.rebuild(self.store.read("records").unionByName(numbered), self.files().select("file_name", "digest"), notes)
+
     def _tables(self, batch: DataFrame, named: DataFrame, causes: DataFrame, digests: DataFrame | None) -> dict[str, DataFrame]:
         fresh = ingest.failures(named).join(named.where("wins").select("failure_id", "key"), "failure_id")
         return {"records": batch, "files": self._file_rows(batch, digests), "failures": fresh, "causes": causes, "sentences": ingest.sentences_of(batch)}

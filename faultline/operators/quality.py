@@ -61,50 +61,62 @@ def orphan_failures(failures: DataFrame, causes: DataFrame) -> DataFrame:
     return causes.select("cause_id", "failure_id").join(failures.select("failure_id"), "failure_id", "left_anti").select("cause_id", "failure_id")
 
 
-def summary(checks: dict[str, DataFrame], samples: int = 5) -> DataFrame:
-    """(check, n, samples): how many findings a check has, and the first few messages by id."""
+def _messages(checks: dict[str, DataFrame]) -> DataFrame:
+    """(check, message) of the findings of all checks."""
     out = None
     for name, found in checks.items():
         cells = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in found.columns]
         one = found.select(F.lit(name).alias("check"), F.concat_ws(": ", *cells).alias("message"))
         out = one if out is None else out.unionByName(one)
-    ranked = out.withColumn("place", F.row_number().over(Window.partitionBy("check").orderBy("message")))
-    return ranked.groupBy("check").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("place") <= samples, F.col("message")))).alias("samples"))
+    return out
 
 
-def written_report(checks: dict[str, DataFrame], path: str, samples: int = 5) -> DataFrame:
-    """(check, message) of all findings, written with their summary and read again; a check without findings has one row without message."""
-    from ..sources.files import write_report
+def _summed(messages: DataFrame, samples: int) -> DataFrame:
+    ranked = messages.withColumn("place", F.row_number().over(Window.partitionBy("check").orderBy("message"))).where(F.col("place") <= samples)
+    first = ranked.groupBy("check").agg(F.array_sort(F.collect_list("message")).alias("samples"))
+    # Counts are partial before the shuffle, and ranks limited: no check's findings meet in one task.
+    return messages.groupBy("check").agg(F.count("*").alias("n")).join(first, "check")
 
-    out = None
-    for name, found in checks.items():
-        cells = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in found.columns]
-        one = found.select(F.lit(name).alias("check"), F.concat_ws(": ", *cells).alias("message"))
-        out = one if out is None else out.unionByName(one)
-    spark = out.sparkSession
-    write_report(summary(checks, samples), out, path)
+
+def summary(checks: dict[str, DataFrame], samples: int = 5) -> DataFrame:
+    """(check, n, samples): how many findings a check has, and the first few messages by id."""
+    return _summed(_messages(checks), samples)
+
+
+def written_report(checks: dict[str, DataFrame], path: str, samples: int = 5) -> DataFrame:
+    """(check, message) of all findings, written with their summary and read again; a check without findings has one row without message.
+
+    Each check runs once: the summary is made from the details that were written.
+    """
+    spark = next(iter(checks.values())).sparkSession
+    _messages(checks).write.mode("overwrite").json(f"{path}/details")
+    details = spark.read.schema("check string, message string").json(f"{path}/details")
+    _summed(details, samples).write.mode("overwrite").json(f"{path}/summary")
     names = spark.createDataFrame([(n,) for n in checks], "check string")
-    return names.join(spark.read.schema("check string, message string").json(f"{path}/details"), "check", "left")
+    return names.join(details, "check", "left")
+
 
+def retrieval_pairs(original: DataFrame, rephrased: DataFrame, keys: tuple[str, ...] = ("failure_id", "cause_id"), order: str | None = None, check: bool = True) -> DataFrame:
+    """Both kinds of query by key; of repeated keys the last one counts. No common key is an error.
 
-def retrieval_pairs(original: DataFrame, rephrased: DataFrame, keys: tuple[str, ...] = ("failure_id", "cause_id"), order: str | None = None) -> DataFrame:
-    """Both kinds of query by key; of repeated keys the last one counts. No common key is an error."""
+    Without `check` nothing is run here: `retrieval_accuracy` then finds that there is no pair, in its own pass.
+    """
     def last(d: DataFrame) -> DataFrame:
         return d if order is None else d.withColumn("_p", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_p = 1").drop("_p")
 
     pairs = last(original).alias("o").join(last(rephrased).alias("r"), list(keys))
-    if pairs.isEmpty():
+    if check and pairs.isEmpty():
         raise ValueError("original and rephrased queries have no key in common")
     return pairs
 
 
 def retrieval_accuracy(found: DataFrame) -> DataFrame:
-    """One row of rates from (truth, original_ids, rephrased_ids), the ids in order of rank."""
+    """One row of rates from (truth, original_ids, rephrased_ids), the ids in order of rank; no rows are an error when it runs."""
     top = lambda ids: F.coalesce(F.get(F.col(ids), F.lit(0)) == F.col("truth"), F.lit(False))
     among = lambda ids: F.coalesce(F.array_contains(ids, F.col("truth")), F.lit(False))
     rate = lambda c: F.round(F.avg(c.cast("int")), 6)
     return found.agg(
-        F.count("*").alias("n"), rate(top("original_ids")).alias("original_top1"), rate(among("original_ids")).alias("original_recall"),
+        F.when(F.count("*") > 0, F.count("*")).otherwise(F.raise_error(F.lit("original and rephrased queries have no key in common")).cast("long")).alias("n"), rate(top("original_ids")).alias("original_top1"), rate(among("original_ids")).alias("original_recall"),
         rate(top("rephrased_ids")).alias("rephrased_top1"), rate(among("rephrased_ids")).alias("rephrased_recall"),
         rate(top("original_ids") & ~top("rephrased_ids")).alias("regression_rate"))
 

@@ -26,7 +26,9 @@ def faithfulness(pairs: DataFrame, fuzzy: int = 85, coverage: float = 0.75, sent
     easy = (F.col("_s") == "") | F.contains("_src", F.col("_s"))
     done = rows.where(easy).withColumns({"faithful_type": F.when(F.col("_s") == "", F.lit("hallucinated")).otherwise(F.lit("exact")), "faithful_score": F.when(F.col("_s") == "", 0).otherwise(100)})
     share = T.set_coverage(T.content_tokens(F.col(sentence)), T.content_tokens(F.col(source)))
-    rest = _spread(rows.where(~easy)).withColumns({"_f": T.token_set_ratio("_s", "_src").cast("int"), "_c": share})
+    # A ratio under the coverage's own score can't count, so it need not be exact.
+    rest = _spread(rows.where(~easy)).withColumn("_c", share)
+    rest = rest.withColumn("_f", T.token_set_ratio("_s", "_src", F.floor(F.col("_c") * 100).cast("double")).cast("int"))
     score = F.greatest("_f", F.floor(F.col("_c") * 100).cast("int"))
     kind = F.when(score >= fuzzy, F.lit("fuzzy")).when(F.col("_c") >= coverage, F.lit("partial")).otherwise(F.lit("hallucinated"))
     rest = rest.withColumns({"faithful_type": kind, "faithful_score": score}).drop("_f", "_c")

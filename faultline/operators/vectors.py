@@ -66,7 +66,7 @@ def search_failures_batch(vectors: DataFrame, k: int = 5) -> DataFrame:
 
     One scan of all with all in blocks instead of a search for each query.
     """
-    near = nearest(vectors, k).where("own = other")
+    near = nearest_of_own(vectors, k)
     of = vectors.select("vec_id", "failure_id")
     hits = near.join(of.withColumnRenamed("failure_id", "query_id"), "vec_id").select("query_id", F.col("own").alias("role"), F.col("neighbour").alias("vec_id"), "dist").join(of, "vec_id")
     w = F.lit(0.0)
@@ -166,9 +166,31 @@ def nearest(items: DataFrame, k: int, group: str | None = "role", block: int = B
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
 
 
+def nearest_of_own(items: DataFrame, k: int, group: str | None = "role", block: int = BLOCK) -> DataFrame:
+    """nearest() among the vectors of one's own group only: blocks hold one group each, so groups never meet."""
+    rows = items.select("vec_id", F.col(group).cast("string").alias("g") if group else F.lit("").alias("g"), F.col("embedding").cast("array<double>").alias("x")).where("g IS NOT NULL")
+    # One row a group, and one number: how many blocks its vectors fill.
+    parts = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    rows = rows.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    pairs = rows.withColumn("left", F.lit(True)).withColumn("i", F.col("part")).withColumn("j", F.explode(every))
+    pairs = pairs.unionByName(rows.withColumn("left", F.lit(False)).withColumn("j", F.col("part")).withColumn("i", F.explode(every)))
+
+    def compare(one: pd.DataFrame) -> pd.DataFrame:
+        left, right = one[one["left"]], one[~one["left"]].sort_values("vec_id")
+        if not len(left) or not len(right):
+            return pd.DataFrame({"vec_id": [], "own": [], "neighbour": [], "dist": []})
+        row, col, d = _near(np.array(left["x"].tolist()), np.array(right["x"].tolist()), k)
+        return pd.DataFrame({"vec_id": left["vec_id"].to_numpy()[row], "own": one["g"].iloc[0], "neighbour": right["vec_id"].to_numpy()[col], "dist": d})
+
+    found = pairs.groupBy("g", "i", "j").applyInPandas(compare, "vec_id long, own string, neighbour long, dist double")
+    best = Window.partitionBy("vec_id", "own").orderBy("dist", "neighbour")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+
+
 def cohesion(items: DataFrame, k: int = 5, group: str | None = "role", same: float = 1e-6) -> DataFrame:
     """(vec_id, role, avg_dist): mean distance to the k + 1 nearest of one's own role, those nearer than `same` left out."""
-    near = nearest(items, k + 1, group).where("own = other").where(F.col("dist") > same)
+    near = nearest_of_own(items, k + 1, group).where(F.col("dist") > same)
     return near.groupBy("vec_id", F.col("own").alias("role")).agg(F.avg("dist").alias("avg_dist"))
 
 
@@ -277,11 +299,19 @@ def similar_causes(causes: DataFrame, threshold: float, block: int = BLOCK) -> D
 
 
 def near_duplicate_causes(failure_pairs: DataFrame | None, causes: DataFrame, threshold: float = 0.90) -> DataFrame:
-    """Causes of paired failures (all pairs, if None) with a cosine of the threshold: (failure_a, failure_b, cause_a, cause_b, similarity)."""
-    found = similar_causes(causes, threshold)
-    if failure_pairs is not None:
-        either = failure_pairs.select(F.least("failure_a", "failure_b").alias("failure_a"), F.greatest("failure_a", "failure_b").alias("failure_b"))
-        found = found.join(either, ["failure_a", "failure_b"], "left_semi")
+    """Causes of paired failures (all pairs, if None) with a cosine of the threshold: (failure_a, failure_b, cause_a, cause_b, similarity).
+
+    Given pairs are joined to the causes of either failure, so only causes of paired failures are compared; norms are made once a cause.
+    """
+    if failure_pairs is None:
+        return similar_causes(causes, threshold).withColumn("similarity", F.round("similarity", 4))
+    either = failure_pairs.select(F.least("failure_a", "failure_b").alias("failure_a"), F.greatest("failure_a", "failure_b").alias("failure_b")).where("failure_a <> failure_b").distinct()
+    rows = causes.select("failure_id", "cause_id", F.col("embedding").cast("array<double>").alias("x"))
+    rows = rows.withColumn("norm", F.sqrt(_dot(F.col("x"), F.col("x"))))
+    side = lambda s: rows.select(*[F.col(c).alias(f"{n}_{s}") for c, n in (("failure_id", "failure"), ("cause_id", "cause"), ("x", "x"), ("norm", "norm"))])
+    found = either.join(side("a"), "failure_a").join(side("b"), "failure_b")
+    found = found.withColumn("similarity", _dot(F.col("x_a"), F.col("x_b")) / (F.col("norm_a") * F.col("norm_b"))).where(F.col("similarity") >= threshold)
+    found = found.select("failure_a", "failure_b", "cause_a", "cause_b", "similarity")
     return found.withColumn("similarity", F.round("similarity", 4))
 
 
@@ -331,3 +361,22 @@ def project(items: DataFrame, k: int = 2) -> DataFrame:
     axes = axes * np.where(flip == 0, 1, flip)
     at = [(_dot(F.col("embedding"), literal(axes[:, i])) - float(mean @ axes[:, i])).alias(f"pc{i + 1}") for i in range(k)]
     return items.select("vec_id", "role", *at)
+
+
+def histogram(rows: DataFrame, value: str, by: str, bins: int = 50) -> DataFrame:
+    """(by, bin from 0, low, high, n): each group's values in bins of equal width from its least to its greatest, empty bins too.
+
+    Two passes, the range and the counts, each one partial aggregation. The last bin holds its upper end; equal values lie in the middle of a bin range of width one;
+    null and non-finite values are left out.
+    """
+    x = F.col(value).cast("double")
+    rows = rows.select(F.col(by).alias(by), x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
+    ends = rows.groupBy(by).agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    flat = F.col("least") == F.col("most")
+    ends = ends.select(by, F.when(flat, F.col("least") - 0.5).otherwise(F.col("least")).alias("least"), F.when(flat, F.col("most") + 0.5).otherwise(F.col("most")).alias("most"))
+    width = F.col("most") - F.col("least")
+    place = F.least(F.floor((F.col("v") - F.col("least")) / width * bins), F.lit(bins - 1)).cast("int")
+    counts = rows.join(ends, by).groupBy(by, place.alias("bin")).agg(F.count("*").alias("n"))
+    every = ends.select(by, "least", "most", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    edge = lambda k: F.col("least") + width * k / bins
+    return every.join(counts, [by, "bin"], "left").select(by, "bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -21,15 +21,15 @@ def read_records_stream(spark: SparkSession, path: str, schema: str, files: int
 def ingest_stream(records: DataFrame, store: str, checkpoint: str):
     """Merge each batch of record files into a knowledge base: its work goes by the batch's own keys, not by the size of the base.
 
-    All records of a file come in one batch. A batch that is repeated after a failure changes nothing: each version names the last batch of this
-    checkpoint that it holds. Readers of a version see a batch as a whole or not at all.
+    That holds as long as the records of a file come in one batch; where a file goes on in a later batch, the tables are made anew from the kept records. A batch
+    that is repeated after a failure changes nothing: each version names the last batch of this checkpoint that it holds. Readers of a version see a batch as a whole or not at all.
     """
     mark = f"stream {checkpoint}"
 
     def merge(batch: DataFrame, number: int) -> None:
         base = KnowledgeBase(batch.sparkSession, store)
         if int(base.store.state()["notes"].get(mark, -1)) < number:
-            base.add(batch, notes={mark: number})
+            base.merge(batch, notes={mark: number})
 
     return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -350,3 +350,39 @@ def test_clashing_names_end_an_ingest(spark):
     rows = spark.createDataFrame([(0, "same", 0, "new_fmea", "m"), (1, "same", 0, "new_fmea", "n")], "file_ord int, file_name string, row_ord int, source_type string, failure_mode string")
     with pytest.raises(ValueError, match="same"):
         ingest.ingest(rows)
+
+
+def test_projection_histogram_against_numpy(spark):
+    import numpy as np
+
+    from faultline.plans.fixtures import kb_vec
+
+    rows = kb_vec(spark, SF).collect()
+    x = np.array([r.embedding for r in rows], float)
+    x -= x.mean(0)
+    axis = np.linalg.svd(x, full_matrices=False)[2][0]
+    got = {}
+    for r in queries.QUERIES["projection_histogram"](spark, SF).orderBy("bin").collect():
+        got.setdefault(r.role, []).append(r.n)
+    for role, counts in got.items():
+        want = np.histogram([v @ axis for v, r in zip(x, rows) if r.role == role], 50)[0].tolist()
+        # The sign of a component is free.
+        assert counts in (want, want[::-1])
+    df = spark.createDataFrame([("a", 2.0), ("a", 2.0), ("b", None), ("b", float("nan"))], "g string, v double")
+    flat = vectors.histogram(df, "v", "g", 4).orderBy("bin").collect()
+    assert [(r.g, r.low, r.n) for r in flat] == [("a", 1.5, 0), ("a", 1.75, 0), ("a", 2.0, 2), ("a", 2.25, 0)]
+
+
+def test_own_neighbours_are_those_of_the_whole_scan(spark):
+    from faultline.plans.fixtures import kb_vec
+
+    v = kb_vec(spark, SF)
+    whole = vectors.nearest(v, 4).where("own = other").select("vec_id", "neighbour").collect()
+    for block in (4000, 30):
+        assert set(vectors.nearest_of_own(v, 4, block=block).select("vec_id", "neighbour").collect()) == set(whole)
+
+
+def test_accuracy_without_pairs_is_an_error(spark):
+    empty = spark.createDataFrame([], "truth int, original_ids array<int>, rephrased_ids array<int>")
+    with pytest.raises(Exception, match="no key in common"):
+        quality.retrieval_accuracy(empty).collect()

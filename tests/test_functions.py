@@ -125,3 +125,33 @@ def test_best_likeness_of_nulls(spark):
     df = spark.createDataFrame([("a b a", "a"), (None, "a"), ("a", None), ("", "a")], "a string, b string")
     got = [x[0] for x in df.select(T.best_likeness("a", "b")).collect()]
     assert got == [1.0, None, None, 0.0]
+
+
+def test_token_set_ratio_bounds_change_nothing():
+    import random
+
+    from faultline.functions.text import best_likeness_of, lcs, token_set_ratio_of
+
+    def plain(a, b):
+        x, y = set(a.split()), set(b.split())
+        if not x or not y:
+            return 0.0
+        both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+        if both and (not left or not right):
+            return 100.0
+        texts = [both, f"{both} {left}".strip(), f"{both} {right}".strip()]
+        pairs = [(1, 2)] + ([(0, 1), (0, 2)] if both else [])
+        return max(200.0 * lcs(texts[i], texts[j]) / (len(texts[i]) + len(texts[j])) for i, j in pairs)
+
+    draw = random.Random(2)
+    words = ["pump", "pumps", "stuck", "valve", "a", "bb", "rotor", "motor", "dust", "dusty"]
+    for _ in range(3000):
+        a, b = (" ".join(draw.choices(words, k=draw.randrange(0, 8))) for _ in range(2))
+        want = plain(a, b)
+        assert abs(token_set_ratio_of(a, b) - want) < 1e-9
+        for low in (0.0, 40.0, 70.0, 95.0):
+            got = token_set_ratio_of(a, b, low)
+            assert abs(got - want) < 1e-9 if want > low else got <= low + 1e-9
+        mine = a.split()
+        share = sum(t in set(b.split()) for t in mine) / len(mine) if mine else 0.0
+        assert abs(best_likeness_of(a, b) - max(share, want / 100)) < 1e-9

@@ -77,24 +77,24 @@ def test_streamed_batches_once_each(spark, tmp_path):
     assert content(failures, causes) == content(*ingest.ingest(again))
 
 
-def test_a_batch_reads_its_own_parts(spark, tmp_path, monkeypatch):
-    """The rows that a one-record batch looks up do not grow with the base."""
-    monkeypatch.setattr(stores, "PART_ROWS", 40)
-    one = [(0, "probe", 0, "old_fmea", None, None, None, "Mechanics", "mode 7", "stop", "dust", "3")]
+def test_a_look_up_reads_no_more_of_a_larger_table(spark, tmp_path, monkeypatch):
+    """The rows that one key's look-up reads do not grow with the table; a batch of known keys writes no failure anew."""
+    monkeypatch.setattr(stores, "PART_ROWS", 50)
     read = {}
-    for size in (300, 2400):
-        kb = KnowledgeBase(spark, str(tmp_path / f"kb{size}"))
-        kb.add(spark.createDataFrame([(0, "big", i, "old_fmea", None, None, None, "Mechanics", f"mode {i}", "stop", "dust", "3") for i in range(size)], SCHEMA))
-        groups = ingest.groups_of(ingest.keyed(ingest.complete(spark.createDataFrame(one, SCHEMA))))
-        from faultline.operators.knowledge import failure_key
-
-        only = kb.store.touched("failures", groups.withColumn("key", failure_key()))
-        read[size] = kb.store.read("failures", only=only).count()
-        assert len(only) == 1 and kb.store.table("failures").parts >= size / 40
-        before = kb.store.table("failures").live
-        kb.add(spark.createDataFrame(one, SCHEMA))
-        assert kb.failures().count() == size and kb.store.table("failures").live == before
-    assert 0 < read[2400] <= 80 and read[300] <= 80
+    for size in (200, 1600):
+        store = Store(spark, str(tmp_path / f"s{size}"))
+        store.commit({"t": spark.range(size).selectExpr("id", "md5(cast(id AS string)) AS v")}, keys={"t": ["id"]})
+        only = store.touched("t", spark.range(7, 8).toDF("id"))
+        read[size] = store.read("t", only=only).count()
+        assert len(only) == 1 and store.read("t", only=only).where("id = 7").count() == 1 and store.table("t").rows == size
+    assert 0 < read[1600] <= 75 and 0 < read[200] <= 75
+    monkeypatch.undo()
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    one = lambda name: spark.createDataFrame([(0, name, 0, "old_fmea", None, None, None, "Mechanics", "stuck", "stop", "dust", "3")], SCHEMA)
+    kb.add(one("a"))
+    before = {t: kb.store.table(t).live for t in ("failures", "causes", "nodes", "edges")}
+    kb.add(one("b"))
+    assert {t: kb.store.table(t).live for t in before} == before and kb.failures().count() == 1
 
 
 def test_a_crash_leaves_the_version_before(spark, tmp_path, monkeypatch):
