@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -139,7 +140,10 @@ class Store:
         """
         state = self.state()
         tables = {n: Table(**t) for n, t in state["tables"].items()}
-        for name, rows in [*(added or {}).items(), *(replaced or {}).items()]:
+        todo = [(name, rows, False) for name, rows in (added or {}).items()] + [(name, rows, True) for name, rows in (replaced or {}).items()]
+
+        def written(job: tuple[str, DataFrame, bool]) -> Table:
+            name, rows, replaces = job
             old = tables.get(name)
             new = old is None or name in whole
             key = list((keys or {}).get(name) or (old.key if old else rows.columns[:1]))
@@ -148,16 +152,19 @@ class Store:
             batch, found = self._write(name, rows, key, dealt, parts)
             live = {} if new else {p: list(b) for p, b in old.live.items()}
             for p in found:
-                live[p] = [batch] if new or name in (replaced or {}) else [*live.get(p, []), batch]
+                live[p] = [batch] if new or replaces else [*live.get(p, []), batch]
             # Counted from the footers of what was written.
             wrote = self._load(name, rows.schema, [f"{self.path}/{name}/batch={batch}/{p}" for p in found]).count() if found else 0
-            total = wrote if new else old.rows + wrote * (name in (added or {}))
-            tables[name] = Table(rows.schema.json(), key, dealt, parts, total, live)
+            total = wrote if new else old.rows + wrote * (not replaces)
+            made = Table(rows.schema.json(), key, dealt, parts, total, live)
             want = 1 << max(0, (total // PART_ROWS)).bit_length()
             if want > parts:
-                tables[name] = self._dealt_anew(name, tables[name], 2 * want)
-            elif max((len(b) for b in live.values()), default=0) > MOST_BATCHES:
-                tables[name] = self._dealt_anew(name, tables[name], parts)
+                return self._dealt_anew(name, made, 2 * want)
+            return self._dealt_anew(name, made, parts) if max((len(b) for b in live.values()), default=0) > MOST_BATCHES else made
+
+        # Tables are written beside each other; a failure of one ends the commit.
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            tables |= dict(zip([name for name, *_ in todo], list(pool.map(written, todo))))
         return self._publish(state["version"] + 1, tables, {**state["notes"], **(notes or {})})
 
     def _dealt_anew(self, name: str, t: Table, parts: int) -> Table:
