@@ -193,15 +193,20 @@ def align_blocks(blocks: DataFrame) -> DataFrame:
         ids = lambda side, low, high: F.array_join(F.transform(F.sequence(low, high), lambda i: F.get(c[side], i).cast("string")), ",")
         return F.concat(ids("a", first_a, last_a), F.lit("|"), ids("b", first_b, last_b))
 
-    # Where all ends are common, as in most words, tokens pair one by one; only the others are merged.
-    uneven = lambda c: F.size(F.array_intersect(c["a_end"], c["b_end"])) < F.greatest(F.size(c["a"]), F.size(c["b"]))
-    steps = lambda c: F.when(uneven(c), F.transform(merged(c), lambda x, j: step(c, x, j))).alias("s")
-    d = blocks.withColumn("chunks", F.transform("chunks", lambda c: F.struct(*keep(c, "a", "b"), steps(c))))
-    links = lambda c: F.when(c["s"].isNull(), F.zip_with(c["a"], c["b"], _pair)).otherwise(F.filter(c["s"], lambda x: x >= 0)).alias("links")
-    cuts = lambda c: F.when(c["s"].isNotNull(), F.filter(c["s"], lambda x: x < 0)).alias("cuts")
-    d = d.withColumn("chunks", F.transform("chunks", lambda c: F.struct(*keep(c, "a", "b"), links(c), cuts(c))))
-    even = lambda c: F.zip_with(c["a"], c["b"], lambda x, y: F.concat_ws("|", x.cast("string"), y.cast("string")))
-    text = lambda c: F.array_join(F.when(c["cuts"].isNull(), even(c)).otherwise(F.transform(c["cuts"], lambda v, g: group(c, v, g))), ";").alias("text")
+    # Where all ends are common, as in most words, tokens pair one by one and that is all; only the other words' tokens are merged.
+    pairs = lambda c: F.zip_with(c["a"], c["b"], _pair)
+    said = lambda c: F.array_join(F.zip_with(c["a"], c["b"], lambda x, y: F.concat_ws("|", x.cast("string"), y.cast("string"))), ";")
+
+    def begun(c: Column, common: Column) -> Column:
+        even = F.size(common) >= F.greatest(F.size(c["a"]), F.size(c["b"]))
+        rest = {"a": c["a"], "b": c["b"], "s": F.transform(merged(c), lambda x, j: step(c, x, j))}
+        return F.struct(F.when(even, pairs(c)).alias("links"), F.when(even, said(c)).alias("text"), *[F.when(~even, v).alias(k) for k, v in rest.items()])
+
+    # The lambda's variable holds the common ends, which would else be found anew for each field.
+    d = blocks.withColumn("chunks", F.transform("chunks", lambda c: F.get(F.transform(F.array(F.array_intersect(c["a_end"], c["b_end"])), lambda common: begun(c, common)), F.lit(0))))
+    links = lambda c: F.coalesce(c["links"], F.filter(c["s"], lambda x: x >= 0)).alias("links")
+    d = d.withColumn("chunks", F.transform("chunks", lambda c: F.struct(links(c), *keep(c, "text", "a", "b"), F.filter(c["s"], lambda x: x < 0).alias("cuts"))))
+    text = lambda c: F.coalesce(c["text"], F.array_join(F.transform(c["cuts"], lambda v, g: group(c, v, g)), ";")).alias("text")
     d = d.withColumn("chunks", F.transform("chunks", lambda c: F.struct(*keep(c, "links"), text(c))))
     word = lambda w, name: F.get(F.col("chunks"), w)[name]
     out = F.transform(
