@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import classify
 from .functions import text as T
-from .operators import eightd, graph, ingest, knowledge, quality, texteval, vectors
+from .operators import eightd, graph, ingest, knowledge, metric, quality, texteval, vectors
 from .plans.fixtures import fmea_rows, kb_cause, kb_vec, query_vector, sent, table, with_views
 from .sources.files import route, shared_folder
 from .streaming.incremental import windowed_counts
@@ -226,6 +226,21 @@ def near_dup_causes_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_causes(pairs, kb_cause(spark, sf_dir), 0.1)
 
 
+@query("WITH " + _COHESION + " SELECT vec_id, role, round(avg_dist, 6) AS avg_dist FROM s", "kb_vec")
+def metric_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """knn_cohesion by the metric index."""
+    return metric.cohesion(metric.build(kb_vec(spark, sf_dir))).select("vec_id", "role", F.round("avg_dist", 6).alias("avg_dist"))
+
+
+@query(f"""SELECT a.role, a.vec_id AS a, b.vec_id AS b, round({_cos('a.embedding', 'b.embedding')}, 4) AS similarity FROM kb_vec a JOIN kb_vec b ON a.role = b.role AND a.vec_id < b.vec_id
+WHERE {_cos('a.embedding', 'b.embedding')} >= 0.4""", "kb_vec")
+def metric_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of one role from a cosine of 0.4 on, by a range scan of the metric index."""
+    v = kb_vec(spark, sf_dir)
+    pairs = metric.cosine_pairs(v, 0.4, "role").join(v.select(F.col("vec_id").alias("a"), "role"), "a")
+    return pairs.select("role", "a", "b", F.round("similarity", 4).alias("similarity"))
+
+
 @query("SELECT vec_id, failure_id, role FROM kb_vec WHERE vec_id IN (3, 4, 5)", "kb_vec")
 def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.by_ids(kb_vec(spark, sf_dir), [3, 4, 5]).select("vec_id", "failure_id", "role")
