@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from .functions import classify
 from .functions import text as T
-from .operators import eightd, graph, ingest, knowledge, metric, quality, texteval, vectors
+from .operators import conform, eightd, graph, ingest, knowledge, metric, quality, texteval, vectors
 from .plans.fixtures import fmea_rows, kb_cause, kb_vec, query_vector, sent, table, with_views
 from .sources.files import route, shared_folder
 from .streaming.incremental import windowed_counts
@@ -759,6 +760,42 @@ def section_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eightd.sections(c).select("file", "section", "title", "content")
 
 
+#: What the props of clicks are held against: device is required, versions are numbers, items are not declared.
+PROPS = t.StructType([
+    t.StructField("k", t.LongType(), False),
+    t.StructField("device", t.StructType([t.StructField("os", t.StringType(), False), t.StructField("ver", t.DoubleType())]), False),
+    t.StructField("tags", t.ArrayType(t.StringType(), False)),
+])
+_KIND = "CASE json_type(v) WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'DOUBLE' THEN 'DECIMAL' ELSE json_type(v) END"
+
+
+def _fault_sql(path: str, values: str, expected: str, takes: str, required: bool) -> str:
+    """Faults of the values (click_id, path, v) of one declared place; v is null where there is none."""
+    absent = f"SELECT click_id, {path} AS path, 'missing' AS fault, '{expected}' AS expected, NULL AS found FROM {values} WHERE v IS NULL UNION ALL " if required else ""
+    null = f"SELECT click_id, {path}, 'null', '{expected}', 'NULL' FROM {values} WHERE json_type(v) = 'NULL' UNION ALL " if required else ""
+    return absent + null + f"SELECT click_id, {path}, 'type', '{expected}', {_KIND} FROM {values} WHERE json_type(v) NOT IN ('NULL', {takes})"
+
+
+@query(f"""WITH j AS (SELECT click_id, CASE WHEN json_valid(props) THEN CAST(props AS JSON) END AS v FROM clicks),
+d AS (SELECT click_id, json_extract(v, '$.device') AS v FROM j WHERE json_type(v) = 'OBJECT'),
+k AS (SELECT click_id, json_extract(v, '$.k') AS v FROM j WHERE json_type(v) = 'OBJECT'),
+o AS (SELECT click_id, json_extract(v, '$.os') AS v FROM d WHERE json_type(v) = 'OBJECT'),
+r AS (SELECT click_id, json_extract(v, '$.ver') AS v FROM d WHERE json_type(v) = 'OBJECT'),
+g AS (SELECT click_id, json_extract(v, '$.tags') AS v FROM j WHERE json_type(v) = 'OBJECT'),
+i AS (SELECT click_id, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS n, v AS a FROM g WHERE json_type(v) = 'ARRAY'),
+x AS (SELECT click_id, n, json_extract(a, '$[' || n || ']') AS v FROM i),
+u AS (SELECT click_id, '$.' || name AS path, json_extract(v, '$.' || name) AS v FROM (SELECT click_id, v, unnest(json_keys(v)) AS name FROM j WHERE json_type(v) = 'OBJECT') WHERE name NOT IN ('k', 'device', 'tags')
+  UNION ALL SELECT click_id, '$.device.' || name, json_extract(v, '$.' || name) FROM (SELECT click_id, v, unnest(json_keys(v)) AS name FROM d WHERE json_type(v) = 'OBJECT') WHERE name NOT IN ('os', 'ver'))
+SELECT click_id, '$' AS path, CASE WHEN props IS NULL THEN 'missing' ELSE 'broken' END AS fault, 'OBJECT' AS expected, NULL AS found FROM clicks WHERE props IS NULL OR NOT json_valid(props)
+UNION ALL SELECT click_id, '$', 'type', 'OBJECT', {_KIND} FROM j WHERE json_type(v) <> 'OBJECT'
+UNION ALL {_fault_sql("'$.k'", "k", "BIGINT", "'BIGINT', 'UBIGINT'", True)} UNION ALL {_fault_sql("'$.device'", "d", "OBJECT", "'OBJECT'", True)}
+UNION ALL {_fault_sql("'$.device.os'", "o", "STRING", "'VARCHAR'", True)} UNION ALL {_fault_sql("'$.device.ver'", "r", "DOUBLE", "'BIGINT', 'UBIGINT', 'DOUBLE'", False)}
+UNION ALL {_fault_sql("'$.tags'", "g", "ARRAY", "'ARRAY'", False)} UNION ALL {_fault_sql("concat('$.tags[', n, ']')", "x", "STRING", "'VARCHAR'", True)}
+UNION ALL SELECT click_id, path, 'unknown', NULL, {_KIND} FROM u""")
+def props_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conform.faults(table(spark, sf_dir, "clicks"), "click_id", "props", PROPS)
+
+
 @query("SELECT doc_id FROM documents ORDER BY md5(concat('42:', CAST(doc_id AS VARCHAR))), doc_id LIMIT 40")
 def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.sample_by_hash(table(spark, sf_dir, "documents").select("doc_id"), 40, "doc_id")
