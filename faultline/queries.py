@@ -10,7 +10,7 @@ from pyspark.sql import types as t
 
 from .functions import classify
 from .functions import text as T
-from .operators import conform, eightd, graph, ingest, knowledge, metric, quality, texteval, vectors
+from .operators import conform, eightd, graph, ingest, knowledge, metric, ordered, quality, texteval, vectors
 from .plans.fixtures import fmea_rows, kb_cause, kb_vec, query_vector, sent, table, with_views
 from .sources.files import route, shared_folder
 from .streaming.incremental import windowed_counts
@@ -796,6 +796,20 @@ def props_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform.faults(table(spark, sf_dir, "clicks"), "click_id", "props", PROPS)
 
 
+@query("SELECT l_returnflag, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS number FROM lineitem")
+def spread_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three groups that hold all rows, each numbered over all tasks."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    return ordered.numbered(rows, ["l_orderkey", "l_linenumber"], ["l_returnflag"])
+
+
+@query("SELECT click_id, client_id, ts, last_value(kind IGNORE NULLS) OVER (PARTITION BY client_id ORDER BY ts NULLS FIRST, click_id NULLS FIRST, arrived_at NULLS FIRST, kind NULLS FIRST ROWS UNBOUNDED PRECEDING) AS kind FROM clicks")
+def spread_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last known kind of each client's clicks; clients with very many clicks lie in several tasks."""
+    rows = table(spark, sf_dir, "clicks").select("click_id", "client_id", "ts", "arrived_at", "kind")
+    return ordered.filled(rows, "kind", ["ts", "click_id", "arrived_at", "kind"], ["client_id"]).drop("arrived_at")
+
+
 @query("SELECT doc_id FROM documents ORDER BY md5(concat('42:', CAST(doc_id AS VARCHAR))), doc_id LIMIT 40")
 def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.sample_by_hash(table(spark, sf_dir, "documents").select("doc_id"), 40, "doc_id")
