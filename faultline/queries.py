@@ -820,4 +820,4 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(table(spark, sf_dir, "events"))
 
 
-from . import case_queries  # noqa: E402, F401  registers its queries
+from . import case_queries, source_queries  # noqa: E402, F401  register their queries

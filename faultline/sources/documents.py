@@ -56,11 +56,15 @@ def parts(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, PARTS)
 
 
+def only_reports(files: DataFrame) -> DataFrame:
+    """The .docx files without lock and hidden ones."""
+    name = F.substring_index("path", "/", -1)
+    return files.where(F.lower("path").endswith(".docx") & ~name.startswith("~$") & ~name.startswith("."))
+
+
 def read_reports(spark: SparkSession, path: str, done: DataFrame | None = None) -> DataFrame:
     """PARTS of the .docx files of a folder, lock and hidden files and those in `done` (file) left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.substring_index("path", "/", -1)
-    files = files.where(F.lower("path").endswith(".docx") & ~name.startswith("~$") & ~name.startswith(".")).withColumn("file", name)
+    files = only_reports(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)).withColumn("file", F.substring_index("path", "/", -1))
     return parts(files.join(done.select("file"), "file", "left_anti") if done is not None else files)
 
 

@@ -45,6 +45,23 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def read_lines_checked(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of schema, faults) of JSON lines: broken lines and those with a value of another type go to the faults (file, line, text), others on.
+
+    Lines are numbered from 1 through the whole file, blank ones counted, though its blocks are read apart: a block has one row of counts,
+    summed over the blocks before it, and only faults are joined to it. A field that is missing is null; text behind an object is not read.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), "value", F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("_before", F.coalesce(before, F.lit(0)))
+    parsed = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}))
+    bad = F.col("r").isNull() | F.col("r._broken").isNotNull()
+    faults = parsed.where(bad).join(blocks, ["_file", "_start"])
+    line = F.col("_id") - F.col("_first") + F.col("_before") + 1
+    return parsed.where(~bad).select("r.*").drop("_broken"), faults.select(F.col("_file").alias("file"), line.alias("line"), F.col("value").alias("text"))
+
+
 def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A store {id: object} as rows (id, fields of schema)."""
     whole = spark.read.text(path, wholetext=True)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.ingest import last_before
+from .files import shared_folder
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -125,10 +126,14 @@ def cells(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, CELLS)
 
 
+def only_workbooks(files: DataFrame) -> DataFrame:
+    """The .xlsx and .xlsm files without the lock files beside open ones."""
+    return files.where(F.lower("path").rlike(r"\.(xlsx|xlsm)$") & ~F.col("path").rlike(r"/~\$[^/]*$"))
+
+
 def read_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Cells of all .xlsx and .xlsm files under a folder, or of these files (other extensions are skipped)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return cells(files.where(F.lower("path").rlike(r"\.(xlsx|xlsm)$") & ~F.col("path").rlike(r"/~\$[^/]*$")))
+    return cells(only_workbooks(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)))
 
 
 def cell_value(cells_: DataFrame, address: str, name: str) -> DataFrame:
@@ -210,7 +215,14 @@ def old_layout(cells_: DataFrame) -> DataFrame:
 
 def read_fmea(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(records of both layouts with file_ord and row_ord, files that could not be read) of a folder: .xlsm are new, .xlsx old."""
-    every = read_cells(spark, path)
+    return records_of(read_cells(spark, path))
+
+
+def records_of(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of CELLS, however they were read; written once, since the layouts look at them several times. Files are numbered by name."""
+    kept = shared_folder(every.sparkSession)
+    every.write.parquet(kept)
+    every = every.sparkSession.read.schema(CELLS).parquet(kept)
     good, bad = every.where("error IS NULL"), every.where("error IS NOT NULL").select("path", "error")
     new = new_layout(good.where(F.lower("path").endswith(".xlsm")))
     old = old_layout(good.where(F.lower("path").endswith(".xlsx")))
