@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -52,3 +54,28 @@ def select_sentences(docs: DataFrame, k: int = 10, key: str = "doc_id", text: st
     from ..operators.texteval import valuable_sentences
 
     return valuable_sentences(docs, k, key, text)
+
+
+def first_sentences(prompts: list[str], k: int = 3) -> list[str]:
+    """The stand-in of a model that picks sentences from a section: the first k, its name left out."""
+    out = []
+    for p in prompts:
+        found = (re.sub(r"[ \t\n\r\f\v]+", " ", s).strip(" ") for s in re.split("[.!?]", p.split("\n", 1)[1]))
+        out.append("Here they are: " + json.dumps({"sentences": [s for s in found if s][:k]}))
+    return out
+
+
+def signals_as_case(prompts: list[str]) -> list[str]:
+    """The stand-in of a model that makes a case of signals: the first of D2 and of D3, and those of D4 as causes, every other one with a discipline."""
+    out = []
+    for p in prompts:
+        blocks: dict[str, list[str]] = {}
+        for line in p.split("\n"):
+            if head := re.fullmatch(r"(D\d):", line):
+                lines = blocks.setdefault(head[1], [])
+            elif said := re.match(r"- \[id:[^\]]*\] (.*) \(status=", line):
+                lines.append(said[1])
+        first = lambda name: next(iter(blocks.get(name, ())), None)
+        causes = [{"failure_cause": c} | ({"discipline_type": "MCH"} if i % 2 else {}) for i, c in enumerate(blocks.get("D4", ()))]
+        out.append(json.dumps({"failure_mode": first("D2"), "failure_effect": first("D3"), "root_causes": causes}))
+    return out

@@ -1,12 +1,13 @@
-"""Queries over files: workbooks, reports and JSON lines that Spark writes from the tables, and reads again; and their SQL twins."""
+"""Queries over files that Spark writes from the tables and reads again (workbooks, reports, JSON lines) and over kept answers; and their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import eightd
-from .plans.fixtures import fmea_rows, table
+from .functions import hooks
+from .operators import answers, eightd
+from .plans.fixtures import case_sections, fmea_rows, table
 from .queries import query
 from .sources import files, formats, workbook
 
@@ -79,3 +80,20 @@ def lines_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, faults = files.read_lines_checked(spark, path, "click_id long, client_id long, kind string")
     broken = faults.select(F.from_json("text", "click_id long, kind string").alias("r")).select("r.click_id", F.lit(None).cast("long").alias("client_id"), "r.kind", F.lit(True).alias("broken"))
     return rows.select("click_id", "client_id", "kind", F.lit(False).alias("broken")).unionByName(broken)
+
+
+_CLEAN = r"trim(regexp_replace(x, '[ \t\n\r\f\x0b]+', ' ', 'g'))"
+
+
+@query(f"""WITH s AS (SELECT file, source_section, list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: {_CLEAN}), lambda x: x <> '')[1:3] AS said FROM case_sections)
+SELECT file, max(CASE WHEN source_section = 'D2' THEN said[1] END) AS failure_mode, max(CASE WHEN source_section = 'D3' THEN said[1] END) AS failure_effect,
+coalesce(max(CASE WHEN source_section = 'D4' THEN array_to_string(list_transform(range(1, len(said) + 1), lambda i: concat('report_', file, '_F1_C', i, '|unknown|', CASE WHEN i % 2 = 0 THEN 'MCH' ELSE 'Other' END, '|medium|', said[i])), chr(10)) END), '') AS causes
+FROM s GROUP BY file""", "case_sections")
+def case_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences picked and cases made by model steps (deterministic stand-ins), whose answers are kept, over all sections."""
+    kept = files.shared_folder(spark)
+    s = case_sections(spark, sf_dir)
+    picked = answers.selected(s, hooks.first_sentences, f"{kept}/pick")
+    made = answers.consolidated(picked, s, hooks.signals_as_case, f"{kept}/case")
+    line = lambda c: F.concat_ws("|", c["cause_ID"], c["cause_level"], c["discipline_type"], c["confidence"], c["failure_cause"])
+    return made.select("file", "failure_mode", "failure_effect", F.array_join(F.transform("root_causes", line), "\n").alias("causes"))
