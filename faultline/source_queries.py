@@ -1,12 +1,13 @@
-"""Queries over files that Spark writes from the tables and reads again (workbooks, reports, JSON lines) and over kept answers; and their SQL twins."""
+"""Queries over files that Spark writes from the tables and reads again (workbooks, reports, JSON lines) and over kept answers, and lemmas; and their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries as q
 from .functions import hooks
-from .operators import answers, eightd
+from .operators import answers, eightd, lemmas
 from .plans.fixtures import case_sections, fmea_rows, table
 from .queries import query
 from .sources import files, formats, workbook
@@ -97,3 +98,30 @@ def case_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = answers.consolidated(picked, s, hooks.signals_as_case, f"{kept}/case")
     line = lambda c: F.concat_ws("|", c["cause_ID"], c["cause_level"], c["discipline_type"], c["confidence"], c["failure_cause"])
     return made.select("file", "failure_mode", "failure_effect", F.array_join(F.transform("root_causes", line), "\n").alias("causes"))
+
+
+_RULES = f"""d AS (SELECT doc_id, {q._content('text')} AS said FROM documents),
+v AS (SELECT word FROM (SELECT unnest(list_distinct(said)) AS word FROM d) GROUP BY word HAVING count(*) >= {lemmas.DOCS}),
+e AS (SELECT left(word, length(word) - n) AS stem, right(word, n) AS ending FROM v, (SELECT unnest(range(0, {lemmas.ENDING + 1})) AS n) WHERE length(word) - n >= {lemmas.STEM}),
+f AS (SELECT a.ending, b.ending AS base, count(*) AS support FROM e a JOIN e b ON a.stem = b.stem AND length(b.ending) < length(a.ending) AND length(b.ending) <= {lemmas.BASE} WHERE a.ending <> '' GROUP BY ALL HAVING count(*) >= {lemmas.SUPPORT}),
+o AS (SELECT *, row_number() OVER (PARTITION BY ending ORDER BY support DESC, length(base), base) AS p FROM f),
+rules AS (SELECT ending, base, support, total FROM o JOIN (SELECT ending, count(*) AS total FROM e GROUP BY ending) USING (ending) WHERE p = 1 AND support >= {lemmas.SHARE} * total ORDER BY support DESC, ending LIMIT {lemmas.RULES})"""
+
+
+@query(f"WITH {_RULES} SELECT * FROM rules")
+def lemma_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endings that the texts of all documents teach to rewrite."""
+    return lemmas.rules(lemmas.vocabulary(table(spark, sf_dir, "documents")))
+
+
+@query(f"""WITH {_RULES}, w AS (SELECT DISTINCT unnest(said) AS word FROM d),
+h AS (SELECT word, max_by(concat(left(word, length(word) - length(ending)), base), length(ending)) AS lemma FROM w JOIN rules ON right(word, length(ending)) = ending AND length(word) - length(ending) >= {lemmas.STEM} GROUP BY word),
+t AS (SELECT doc_id, unnest(said) AS word, generate_subscripts(said, 1) AS i FROM d),
+j AS (SELECT doc_id, string_agg(coalesce(lemma, word), ' ' ORDER BY i) AS joined, count(*) AS n, count(DISTINCT coalesce(lemma, word)) AS n_lemmas FROM t LEFT JOIN h USING (word) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN said IS NOT NULL THEN md5(coalesce(joined, '')) END AS lemmas_md5, coalesce(n, 0) AS n_words, coalesce(n_lemmas, 0) AS n_lemmas FROM d LEFT JOIN j USING (doc_id)""")
+def lemma_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined lemmas of each document (their digest), its words and distinct lemmas, by the rules that all documents teach."""
+    docs = table(spark, sf_dir, "documents")
+    said = docs.select("doc_id", lemmas.lemma_tokens(F.col("text"), lemmas.learnt(docs)).alias("said"))
+    size = lambda x: F.coalesce(F.size(x), F.lit(0)).cast("long")
+    return said.select("doc_id", F.md5(F.array_join("said", " ")).alias("lemmas_md5"), size(F.col("said")).alias("n_words"), size(F.array_distinct("said")).alias("n_lemmas"))
