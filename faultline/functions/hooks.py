@@ -49,13 +49,6 @@ def extract(docs: DataFrame, model: Callable[[list[str]], list[str]] | None, sch
     return docs.withColumn("answer", F.from_json(T.json_slice(ask(F.col(text))), schema))
 
 
-def select_sentences(docs: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stand-in of sentence selection: the most valuable sentences of each document."""
-    from ..operators.texteval import valuable_sentences
-
-    return valuable_sentences(docs, k, key, text)
-
-
 def first_sentences(prompts: list[str], k: int = 3) -> list[str]:
     """The stand-in of a model that picks sentences from a section: the first k, its name left out."""
     out = []

@@ -55,17 +55,28 @@ def groups_of(rows: DataFrame) -> DataFrame:
     return g.drop("parts", "kind", "system_name", "system_element", "function_name", "failure_type")
 
 
-def identified(groups: DataFrame) -> DataFrame:
+def identified(groups: DataFrame, by_ranges: bool = False) -> DataFrame:
     """groups with failure_id and `wins`: the first group of a key names the failure, numbered within its file.
 
     Groups whose key a store knows (`known_id`, if there is such a column) belong to that failure and win nothing.
+    A file's groups are numbered in one task; `by_ranges` deals them over all tasks, for files of any size, at the price of two written tables and a join.
     """
     order = Window.partitionBy("k_failure_mode", "k_failure_effect", "k_element", "k_system").orderBy("file_ord", "group_ord")
     in_file = Window.partitionBy("file_ord").orderBy("group_ord")
     first = F.row_number().over(order) == 1
     known = F.col("known_id") if "known_id" in groups.columns else F.lit(None).cast("string")
     won = groups.withColumn("wins", first & known.isNull())
-    won = won.withColumn("own_id", F.when(F.col("wins"), F.concat("file_name", F.lit("__F"), F.sum(F.col("wins").cast("int")).over(in_file).cast("string"))))
+    if by_ranges:
+        from ..sources.files import shared_folder
+        from .ordered import numbered
+
+        path = shared_folder(groups.sparkSession)
+        won.write.parquet(path)
+        won = groups.sparkSession.read.schema(won.schema).parquet(path)
+        place = numbered(won.where("wins").select("sig", "file_ord", "group_ord"), ["group_ord", "sig"], ["file_ord"]).select("sig", "number")
+        won = won.join(place, "sig", "left").withColumn("own_id", F.concat("file_name", F.lit("__F"), (F.col("number") + 1).cast("string"))).drop("number")
+    else:
+        won = won.withColumn("own_id", F.when(F.col("wins"), F.concat("file_name", F.lit("__F"), F.sum(F.col("wins").cast("int")).over(in_file).cast("string"))))
     return won.withColumn("failure_id", F.coalesce(known, F.first("own_id", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).drop("own_id")
 
 
@@ -101,15 +112,15 @@ def causes(rows: DataFrame, groups: DataFrame, known: DataFrame | None = None) -
         parse_number(F.col("detection")).alias("detection_value"), parse_number(F.col("occurrence")).alias("occurrence"), "recommended_action", "n", "cause_key")
 
 
-def ingest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ingest(rows: DataFrame, by_ranges: bool = False) -> tuple[DataFrame, DataFrame]:
     """(failures with cause_ids, causes) of records with file_ord, row_ord and file_name. File names that clash are an error.
 
-    The names of files, a row each, are counted before; the rest is one lazy plan.
+    The names of files, a row each, are counted before; the rest is one lazy plan, unless `by_ranges` numbers the failures of large files over all tasks.
     """
     if (clash := clashing_files(rows).first()) is not None:
         raise ValueError(f"{clash['files']} files are named {clash['file_name']}: their failures would share ids")
     rows = keyed(complete(rows))
-    groups = identified(groups_of(rows))
+    groups = identified(groups_of(rows), by_ranges)
     cause_rows = causes(rows, groups)
     return with_cause_ids(failures(groups), cause_rows), cause_rows.drop("n", "cause_key")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import queries as q
 from .functions import hooks
-from .operators import answers, eightd, lemmas
+from .operators import answers, eightd, ingest, lemmas
 from .plans.fixtures import case_sections, fmea_rows, table
 from .queries import query
 from .sources import files, formats, workbook
@@ -125,3 +125,23 @@ def lemma_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = docs.select("doc_id", lemmas.lemma_tokens(F.col("text"), lemmas.learnt(docs)).alias("said"))
     size = lambda x: F.coalesce(F.size(x), F.lit(0)).cast("long")
     return said.select("doc_id", F.md5(F.array_join("said", " ")).alias("lemmas_md5"), size(F.col("said")).alias("n_words"), size(F.array_distinct("said")).alias("n_lemmas"))
+
+
+@query(f"""WITH one_file AS (SELECT * REPLACE (CAST(0 AS INTEGER) AS file_ord, 'FMEA_all' AS file_name, row_ord * 5 + file_ord AS row_ord) FROM fmea_rows), {q._INGEST.replace('fmea_rows', 'one_file')},
+i AS (SELECT failure_id, string_agg(cause_id, ',' ORDER BY n) AS cause_ids FROM causes GROUP BY failure_id)
+SELECT g5.failure_id, failure_mode, element AS failure_element, failure_effect, sys AS system, severity, coalesce(cause_ids, '') AS cause_ids FROM g5 LEFT JOIN i ON i.failure_id = g5.failure_id WHERE wins""", "fmea_rows")
+def ingest_of_one_large_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records as one file, whose failures are numbered over all tasks."""
+    rows = fmea_rows(spark, sf_dir)
+    one = rows.withColumns({"row_ord": F.col("row_ord") * 5 + F.col("file_ord"), "file_ord": F.lit(0), "file_name": F.lit("FMEA_all")})
+    found, _ = ingest.ingest(one, by_ranges=True)
+    return found.select("failure_id", "failure_mode", "failure_element", "failure_effect", "system", "severity", F.array_join("cause_ids", ",").alias("cause_ids"))
+
+
+@query("""SELECT concat('maker_', s_suppkey) AS file_name, trim(s_name) AS system_name, concat('nation: ', s_nationkey) AS system_element, '' AS function_name FROM supplier""")
+def workbook_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each supplier, written and read: what stands behind the colon in the first cells of its header rows."""
+    path = files.shared_folder(spark)
+    makers = table(spark, sf_dir, "supplier").select("s_name", "s_nationkey", F.concat(F.lit("maker_"), F.col("s_suppkey").cast("string"), F.lit(".xlsx")).alias("path"), F.lit("DFMEA").alias("sheet"), F.lit(1).alias("sheet_index"))
+    formats.write_workbooks(_cells(makers, [(5, 0, F.concat(F.lit("System: "), "s_name")), (5, 1, F.lit("other: cell")), (7, 0, F.concat(F.lit("Element: nation: "), F.col("s_nationkey").cast("string"))), (8, 0, F.lit("no colon"))]), path)
+    return workbook.header_values(spark.read.format("workbook_cells").load(path).where("error IS NULL"))

@@ -94,6 +94,8 @@ def test_ingest_against_simulation(spark, seed):
     want_f, want_c = one_by_one(rows)
     assert {x.failure_id: (x.severity, x.cause_ids) for x in failures.collect()} == want_f
     assert {(x.cause_id, x.failure_cause, x.failure_mode) for x in causes.collect()} == want_c
+    by_ranges = ingest.ingest(spark.createDataFrame([tuple(x[c.split()[0]] for c in schema.split(", ")) for x in rows], schema), by_ranges=True)
+    assert [sorted(map(str, x.collect())) for x in by_ranges] == [sorted(map(str, x.collect())) for x in (failures, causes)]
     # what was ingested has consistent keys
     assert quality.orphan_causes(failures, causes).count() == quality.orphan_failures(failures, causes).count() == 0
 
