@@ -25,6 +25,26 @@ def clashing_files(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file_name").agg(F.countDistinct("file_ord").alias("files")).where("files > 1")
 
 
+def distinct_records(rows: DataFrame) -> DataFrame:
+    """complete(rows) with equal records of a file once: at the place of the first of them, severity and rpn the greatest numbers among them.
+
+    Groups and causes go by first places and greatest numbers, so they are those of all records; but there are no more of these than a file says different things.
+    One hash aggregation: it is summed up before the shuffle, and nothing is sorted.
+    """
+    same = [c for c in FIELDS if c not in ("row_ord", "severity", "rpn")]
+    greatest = [F.max(parse_number(F.col(c))).alias(c) for c in ("severity", "rpn")]
+    return complete(rows).groupBy(*same).agg(F.min("row_ord").alias("row_ord"), *greatest)
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """rows written to a folder of the session and read again, for what is read more than once."""
+    from ..sources.files import shared_folder
+
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 KEYED = ("system_name", "system_element", "function_name", "failure_type", "failure_mode", "failure_effect")
 
 
@@ -43,8 +63,11 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 def groups_of(rows: DataFrame) -> DataFrame:
     """One row a signature of keyed(rows), from its first record; severity and rpn are the group's greatest numbers."""
-    first = F.min_by(F.struct("file_ord", *[f"k_{c}" for c in KEYED], "file_name", "source_type", "system_name", "system_element", "function_name", "failure_type", "failure_mode", "failure_effect"), "row_ord")
-    g = rows.groupBy("sig").agg(F.min("row_ord").alias("group_ord"), first.alias("r"), F.max(parse_number(F.col("severity"))).alias("severity"), F.max(parse_number(F.col("rpn"))).alias("rpn"))
+    said = ["file_ord", *[f"k_{c}" for c in KEYED], "file_name", "source_type", *KEYED]
+    number = lambda c: F.col(c) if rows.schema[c].dataType.typeName() == "double" else parse_number(F.col(c))
+    # What is worded alike is summed up by hash first; only wordings are sorted for the first of a group.
+    g = rows.groupBy("sig", *said).agg(F.min("row_ord").alias("row_ord"), F.max(number("severity")).alias("severity"), F.max(number("rpn")).alias("rpn"))
+    g = g.groupBy("sig").agg(F.min("row_ord").alias("group_ord"), F.min_by(F.struct(*said), "row_ord").alias("r"), F.max("severity").alias("severity"), F.max("rpn").alias("rpn"))
     g = g.select("sig", "group_ord", "severity", "rpn", "r.*")
     new = F.coalesce(F.col("source_type") == "new_fmea", F.lit(False))
     # Types are few and rows many: each type is parsed once.
@@ -67,12 +90,9 @@ def identified(groups: DataFrame, by_ranges: bool = False) -> DataFrame:
     known = F.col("known_id") if "known_id" in groups.columns else F.lit(None).cast("string")
     won = groups.withColumn("wins", first & known.isNull())
     if by_ranges:
-        from ..sources.files import shared_folder
         from .ordered import numbered
 
-        path = shared_folder(groups.sparkSession)
-        won.write.parquet(path)
-        won = groups.sparkSession.read.schema(won.schema).parquet(path)
+        won = _kept(won)
         place = numbered(won.where("wins").select("sig", "file_ord", "group_ord"), ["group_ord", "sig"], ["file_ord"]).select("sig", "number")
         won = won.join(place, "sig", "left").withColumn("own_id", F.concat("file_name", F.lit("__F"), (F.col("number") + 1).cast("string"))).drop("number")
     else:
@@ -115,12 +135,12 @@ def causes(rows: DataFrame, groups: DataFrame, known: DataFrame | None = None) -
 def ingest(rows: DataFrame, by_ranges: bool = False) -> tuple[DataFrame, DataFrame]:
     """(failures with cause_ids, causes) of records with file_ord, row_ord and file_name. File names that clash are an error.
 
-    The names of files, a row each, are counted before; the rest is one lazy plan, unless `by_ranges` numbers the failures of large files over all tasks.
+    The different records and the groups are written once, as both results read them; the rest is lazy. `by_ranges` numbers the failures of large files over all tasks.
     """
+    rows = _kept(keyed(distinct_records(rows)))
     if (clash := clashing_files(rows).first()) is not None:
         raise ValueError(f"{clash['files']} files are named {clash['file_name']}: their failures would share ids")
-    rows = keyed(complete(rows))
-    groups = identified(groups_of(rows), by_ranges)
+    groups = _kept(identified(groups_of(rows), by_ranges))
     cause_rows = causes(rows, groups)
     return with_cause_ids(failures(groups), cause_rows), cause_rows.drop("n", "cause_key")
 

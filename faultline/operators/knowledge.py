@@ -78,7 +78,7 @@ class KnowledgeBase:
             low, high = batch.agg(F.min("file_ord"), F.max("file_ord")).first()
             shift = start - (low or 0)
             batch = batch.withColumn("file_ord", (F.col("file_ord") + shift).cast("int"))
-            with self.store.staged(ingest.keyed(batch)) as keyed, self.store.staged(ingest.groups_of(keyed).withColumn("key", failure_key())) as groups:
+            with self.store.staged(ingest.keyed(ingest.distinct_records(batch))) as keyed, self.store.staged(ingest.groups_of(keyed).withColumn("key", failure_key())) as groups:
                 known = self._kept("failures", groups)
                 if known is not None:
                     groups = groups.join(known.select("key", F.col("failure_id").alias("known_id")), "key", "left")
@@ -134,7 +134,7 @@ class KnowledgeBase:
         with self.store.staged(ingest.complete(rows)) as batch:
             if (clash := ingest.clashing_files(batch).first()) is not None:
                 raise ValueError(f"{clash['files']} files are named {clash['file_name']}: their failures would share ids")
-            with self.store.staged(ingest.keyed(batch)) as keyed, self.store.staged(ingest.identified(ingest.groups_of(keyed).withColumn("key", failure_key()))) as named:
+            with self.store.staged(ingest.keyed(ingest.distinct_records(batch))) as keyed, self.store.staged(ingest.identified(ingest.groups_of(keyed).withColumn("key", failure_key()))) as named:
                 with self.store.staged(ingest.causes(keyed, named)) as causes:
                     nodes, edges = graph.build(causes)
                     tables = self._tables(batch, named, causes, digests) | {"nodes": nodes, "edges": edges}

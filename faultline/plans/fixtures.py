@@ -10,17 +10,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Order keys of one range of fmea_rows.
+RANGE = 4_000
+
+
 def fmea_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of five files, new and old, with duplicates, blanks and closing full stops."""
+    """Records of five files, new and old, with duplicates, blanks and closing full stops.
+
+    Files grow with the table, so a file's rows are numbered by ranges of its order keys: in each range by a window, after the number of rows of the ranges before.
+    """
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     rows = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("file_ord", (F.col("l_orderkey") % 5).cast("int"))
-    order = Window.partitionBy("file_ord").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    rows = rows.withColumn("range", F.floor(F.col("l_orderkey") / RANGE))
+    order = Window.partitionBy("file_ord", "range").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    # One row a range and file, so a broadcast.
+    ranges = rows.groupBy(F.col("file_ord").alias("of_file"), F.col("range").alias("of_range")).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("of_file").orderBy("of_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("of_file", "of_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rows = rows.withColumn("place", F.row_number().over(order)).join(F.broadcast(ranges), F.col("file_ord").eqNullSafe(F.col("of_file")) & F.col("range").eqNullSafe(F.col("of_range")))
     new = F.col("file_ord") < 3
     kinds = ("Electronics / General", "Motor/ Connectors", "Mechanics", "Pump / Power board", "Software / Timing", "Pump / Impeller")
     kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("p_size") % 6 + 1).cast("int"))
     quantity = F.col("l_quantity").cast("int")
     return rows.select(
-        "file_ord", F.concat(F.lit("FMEA_"), F.col("file_ord").cast("string")).alias("file_name"), F.row_number().over(order).alias("row_ord"),
+        "file_ord", F.concat(F.lit("FMEA_"), F.col("file_ord").cast("string")).alias("file_name"), (F.col("place") + F.col("before")).cast("int").alias("row_ord"),
         F.when(new, F.lit("new_fmea")).otherwise(F.lit("old_fmea")).alias("source_type"), F.when(new, F.col("p_brand")).alias("system_name"), F.when(new, F.col("p_type")).alias("system_element"),
         F.when(new, F.col("l_linestatus")).alias("function_name"), F.when(~new, kind).alias("failure_type"),
         F.when(F.col("l_linenumber") == 2, F.concat("p_name", F.lit("."))).otherwise(F.col("p_name")).alias("failure_mode"),

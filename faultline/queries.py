@@ -694,7 +694,7 @@ def modes_under_element(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_GRAPH}, t AS (SELECT min(failure_mode) AS mode FROM causes) SELECT 'failure_cause' AS kind, name AS value FROM t, edges JOIN nodes ON src = id WHERE dst = concat('FailureMode::text::', mode) AND rel = 'CAUSES'", "fmea_rows")
 def causes_for_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _graph(spark, sf_dir)
-    mode = fmea_rows(spark, sf_dir).where("failure_cause <> ''").agg(F.min("failure_mode")).first()[0]
+    mode = spark.read.parquet(f"{_GRAPHS[spark.sparkContext.applicationId, sf_dir]}/causes").agg(F.min("failure_mode")).first()[0]
     return graph.causes_for_mode(g.nodes, g.edges, mode)
 
 

@@ -100,6 +100,35 @@ def test_ingest_against_simulation(spark, seed):
     assert quality.orphan_causes(failures, causes).count() == quality.orphan_failures(failures, causes).count() == 0
 
 
+def test_files_are_numbered_by_ranges(spark, monkeypatch):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from faultline.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "RANGE", 7, raising=False)
+    rows = fixtures.fmea_rows(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "range" in plan.split("windowspecdefinition(", 1)[1].split(")")[0], "a whole file is numbered in one task"
+    order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")]
+    lines = fixtures.table(spark, "/root/testdata/sf0.001", "lineitem").join(fixtures.table(spark, "/root/testdata/sf0.001", "part"), F.expr("l_partkey = p_partkey"))
+    plain = lines.select(F.expr("CAST(l_orderkey % 5 AS INT)").alias("f"), "l_linenumber", "p_name", F.row_number().over(Window.partitionBy(F.expr("l_orderkey % 5")).orderBy(*order)).alias("n"))
+    want = {(r.f, r.n): r.p_name + ("." if r.l_linenumber == 2 else "") for r in plain.collect()}
+    assert {(r.file_ord, r.row_ord): r.failure_mode for r in rows.collect()} == want
+
+
+def test_repeated_records_are_ingested_once(spark):
+    schema = "file_ord int, file_name string, row_ord int, source_type string, failure_type string, failure_mode string, failure_effect string, failure_cause string, severity string"
+    rows = [(n // 400, f"f{n // 400}", n, "old_fmea", "Pump / Impeller", ("fails", "Fails.", "stuck")[n % 3], None, ("dust", "", "wear")[n % 4 % 3], str(n % 9)) for n in range(800)]
+    d = spark.createDataFrame(rows, schema)
+    few = ingest.distinct_records(d)
+    assert few.count() == len({(r[0], *r[5:8]) for r in rows}) and "SortAggregate" not in few._jdf.queryExecution().executedPlan().toString()
+    failures, causes = ingest.ingest(d)
+    want_f, want_c = one_by_one([dict(zip(d.columns, r)) | {"system_name": None, "system_element": None, "function_name": None} for r in rows])
+    assert {x.failure_id: (x.severity, x.cause_ids) for x in failures.collect()} == want_f
+    assert {(x.cause_id, x.failure_cause, x.failure_mode) for x in causes.collect()} == want_c
+
+
 def test_clashing_files(spark):
     df = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b")], "file_ord int, file_name string")
     assert [x.file_name for x in ingest.clashing_files(df).collect()] == ["a"]
