@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 ROLE_WEIGHTS = {"failure_mode": 0.5, "failure_element": 0.4, "failure_effect": 0.3}
 #: Vectors of a block in scans that compare all with all; rows of a block that are multiplied at once.
 BLOCK, STRIP = 4_000, 512
+#: Causes of one failure that are compared at once with as many of another one.
+PAIRED = 2_000
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -301,17 +303,37 @@ def similar_causes(causes: DataFrame, threshold: float, block: int = BLOCK) -> D
 def near_duplicate_causes(failure_pairs: DataFrame | None, causes: DataFrame, threshold: float = 0.90) -> DataFrame:
     """Causes of paired failures (all pairs, if None) with a cosine of the threshold: (failure_a, failure_b, cause_a, cause_b, similarity).
 
-    Given pairs are joined to the causes of either failure, so only causes of paired failures are compared; norms are made once a cause.
+    Only causes of given pairs are compared, in blocks as above: a pair of causes is a row only from the threshold on, and never carries vectors.
     """
     if failure_pairs is None:
         return similar_causes(causes, threshold).withColumn("similarity", F.round("similarity", 4))
     either = failure_pairs.select(F.least("failure_a", "failure_b").alias("failure_a"), F.greatest("failure_a", "failure_b").alias("failure_b")).where("failure_a <> failure_b").distinct()
-    rows = causes.select("failure_id", "cause_id", F.col("embedding").cast("array<double>").alias("x"))
-    rows = rows.withColumn("norm", F.sqrt(_dot(F.col("x"), F.col("x"))))
-    side = lambda s: rows.select(*[F.col(c).alias(f"{n}_{s}") for c, n in (("failure_id", "failure"), ("cause_id", "cause"), ("x", "x"), ("norm", "norm"))])
-    found = either.join(side("a"), "failure_a").join(side("b"), "failure_b")
-    found = found.withColumn("similarity", _dot(F.col("x_a"), F.col("x_b")) / (F.col("norm_a") * F.col("norm_b"))).where(F.col("similarity") >= threshold)
-    found = found.select("failure_a", "failure_b", "cause_a", "cause_b", "similarity")
+    rows = causes.select("failure_id", "cause_id", F.col("embedding").alias("x"))
+    # A failure's causes fill parts of PAIRED at most; a pair of failures meets part by part, and each of its parts is named once a part of the other.
+    parts = rows.groupBy("failure_id").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("parts"))
+    rows = rows.join(parts, "failure_id").withColumn("part", F.pmod(F.xxhash64("cause_id"), F.col("parts")).cast("int")).drop("parts")
+    sizes = lambda s: parts.select(F.col("failure_id").alias(f"failure_{s}"), F.col("parts").alias(f"parts_{s}"))
+    either = either.join(sizes("a"), "failure_a").join(sizes("b"), "failure_b")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    meet = either.withColumn("i", every("parts_a")).withColumn("j", every("parts_b")).select("failure_a", "failure_b", "i", "j")
+    side = lambda f, part, left: meet.join(rows.withColumnsRenamed({"failure_id": f, "part": part}), [f, part]).select("failure_a", "failure_b", "i", "j", F.lit(left).alias("left"), "cause_id", "x")
+
+    def compare(one: pd.DataFrame) -> pd.DataFrame:
+        left, right = one[one["left"]], one[~one["left"]]
+        out = []
+        if len(left) and len(right):
+            x, y = _unit(left["x"]), _unit(right["x"])
+            for at in range(0, len(x), STRIP):
+                cos = x[at : at + STRIP] @ y.T
+                row, col = np.nonzero(cos >= threshold)
+                out.append((row + at, col, cos[row, col]))
+        row, col, cos = (np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        ids = [s["cause_id"].to_numpy() for s in (left, right)]
+        return pd.DataFrame({"failure_a": one["failure_a"].iloc[0], "failure_b": one["failure_b"].iloc[0], "cause_a": ids[0][row], "cause_b": ids[1][col], "similarity": cos}, index=range(len(row)))
+
+    kind = {c: causes.schema[c].dataType.simpleString() for c in ("failure_id", "cause_id")}
+    met = side("failure_a", "i", True).unionByName(side("failure_b", "j", False)).groupBy("failure_a", "failure_b", "i", "j")
+    found = met.applyInPandas(compare, f"failure_a {kind['failure_id']}, failure_b {kind['failure_id']}, cause_a {kind['cause_id']}, cause_b {kind['cause_id']}, similarity double")
     return found.withColumn("similarity", F.round("similarity", 4))
 
 

@@ -223,8 +223,10 @@ SELECT a.failure_id AS failure_a, b.failure_id AS failure_b, a.cause_id AS cause
 FROM p JOIN kb_cause a ON p.failure_a = a.failure_id JOIN kb_cause b ON p.failure_b = b.failure_id WHERE {_cos('a.embedding', 'b.embedding')} >= 0.1""", "kb_vec kb_cause")
 def near_dup_causes_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Causes of the failure pairs that the failure scan gives, with thresholds of 0.1, so that the test vectors have such pairs."""
-    pairs = vectors.near_duplicate_failures(kb_vec(spark, sf_dir), threshold=0.1)
-    return vectors.near_duplicate_causes(pairs, kb_cause(spark, sf_dir), 0.1)
+    causes = kb_cause(spark, sf_dir)
+    # Pairs of failures without causes give none, so only failures with causes are scanned.
+    named = kb_vec(spark, sf_dir).join(causes.select("failure_id").distinct(), "failure_id", "left_semi")
+    return vectors.near_duplicate_causes(vectors.near_duplicate_failures(named, threshold=0.1), causes, 0.1)
 
 
 @query("WITH " + _COHESION + " SELECT vec_id, role, round(avg_dist, 6) AS avg_dist FROM s", "kb_vec")

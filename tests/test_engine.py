@@ -137,6 +137,23 @@ def test_clashing_files(spark):
 # --- Vectors ------------------------------------------------------------------------------------------------------
 
 
+def test_causes_of_pairs_meet_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "PAIRED", 5, raising=False)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(60, 8))
+    rows = [(int(n % 4), n, [float(v) for v in x[n]]) for n in range(60)]
+    causes = spark.createDataFrame(rows, "failure_id long, cause_id long, embedding array<double>")
+    pairs = spark.createDataFrame([(1, 0), (0, 1), (2, 3), (2, 2), (0, 9)], "failure_a long, failure_b long")
+    found = vectors.near_duplicate_causes(pairs, causes, 0.3)
+    assert "FlatMapGroupsInPandas" in found._jdf.queryExecution().optimizedPlan().toString(), "pairs of causes are rows with both vectors"
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(f, g, a, b): round(float(unit[a] @ unit[b]), 4) for f, a, _ in rows for g, b, _ in rows if (f, g) in ((0, 1), (2, 3)) and unit[a] @ unit[b] >= 0.3}
+    got = found.collect()
+    assert len(got) == len(want) > 20 and {(x.failure_a, x.failure_b, x.cause_a, x.cause_b): x.similarity for x in got} == want
+
+
 def test_scans_in_small_blocks(spark):
     from faultline.plans.fixtures import kb_vec
 
