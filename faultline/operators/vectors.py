@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -353,6 +354,40 @@ def role_index(sentences: DataFrame, key: str = "file_name") -> DataFrame:
     return sentences.groupBy(key).agg(*[of(r).alias(f"{r}_ids") for r in ("failure", "cause", "effect")])
 
 
+#: Sentence ids that are joined to one text of role_digests.
+RUN = 1_000
+
+
+def role_digests(sentences: DataFrame, key: str = "file_name") -> DataFrame:
+    """(key, failures, causes, effects, failures_md5): the lengths of role_index(), and the digest of its failures joined by commas; null without one.
+
+    No list is made: ids are sorted by ranges over all tasks and joined in runs of RUN, and a file's runs pass through its digest one after the other.
+    """
+    of = sentences.select(F.col(key).alias("k"), "role", "sentence_id")
+    sizes = of.groupBy("k").agg(*[F.count_if((F.col("role") == r) & F.col("sentence_id").isNotNull()).alias(f"{r}s") for r in ("failure", "cause", "effect")])
+    ids = of.where((F.col("role") == "failure") & F.col("sentence_id").isNotNull() & F.col("k").isNotNull()).select("k", "sentence_id")
+    ids = ids.repartitionByRange("k", "sentence_id").sortWithinPartitions("k", "sentence_id").withColumn("place", F.monotonically_increasing_id())
+    # Ranges stay apart: a run is one of a partition and a file.
+    runs = ids.groupBy("k", F.spark_partition_id().alias("part"), F.floor(F.col("place") / RUN).alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence_id"))), lambda x: x["sentence_id"]).alias("ids"))
+    runs = runs.select("k", "run", F.array_join("ids", ",").alias("text")).repartition("k").sortWithinPartitions("k", "run")
+
+    def digests(batches):
+        name, h = None, None
+        for b in batches:
+            for k, text in zip(b["k"], b["text"]):
+                if h is None or k != name:
+                    if h is not None:
+                        yield pd.DataFrame({"k": [name], "failures_md5": [h.hexdigest()]})
+                    name, h = k, hashlib.md5(text.encode())
+                else:
+                    h.update(b"," + text.encode())
+        if h is not None:
+            yield pd.DataFrame({"k": [name], "failures_md5": [h.hexdigest()]})
+
+    made = runs.select("k", "text").mapInPandas(digests, "k string, failures_md5 string")
+    return sizes.join(made, "k", "left").withColumnRenamed("k", key)
+
+
 def role_rows(failures: DataFrame) -> DataFrame:
     """(failure_id, role, text) of each failure's mode, element and effect that is worth embedding."""
     from ..functions.text import is_embeddable

@@ -434,3 +434,13 @@ def test_accuracy_without_pairs_is_an_error(spark):
     empty = spark.createDataFrame([], "truth int, original_ids array<int>, rephrased_ids array<int>")
     with pytest.raises(Exception, match="no key in common"):
         quality.retrieval_accuracy(empty).collect()
+
+
+def test_role_digests_without_lists(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(vectors, "RUN", 3, raising=False)
+    rows = [(f"f{n % 3}", ("failure", "failure", "cause", "effect")[n % 4], f"s{n * 37 % 101}") for n in range(101)] + [("only", "cause", "c")]
+    s = spark.createDataFrame(rows, "file_name string, role string, sentence_id string")
+    lists = vectors.role_index(s).select("file_name", F.size("failure_ids"), F.size("cause_ids"), F.size("effect_ids"), F.when(F.size("failure_ids") > 0, F.md5(F.array_join("failure_ids", ","))))
+    assert sorted(map(tuple, vectors.role_digests(s).collect())) == sorted(map(tuple, lists.collect()))
