@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 ROLE_WEIGHTS = {"failure_mode": 0.5, "failure_element": 0.4, "failure_effect": 0.3}
 #: Vectors of a block in scans that compare all with all; rows of a block that are multiplied at once.
 BLOCK, STRIP = 4_000, 512
+#: Vectors of a block at most, and blocks from which on they are filled so far, where each vector is sent to all blocks.
+WIDE, SIDES = 32_000, 8
 #: Causes of one failure that are compared at once with as many of another one.
 PAIRED = 2_000
 
@@ -122,8 +124,10 @@ def _near(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
     """
     rows, cols, dists = [], [], []
     y2, k = (y * y).sum(1), min(k, len(y))
-    for at in range(0, len(x), STRIP):
-        some = x[at : at + STRIP]
+    # Strips have STRIP * BLOCK products at most, however long y is.
+    step = max(1, min(STRIP, STRIP * BLOCK // max(1, len(y))))
+    for at in range(0, len(x), step):
+        some = x[at : at + step]
         x2 = (some * some).sum(1)[:, None]
         rough = x2 + y2 - 2 * (some @ y.T)
         bound = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + 1e-9 * (x2 + y2.max())
@@ -139,15 +143,16 @@ def _near(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
 
 
-def nearest(items: DataFrame, k: int, group: str | None = "role", block: int = BLOCK) -> DataFrame:
+def nearest(items: DataFrame, k: int, group: str | None = "role", block: int | None = None) -> DataFrame:
     """For each vector its k nearest of each value of `group` (of all, if None): (vec_id, own, other, neighbour, dist).
 
-    Exact, so all are compared with all, in blocks: blocks hold `block` vectors, each pair of blocks is one
-    group of bounded size, one matrix product and k rows a vector, and the k best of those are picked. `own` and `other`
+    Exact, so all are compared with all, in blocks: blocks hold `block` vectors (if None, BLOCK of them, and up to WIDE
+    where there would be more than SIDES blocks, as each vector is sent to all of them), each pair of blocks is one group of bounded size, one matrix product and k rows a vector, and the k best of those are picked. `own` and `other`
     are the groups of both; the vector itself counts among its neighbours.
     """
-    rows = items.select("vec_id", F.col(group).cast("string").alias("g") if group else F.lit("").alias("g"), F.col("embedding").cast("array<double>").alias("x"))
-    n = max(1, -(-rows.count() // block))
+    rows = items.select("vec_id", F.col(group).cast("string").alias("g") if group else F.lit("").alias("g"), F.col("embedding").alias("x"))
+    count = rows.count()
+    n = max(1, -(-count // block) if block else max(-(-count // WIDE), min(-(-count // BLOCK), SIDES)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(n - 1))
     pairs = rows.withColumn("left", F.lit(True)).withColumn("i", F.col("part")).withColumn("j", F.explode(every))
@@ -157,10 +162,10 @@ def nearest(items: DataFrame, k: int, group: str | None = "role", block: int = B
         left, right = one[one["left"]], one[~one["left"]]
         out = [pd.DataFrame({"vec_id": [], "own": [], "other": [], "neighbour": [], "dist": []})]
         if len(left) and len(right):
-            x, names, own = np.array(left["x"].tolist()), left["vec_id"].to_numpy(), left["g"].to_numpy()
+            x, names, own = np.array(left["x"].tolist(), np.float64), left["vec_id"].to_numpy(), left["g"].to_numpy()
             for g, mine in right.groupby("g", sort=True):
                 mine = mine.sort_values("vec_id")
-                row, col, d = _near(x, np.array(mine["x"].tolist()), k)
+                row, col, d = _near(x, np.array(mine["x"].tolist(), np.float64), k)
                 out.append(pd.DataFrame({"vec_id": names[row], "own": own[row], "other": np.full(len(row), g, dtype=object), "neighbour": mine["vec_id"].to_numpy()[col], "dist": d}))
         return pd.concat(out[1:] or out)
 
@@ -214,7 +219,8 @@ def role_confusion(items: DataFrame, k: int = 3, margin: float = 0.1, relative:
     Relative: mean of the k nearest a role, the vector itself left out, and (current - best) / current beyond
     the margin. Absolute: the nearest one a role, itself included, and current - best beyond the margin.
     """
-    near = nearest(items, k + 1)
+    # Of one's own role the vector itself is left out of a mean; the least distance needs one row.
+    near = nearest(items, k + 1 if relative else 1)
     if relative:
         near = near.where(F.col("vec_id") != F.col("neighbour"))
         best_k = Window.partitionBy("vec_id", "other").orderBy("dist", "neighbour")
@@ -247,27 +253,36 @@ def near_duplicate_failures(items: DataFrame, threshold: float = 0.92, weights:
     All with all, exact: a pair of blocks holds all roles of its failures, so pairs are summed up inside, and
     only those from the threshold on leave it.
     """
-    rows = items.select("failure_id", "role", F.col("embedding").cast("array<double>").alias("x")).where(F.col("role").isin(*weights))
+    rows = items.select("failure_id", "role", F.col("embedding").alias("x")).where(F.col("role").isin(*weights))
 
     def compare(one: pd.DataFrame) -> pd.DataFrame:
         same = one["i"].iloc[0] == one["j"].iloc[0]
         sides = [one[one["left"]], one[~one["left"]]]
         ids = [np.unique(s["failure_id"]) for s in sides]
-        score, shared = np.zeros([len(i) for i in ids]), np.zeros([len(i) for i in ids], np.int64)
         roles = sorted(weights)
+        sets = []
         for n, role in enumerate(roles):
             mine = [s[s["role"] == role] for s in sides]
             if len(mine[0]) and len(mine[1]):
-                a, b = (np.searchsorted(i, m["failure_id"]) for i, m in zip(ids, mine))
-                x, y = (_unit(m["x"]) for m in mine)
-                for at in range(0, len(x), STRIP):
-                    np.add.at(score, np.ix_(a[at : at + STRIP], b), weights[role] * (x[at : at + STRIP] @ y.T))
-                shared[np.ix_(np.unique(a), np.unique(b))] |= 1 << n
-        row, col = np.nonzero((score >= threshold) & (shared > 0))
-        a, b = ids[0][row], ids[1][col]
-        keep = a < b if same else a != b
-        named = [",".join(r for n, r in enumerate(roles) if s >> n & 1) for s in shared[row, col][keep]]
-        return pd.DataFrame({"failure_a": np.minimum(a, b)[keep], "failure_b": np.maximum(a, b)[keep], "score": score[row, col][keep], "roles": np.array(named, dtype=object)})
+                at = [np.searchsorted(i, m["failure_id"]) for i, m in zip(ids, mine)]
+                order = np.argsort(at[0], kind="stable")
+                sets.append((n, weights[role], at[0][order], at[1], _unit(mine[0]["x"])[order], _unit(mine[1]["x"])))
+        out = [pd.DataFrame({"failure_a": [], "failure_b": [], "score": [], "roles": []})]
+        # STRIP failures of the left at a time, with all of the right: no matrix of the whole block.
+        for low in range(0, len(ids[0]), STRIP):
+            size = min(STRIP, len(ids[0]) - low)
+            score, shared = np.zeros([size, len(ids[1])]), np.zeros([size, len(ids[1])], np.int16)
+            for n, weight, a, b, x, y in sets:
+                first, last = np.searchsorted(a, [low, low + size])
+                if first < last:
+                    np.add.at(score, np.ix_(a[first:last] - low, b), weight * (x[first:last] @ y.T))
+                    shared[np.ix_(np.unique(a[first:last]) - low, np.unique(b))] |= 1 << n
+            row, col = np.nonzero((score >= threshold) & (shared > 0))
+            a, b = ids[0][row + low], ids[1][col]
+            keep = a < b if same else a != b
+            named = [",".join(r for n, r in enumerate(roles) if s >> n & 1) for s in shared[row, col][keep]]
+            out.append(pd.DataFrame({"failure_a": np.minimum(a, b)[keep], "failure_b": np.maximum(a, b)[keep], "score": score[row, col][keep], "roles": np.array(named, dtype=object)}))
+        return pd.concat(out[1:] or out)
 
     pairs = _in_blocks(rows, "failure_id", block).groupBy("i", "j").applyInPandas(compare, "failure_a long, failure_b long, score double, roles string")
     return pairs.withColumn("score", F.round("score", 4))

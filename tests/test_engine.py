@@ -444,3 +444,25 @@ def test_role_digests_without_lists(spark, monkeypatch):
     s = spark.createDataFrame(rows, "file_name string, role string, sentence_id string")
     lists = vectors.role_index(s).select("file_name", F.size("failure_ids"), F.size("cause_ids"), F.size("effect_ids"), F.when(F.size("failure_ids") > 0, F.md5(F.array_join("failure_ids", ","))))
     assert sorted(map(tuple, vectors.role_digests(s).collect())) == sorted(map(tuple, lists.collect()))
+
+
+def test_scans_fill_wide_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from pyspark.sql import functions as F
+
+    for name, value in (("BLOCK", 10), ("SIDES", 2), ("WIDE", 40), ("STRIP", 7)):
+        monkeypatch.setattr(vectors, name, value, raising=False)
+    x = np.random.default_rng(3).normal(size=(100, 6)).astype(np.float32)
+    rows = [(n // 3, ("failure_mode", "failure_element", "failure_effect")[n % 3], n, [float(v) for v in x[n]]) for n in range(100)]
+    v = spark.createDataFrame(rows, "failure_id long, role string, vec_id long, embedding array<float>")
+    found = vectors.nearest(v, 2)
+    assert "sequence(0, 2," in found._jdf.queryExecution().analyzed().toString(), "each vector is sent to a hundred vectors' ten blocks"
+    d = ((x[:, None].astype(float) - x[None]) ** 2).sum(2)
+    want = {(a, rows[b][1], b) for a in range(100) for g in range(3) for b in sorted(range(g, 100, 3), key=lambda b: (d[a, b], b))[:2]}
+    assert {(r.vec_id, r.other, r.neighbour) for r in found.collect()} == want
+    near = vectors.near_duplicate_failures(v, threshold=0.3, block=12).select("failure_a", "failure_b", F.round("score", 3).alias("s")).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    weight = [vectors.ROLE_WEIGHTS[rows[n][1]] for n in range(3)]
+    score = lambda a, b: sum(w * float(unit[3 * a + n] @ unit[3 * b + n]) for n, w in enumerate(weight) if 3 * max(a, b) + n < 100)
+    assert {(r.failure_a, r.failure_b) for r in near} == {(a, b) for a in range(34) for b in range(a + 1, 34) if score(a, b) >= 0.3} and near
