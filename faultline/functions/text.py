@@ -38,8 +38,9 @@ def _seen(c: Column) -> Column:
 
 
 def strip(x: Column) -> Column:
-    # Most texts begin and end with such a character: they pass without a regular expression.
-    return F.when(_seen(F.substring(x, 1, 1)) & _seen(F.substring(x, -1, 1)), x).otherwise(F.regexp_replace(x, f"^{WS}+|{WS}+$", ""))
+    # Most texts, but for plain spaces, begin and end with such a character: they pass without a regular expression.
+    y = F.trim(x)
+    return F.when(_seen(F.substring(y, 1, 1)) & _seen(F.substring(y, -1, 1)), y).otherwise(F.regexp_replace(x, f"^{WS}+|{WS}+$", ""))
 
 
 def collapse(x: Column) -> Column:
@@ -59,13 +60,14 @@ def normalize_plain(x: Column) -> Column:
 
 def normalize_spaces(x: Column) -> Column:
     """Lower case, trimmed, single spaces; punctuation stays."""
-    return collapse(F.lower(strip(x)))
+    # Collapsed white space is plain spaces: trimming them is strip(), without its conditions, which would make the text up to five times.
+    return F.trim(collapse(F.lower(x)))
 
 
 def normalize_valuable(x: Column) -> Column:
     """Lower case without dd-mm-yyyy dates and motor numbers."""
     x = F.regexp_replace(F.lower(x), r"(?U)\b\d{1,2}-\d{1,2}-\d{4}\b", "")
-    return strip(collapse(F.regexp_replace(x, r"(?U)motor\s*\d+", "motor")))
+    return F.trim(collapse(F.regexp_replace(x, r"(?U)motor\s*\d+", "motor")))
 
 
 def _nfkc(x: Column) -> Column:
@@ -140,6 +142,16 @@ def sentences(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, "[.!?]", -1), strip), lambda s: s != "")
 
 
+def valuable_sentences(x: Column) -> Column:
+    """sentences(normalize_valuable(x)) in one split: what is normalised has single spaces only, which go with the marks beside them."""
+    return F.array_remove(F.split(normalize_valuable(x), " ?[.!?][ .!?]*", -1), "")
+
+
+def has_words(x: Column, n: int) -> Column:
+    """Has a text of single spaces at least n words; it is read up to the n-th word only."""
+    return F.substring_index(x, " ", n - 1) != x
+
+
 def tokens(x: Column) -> Column:
     return F.filter(F.split(normalize_plain(x), " ", -1), lambda t: t != "")
 
@@ -151,8 +163,20 @@ def repeated_size(a: Column, known: Column) -> Column:
 
 def content_tokens(x: Column) -> Column:
     """Words of letters only, longer than two, that are no stop words: what lemmas are compared by, without lemmatising."""
-    found = F.regexp_extract_all(normalize_spaces(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.filter(found, lambda t: t.rlike(r"^\p{L}{3,}$") & ~t.isin(*STOP_WORDS))
+    return _content(_words(x))
+
+
+def _words(x: Column) -> Column:
+    return F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def _content(words: Column) -> Column:
+    return F.filter(words, lambda t: t.rlike(r"^\p{L}{3,}$") & ~t.isin(*STOP_WORDS))
+
+
+def content_words(x: Column) -> Column:
+    """The distinct content_tokens, in the order of their first places."""
+    return _content(F.array_distinct(_words(x)))
 
 
 def set_coverage(a: Column, b: Column) -> Column:
@@ -207,21 +231,32 @@ def token_set_ratio_of(a: str, b: str, low: float = -1.0) -> float:
     where the shorter rest, or the letters that both rests have, can't lift the ratio over the other two or over `low`: what is
     returned then is no more than the greater of `low` and the true ratio, and the true ratio if that is above `low`.
     """
-    x, y = set(a.split()), set(b.split())
+    return _ratio_of(set(a.split()), set(b.split()), low)
+
+
+def _joined_size(tokens: set[str]) -> int:
+    return sum(map(len, tokens)) + max(len(tokens) - 1, 0)
+
+
+def _ratio_of(x: set[str], y: set[str], low: float, size: int | None = None) -> float:
+    """token_set_ratio_of two sets of tokens; `size`: of y's joined tokens, if it is known. Neither is sorted nor joined where no LCS is made."""
     if not x or not y:
         return 0.0
-    both, left, right = sorted(x & y), sorted(x - y), sorted(y - x)
-    if both and (not left or not right):
+    both, left = x & y, x - y
+    if both and (not left or len(both) == len(y)):
         return 100.0
-    common = len(" ".join(both))
-    space = " " if both else ""
-    one, two = space + " ".join(left), space + " ".join(right)
+    common, space = _joined_size(both), " " if both else ""
+    one = len(space) + _joined_size(left)
+    two = len(space) + (_joined_size(y) if size is None else size) - common - len(space)
     ratio = lambda same, n: 200.0 * same / n
-    best = max((ratio(common, 2 * common + len(t)) for t in (one, two)), default=0.0) if both else 0.0
-    total, bar = 2 * common + len(one) + len(two), max(best, low)
-    if ratio(common + min(len(one), len(two)), total) <= bar or ratio(common + _common_letters(one, two), total) <= bar:
+    best = max(ratio(common, 2 * common + n) for n in (one, two)) if both else 0.0
+    total, bar = 2 * common + one + two, max(best, low)
+    if ratio(common + min(one, two), total) <= bar:
+        return best
+    mine, other = space + " ".join(sorted(left)), space + " ".join(sorted(y - x))
+    if ratio(common + _common_letters(mine, other), total) <= bar:
         return best
-    return max(best, ratio(common + lcs(one, two), total))
+    return max(best, ratio(common + lcs(mine, other), total))
 
 
 def token_set_ratio(a: Column | str, b: Column | str, low: Column | None = None) -> Column:
@@ -233,6 +268,20 @@ def token_set_ratio(a: Column | str, b: Column | str, low: Column | None = None)
     return F.pandas_udf(run, "double")(a, b, F.lit(-1.0) if low is None else low)
 
 
+def token_set_ratios(texts: Column, source: Column, low: Column) -> Column:
+    """token_set_ratio of each of an array of texts to one source, whose tokens are found once; `low` has a bound for each."""
+
+    def run(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        out = []
+        for many, one, bars in zip(x, y, z):
+            known = set(one.split())
+            size = _joined_size(known)
+            out.append([_ratio_of(set(t.split()), known, bar, size) for t, bar in zip(many, bars)])
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<double>")(texts, source, low)
+
+
 def best_likeness_of(a: str, b: str) -> float:
     """0-1: the greater of token_set_ratio_of / 100 and the share of a's tokens, repeats counted, that b has."""
     mine, known = [t for t in a.split(" ") if t], set(b.split(" "))

@@ -51,10 +51,13 @@ def pick_sections(sections_: DataFrame, names: tuple[str, ...] = ("D2", "D3", "D
     return sections_.groupBy("file").agg(*[F.max_by("content", F.when(F.col("title").startswith(n), F.col("section"))).alias(n) for n in names])
 
 
+def _sentence_id(doc: str, section: str, n: Column) -> Column:
+    return F.concat(F.col(doc).cast("string"), F.lit("_"), F.col(section), F.lit("_S"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")))
+
+
 def sentence_ids(sentences: DataFrame, doc: str = "doc", section: str = "source_section", order: str = "ord") -> DataFrame:
     """sentences with sentence_id `doc_section_S001`, counted in order within document and section."""
-    n = F.row_number().over(Window.partitionBy(doc, section).orderBy(order))
-    return sentences.withColumn("sentence_id", F.concat(F.col(doc).cast("string"), F.lit("_"), F.col(section), F.lit("_S"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))))
+    return sentences.withColumn("sentence_id", _sentence_id(doc, section, F.row_number().over(Window.partitionBy(doc, section).orderBy(order))))
 
 
 def unused(selected: DataFrame, used: DataFrame, key: str = "sentence_id") -> DataFrame:
@@ -147,19 +150,25 @@ def source_texts(cases: DataFrame, names: tuple[str, ...] = ("D2", "D3", "D4"))
 
 def selected(sections_: DataFrame, k: int = 10) -> DataFrame:
     """(file, source_section, place, sentence, sentence_id): the k most valuable sentences of each section."""
-    rows = texteval.valuable_sentences(sections_.withColumn("_key", F.struct("file", "source_section")), k, "_key", "text")
-    return sentence_ids(rows.select("_key.file", "_key.source_section", "place", "sentence"), "file", "source_section", "place")
+    rows = texteval.valuable_sentences(sections_, k, ("file", "source_section"), "text", "file")
+    return rows.select("file", "source_section", "place", "sentence", _sentence_id("file", "source_section", F.col("place")).alias("sentence_id"))
+
+
+def sources(sections_: DataFrame) -> DataFrame:
+    """(file, source): all sections of each case, in order. Dealt by file as in selected(), so that one shuffle of the texts does for both."""
+    ordered = F.array_sort(F.collect_list(F.struct("source_section", "text")))
+    dealt = sections_.select("file", "source_section", "text").repartition("file")
+    return dealt.groupBy("file").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "\n").alias("source"))
 
 
 def with_sources(sentences: DataFrame, sections_: DataFrame) -> DataFrame:
     """sentences with `source`: all sections of their own case, in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("source_section", "text")))
-    return sentences.join(sections_.groupBy("file").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "\n").alias("source")), "file")
+    return sentences.join(sources(sections_), "file")
 
 
 def annotated(sentences: DataFrame, sections_: DataFrame) -> DataFrame:
     """sentences with faithful_type and faithful_score against the text of their own case."""
-    return texteval.faithfulness(with_sources(sentences, sections_)).drop("source")
+    return texteval.faithfulness_by(sentences, sources(sections_), "file")
 
 
 def consolidated(sentences: DataFrame, sections_: DataFrame) -> DataFrame:

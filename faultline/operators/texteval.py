@@ -25,7 +25,7 @@ def faithfulness(pairs: DataFrame, fuzzy: int = 85, coverage: float = 0.75, sent
     rows = pairs.withColumns({"_s": s, "_src": src})
     easy = (F.col("_s") == "") | F.contains("_src", F.col("_s"))
     done = rows.where(easy).withColumns({"faithful_type": F.when(F.col("_s") == "", F.lit("hallucinated")).otherwise(F.lit("exact")), "faithful_score": F.when(F.col("_s") == "", 0).otherwise(100)})
-    share = T.set_coverage(T.content_tokens(F.col(sentence)), T.content_tokens(F.col(source)))
+    share = T.set_coverage(T.content_words(F.col(sentence)), T.content_words(F.col(source)))
     # A ratio under the coverage's own score can't count, so it need not be exact.
     rest = _spread(rows.where(~easy)).withColumn("_c", share)
     rest = rest.withColumn("_f", T.token_set_ratio("_s", "_src", F.floor(F.col("_c") * 100).cast("double")).cast("int"))
@@ -38,7 +38,42 @@ def faithfulness(pairs: DataFrame, fuzzy: int = 85, coverage: float = 0.75, sent
 def exact_or_covered(pairs: DataFrame, sentence: str = "sentence", source: str = "source") -> DataFrame:
     """pairs with is_exact and coverage: the part of faithfulness() that needs no Python."""
     exact = F.contains(T.normalize_spaces(F.col(source)), T.normalize_spaces(F.col(sentence)))
-    return pairs.withColumns({"is_exact": exact, "coverage": F.round(T.set_coverage(T.content_tokens(F.col(sentence)), T.content_tokens(F.col(source))), 6)})
+    return pairs.withColumns({"is_exact": exact, "coverage": F.round(T.set_coverage(T.content_words(F.col(sentence)), T.content_words(F.col(source))), 6)})
+
+
+def exact_or_covered_by(sentences: DataFrame, sources: DataFrame, key: str, sentence: str = "sentence", source: str = "source") -> DataFrame:
+    """exact_or_covered() of sentences against the source of their key (key, source): a source is brought to its plain text and its words once, not once a sentence."""
+    of = sources.select(key, T.normalize_spaces(F.col(source)).alias("_src"), T.content_words(F.col(source)).alias("_words"))
+    rows = sentences.join(of, key).withColumn("is_exact", F.contains("_src", T.normalize_spaces(F.col(sentence))))
+    return rows.withColumn("coverage", F.round(T.set_coverage(T.content_words(F.col(sentence)), F.col("_words")), 6)).drop("_src", "_words")
+
+
+def faithfulness_by(sentences: DataFrame, sources: DataFrame, key: str, fuzzy: int = 85, coverage: float = 0.75, sentence: str = "sentence", source: str = "source") -> DataFrame:
+    """faithfulness() of sentences against the source of their key (key, source).
+
+    What is made of a source is made once a source, not once a sentence. Sentences are written with the mark of exact ones, without their sources; only keys that have others
+    meet their source again, with all their sentences in one row, so that the ratio takes its words apart once.
+    """
+    from ..sources.files import shared_folder
+
+    spark, kept, columns = sentences.sparkSession, shared_folder(sentences.sparkSession), sentences.columns
+    plain = lambda c: T.normalize_spaces(F.coalesce(c, F.lit("")))
+    held = sentences.join(sources.select(key, plain(F.col(source)).alias("_src")), key).withColumn("_s", plain(F.col(sentence)))
+    held.select(*columns, "_s", ((F.col("_s") == "") | F.contains("_src", "_s")).alias("_easy")).write.parquet(kept)
+    held = spark.read.parquet(kept)
+    done = held.where("_easy").select(*columns, *[F.when(F.col("_s") == "", blank).otherwise(exact).alias(c) for c, blank, exact in (("faithful_type", F.lit("hallucinated"), F.lit("exact")), ("faithful_score", F.lit(0), F.lit(100)))])
+    rest = held.where("NOT _easy").drop("_easy")
+    of = sources.join(rest.select(key).distinct(), key, "left_semi").select(key, plain(F.col(source)).alias("_src"), T.content_words(F.col(source)).alias("_words"))
+    rest = rest.join(of.select(key, "_words"), key).withColumn("_c", T.set_coverage(T.content_words(F.col(sentence)), F.col("_words"))).drop("_words")
+    packed = rest.groupBy(key).agg(F.collect_list(F.struct(*[c for c in columns if c != key], "_s", "_c")).alias("_rows")).join(of.select(key, "_src"), key)
+    # A ratio under the coverage's own score can't count, so it need not be exact.
+    low = F.transform("_rows", lambda r: F.floor(r["_c"] * 100).cast("double"))
+    packed = packed.withColumn("_f", T.token_set_ratios(F.col("_rows._s"), F.col("_src"), low))
+    rest = packed.select(key, F.explode(F.arrays_zip("_rows", "_f")).alias("r")).select(key, "r._rows.*", F.col("r._f").cast("int").alias("_f"))
+    score = F.greatest("_f", F.floor(F.col("_c") * 100).cast("int"))
+    kind = F.when(score >= fuzzy, F.lit("fuzzy")).when(F.col("_c") >= coverage, F.lit("partial")).otherwise(F.lit("hallucinated"))
+    rest = rest.select(*columns, kind.alias("faithful_type"), score.alias("faithful_score"))
+    return done.unionByName(rest).withColumn("faithful", F.col("faithful_type") != "hallucinated")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -103,11 +138,12 @@ def compression_report(docs: DataFrame, key: str = "doc_id", source: str = "sour
     return out.select(key, "unit_count", F.round("mean_coverage", 6).alias("mean_coverage"), F.coalesce("sentence_count", F.lit(0)).alias("sentence_count"), F.round(F.coalesce("mean_faithfulness", F.lit(0.0)), 6).alias("mean_faithfulness"), "compression_ratio", F.round(density(F.col("mean_coverage"), F.col("compression_ratio")), 4).alias("information_density"))
 
 
-def valuable_sentences(docs: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, place, sentence, value) of the k most valuable sentences of more than six words; ties keep their order."""
+def valuable_sentences(docs: DataFrame, k: int = 10, key: str | tuple[str, ...] = "doc_id", text: str = "text", by: str | None = None) -> DataFrame:
+    """(key, place, sentence, value) of the k most valuable sentences of more than six words; ties keep their order. `by`: the column of the key that rows are dealt by, if not all."""
+    keys = [key] if isinstance(key, str) else list(key)
     # Dealt by key before the sentences are made: the ranking within a key then needs no shuffle of its own.
-    docs = docs.select(key, text).repartition(key)
-    rows = docs.select(key, F.posexplode(T.sentences(T.normalize_valuable(F.col(text)))).alias("ord", "sentence"))
-    rows = rows.where(F.size(F.split("sentence", " ")) > 6).withColumn("value", F.round(T.sentence_value(F.col("sentence")), 6))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("value"), "ord"))
-    return rows.withColumn("place", place).where(F.col("place") <= k).select(key, "place", "sentence", "value")
+    docs = docs.select(*keys, text).repartition(*([by] if by else keys))
+    rows = docs.select(*keys, F.posexplode(T.valuable_sentences(F.col(text))).alias("ord", "sentence"))
+    rows = rows.where(T.has_words(F.col("sentence"), 7)).withColumn("value", F.round(T.sentence_value(F.col("sentence")), 6))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("value"), "ord"))
+    return rows.withColumn("place", place).where(F.col("place") <= k).select(*keys, "place", "sentence", "value")

@@ -209,6 +209,26 @@ def test_faithfulness_types(spark):
     assert got[0] == ("exact", 100) and got[1] == ("fuzzy", 100) and got[2] == ("hallucinated", 0) and got[3][0] == "hallucinated" and got[4] == ("hallucinated", 0)
 
 
+def test_a_source_is_made_plain_once_for_all_its_sentences(spark):
+    import re
+
+    from faultline import case_queries
+
+    plan = case_queries.case_flow(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # What lies above the join sees no whole source, but what was made of it.
+    assert plan.count("Join Inner") == 1 and not re.search(r"\bsource#", plan.split("Join Inner")[0])
+    sources = spark.createDataFrame([(1, "The motor  stops here. Dust everywhere in it"), (2, "x"), (3, None)], "file int, source string")
+    said = [(1, "Motor stops"), (1, "here stops the motor"), (1, "dust is everywhere"), (1, ""), (2, "alpha beta"), (2, None), (3, "a"), (3, ""), (4, "of no case")]
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(said)], "i int, file int, sentence string")
+    pairs = rows.join(sources, "file")
+    got = texteval.faithfulness_by(rows, sources, "file")
+    want = texteval.faithfulness(pairs).drop("source").select(got.columns)
+    assert got.columns == ["i", "file", "sentence", "faithful_type", "faithful_score", "faithful"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("faithful_type = 'fuzzy'").count() == 2
+    got = texteval.exact_or_covered_by(rows, sources, "file")
+    assert sorted(map(str, got.collect())) == sorted(map(str, texteval.exact_or_covered(pairs).select(got.columns).collect()))
+
+
 def test_summary_equal_to_source(spark):
     df = spark.createDataFrame([(1, "The pump is stuck. It was cold.", ["The pump is stuck", "It was cold"]), (2, "", [])], "doc_id int, source string, summary_sentences array<string>")
     got = {r.doc_id: r for r in texteval.compression_report(df).collect()}

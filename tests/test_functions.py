@@ -155,3 +155,14 @@ def test_token_set_ratio_bounds_change_nothing():
         mine = a.split()
         share = sum(t in set(b.split()) for t in mine) / len(mine) if mine else 0.0
         assert abs(best_likeness_of(a, b) - max(share, want / 100)) < 1e-9
+
+
+def test_sentences_of_normalised_text_in_one_split(spark):
+    odd = ["", None, " . ", "..a", "A b.  C!d ?", " x .　 y\x1c", "On 01-02-2020. Motor 7!\tstops", "a . b. . c", "no end", "é.\u0085Ö ", "1.5 mm. 2"]
+    both = lambda x: F.struct(T.valuable_sentences(x).alias("a"), T.sentences(T.normalize_valuable(x)).alias("b"))
+    assert all(r.a == r.b for r in values(spark, both, odd))
+    many = lambda x: F.struct(T.has_words(x, 3).alias("a"), (F.size(F.split(x, " ")) >= 3).alias("b"))
+    assert all(r.a == r.b for r in values(spark, many, ["a", "a b", "a b c", "a b c d", "", "é é é"]))
+    distinct = lambda x: F.struct(T.content_words(x).alias("a"), F.array_distinct(T.content_tokens(x)).alias("b"))
+    assert all(r.a == r.b for r in values(spark, distinct, [*odd, "Pump pump the ab ÄÖÜ x1y äöü"]))
+    assert values(spark, T.strip, [" a ", " a ", " \ta\n ", "  ", "", None, "é ", " a\x85"]) == ["a", "a", "a", "", "", None, "é", "a"]
