@@ -111,3 +111,17 @@ def test_cases_whose_answers_do_not_parse(spark, tmp_path):
     assert set(got) == {1, 2, 3} and got[1].failure_mode == "stops"
     assert [(c.cause_ID, c.failure_cause, c.discipline_type) for c in got[1].root_causes] == [("report_1_F1_C1", "Unknown cause (LLM incomplete)", "Other"), ("report_1_F1_C2", "dust", "Other")]
     assert (got[2].failure_mode, got[2].root_causes, got[3].root_causes) == (None, [], [])
+
+
+def test_sources_do_not_travel_with_picked_sentences(spark, tmp_path, monkeypatch):
+    from faultline.operators import texteval
+
+    def pairs_of_whole_sources(*_, **__):
+        raise AssertionError("each sentence would carry all sections of its case")
+
+    monkeypatch.setattr(texteval, "faithfulness", pairs_of_whole_sources)
+    sections = spark.createDataFrame([(1, "D2", "It stops. It smells."), (1, "D4", "Dust.")], "file long, source_section string, text string")
+    picked = spark.createDataFrame([(1, "D2", 1, "It stops", "1_D2_S001"), (1, "D4", 1, "stops it smells", "1_D4_S001")], "file long, source_section string, place int, sentence string, sentence_id string")
+    made = answers.consolidated(picked, sections, lambda p: [json.dumps({"failure_mode": " ".join(p[0].split())})] * len(p), str(tmp_path / "c"))
+    seen = made.collect()[0].failure_mode
+    assert "[id:1_D2_S001] It stops (status=?, faithful_score=100, type=exact)" in seen and "[id:1_D4_S001] stops it smells (status=?, faithful_score=" in seen
