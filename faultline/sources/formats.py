@@ -16,8 +16,10 @@ import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import groupby
-from xml.sax.saxutils import escape, quoteattr
+from operator import itemgetter
+from xml.sax.saxutils import quoteattr
 
 import pyarrow as pa
 from pyarrow import fs
@@ -111,9 +113,10 @@ class _Writer(DataSourceArrowWriter):
         system, root = fs.FileSystem.from_uri(self.path)
         attempt = uuid.uuid4().hex
         system.create_dir(f"{root}/{self.work}/{attempt}", recursive=True)
-        rows = (r for b in iterator for r in b.to_pylist())
+        # Tuples in the order of DDL: a dictionary a cell would cost as much as its XML.
+        rows = (r for b in iterator for r in zip(*map(_listed, b.columns)))
         names = []
-        for name, own in groupby(rows, key=lambda r: r["path"]):
+        for name, own in groupby(rows, key=itemgetter(0)):
             content = self.source.build(own)
             with system.open_output_stream(f"{root}/{self.work}/{attempt}/{name}") as f:
                 f.write(content)
@@ -161,14 +164,25 @@ class _FileSource(DataSource):
         raise NotImplementedError
 
     @staticmethod
-    def build(rows: Iterator[dict]) -> bytes:
+    def build(rows: Iterator[tuple]) -> bytes:
+        """A file of its rows, tuples of the columns of DDL."""
         raise NotImplementedError
 
 
+def _listed(column: pa.Array) -> list:
+    """column.to_pylist(), by way of numpy, which is several times faster, where it gives the same values."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if column.null_count and pa.types.is_integer(column.type):  # numpy would make them floats
+        return column.to_pylist()
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _hidden(path: str) -> bool:
     return any(p.startswith((".", "_", "~$")) for p in path.split("/"))
 
 
+@cache
 def _column(n: int) -> str:
     out = ""
     n += 1
@@ -178,9 +192,12 @@ def _column(n: int) -> str:
     return out
 
 
+_ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", "\r": "&#13;"})
+
+
 def _xml(text: str) -> str:
     """Text for XML; a carriage return would be read as a line feed. Other control characters can't be written at all."""
-    return escape(text, {"\r": "&#13;"})
+    return text.translate(_ESCAPES)
 
 
 class WorkbookCells(_FileSource):
@@ -203,16 +220,14 @@ class WorkbookCells(_FileSource):
     parse = staticmethod(workbook.parse)
 
     @staticmethod
-    def build(rows: Iterator[dict]) -> bytes:
+    def build(rows: Iterator[tuple]) -> bytes:
         sheets: dict[int, tuple[str, list[str]]] = {}
-        for (index, row), own in groupby(rows, key=lambda r: (r["sheet_index"], r["row"])):
-            own = list(own)
-            _, lines = sheets.setdefault(index, (own[0]["sheet"], []))
-            cells = []
-            for c in own:
-                at = f'r="{_column(c["col"])}{row + 1}"'
-                cells.append(f'<c {at}><v>{_xml(c["value"])}</v></c>' if c["is_number"] else f'<c {at} t="inlineStr"><is><t xml:space="preserve">{_xml(c["value"])}</t></is></c>')
-            lines.append(f'<row r="{row + 1}">{"".join(cells)}</row>')
+        for (index, row), own in groupby(rows, key=itemgetter(3, 4)):
+            own, cells, n = list(own), [], row + 1
+            for _, _, _, _, _, col, value, is_number, _ in own:
+                text = value.translate(_ESCAPES)
+                cells.append(f'<c r="{_column(col)}{n}"><v>{text}</v></c>' if is_number else f'<c r="{_column(col)}{n}" t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>')
+            sheets.setdefault(index, (own[0][2], []))[1].append(f'<row r="{n}">{"".join(cells)}</row>')
         # A sheet's place is its index: those before it that have no cells are written, too.
         every = [sheets.get(i, (f"Sheet{i + 1}", [])) for i in range(max(sheets) + 1)]
         main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -251,20 +266,20 @@ class ReportParts(_FileSource):
     parse = staticmethod(documents.parse)
 
     @staticmethod
-    def build(rows: Iterator[dict]) -> bytes:
+    def build(rows: Iterator[tuple]) -> bytes:
         def run(text: str | None) -> str:
             lines = (text or "").split("\n")
             tabs = lambda line: "<w:tab/>".join(f'<w:t xml:space="preserve">{_xml(t)}</w:t>' for t in line.split("\t"))
             return "<w:r>" + "<w:br/>".join(map(tabs, lines)) + "</w:r>"
 
         body, styles = [], {}
-        for r in rows:
-            if r["kind"] == "row":
-                cells = [c for c in (r["text"], r["second"]) if c is not None]
+        for _, _, kind_of, _, named, text, second, _ in rows:
+            if kind_of == "row":
+                cells = [c for c in (text, second) if c is not None]
                 body.append("<w:tbl><w:tr>" + "".join(f"<w:tc><w:p>{run(c)}</w:p></w:tc>" for c in cells) + "</w:tr></w:tbl>")
             else:
-                style = styles.setdefault(r["style"] or "Normal", f"S{len(styles)}")
-                body.append(f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr>{run(r["text"])}</w:p>')
+                style = styles.setdefault(named or "Normal", f"S{len(styles)}")
+                body.append(f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr>{run(text)}</w:p>')
         w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
         rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
         package = "http://schemas.openxmlformats.org/package/2006"

@@ -19,6 +19,7 @@ from .files import shared_folder
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_CELL, _VALUE, _IS, _T = (f"{_MAIN}{name}" for name in ("c", "v", "is", "t"))
 CELLS = "path string, file_name string, sheet string, sheet_index int, row int, col int, value string, is_number boolean, error string"
 
 # Headers of the new layout (its seventh row) and those of the old one, with the columns to fall back to.
@@ -65,6 +66,13 @@ def _text(node) -> str:
     return "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
 
 
+def _inline(c) -> str:
+    """_text of a cell, which mostly holds one text alone."""
+    if len(c) == 1 and len(c[0]) == 1 and c[0].tag == _IS and c[0][0].tag == _T and not len(c[0][0]):
+        return c[0][0].text or ""
+    return _text(c)
+
+
 def _number(raw: str) -> str:
     x = float(raw)
     return str(int(x)) if x == int(x) and abs(x) < 1e15 else repr(x)
@@ -75,6 +83,8 @@ def parse(content: bytes) -> Iterator[tuple[str, int, int, int, str, bool]]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         read = lambda name: ElementTree.fromstring(z.read(name))
+        # Columns by their letters: an address is matched as a whole only where its letters are new.
+        columns: dict[str, int] = {}
         shared = [_text(si) for si in read("xl/sharedStrings.xml").findall(f"{_MAIN}si")] if "xl/sharedStrings.xml" in names else []
         dates: set[int] = set()
         if "xl/styles.xml" in names:
@@ -87,13 +97,13 @@ def parse(content: bytes) -> Iterator[tuple[str, int, int, int, str, bool]]:
                     dates.add(i)
         targets = {r.get("Id"): r.get("Target") for r in read("xl/_rels/workbook.xml.rels")}
         for index, sheet in enumerate(read("xl/workbook.xml").iter(f"{_MAIN}sheet")):
-            target = targets[sheet.get(f"{_REL}id")]
-            for c in read(target[1:] if target.startswith("/") else f"xl/{target}").iter(f"{_MAIN}c"):
-                kind, v = c.get("t", "n"), c.find(f"{_MAIN}v")
+            target, name = targets[sheet.get(f"{_REL}id")], sheet.get("name")
+            for c in read(target[1:] if target.startswith("/") else f"xl/{target}").iter(_CELL):
+                kind = c.get("t", "n")
                 number = False
                 if kind == "inlineStr":
-                    value = _text(c)
-                elif v is None or v.text is None:
+                    value = _inline(c)
+                elif (v := c.find(_VALUE)) is None or v.text is None:
                     continue
                 elif kind == "s":
                     value = shared[int(v.text)]
@@ -104,8 +114,15 @@ def parse(content: bytes) -> Iterator[tuple[str, int, int, int, str, bool]]:
                         value, number = _number(v.text), True
                 else:
                     value = v.text
-                row, col = cell_address(c.get("r"))
-                yield sheet.get("name"), index, row, col, value, number
+                at = c.get("r")
+                letters = at.rstrip("0123456789")
+                if (col := columns.get(letters)) is not None and len(letters) < len(at):
+                    row = int(at[len(letters) :]) - 1
+                else:
+                    row, col = cell_address(at)
+                    if letters.isascii() and letters.isalpha():
+                        columns[letters] = col
+                yield name, index, row, col, value, number
 
 
 def cells(files: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from faultline.operators import eightd
@@ -128,3 +129,19 @@ def test_lines_of_faults_through_blocks(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert (got, n) == (sorted(want), good)
+
+
+def test_addresses_are_matched_once_a_column(monkeypatch):
+    asked, plain = [], workbook.cell_address
+    monkeypatch.setattr(workbook, "cell_address", lambda at: asked.append(at) or plain(at))
+    rows = [("b.xlsx", None, "s", 0, r, c, "<x>&" if c else str(r), not c, None) for r in range(300) for c in (0, 2, 30)]
+    assert list(workbook.parse(formats.WorkbookCells.build(iter(rows)))) == [(s, i, r, c, v, k) for _, _, s, i, r, c, v, k, _ in rows]
+    assert asked == ["A1", "C1", "AE1"]
+    # A text in runs, and in no run at all.
+    cells = {"<is><r><t>a</t></r><r><t> b</t></r></is>": "a b", "<is/>": "", "<is><t>x</t></is>": "x", "<is><t/></is>": ""}
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    nodes = [workbook.ElementTree.fromstring(f"<c {main}>{c}</c>") for c in cells]
+    assert [workbook._inline(n) for n in nodes] == [workbook._text(n) for n in nodes] == list(cells.values())
+    columns = [pa.array([1, None], pa.int32()), pa.array([1, 2], pa.int32()), pa.array(["a", None]), pa.array([True, None]), pa.array([False, True]), pa.array([None, None], pa.string()), pa.array([], pa.int32())]
+    for c in columns:
+        assert [(type(v), v) for v in formats._listed(c)] == [(type(v), v) for v in c.to_pylist()]
