@@ -6,6 +6,7 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -53,8 +54,9 @@ def first_sentences(prompts: list[str], k: int = 3) -> list[str]:
     """The stand-in of a model that picks sentences from a section: the first k, its name left out."""
     out = []
     for p in prompts:
-        found = (re.sub(r"[ \t\n\r\f\v]+", " ", s).strip(" ") for s in re.split("[.!?]", p.split("\n", 1)[1]))
-        out.append("Here they are: " + json.dumps({"sentences": [s for s in found if s][:k]}))
+        # Sentences are cut off one by one, as the rest of a long text isn't picked.
+        found = (re.sub(r"[ \t\n\r\f\v]+", " ", s[0]).strip(" ") for s in re.finditer("[^.!?]+", p.split("\n", 1)[1]))
+        out.append("Here they are: " + json.dumps({"sentences": list(islice(filter(None, found), k))}))
     return out
 
 

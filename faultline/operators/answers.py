@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.files import shared_folder
 from . import eightd
 
 Model = Callable[[list[str]], list[str]]
@@ -41,7 +42,7 @@ def _drop(path: str) -> None:
 def kept_answers(spark: SparkSession, kept: str) -> DataFrame:
     """(key, answer) of all that was answered in runs that ended or were taken in since."""
     path = f"{kept}/answers"
-    return spark.read.schema(KEPT).parquet(path) if _there(path) else spark.createDataFrame([], KEPT)
+    return spark.read.schema(KEPT).parquet(path) if _there(path) else spark.range(0).select(F.lit("").alias("key"), F.lit("").alias("answer"))
 
 
 def take_in(spark: SparkSession, kept: str) -> None:
@@ -54,7 +55,9 @@ def take_in(spark: SparkSession, kept: str) -> None:
     _drop(calls)
 
 
-def _asking(model: Model, calls: str, batch: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _asking(model: Model, calls: str, batch: int, pending: str | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Asks a task's prompts by batches; no more of them once `pending` is gone, as the run that the task belongs to has ended then."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, at = fs.FileSystem.from_uri(calls)
         system.create_dir(at, recursive=True)
@@ -63,6 +66,8 @@ def _asking(model: Model, calls: str, batch: int) -> Callable[[Iterator[pd.DataF
             # The same rows in the same order in each attempt: a batch that an earlier one asked is found by its name.
             name = hashlib.sha256("".join(k for k, _ in some).encode()).hexdigest()
             if system.get_file_info(f"{at}/{name}.json").type != fs.FileType.File:
+                if pending and not _there(pending):
+                    raise RuntimeError("the run of this task has ended")
                 answers = model([p for _, p in some])
                 if len(answers) != len(some):
                     raise ValueError(f"{len(answers)} answers to {len(some)} prompts")
@@ -85,14 +90,15 @@ def answered(rows: DataFrame, model: Model, kept: str, text: str = "text", versi
     spark = rows.sparkSession
     take_in(spark, kept)
     keyed = rows.withColumn("_key", F.sha2(F.concat(F.lit(version), F.lit("\x1f"), F.col(text)), 256))
-    asked = keyed.where("_key IS NOT NULL").select(F.col("_key").alias("key"), F.col(text).alias("prompt")).dropDuplicates(["key"])
+    asked = keyed.where("_key IS NOT NULL").select(F.col("_key").alias("key"), F.col(text).alias("prompt"))
+    if _there(f"{kept}/answers"):
+        asked = asked.join(kept_answers(spark, kept).select("key"), "key", "left_anti")
     pending = f"{kept}/pending/{uuid.uuid4().hex}"
-    # Written, so that a task run again gets the same rows in the same order.
-    open_ = asked.join(kept_answers(spark, kept).select("key"), "key", "left_anti")
-    open_.repartition(tasks or spark.sparkContext.defaultParallelism, "key").sortWithinPartitions("key").write.parquet(pending)
+    # Dealt to the tasks that ask before equal ones are told, so that prompts are shuffled once. Written, so that a task run again gets the same rows in the same order.
+    asked.repartition(tasks or spark.sparkContext.defaultParallelism, "key").dropDuplicates(["key"]).sortWithinPartitions("key").write.parquet(pending)
     try:
         todo = spark.read.schema("key string, prompt string").parquet(pending)
-        todo.mapInPandas(_asking(model, f"{kept}/calls", batch), "asked int").write.format("noop").mode("overwrite").save()
+        todo.mapInPandas(_asking(model, f"{kept}/calls", batch, pending), "asked int").write.format("noop").mode("overwrite").save()
     finally:
         _drop(pending)
     take_in(spark, kept)
@@ -128,6 +134,9 @@ def consolidated(sentences: DataFrame, sections: DataFrame, model: Model, kept:
     names = ("D2", "D3", "D4")
     every = sections.select("file").distinct().join(eightd.signals(lines, "file", names), "file", "left")
     prompt = F.concat_ws("\n", *[F.concat(F.lit(f"{n}:\n"), F.coalesce(n, F.lit("- (none)"))) for n in names])
-    found = parsed(answered(every.select("file", prompt.alias("prompt")), model, kept, "prompt", version), CASE)
+    # Written, as prompts are read twice: to ask and to join the answers.
+    path = shared_folder(sections.sparkSession)
+    every.select("file", prompt.alias("prompt")).write.parquet(path)
+    found = parsed(answered(sections.sparkSession.read.parquet(path), model, kept, "prompt", version), CASE)
     made = eightd.root_cause_defaults(F.concat(F.lit("report_"), F.col("file").cast("string")), F.col("answer.root_causes"))
     return found.select("file", "answer.failure_mode", "answer.failure_effect", made.alias("root_causes"))

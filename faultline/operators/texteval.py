@@ -51,29 +51,37 @@ def exact_or_covered_by(sentences: DataFrame, sources: DataFrame, key: str, sent
 def faithfulness_by(sentences: DataFrame, sources: DataFrame, key: str, fuzzy: int = 85, coverage: float = 0.75, sentence: str = "sentence", source: str = "source") -> DataFrame:
     """faithfulness() of sentences against the source of their key (key, source).
 
-    What is made of a source is made once a source, not once a sentence. Sentences are written with the mark of exact ones, without their sources; only keys that have others
-    meet their source again, with all their sentences in one row, so that the ratio takes its words apart once.
+    What is made of a source is made once a source, not once a sentence, and only if a sentence is no copy of a part of it, letter by letter. A key's sentences
+    lie in one row, which meets its source once: sources are shuffled once and carried no further. The ratio's words come from there too.
     """
-    from ..sources.files import shared_folder
-
-    spark, kept, columns = sentences.sparkSession, shared_folder(sentences.sparkSession), sentences.columns
+    rows, let = F.col("_rows"), lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
     plain = lambda c: T.normalize_spaces(F.coalesce(c, F.lit("")))
-    held = sentences.join(sources.select(key, plain(F.col(source)).alias("_src")), key).withColumn("_s", plain(F.col(sentence)))
-    held.select(*columns, "_s", ((F.col("_s") == "") | F.contains("_src", "_s")).alias("_easy")).write.parquet(kept)
-    held = spark.read.parquet(kept)
-    done = held.where("_easy").select(*columns, *[F.when(F.col("_s") == "", blank).otherwise(exact).alias(c) for c, blank, exact in (("faithful_type", F.lit("hallucinated"), F.lit("exact")), ("faithful_score", F.lit(0), F.lit(100)))])
-    rest = held.where("NOT _easy").drop("_easy")
-    of = sources.join(rest.select(key).distinct(), key, "left_semi").select(key, plain(F.col(source)).alias("_src"), T.content_words(F.col(source)).alias("_words"))
-    rest = rest.join(of.select(key, "_words"), key).withColumn("_c", T.set_coverage(T.content_words(F.col(sentence)), F.col("_words"))).drop("_words")
-    packed = rest.groupBy(key).agg(F.collect_list(F.struct(*[c for c in columns if c != key], "_s", "_c")).alias("_rows")).join(of.select(key, "_src"), key)
+    columns = [c for c in sentences.columns if c != key]
+    many = sentences.withColumn("_s", plain(F.col(sentence))).groupBy(key).agg(F.collect_list(F.struct(*columns, "_s")).alias("_rows"))
+    held = many.join(sources.select(key, F.coalesce(source, F.lit("")).alias("_source")), key)
+    marked = lambda easy: F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in (*columns, "_s")], easy(r).alias("_easy")))
+    # A copy stays one in plain text, but for a capital sigma, whose small letter depends on what follows.
+    copied = lambda r: (r["_s"] == "") | F.coalesce(F.contains("_source", r[sentence]) & ~F.contains(r[sentence], F.lit("\u03a3")), F.lit(False))
+    held = held.withColumn("_rows", marked(copied))
+    plainly = let(plain(F.col("_source")), lambda src: marked(lambda r: r["_easy"] | F.contains(src, r["_s"])))
+    held = held.withColumn("_rows", F.when(F.exists(rows, lambda r: ~r["_easy"]), plainly).otherwise(rows))
+    held = held.select(key, F.filter(rows, lambda r: r["_easy"]).alias("_done"), F.filter(rows, lambda r: ~r["_easy"]).alias("_rows"), "_source")
+    share = let(T.content_words(F.col("_source")), lambda words: F.transform(rows, lambda r: T.set_coverage(T.content_words(r[sentence]), words)))
+    some = F.size("_rows") > 0
+    held = held.select(key, "_done", "_rows", F.when(some, share).otherwise(F.array().cast("array<double>")).alias("_c"), F.when(some, plain(F.col("_source"))).otherwise(F.lit("")).alias("_src"))
     # A ratio under the coverage's own score can't count, so it need not be exact.
-    low = F.transform("_rows", lambda r: F.floor(r["_c"] * 100).cast("double"))
-    packed = packed.withColumn("_f", T.token_set_ratios(F.col("_rows._s"), F.col("_src"), low))
-    rest = packed.select(key, F.explode(F.arrays_zip("_rows", "_f")).alias("r")).select(key, "r._rows.*", F.col("r._f").cast("int").alias("_f"))
-    score = F.greatest("_f", F.floor(F.col("_c") * 100).cast("int"))
-    kind = F.when(score >= fuzzy, F.lit("fuzzy")).when(F.col("_c") >= coverage, F.lit("partial")).otherwise(F.lit("hallucinated"))
-    rest = rest.select(*columns, kind.alias("faithful_type"), score.alias("faithful_score"))
-    return done.unionByName(rest).withColumn("faithful", F.col("faithful_type") != "hallucinated")
+    low = F.transform("_c", lambda c: F.floor(c * 100).cast("double"))
+    held = held.withColumn("_f", T.token_set_ratios(F.col("_rows._s"), F.col("_src"), low)).drop("_src")
+
+    def rated(r: Column, kind: Column, score: Column) -> Column:
+        return F.struct(*[r[c].alias(c) for c in columns], kind.alias("faithful_type"), score.alias("faithful_score"))
+
+    done = F.transform("_done", lambda r: rated(r, F.when(r["_s"] == "", F.lit("hallucinated")).otherwise(F.lit("exact")), F.when(r["_s"] == "", F.lit(0)).otherwise(F.lit(100))))
+    score = lambda x: F.greatest(x["_f"].cast("int"), F.floor(x["_c"] * 100).cast("int"))
+    kind = lambda x: F.when(score(x) >= fuzzy, F.lit("fuzzy")).when(x["_c"] >= coverage, F.lit("partial")).otherwise(F.lit("hallucinated"))
+    rest = F.transform(F.arrays_zip("_rows", "_c", "_f"), lambda x: rated(x["_rows"], kind(x), score(x)))
+    out = held.select(key, F.explode(F.concat(done, rest)).alias("r")).select(key, "r.*")
+    return out.select(*sentences.columns, "faithful_type", "faithful_score").withColumn("faithful", F.col("faithful_type") != "hallucinated")
 
 
 def similarity(a: Column, b: Column) -> Column:

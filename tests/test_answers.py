@@ -125,3 +125,29 @@ def test_sources_do_not_travel_with_picked_sentences(spark, tmp_path, monkeypatc
     made = answers.consolidated(picked, sections, lambda p: [json.dumps({"failure_mode": " ".join(p[0].split())})] * len(p), str(tmp_path / "c"))
     seen = made.collect()[0].failure_mode
     assert "[id:1_D2_S001] It stops (status=?, faithful_score=100, type=exact)" in seen and "[id:1_D4_S001] stops it smells (status=?, faithful_score=" in seen
+
+
+def test_tasks_of_an_ended_run_ask_no_more(tmp_path):
+    model, pending = Counting(tmp_path / "asked"), tmp_path / "pending"
+    pending.mkdir()
+    frames = [pd.DataFrame({"key": ["a", "b"], "prompt": ["p", "q"]})]
+    run = answers._asking(model, str(tmp_path / "calls"), 1, str(pending))(iter(frames))
+    assert next(run)["asked"][0] == 1
+    pending.rmdir()
+    with pytest.raises(RuntimeError, match="has ended"):
+        next(run)
+    assert model.asked() == ["p"]
+
+
+def test_sources_meet_their_sentences_once(spark):
+    from faultline.operators import texteval
+
+    sources = spark.createDataFrame([(1, "The  Motor stops. Dust  everywhere"), (2, "ΟΔΟΣ ΑΒ"), (3, None)], "file int, source string")
+    said = [(1, "Motor stops"), (1, "dust everywhere"), (1, " "), (1, "stops the motor dust"), (2, "ΟΔΟΣ"), (2, "ΟΔΟΣ Α"), (2, "ΟΔΟ"), (2, None), (3, "a"), (None, "b")]
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(said)], "i int, file int, sentence string")
+    got = texteval.faithfulness_by(rows, sources, "file")
+    # The plan that is returned reads everything, and has one join.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "parquet" not in plan
+    want = texteval.faithfulness(rows.join(sources, "file")).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("faithful_type = 'exact'").count() >= 4
