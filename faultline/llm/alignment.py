@@ -184,30 +184,33 @@ def align_blocks(blocks: DataFrame) -> DataFrame:
             .otherwise(_pair(F.get(c["a"], j - place), F.get(c["b"], place)))
         )
 
-    def group(c: Column, v: Column, g: Column) -> Column:
+    def group(c: Column, cuts: Column, v: Column, g: Column) -> Column:
         """The ids of the tokens between the common end before and this one."""
-        before = F.coalesce(-1 - F.get(c["cuts"], g - 1), F.lit(-_HIGH - 1))
+        before = F.coalesce(-1 - F.get(cuts, g - 1), F.lit(-_HIGH - 1))
         from_a, from_b = F.shiftright(before, 32), before.bitwiseAND(F.lit(_HIGH - 1))
         first_a, first_b = F.when(g == 0, 0).otherwise(from_a + 1).cast("int"), F.when(g == 0, 0).otherwise(from_b + 1).cast("int")
         last_a, last_b = F.shiftright(-1 - v, 32).cast("int"), (-1 - v).bitwiseAND(F.lit(_HIGH - 1)).cast("int")
         ids = lambda side, low, high: F.array_join(F.transform(F.sequence(low, high), lambda i: F.get(c[side], i).cast("string")), ",")
         return F.concat(ids("a", first_a, last_a), F.lit("|"), ids("b", first_b, last_b))
 
+    # A lambda's variable holds what would else be found anew at each use.
+    let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
     # Where all ends are common, as in most words, tokens pair one by one and that is all; only the other words' tokens are merged.
     pairs = lambda c: F.zip_with(c["a"], c["b"], _pair)
-    said = lambda c: F.array_join(F.zip_with(c["a"], c["b"], lambda x, y: F.concat_ws("|", x.cast("string"), y.cast("string"))), ";")
+    strings = lambda x: x.cast("array<string>")
+    said = lambda c: F.array_join(F.zip_with(strings(c["a"]), strings(c["b"]), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
+    made = lambda links, text: F.struct(links.alias("links"), text.alias("text"))
 
-    def begun(c: Column, common: Column) -> Column:
+    def uneven(c: Column, s: Column) -> Column:
+        text = let(F.filter(s, lambda x: x < 0), lambda cuts: F.array_join(F.transform(cuts, lambda v, g: group(c, cuts, v, g)), ";"))
+        return made(F.filter(s, lambda x: x >= 0), text)
+
+    def links_of(c: Column, common: Column) -> Column:
         even = F.size(common) >= F.greatest(F.size(c["a"]), F.size(c["b"]))
-        rest = {"a": c["a"], "b": c["b"], "s": F.transform(merged(c), lambda x, j: step(c, x, j))}
-        return F.struct(F.when(even, pairs(c)).alias("links"), F.when(even, said(c)).alias("text"), *[F.when(~even, v).alias(k) for k, v in rest.items()])
-
-    # The lambda's variable holds the common ends, which would else be found anew for each field.
-    d = blocks.withColumn("chunks", F.transform("chunks", lambda c: F.get(F.transform(F.array(F.array_intersect(c["a_end"], c["b_end"])), lambda common: begun(c, common)), F.lit(0))))
-    links = lambda c: F.coalesce(c["links"], F.filter(c["s"], lambda x: x >= 0)).alias("links")
-    d = d.withColumn("chunks", F.transform("chunks", lambda c: F.struct(links(c), *keep(c, "text", "a", "b"), F.filter(c["s"], lambda x: x < 0).alias("cuts"))))
-    text = lambda c: F.coalesce(c["text"], F.array_join(F.transform(c["cuts"], lambda v, g: group(c, v, g)), ";")).alias("text")
-    d = d.withColumn("chunks", F.transform("chunks", lambda c: F.struct(*keep(c, "links"), text(c))))
+        return F.when(even, made(pairs(c), said(c))).otherwise(let(F.transform(merged(c), lambda x, j: step(c, x, j)), lambda s: uneven(c, s)))
+
+    # One pass over the words, each of which is done with before the next begins: steps of all words side by side fill the heap.
+    d = blocks.withColumn("chunks", F.transform("chunks", lambda c: let(F.array_intersect(c["a_end"], c["b_end"]), lambda common: links_of(c, common))))
     word = lambda w, name: F.get(F.col("chunks"), w)[name]
     out = F.transform(
         "docs",

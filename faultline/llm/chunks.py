@@ -13,7 +13,8 @@ MARK = "▁"
 #: A table with more chunks than this, or of more code points, is begun anew: it bounds a worker's memory, not the result.
 MOST_CHUNKS, MOST_CHARS = 1 << 18, 1 << 24
 #: A space behind something that is neither white space nor a mark, and before anything: no piece or pre-token holds one inside.
-_CUT = re.compile(rf"(?<=[^\s{MARK}]) (?=.)", re.DOTALL)
+# The space comes first, as a search for one letter is much faster than a look behind each.
+_CUT = re.compile(rf" (?<=[^\s{MARK}] )(?=.)", re.DOTALL)
 
 
 def marked(text: str) -> list[str]:

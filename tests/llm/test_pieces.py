@@ -136,3 +136,13 @@ def test_byte_model_gives_the_librarys_ids_either_way():
     library.encode_special_tokens = True
     assert [list(x) for x in ranked(words)] == [library.encode(" " + w, add_special_tokens=False).ids for w in words]
     assert len(table) == 50_256 and all(table)
+
+
+def test_links_are_made_in_one_pass_over_the_words(spark):
+    blocks = spark.createDataFrame([([(1, [0, 1, 0], 5, 4)], [([7, 8], [2, 5], [9], [5]), ([3], [4], [6, 5], [1, 4])])], f"docs array<struct<doc_id: long, words: array<int>, n_a: long, n_b: long>>, chunks {alignment._TOKENS}")
+    found = alignment.align_blocks(blocks)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("AS chunks#") == 1  # one step, so that no words wait in the form of another one
+    (row,) = found.collect()
+    pair = lambda a, b: a * 2**32 + b
+    assert row.groups == "7,8|9;3|6,5;7,8|9" and sorted(row.links) == sorted([pair(7, 9), pair(8, 9)] * 2 + [pair(3, 6), pair(3, 5)])
