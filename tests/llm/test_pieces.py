@@ -146,3 +146,17 @@ def test_links_are_made_in_one_pass_over_the_words(spark):
     (row,) = found.collect()
     pair = lambda a, b: a * 2**32 + b
     assert row.groups == "7,8|9;3|6,5;7,8|9" and sorted(row.links) == sorted([pair(7, 9), pair(8, 9)] * 2 + [pair(3, 6), pair(3, 5)])
+
+
+def test_words_of_a_block_are_aligned_at_once(spark, texts, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a null id")], "doc_id long, text string").coalesce(1)
+    names = ["doc_id", "n_a", "n_b", "n_groups", "links", "groups_sha256"]
+    for block in (alignment.BLOCK, 200):
+        twin = alignment.align_blocks(alignment.tokenise(docs, BYTES, PIECES, block=block)).collect()
+        want = [(r.doc_id, r.n_a, r.n_b, r.n_groups, sorted(r.links), _sha(r.groups) if r.n_a else "") for r in twin]
+        assert [(*r[:4], sorted(r.links), r.groups_sha256) for r in alignment.aligned(docs, BYTES, PIECES, block=block).select(*names).collect()] == want
+    # The query's links and groups are made by arrays of all words, no lambda runs over each token.
+    plans, write = [], alignment.written
+    monkeypatch.setattr(alignment, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().analyzed().toString())) or write(df, name))
+    alignment.align(docs.limit(3), BYTES, PIECES).collect()
+    assert [name for name, plan in plans if "lambdafunction" in plan] == [] and plans[0][0] == "aligned"
