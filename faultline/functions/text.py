@@ -43,6 +43,14 @@ def strip(x: Column) -> Column:
     return F.when(_seen(F.substring(y, 1, 1)) & _seen(F.substring(y, -1, 1)), y).otherwise(F.regexp_replace(x, f"^{WS}+|{WS}+$", ""))
 
 
+_WS_SIGNS = " " + "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def strip_short(x: Column) -> Column:
+    """strip() as one expression that names x once: nested or side by side, many of strip() make methods that are too long to be compiled. For short texts."""
+    return F.btrim(x, F.lit(_WS_SIGNS))
+
+
 def collapse(x: Column) -> Column:
     """Runs of white space as one space; single spaces, the usual case, are not touched."""
     return F.regexp_replace(x, f"[{_ODD_WS}]{WS}*| {WS}+", " ")
@@ -107,7 +115,7 @@ def is_numeric_like(x: Column) -> Column:
 
 def strip_prefix(x: Column) -> Column:
     """Without one leading [..]; null is empty."""
-    return strip(F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), f"(?U)^\\[[^\\]]+\\]{WS}*", ""))
+    return strip_short(F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), f"(?U)^\\[[^\\]]+\\]{WS}*", ""))
 
 
 def discipline_and_cause(x: Column) -> Column:
@@ -116,12 +124,12 @@ def discipline_and_cause(x: Column) -> Column:
     x = F.coalesce(x.cast("string"), F.lit(""))
     # Only the first line behind the prefix counts, as a dot stops at line ends.
     hit = x.rlike(pattern)
-    cause = F.when(hit, strip(F.regexp_extract(x, pattern, 2))).otherwise(strip_prefix(x))
+    cause = F.when(hit, strip_short(F.regexp_extract(x, pattern, 2))).otherwise(strip_prefix(x))
     return F.struct(F.when(hit, F.regexp_extract(x, pattern, 1)).otherwise(F.lit("")).alias("discipline"), cause.alias("cause"))
 
 
 def header_name(x: Column) -> Column:
-    return strip(collapse(F.lower(x.cast("string"))))
+    return strip_short(collapse(F.lower(x.cast("string"))))
 
 
 def find_8d_id(text: Column, file_name: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import queries as q
@@ -16,33 +16,38 @@ from .sources import files, formats, workbook
 BOOK = 5000
 
 
-def _cells(rows: DataFrame, at: list[tuple]) -> DataFrame:
-    """Cells (path, sheet, sheet_index, row, col, value, is_number) of rows with path and sheet: `at` lists (row, col, value) as Columns or constants."""
+def _places(at: list[tuple]) -> Column:
+    """Cells (row, col, value) as an array of structs: `at` lists them as Columns or constants."""
     column = lambda x: F.lit(x) if isinstance(x, int) else x
-    cells = F.array(*[F.struct(column(r).cast("int").alias("row"), column(c).cast("int").alias("col"), v.cast("string").alias("value")) for r, c, v in at])
-    out = rows.select("path", "sheet", "sheet_index", F.explode(cells).alias("c")).select("path", "sheet", "sheet_index", "c.*")
+    return F.array(*[F.struct(column(r).cast("int").alias("row"), column(c).cast("int").alias("col"), v.cast("string").alias("value")) for r, c, v in at])
+
+
+def _cells(rows: DataFrame, at: Column) -> DataFrame:
+    """Cells (path, sheet, sheet_index, row, col, value, is_number) of rows with path and sheet, in the order of their arrays `at`."""
+    out = rows.select("path", "sheet", "sheet_index", F.explode(at).alias("c")).select("path", "sheet", "sheet_index", "c.*")
     return out.where("value <> ''").withColumn("is_number", F.col("value").rlike(r"^\d+$"))
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fmea_rows as the cells of workbooks of both layouts, at most BOOK records each: with their markers, headers and cells of the project."""
-    kept = files.shared_folder(spark)
-    fmea_rows(spark, sf_dir).write.parquet(kept)
-    rows = spark.read.parquet(kept).withColumn("book", F.floor(F.col("row_ord") / BOOK).cast("string"))
-    new = rows.where("file_ord < 3").withColumns({"path": F.concat_ws("~", "file_name", "book", F.concat(F.regexp_replace("system_name", "[^A-Za-z0-9]", "-"), F.lit(".xlsm"))), "sheet": F.lit("DFMEA"), "sheet_index": F.lit(1)})
-    new_heads = new.select("path", "sheet", "sheet_index", "system_name", "file_name").distinct()
+    """fmea_rows as the cells of workbooks of both layouts, at most BOOK records each: with their markers, headers and cells of the project.
+
+    Records, not their cells, are sorted by file; the first of a file brings its head. So the cells stand in the order of a workbook.
+    """
+    new = F.col("file_ord") < 3
+    rows = fmea_rows(spark, sf_dir).where("file_ord IS NOT NULL").withColumn("book", F.floor(F.col("row_ord") / BOOK).cast("string"))
+    new_path = F.concat_ws("~", "file_name", "book", F.concat(F.regexp_replace("system_name", "[^A-Za-z0-9]", "-"), F.lit(".xlsm")))
+    rows = rows.withColumns({"path": F.when(new, new_path).otherwise(F.concat(F.concat_ws("~", "file_name", "book"), F.lit(".xlsx"))), "sheet": F.when(new, "DFMEA").otherwise("FMEA"), "sheet_index": F.when(new, 1).otherwise(0)})
+    rows = rows.withColumn("first", F.row_number().over(Window.partitionBy("path").orderBy("row_ord")) == 1)
+    project = F.concat(F.lit("project "), "file_name")
     named = {name: (3 + i, head) for i, (head, name) in enumerate(workbook.NEW_HEADERS.items())}
-    head = _cells(new_heads, [(0, 0, F.lit("System")), (0, 2, F.col("system_name")), (1, 8, F.concat(F.lit("project "), "file_name")), (3, 19, F.lit("2024-01-31")), *[(workbook.NEW_HEADER_ROW, c, F.lit(h)) for c, h in named.values()]])
+    new_head = [(0, 0, F.lit("System")), (0, 2, F.col("system_name")), (1, 8, project), (3, 19, F.lit("2024-01-31")), *[(workbook.NEW_HEADER_ROW, c, F.lit(h)) for c, h in named.values()]]
     row = (F.col("row_ord") % BOOK) * 3 + workbook.NEW_HEADER_ROW + 1
-    body = _cells(new, [
-        (row, 0, F.lit("System element")), (row, 2, F.col("system_element")), (row + 1, 0, F.lit("Function")), (row + 1, 2, F.col("function_name")),
-        *[(row + 2, named[c][0], F.col(c)) for c in ("failure_mode", "failure_effect", "severity")], (row + 2, named["failure_cause"][0], F.when(F.col("failure_cause") != "", F.concat(F.lit("[S01 - HW] "), "failure_cause")))])
-    old = rows.where("file_ord >= 3").withColumns({"path": F.concat(F.concat_ws("~", "file_name", "book"), F.lit(".xlsx")), "sheet": F.lit("FMEA"), "sheet_index": F.lit(0)})
-    old_heads = old.select("path", "sheet", "sheet_index", "file_name").distinct()
+    said = {c: F.col(c) for c in ("failure_mode", "failure_effect", "severity")} | {"failure_cause": F.when(F.col("failure_cause") != "", F.concat(F.lit("[S01 - HW] "), "failure_cause"))}
+    new_body = [(row, 0, F.lit("System element")), (row, 2, F.col("system_element")), (row + 1, 0, F.lit("Function")), (row + 1, 2, F.col("function_name")), *[(row + 2, named[c][0], v) for c, v in sorted(said.items(), key=lambda x: named[x[0]][0])]]
     places = {name: (c, heads[0]) for name, (heads, c) in workbook.OLD_HEADERS.items()}
-    old_head = _cells(old_heads, [(1, 4, F.concat(F.lit("project "), "file_name")), (3, 9, F.lit("2023")), *[(5, c, F.initcap(F.lit(h))) for c, h in places.values()]])
-    old_body = _cells(old, [(F.col("row_ord") % BOOK + 6, places[c][0], F.col(c)) for c in ("failure_type", "failure_mode", "failure_effect", "failure_cause", "severity")])
-    return head.unionByName(body).unionByName(old_head).unionByName(old_body)
+    old_head = [(1, 4, project), (3, 9, F.lit("2023")), *[(5, c, F.initcap(F.lit(h))) for c, h in sorted(places.values())]]
+    old_body = [(F.col("row_ord") % BOOK + 6, places[c][0], F.col(c)) for c in sorted(("failure_type", "failure_mode", "failure_effect", "failure_cause", "severity"), key=lambda c: places[c][0])]
+    return _cells(rows, F.when(new & F.col("first"), _places(new_head + new_body)).when(new, _places(new_body)).when(F.col("first"), _places(old_head + old_body)).otherwise(_places(old_body)))
 
 
 @query(f"""SELECT source_type, concat('project ', file_name) AS project_description, CASE WHEN file_ord < 3 THEN '2024-01-31' ELSE '2023' END AS fmea_date, coalesce(system_name, '') AS system_name,
@@ -54,7 +59,7 @@ FROM fmea_rows WHERE failure_cause <> '' AND (file_ord >= 3 OR severity <> '-')"
 def workbooks_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records as workbooks of both layouts, written by all tasks, and read again by their format."""
     path = files.shared_folder(spark)
-    formats.write_workbooks(books(spark, sf_dir), path)
+    formats.write_workbooks(books(spark, sf_dir), path, in_order=True)
     records, _ = workbook.records_of(spark.read.format("workbook_cells").load(path))
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return records.select("source_type", "project_description", "fmea_date", *map(blank, ("system_name", "system_element", "function_name", "failure_type", "failure_mode", "failure_effect", "failure_cause", "cause_discipline", "severity")), "file_name", "row_ord")
@@ -143,5 +148,5 @@ def workbook_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workbook for each supplier, written and read: what stands behind the colon in the first cells of its header rows."""
     path = files.shared_folder(spark)
     makers = table(spark, sf_dir, "supplier").select("s_name", "s_nationkey", F.concat(F.lit("maker_"), F.col("s_suppkey").cast("string"), F.lit(".xlsx")).alias("path"), F.lit("DFMEA").alias("sheet"), F.lit(1).alias("sheet_index"))
-    formats.write_workbooks(_cells(makers, [(5, 0, F.concat(F.lit("System: "), "s_name")), (5, 1, F.lit("other: cell")), (7, 0, F.concat(F.lit("Element: nation: "), F.col("s_nationkey").cast("string"))), (8, 0, F.lit("no colon"))]), path)
+    formats.write_workbooks(_cells(makers, _places([(5, 0, F.concat(F.lit("System: "), "s_name")), (5, 1, F.lit("other: cell")), (7, 0, F.concat(F.lit("Element: nation: "), F.col("s_nationkey").cast("string"))), (8, 0, F.lit("no colon"))])), path)
     return workbook.header_values(spark.read.format("workbook_cells").load(path).where("error IS NULL"))

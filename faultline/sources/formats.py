@@ -21,7 +21,9 @@ from itertools import groupby
 from operator import itemgetter
 from xml.sax.saxutils import quoteattr
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,21 +78,21 @@ class _Reader(DataSourceReader):
         system, _ = fs.FileSystem.from_uri(self.path)
         schema = _arrow(self.source.DDL)
         for path in partition.paths:
-            rows, error = [], None
+            columns, error = [], None
             try:
                 with system.open_input_stream(path) as f:
                     content = f.read()
                 # A file is read to its end before its rows go on: one that breaks later gives its error alone.
-                rows = list(self.source.parse(content))
+                columns = [pa.array(c, t) for c, t in zip(self.source.columns(content), schema.types[2:])]
             except Exception as e:  # noqa: BLE001  whatever is wrong with one file, the others are read
                 error = f"{type(e).__name__}: {e}"
             file = self.source.file_name(path)
             if error is not None:
                 yield pa.RecordBatch.from_pylist([{"path": path, schema.names[1]: file, "error": error}], schema)
-            for i in range(0, len(rows), BATCH_ROWS):
-                part = rows[i : i + BATCH_ROWS]
-                columns = [[path] * len(part), [file] * len(part), *map(list, zip(*part)), [None] * len(part)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+            for i in range(0, len(columns[0]) if columns else 0, BATCH_ROWS):
+                part = [c.slice(i, BATCH_ROWS) for c in columns]
+                n = len(part[0])
+                yield pa.RecordBatch.from_arrays([pa.repeat(path, n), pa.repeat(file, n), *part, pa.nulls(n, schema.types[-1])], schema=schema)
 
 
 @dataclass
@@ -113,11 +115,8 @@ class _Writer(DataSourceArrowWriter):
         system, root = fs.FileSystem.from_uri(self.path)
         attempt = uuid.uuid4().hex
         system.create_dir(f"{root}/{self.work}/{attempt}", recursive=True)
-        # Tuples in the order of DDL: a dictionary a cell would cost as much as its XML.
-        rows = (r for b in iterator for r in zip(*map(_listed, b.columns)))
         names = []
-        for name, own in groupby(rows, key=itemgetter(0)):
-            content = self.source.build(own)
+        for name, content in self.source.built(iterator):
             with system.open_output_stream(f"{root}/{self.work}/{attempt}/{name}") as f:
                 f.write(content)
             names.append(f"{attempt}/{name}")
@@ -163,11 +162,24 @@ class _FileSource(DataSource):
     def parse(content: bytes) -> Iterable[tuple]:
         raise NotImplementedError
 
+    @classmethod
+    def columns(cls, content: bytes) -> list[list]:
+        """parse() by columns; none, if there are no rows."""
+        return [list(c) for c in zip(*cls.parse(content))]
+
     @staticmethod
     def build(rows: Iterator[tuple]) -> bytes:
         """A file of its rows, tuples of the columns of DDL."""
         raise NotImplementedError
 
+    @classmethod
+    def built(cls, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        """(name, content) of each file of batches in the columns of DDL."""
+        # Tuples in the order of DDL: a dictionary a row would cost as much as its XML.
+        rows = (r for b in batches for r in zip(*map(_listed, b.columns)))
+        for name, own in groupby(rows, key=itemgetter(0)):
+            yield name, cls.build(own)
+
 
 def _listed(column: pa.Array) -> list:
     """column.to_pylist(), by way of numpy, which is several times faster, where it gives the same values."""
@@ -192,12 +204,39 @@ def _column(n: int) -> str:
     return out
 
 
-_ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", "\r": "&#13;"})
+_ESCAPES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", "\r": "&#13;"}
+_TABLE = str.maketrans(_ESCAPES)
 
 
 def _xml(text: str) -> str:
     """Text for XML; a carriage return would be read as a line feed. Other control characters can't be written at all."""
-    return text.translate(_ESCAPES)
+    return text.translate(_TABLE)
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    if column.null_count:
+        raise ValueError("a cell without a place")
+    return column.to_numpy(zero_copy_only=False)
+
+
+_CLOSED = "</row>"
+
+
+def _cell_xml(row: np.ndarray, col: np.ndarray, value: pa.Array, is_number: pa.Array, opens: np.ndarray) -> pa.Array:
+    """The XML of each cell of a batch, behind the end of the row before it and the beginning of its own where it opens one."""
+    large = pa.large_string()
+    one = lambda x: pa.scalar(x, large)
+    text, held = value.cast(large), bytes(value.buffers()[2] or b"")
+    for sign, escaped in _ESCAPES.items():  # the ampersand first
+        if sign.encode() in held:
+            text = pc.replace_substring(text, sign, escaped)
+    number, n = is_number.fill_null(False), pa.array(row).cast(large)
+    kinds, at = np.unique(col, return_inverse=True)
+    letters = pa.array([_column(int(k)) for k in kinds], large).take(pa.array(at))
+    head = pc.if_else(pa.array(opens), pc.binary_join_element_wise(one(f'{_CLOSED}<row r="'), n, one('"><c r="'), one("")), one('<c r="'))
+    begin = pc.if_else(number, one('"><v>'), one('" t="inlineStr"><is><t xml:space="preserve">'))
+    end = pc.if_else(number, one("</v></c>"), one("</t></is></c>"))
+    return pc.binary_join_element_wise(head, letters, n, begin, text, end, one(""))
 
 
 class WorkbookCells(_FileSource):
@@ -218,16 +257,44 @@ class WorkbookCells(_FileSource):
         return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
     parse = staticmethod(workbook.parse)
+    columns = staticmethod(workbook.columns)
+
+    @classmethod
+    def build(cls, rows: Iterator[tuple]) -> bytes:
+        schema = _arrow(cls.DDL)
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows)), schema.types)], schema=schema)
+        return next(cls.built([batch]))[1]
+
+    @classmethod
+    def built(cls, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        """The cells of a batch become XML at once, whose bytes then stand behind each other in its array: a sheet is cut out of them."""
+        name, sheets, last = None, {}, None
+        for b in batches:
+            if not len(b):
+                continue
+            path, sheet, index = b.column(0), b.column(2), _numbers(b.column(3))
+            row = _numbers(b.column(4))
+            turned = lambda x: np.concatenate([[True], x[1:] != x[:-1]])
+            files = np.concatenate([[True], pc.not_equal(path[1:], path[:-1]).to_numpy(zero_copy_only=False)])
+            parts = files | turned(index)
+            rows = parts | turned(row)
+            # A row may go on in the next batch.
+            rows[0] = (path[0].as_py(), index[0], row[0]) != last
+            last = (path[-1].as_py(), index[-1], row[-1])
+            xml = _cell_xml(row + 1, _numbers(b.column(5)), b.column(6), b.column(7), rows)
+            ends, data = np.frombuffer(xml.buffers()[1], np.int64)[xml.offset :][: len(xml) + 1], memoryview(xml.buffers()[2])
+            starts = np.flatnonzero(parts)
+            for at, end in zip(starts, [*starts[1:], len(b)]):
+                if (own := path[at].as_py()) != name:
+                    if name is not None:
+                        yield name, cls._book(sheets)
+                    name, sheets = own, {}
+                sheets.setdefault(int(index[at]), (sheet[at].as_py(), []))[1].append(bytes(data[ends[at] : ends[end]]))
+        if name is not None:
+            yield name, cls._book(sheets)
 
     @staticmethod
-    def build(rows: Iterator[tuple]) -> bytes:
-        sheets: dict[int, tuple[str, list[str]]] = {}
-        for (index, row), own in groupby(rows, key=itemgetter(3, 4)):
-            own, cells, n = list(own), [], row + 1
-            for _, _, _, _, _, col, value, is_number, _ in own:
-                text = value.translate(_ESCAPES)
-                cells.append(f'<c r="{_column(col)}{n}"><v>{text}</v></c>' if is_number else f'<c r="{_column(col)}{n}" t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>')
-            sheets.setdefault(index, (own[0][2], []))[1].append(f'<row r="{n}">{"".join(cells)}</row>')
+    def _book(sheets: dict[int, tuple[str, list[bytes]]]) -> bytes:
         # A sheet's place is its index: those before it that have no cells are written, too.
         every = [sheets.get(i, (f"Sheet{i + 1}", [])) for i in range(max(sheets) + 1)]
         main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -235,14 +302,16 @@ class WorkbookCells(_FileSource):
         package = "http://schemas.openxmlformats.org/package/2006"
         kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
         out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
             sheet_types = "".join(f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(len(every)))
             z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{sheet_types}</Types>')
             z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r0" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
             z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(every))) + "</Relationships>")
             z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name={quoteattr(n)} sheetId="{i + 1}" r:id="r{i}"/>' for i, (n, _) in enumerate(every)) + "</sheets></workbook>")
-            for i, (_, lines) in enumerate(every):
-                z.writestr(f"xl/worksheets/sheet{i + 1}.xml", f"<worksheet {main}><sheetData>{''.join(lines)}</sheetData></worksheet>")
+            for i, (_, parts) in enumerate(every):
+                # Each row closes the one before it, but the first.
+                rows = b"".join(parts)[len(_CLOSED) :] + _CLOSED.encode() if parts else b""
+                z.writestr(f"xl/worksheets/sheet{i + 1}.xml", f"<worksheet {main}><sheetData>".encode() + rows + b"</sheetData></worksheet>")
         return out.getvalue()
 
 
@@ -300,16 +369,20 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def _write(rows: DataFrame, source: type[_FileSource], path: str, order: list[str]) -> None:
+def _write(rows: DataFrame, source: type[_FileSource], path: str, order: list[str], in_order: bool = False) -> None:
     register(rows.sparkSession)
     columns = {c.split()[0]: c.split()[1] for c in source.DDL.split(", ")}
     whole = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()])
-    whole.repartition("path").sortWithinPartitions("path", *order).write.format(source.name()).mode("append").save(path)
+    placed = whole if in_order else whole.repartition("path").sortWithinPartitions("path", *order)
+    placed.write.format(source.name()).mode("append").save(path)
 
 
-def write_workbooks(cells: DataFrame, path: str) -> None:
-    """A workbook for each `path` (a file name) of the cells; one file's cells meet in one task, as a file must. Null values are no cells."""
-    _write(cells.where("value IS NOT NULL AND path IS NOT NULL"), WorkbookCells, path, ["sheet_index", "row", "col"])
+def write_workbooks(cells: DataFrame, path: str, in_order: bool = False) -> None:
+    """A workbook for each `path` (a file name) of the cells; one file's cells meet in one task, as a file must. Null values are no cells.
+
+    in_order: the cells stand so already, by path, sheet_index, row and col, so they are not shuffled. A file that two tasks write is an error.
+    """
+    _write(cells.where("value IS NOT NULL AND path IS NOT NULL"), WorkbookCells, path, ["sheet_index", "row", "col"], in_order)
 
 
 def write_reports(parts: DataFrame, path: str) -> None:

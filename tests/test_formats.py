@@ -1,5 +1,6 @@
 """Workbooks, reports and JSON lines: written and read again, broken and odd files, streams."""
 
+import io
 import os
 import zipfile
 
@@ -145,3 +146,61 @@ def test_addresses_are_matched_once_a_column(monkeypatch):
     columns = [pa.array([1, None], pa.int32()), pa.array([1, 2], pa.int32()), pa.array(["a", None]), pa.array([True, None]), pa.array([False, True]), pa.array([None, None], pa.string()), pa.array([], pa.int32())]
     for c in columns:
         assert [(type(v), v) for v in formats._listed(c)] == [(type(v), v) for v in c.to_pylist()]
+
+
+def test_rows_of_a_file_through_batches():
+    rows = [(f"{b}.xlsx", None, "s", i, r, c, f"{r}&{c}", False, None) for b in "ab" for i in (0, 2) for r in range(5) for c in range(7)]
+    schema = formats._arrow(workbook.CELLS)
+    parts = [rows[i : i + 4] for i in range(0, len(rows), 4)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*p), schema.types)], schema=schema) for p in parts]
+    files = list(formats.WorkbookCells.built(batches))
+    assert [n for n, _ in files] == ["a.xlsx", "b.xlsx"]
+    for name, content in files:
+        assert list(workbook.parse(content)) == [(s, i, r, c, v, k) for n, _, s, i, r, c, v, k, _ in rows if n == name]
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            assert z.read("xl/worksheets/sheet3.xml").count(b"<row ") == z.read("xl/worksheets/sheet3.xml").count(b"</row>") == 5  # a row that two batches hold is one
+
+
+def test_plain_cells_are_those_of_the_tree():
+    main = workbook._MAIN[1:-1]
+    whole = lambda cells, root="": f'<?xml version="1.0" encoding="UTF-8"?>\r\n<worksheet xmlns="{main}"{root}><cols><col min="1"/></cols><sheetData><row r="1">{cells}</row></sheetData></worksheet>'.encode()
+    shared, dates = ["first", "second"], {3}
+
+    def both(xml):
+        plain = workbook._plain_cells(xml)
+        tree = [(a, v, n) for a, _, v, n in workbook._tree_cells(xml, shared, dates)]
+        return plain and [(c + r, *(workbook._typed(k or "n", s or "0", v, shared, dates) if v else (t, False))) for c, r, s, t, k, v in plain], tree
+
+    text = '<c r="A1" t="inlineStr"><is><t xml:space="preserve">{}</t></is></c>'.format
+    for cells in (text("a &lt; b &amp;amp; &#65;&#x1F600; &quot;"), text(" cr\rand\r\nlf "), text(""), '<c r="B1" s="3"><v>45000</v></c><c r="C1" s="1"/><c r="D1" t="s"><v>1</v></c><c r="AA1"><v>1.50</v></c><c r="AB1" t="str"><v>x&gt;y</v></c><c r="AC1" t="b"><v>1</v></c>'):
+        plain, tree = both(whole(cells))
+        assert plain == tree and plain
+    # All else is left to the tree, or is an error there.
+    others = ["<!-- " + text("x") + " -->", '<c r="A1" t="inlineStr"><is><t><![CDATA[<c r="A1"><v>1</v></c>]]></t></is></c>', '<c r="A1"><f>B1</f><v>1</v></c>', '<c s="1" r="A1"><v>1</v></c>', '<c r="A1" t="inlineStr"><is><r><t>a</t></r></is></c>', '<c r="A1"><v></v></c>', f'<y xmlns="z">{text("x")}</y>', "<?odd " + text("x") + "?>"]
+    assert [both(whole(c))[0] for c in others] == [None] * len(others)
+    assert both(whole(text("x"), f' xmlns:p="{main}"'))[0] is None
+    for broken in (whole(text("x"))[:-3], whole(text("&odd;")), whole(text("\x01"))):
+        assert workbook._plain_cells(broken) is None
+        with pytest.raises(workbook.ElementTree.ParseError):
+            list(workbook._tree_cells(broken, shared, dates))
+
+
+def test_records_are_made_once_and_headers_may_repeat(spark, tmp_path):
+    new = list(workbook.NEW_HEADERS)
+    rows = [("n.xlsm", "S", 1, 6, c, h, False) for c, h in ((3, new[3]), (5, new[2]), (6, new[1]), (8, new[3]))]
+    rows += [("n.xlsm", "S", 1, 7, 0, " System element ", False), ("n.xlsm", "S", 1, 7, 2, "[x] pump", False)]
+    rows += [("n.xlsm", "S", 1, 8 + i, c, v, False) for i, (c, v) in enumerate(((3, "[S01 - HW] left"), (8, "right")))] + [("n.xlsm", "S", 1, 8, 6, "-", False)]
+    rows += [("n.xlsm", "other", 0, 9, 3, "of no sheet that counts", False)]
+    rows += [("o.xlsx", "FMEA", 0, 2, c, h, False) for c, h in ((7, "Process Step"), (2, "severity"), (9, "RPN"))] + [("o.xlsx", "FMEA", 0, 3, c, str(c), False) for c in range(12)]
+    formats.write_workbooks(spark.createDataFrame(rows, CELL), str(tmp_path / "w"))
+    (tmp_path / "w" / "bad.xlsm").write_bytes(b"PK")
+    formats.register(spark)
+    records, bad = workbook.records_of(spark.read.format("workbook_cells").load(str(tmp_path / "w")))
+    found = {r.file_name: r.asDict() for r in records.collect()}
+    pick = lambda n, *c: tuple(found[n][k] for k in c)
+    assert pick("n", "failure_cause", "cause_discipline", "system_element", "row_ord", "file_ord", "project_description") == ("right", "", "pump", 9, 0, "Unknown")
+    assert pick("o", "failure_type", "failure_mode", "severity", "failure_cause", "rpn", "detection", "row_ord", "file_ord") == ("7", "2", "2", "5", "9", "9", 3, 1)
+    assert [r.path.rsplit("/", 1)[1] for r in bad.collect()] == ["bad.xlsm"]
+    # Two scans a layout, and no second making of records for numbers of files that nobody asks for.
+    plan = records.drop("file_ord")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 4
