@@ -3,19 +3,29 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyarrow import parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 #: Weight of a hit by the role it was found in.
 ROLE_WEIGHTS = {"failure_mode": 0.5, "failure_element": 0.4, "failure_effect": 0.3}
 #: Vectors of a block in scans that compare all with all; rows of a block that are multiplied at once.
 BLOCK, STRIP = 4_000, 512
 #: Vectors of a block at most, and blocks from which on they are filled so far, where each vector is sent to all blocks.
 WIDE, SIDES = 32_000, 8
+#: Candidates for each of k neighbours that are too many for single precision; pairs whose distances are summed up at once.
+MANY, PAIRS = 16, 65_536
+#: Blocks of one group that a block meets in one task; such tasks at most.
+STRIPE, TASKS = 64, 20_000
 #: Causes of one failure that are compared at once with as many of another one.
 PAIRED = 2_000
 
@@ -116,33 +126,142 @@ def evidence_chain(vectors: DataFrame, failures: DataFrame, causes: DataFrame, e
     return known.groupBy("failure_id", "score", "cause_id", "dist").agg(F.transform(ordered, lambda s: s["sentence_id"]).alias("sentence_ids"))
 
 
-def _near(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(x: np.ndarray, y: np.ndarray, k: int, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of x, row of y, squared distance) of the k nearest rows of y for each row of x, of equal ones the first.
 
-    Products tell which rows can be among them, to within rounding; the distances of those are then summed up
-    from differences.
+    Products in single precision (where they can't overflow) tell which rows can be among them, to within a bound of their rounding; the distances
+    of those are then summed up from differences. limit: squared distances beyond which a row needs no neighbours (infinite: none), so that it may get fewer.
     """
-    rows, cols, dists = [], [], []
-    y2, k = (y * y).sum(1), min(k, len(y))
+    rows, cols, dists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    x2, y2, k = (x * x).sum(1), (y * y).sum(1), min(k, len(y))
+    kinds = [np.float32, np.float64] if max(np.abs(v).max(initial=0) for v in (x, y, y2)) < 1e15 else [np.float64]
+    # Half a squared distance without the half square of x's row, as one product.
+    left, right = np.column_stack([x, np.ones(len(x))]), np.column_stack([-y, y2 / 2])
+    sides = {kind: (left.astype(kind), right.astype(kind)) for kind in kinds}
+    largest = y2[np.isfinite(y2)].max(initial=0)
+    slack = (2 * x.shape[1] + 10) * np.sqrt((x2 + 1) * (largest + largest**2 / 4))
     # Strips have STRIP * BLOCK products at most, however long y is.
     step = max(1, min(STRIP, STRIP * BLOCK // max(1, len(y))))
     for at in range(0, len(x), step):
         some = x[at : at + step]
-        x2 = (some * some).sum(1)[:, None]
-        rough = x2 + y2 - 2 * (some @ y.T)
-        bound = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + 1e-9 * (x2 + y2.max())
-        row, col = np.nonzero(rough <= bound)
-        d = ((some[row] - y[col]) ** 2).sum(1)
+        for kind in kinds:
+            rough = sides[kind][0][at : at + step] @ sides[kind][1].T
+            far = np.full(len(some), np.inf) if limit is None else (limit[at : at + step] - x2[at : at + step]) / 2
+            if len(free := np.flatnonzero(np.isinf(far))):
+                far[free] = np.partition(rough[free], k - 1, axis=1)[:, k - 1]
+            far += slack[at : at + step] * np.finfo(kind).eps + 1e-34
+            pairs = np.flatnonzero(rough <= np.nextafter(far.astype(kind), kind(np.inf))[:, None])
+            if len(pairs) <= MANY * k * len(some):  # else nearer to each other than single precision can tell
+                break
+        row, col = np.divmod(pairs, len(y))
+        d = np.empty(len(row))
+        for i in range(0, len(row), PAIRS):
+            d[i : i + PAIRS] = ((some[row[i : i + PAIRS]] - y[col[i : i + PAIRS]]) ** 2).sum(1)
         order = np.lexsort((col, d, row))
         row, col, d = row[order], col[order], d[order]
-        first = np.searchsorted(row, np.arange(len(some)))
-        keep = np.arange(len(row)) - first[row] < k
+        keep = _first(row, k, len(some))
         rows.append(row[keep] + at)
         cols.append(col[keep])
         dists.append(d[keep])
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
 
 
+def _first(row: np.ndarray, k: int, n: int) -> np.ndarray:
+    """Which of sorted row numbers below n are among the first k of their row."""
+    return np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row] < k
+
+
+@dataclass(frozen=True)
+class Block:
+    """Vectors of a group, by id; more: what else is kept of each, a row of numbers."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    more: np.ndarray
+
+
+def packed(rows: DataFrame, by: list[str], more: str | None = None) -> tuple[DataFrame, str]:
+    """(by, file) of blocks and their folder: the vectors (vec_id, x) of each value of `by` in a file, written once for all blocks that meet them."""
+
+    def pack(one: pa.Table) -> pa.Table:
+        one = one.sort_by("vec_id").combine_chunks()
+        flat = lambda c: one[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes() if c else b""
+        return pa.table({**{c: one[c].slice(0, 1) for c in by}, "ids": [one["vec_id"].to_numpy().astype(np.int64).tobytes()], "x": pa.array([flat("x")], pa.binary()), "more": pa.array([flat(more)], pa.binary())})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    folder = shared_folder(rows.sparkSession)
+    blocks = rows.select(*by, "vec_id", "x", *([more] if more else [])).groupBy(*by).applyInArrow(pack, ", ".join([*(f"{c} {kinds[c]}" for c in by), "ids binary", "x binary", "more binary"]))
+    blocks.write.option("maxRecordsPerFile", 1).parquet(folder)
+    read = rows.sparkSession.read.schema(", ".join(f"{c} {kinds[c]}" for c in by)).parquet(folder)
+    return read.select(*by, F.col("_metadata.file_name").alias("file")), folder
+
+
+def _loader(folder: str) -> Callable[[str], Block]:
+    system, root = fs.FileSystem.from_uri(folder)
+
+    def load(file: str) -> Block:
+        with system.open_input_file(f"{root}/{file}") as f:
+            one = pq.read_table(f, columns=["ids", "x", "more"])
+        ids, *flat = (np.frombuffer(one[c][0].as_buffer(), kind) for c, kind in (("ids", np.int64), ("x", np.float64), ("more", np.float64)))
+        return Block(ids, *(v.reshape(len(ids), -1) for v in flat))
+
+    return load
+
+
+def nearest_in_blocks(blocks: DataFrame, folder: str, k: int, visits: Callable[[Block, np.ndarray, int], np.ndarray] | None = None) -> DataFrame:
+    """(vec_id, own, neighbour, dist) of the k nearest of each vector of packed() blocks (g, file and, for visits, cell) in its group, of equal ones the smaller id.
+
+    A task has one block and reads those of its group from their files, STRIPE of them at most, one after the other, with the k best so far: nothing is sent
+    to the blocks it meets, so disk grows with the vectors alone, and time with their square. What leaves a task are k rows a vector.
+    visits(block, limit, cell): rows of the block that may find vectors of the cell within a squared distance of limit.
+    """
+    cell = "cell" if "cell" in blocks.columns else F.lit(0).alias("cell")
+    # Names of files alone: one row a block.
+    listed = blocks.select("g", F.struct("file", cell).alias("b"))
+    place = Window.partitionBy("g").orderBy("b.file")
+    stripes = listed.withColumn("stripe", F.floor((F.row_number().over(place) - 1) / STRIPE)).groupBy("g", "stripe").agg(F.collect_list("b").alias("others"))
+    tiles = blocks.select("g", "file").join(stripes, "g").select("g", "file", F.col("others.file").alias("files"), F.col("others.cell").alias("cells"))
+    n = max(1, min(TASKS, tiles.count()))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = _loader(folder)
+        for g, file, files, cells in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))):
+            mine = load(file)
+            size = len(mine.ids)
+            row, col, d = _near(mine.x, mine.x, k)
+            own, limit = (row, mine.ids[col], d), np.full(size, np.inf)
+            row, ids, d = (v[:0] for v in own)
+
+            def nearer(row: np.ndarray, d: np.ndarray) -> np.ndarray:
+                full = np.bincount(row, minlength=size) >= k
+                last = np.searchsorted(row, np.arange(size), side="right") - 1
+                return np.where(full, np.minimum(limit, d[last] if len(d) else np.inf), limit)
+
+            limit = nearer(own[0], own[2])
+            for other, of in zip(files, cells):
+                if other == file:
+                    found = own
+                else:
+                    rows = np.arange(size) if visits is None else visits(mine, limit, of)
+                    if not len(rows):
+                        continue
+                    block = load(other)
+                    r, c, e = _near(mine.x[rows], block.x, k, limit[rows])
+                    found = (rows[r], block.ids[c], e)
+                row, ids, d = (np.concatenate(v) for v in zip((row, ids, d), found))
+                order = np.lexsort((ids, d, row))
+                order = order[_first(row[order], k, size)]
+                row, ids, d = row[order], ids[order], d[order]
+                limit = nearer(row, d)
+            for at in range(0, len(row), 50_000):
+                part = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_pydict({"vec_id": mine.ids[row[part]], "own": pa.repeat(g, len(row[part])), "neighbour": ids[part], "dist": d[part]})
+
+    found = tiles.repartition(n).mapInArrow(compare, "vec_id long, own string, neighbour long, dist double")
+    best = Window.partitionBy("vec_id", "own").orderBy("dist", "neighbour")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+
+
 def nearest(items: DataFrame, k: int, group: str | None = "role", block: int | None = None) -> DataFrame:
     """For each vector its k nearest of each value of `group` (of all, if None): (vec_id, own, other, neighbour, dist).
 
@@ -175,25 +294,12 @@ def nearest(items: DataFrame, k: int, group: str | None = "role", block: int | N
 
 
 def nearest_of_own(items: DataFrame, k: int, group: str | None = "role", block: int = BLOCK) -> DataFrame:
-    """nearest() among the vectors of one's own group only: blocks hold one group each, so groups never meet."""
-    rows = items.select("vec_id", F.col(group).cast("string").alias("g") if group else F.lit("").alias("g"), F.col("embedding").cast("array<double>").alias("x")).where("g IS NOT NULL")
+    """nearest() among the vectors of one's own group only: blocks hold one group each, so groups never meet. Rows without id or group stay out."""
+    rows = items.select("vec_id", F.col(group).cast("string").alias("g") if group else F.lit("").alias("g"), F.col("embedding").cast("array<double>").alias("x")).where("g IS NOT NULL AND vec_id IS NOT NULL")
     # One row a group, and one number: how many blocks its vectors fill.
     parts = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     rows = rows.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    pairs = rows.withColumn("left", F.lit(True)).withColumn("i", F.col("part")).withColumn("j", F.explode(every))
-    pairs = pairs.unionByName(rows.withColumn("left", F.lit(False)).withColumn("j", F.col("part")).withColumn("i", F.explode(every)))
-
-    def compare(one: pd.DataFrame) -> pd.DataFrame:
-        left, right = one[one["left"]], one[~one["left"]].sort_values("vec_id")
-        if not len(left) or not len(right):
-            return pd.DataFrame({"vec_id": [], "own": [], "neighbour": [], "dist": []})
-        row, col, d = _near(np.array(left["x"].tolist()), np.array(right["x"].tolist()), k)
-        return pd.DataFrame({"vec_id": left["vec_id"].to_numpy()[row], "own": one["g"].iloc[0], "neighbour": right["vec_id"].to_numpy()[col], "dist": d})
-
-    found = pairs.groupBy("g", "i", "j").applyInPandas(compare, "vec_id long, own string, neighbour long, dist double")
-    best = Window.partitionBy("vec_id", "own").orderBy("dist", "neighbour")
-    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+    return nearest_in_blocks(*packed(rows, ["g", "part"]), k)
 
 
 def cohesion(items: DataFrame, k: int = 5, group: str | None = "role", same: float = 1e-6) -> DataFrame:

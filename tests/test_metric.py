@@ -87,3 +87,45 @@ def test_pivots_are_far_from_each_other():
     x = np.array([[0.0], [1.0], [10.0], [10.0], [4.0]])
     assert metric.farthest_first(x, 3).ravel().tolist() == [0.0, 10.0, 4.0]
     assert len(metric.farthest_first(np.ones((5, 2)), 3)) == 1
+
+
+@pytest.mark.parametrize("indexed", [False])
+def test_blocks_read_each_other_in_stripes(spark, monkeypatch, indexed):
+    monkeypatch.setattr(vectors, "STRIPE", 3)
+    x = np.concatenate([_clustered(300), np.repeat(_clustered(20), 6, axis=0)])
+    items = _items(spark, x)
+    found = metric.nearest(metric.build(items, pivots=5, block=25), 4) if indexed else vectors.nearest_of_own(items, 4, block=25)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.vec_id, []).append((r.dist, r.neighbour))
+    assert {i: sorted(v) for i, v in got.items()} == _plain_nearest(x, 2, 4)
+    # Vectors are written once and are not sent to the blocks that they meet.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "x#" not in plan and plan.count("[g#") >= 1
+
+
+def test_a_limit_spares_no_neighbour_within_it():
+    draw = np.random.default_rng(2)
+    x, y = draw.normal(size=(700, 5)), draw.normal(size=(300, 5))
+    row, col, d = vectors._near(x, y, 4)
+    limit = np.where(np.arange(700) % 3 == 0, np.inf, d.reshape(700, 4)[:, 2])
+    r, c, e = vectors._near(x, y, 4, limit)
+    assert {(a, b) for a, b, far in zip(row, col, d) if far <= limit[a]} <= set(zip(r, c)) <= set(zip(row, col))
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-25, 1e-21, 1e12, 1e30])
+def test_single_precision_loses_no_neighbour(scale):
+    draw = np.random.default_rng(4)
+    far = draw.normal(size=(1, 16)) * 1e3  # near each other, far from zero: single precision can't tell them apart
+    for x in (draw.normal(size=(600, 16)), far + draw.normal(size=(600, 16)) * 1e-3, np.repeat(draw.normal(size=(60, 16)), 10, axis=0)):
+        x = x * scale
+        row, col, d = vectors._near(x, x, 5)
+        every = ((x[:, None] - x[None]) ** 2).sum(2)
+        want = np.lexsort((np.broadcast_to(np.arange(600), every.shape), every), axis=1)[:, :5]
+        assert (col.reshape(-1, 5) == want).all() and (d.reshape(-1, 5) == np.take_along_axis(every, want, 1)).all()
+        # What is known of one half of the vectors is a limit for the other one.
+        r, c, e = vectors._near(x, x[300:], 5, np.where(np.arange(600) % 2 == 0, d.reshape(-1, 5)[:, -1], np.inf))
+        assert {(a, b) for a, b in zip(row, col) if b >= 300} <= set(zip(r, c + 300))
+    odd = np.where(np.arange(20)[:, None] == 7, np.nan, draw.normal(size=(20, 3)))
+    row, col, _ = vectors._near(odd, odd, 3)
+    assert 7 not in {*row, *col} and len(row) == 19 * 3
