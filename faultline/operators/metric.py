@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import shared_folder
-from .vectors import BLOCK, STRIP, _near
+from .vectors import BLOCK, STRIP, Block, _near, nearest_in_blocks, packed
 
 #: Most pivots, vectors that pivots are chosen from, and vectors for each pivot in small tables.
 PIVOTS, SAMPLE, EACH = 64, 4_096, 256
@@ -134,27 +134,19 @@ def _bounded(index: Index, k: int) -> DataFrame:
     return _kept(found.withColumn("reach", F.nanvl("reach", F.lit(None).cast("double"))))
 
 
-def _others(index: Index, near: DataFrame) -> DataFrame:
-    return _visits(index, near.drop("near"), F.col("reach")).where("cell <> to_cell OR part <> to_part")
-
-
 def nearest(index: Index, k: int) -> DataFrame:
     """For each vector the k nearest of its group, itself included: (vec_id, own, neighbour, dist), squared distances, of equal ones the smaller id.
 
-    Its own block gives k candidates; only blocks that may hold a nearer one, or an equally near one, are visited. Where bounds
-    exclude nothing all blocks are, so results are always those of a scan of all with all.
+    Its own block gives k candidates; only blocks that may hold a nearer one than the k found so far, or an equally near one, are visited. Where
+    bounds exclude nothing all blocks are, so results are always those of a scan of all with all. A block reads those that it visits (nearest_in_blocks).
     """
-    near = _bounded(index, k)
+    low, high = index.low, index.high
 
-    def compare(one: pd.DataFrame) -> pd.DataFrame:
-        left, right = one[one["left"]], one[~one["left"]].sort_values("vec_id")
-        row, col, d = _near(np.array(left["x"].tolist()), np.array(right["x"].tolist()), k)
-        return pd.DataFrame({"vec_id": left["vec_id"].to_numpy()[row], "own": one["g"].iloc[0], "neighbour": right["vec_id"].to_numpy()[col], "dist": d})
-
-    found = _sides(index, _others(index, near)).groupBy(*_PAIR).applyInPandas(compare, "vec_id long, own string, neighbour long, dist double")
-    found = found.unionByName(near.select("vec_id", F.col("g").alias("own"), F.inline("near")).select("vec_id", "own", "neighbour", "dist"))
-    best = Window.partitionBy("vec_id", "own").orderBy("dist", "neighbour")
-    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+    def visits(block: Block, limit: np.ndarray, cell: int) -> np.ndarray:
+        least = np.maximum(block.more - high[cell], low[cell] - block.more).max(1)
+        return np.flatnonzero(least <= np.sqrt(limit) + _SLACK * (1 + block.more.max(1)))
+
+    return nearest_in_blocks(*packed(index.rows, ["g", "cell", "part"], "to_pivots"), k, visits)
 
 
 def within(index: Index, radius: float) -> DataFrame:

@@ -89,7 +89,7 @@ def test_pivots_are_far_from_each_other():
     assert len(metric.farthest_first(np.ones((5, 2)), 3)) == 1
 
 
-@pytest.mark.parametrize("indexed", [False])
+@pytest.mark.parametrize("indexed", [False, True])
 def test_blocks_read_each_other_in_stripes(spark, monkeypatch, indexed):
     monkeypatch.setattr(vectors, "STRIPE", 3)
     x = np.concatenate([_clustered(300), np.repeat(_clustered(20), 6, axis=0)])
